@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veltrial.llm import decontaminate, packing, secrets, sharding
+from veltrial.llm import decontaminate, html, jaccard, language, packing, quality, secrets, sharding, suffixes, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+    "op2_html": html.op2_html,
     "op3_packing": packing.op3_packing,
+    "op4_vectors": vectors.op4_vectors,
+    "op5_language": language.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_jaccard": jaccard.op8_jaccard,
+    "op9_quality": quality.op9_quality,
     "op10_shards": sharding.op10_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffixes.OP1_SQL,
+    "op4_vectors": vectors.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
 }
