@@ -287,6 +287,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     return docs.sparkSession.createDataFrame([], "doc_id long, item_id string, start long, words long") if out is None else out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows, all columns, whose id no contaminated row has; rows without an id stay."""
+    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

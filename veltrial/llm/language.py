@@ -267,7 +267,7 @@ def _keep(model: Model, least: float) -> Callable:
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None, least: float = 0.4) -> DataFrame:
     """Rows, all columns, whose language is known with a score of at least ``least``."""
     return docs.mapInArrow(_keep(model or model_of(docs), least), docs.schema)
 
