@@ -70,6 +70,7 @@ class Phrases:
         self.table = np.full((len(self.windows), longest), -1, np.int64)
         for n, w in enumerate(self.windows):
             self.table[n, : len(w)] = w
+        self.lengths = np.array([len(w) for w in self.windows], np.int64)
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
@@ -88,35 +89,24 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phr
 INDEX_SCHEMA = "segment long, term int, n long, postings binary, doc_ids binary"
 
 
-def pack_positions(p: np.ndarray) -> bytes:
-    """Ascending positions as gaps of one byte, or of four after a 255."""
-    gap = np.diff(p, prepend=0)
-    small = gap < 255
-    width = np.where(small, 1, 5)
-    at = np.cumsum(width) - width
+def pack_gaps(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Base-128 bytes of non-negative numbers, and where each number begins."""
+    width = np.ones(len(gap), np.int64)
+    for k in range(1, 5):
+        width += gap >= 1 << (7 * k)
+    first = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), np.uint8)
-    out[at] = np.where(small, gap, 255)
-    big, where = gap[~small].astype("<u4").view(np.uint8).reshape(-1, 4), at[~small]
-    for k in range(4):
-        out[where + 1 + k] = big[:, k]
-    return out.tobytes()
-
-
-def unpack_positions(b: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8)
-    if len(raw) == n:
-        return np.cumsum(raw, dtype=np.int64)
-    gap, at, k = np.empty(n, np.int64), 0, 0
-    while k < n:
-        mark = np.flatnonzero(raw[at:] == 255)
-        stop = at + (int(mark[0]) if len(mark) else len(raw) - at)
-        gap[k : k + stop - at] = raw[at:stop]
-        k += stop - at
-        at = stop
-        if k < n:
-            gap[k] = int.from_bytes(raw[at + 1 : at + 5].tobytes(), "little")
-            k, at = k + 1, at + 5
-    return np.cumsum(gap)
+    for k in range(5):
+        has = width > k
+        out[first[has] + k] = ((gap[has] >> (7 * k)) & 127) | ((width[has] > k + 1) << 7)
+    return out, first
+
+
+def unpack_gaps(raw: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate(([0], last[:-1] + 1))
+    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
 
 
 def _index(vocabulary: np.ndarray) -> Callable:
@@ -141,8 +131,12 @@ def _segment(segment: int, ids: pa.Array, block: TextBlock, vocabulary: np.ndarr
         order = np.argsort(term[at], kind="stable")
         at, term = at[order], term[at][order]
         first = np.flatnonzero(np.diff(term, prepend=-1))
-        for a, b in zip(first, [*first[1:], len(at)], strict=True):
-            rows.append((int(term[a]), b - a, pack_positions(at[a:b]), None))
+        gap = np.diff(at, prepend=0)
+        gap[first] = at[first]
+        packed, begins = pack_gaps(gap)
+        cut = np.append(begins[first], len(packed))
+        for k, (a, b) in enumerate(zip(first, [*first[1:], len(at)], strict=True)):
+            rows.append((int(term[a]), b - a, packed[cut[k] : cut[k + 1]].tobytes(), None))
     doc_ids = rows[0][3]
     known = np.frombuffer(doc_ids.is_valid().cast(pa.uint8()).buffers()[1], np.uint8)[: len(ids)]
     packed = np.concatenate([known.astype(np.int64), doc_ids.fill_null(0).to_numpy(zero_copy_only=False)]).tobytes()
@@ -164,24 +158,51 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_index(vocabulary), INDEX_SCHEMA)
 
 
-def intersect(lists: dict[int, np.ndarray], phrase: tuple[int, ...], slop: int = 0) -> np.ndarray:
-    """Positions at which the phrase begins.  With slop, each term may lie up to
-    that many words off its own place (proximity matches)."""
-    rank = sorted(range(len(phrase)), key=lambda k: len(lists.get(phrase[k], ())))
-    if phrase[rank[0]] not in lists:
+#: A posting is term << 32 | position: one sorted array holds all lists of a segment.
+TERM_SHIFT = 32
+
+
+def posting_lists(terms: pd.DataFrame) -> np.ndarray:
+    """All postings of a segment, ordered by term, then position."""
+    terms = terms.sort_values("term")
+    count = terms["n"].to_numpy(np.int64)
+    if not len(count):
         return np.zeros(0, np.int64)
-    start = lists[phrase[rank[0]]] - rank[0]
-    for k in rank[1:]:
-        have = lists.get(phrase[k])
-        if have is None or not len(start):
-            return np.zeros(0, np.int64)
-        if slop:
-            i = np.searchsorted(have, start + k - slop)
-            start = start[(i < len(have)) & (have[np.minimum(i, len(have) - 1)] <= start + k + slop)]
-        else:
-            i = np.minimum(np.searchsorted(have, start + k), len(have) - 1)
-            start = start[have[i] == start + k]
-    return start
+    total = np.cumsum(unpack_gaps(np.frombuffer(b"".join(terms["postings"]), np.uint8)))
+    first = np.cumsum(count) - count
+    before = np.concatenate(([0], total[first[1:] - 1]))
+    return (np.repeat(terms["term"].to_numpy(np.int64), count) << TERM_SHIFT) | (total - np.repeat(before, count))
+
+
+def intersect(lists: np.ndarray, table: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase number, position at which it begins) of every match.
+
+    table: a phrase's terms by row, -1 past its end.  Every phrase starts from
+    the list of its rarest term, less that term's offset; each next rarest term
+    keeps the starts that its own offset-adjusted list holds too.  With slop, a
+    term may lie up to that many words off its place (proximity matches)."""
+    terms = np.where(table < 0, 0, table)
+    begin = np.searchsorted(lists, terms << TERM_SHIFT)
+    count = np.where(table < 0, np.iinfo(np.int64).max, np.searchsorted(lists, (terms + 1) << TERM_SHIFT) - begin)
+    rank = np.argsort(count, axis=1, kind="stable")
+    pick = np.arange(len(table)), rank[:, 0]
+    size = np.where(table.max(1, initial=-1) < 0, 0, count[pick])
+    phrase = np.repeat(np.arange(len(table)), size)
+    first = np.repeat(begin[pick] - (np.cumsum(size) - size), size) + np.arange(len(phrase))
+    start = (lists[first] & ((1 << TERM_SHIFT) - 1)) - rank[phrase, 0] if len(first) else np.zeros(0, np.int64)
+    phrase, start = phrase[start >= 0], start[start >= 0]
+    for k in range(1, table.shape[1]):
+        if not len(start):
+            break
+        offset = rank[phrase, k]
+        term = table[phrase, offset]
+        want = (term << TERM_SHIFT) + start + offset
+        at = np.searchsorted(lists, np.maximum(want - slop, term << TERM_SHIFT))
+        hit = (at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] <= want + slop)
+        hit &= lists[np.minimum(at, len(lists) - 1)] >> TERM_SHIFT == term
+        hit |= term < 0
+        phrase, start = phrase[hit], start[hit]
+    return phrase, start
 
 
 def segment_matches(pdf: pd.DataFrame, phrases: Phrases, slop: int = 0) -> tuple[pd.DataFrame, list[tuple[int, int, int, int]]]:
@@ -195,23 +216,14 @@ def segment_matches(pdf: pd.DataFrame, phrases: Phrases, slop: int = 0) -> tuple
     docs.loc[~known, "doc_id"] = pd.NA
     ends = np.cumsum(count)
     begins = ends - count
-    terms = pdf[pdf["term"] >= 0]
-    lists = {int(t): unpack_positions(b, int(n)) for t, n, b in zip(terms["term"], terms["n"], terms["postings"], strict=True)}
-    out = []
-    if len(lists) and len(phrases.windows):
-        present = np.zeros(len(phrases.vocabulary) + 1, bool)
-        present[list(lists)] = True
-        present[-1] = True  # the padding of short windows
-        for w in np.flatnonzero(present[phrases.table].all(1)):
-            phrase = phrases.windows[w]
-            at = intersect(lists, phrase, slop)
-            if len(at):
-                d = np.searchsorted(ends, np.maximum(at, 0), "right")
-                good = (at >= 0) & (d < n_docs)
-                at, d = at[good], d[good]
-                good = (at >= begins[d]) & (at + len(phrase) <= ends[d])
-                out += [(int(x), int(p - begins[x]), len(phrase), int(w)) for x, p in zip(d[good], at[good], strict=True)]
-    return docs, out
+    lists = posting_lists(pdf[pdf["term"] >= 0])
+    if not len(lists) or not len(phrases.windows):
+        return docs, []
+    window, at = intersect(lists, phrases.table, slop)
+    length = phrases.lengths[window]
+    d = np.minimum(np.searchsorted(ends, at, "right"), n_docs - 1)
+    good = (at >= begins[d]) & (at + length <= ends[d])
+    return docs, list(zip(d[good].tolist(), (at - begins[d])[good].tolist(), length[good].tolist(), window[good].tolist(), strict=True))
 
 
 HIT_SCHEMA = "segment long, ordinal long, doc_id long, n_words long, hits binary, items string"
