@@ -284,19 +284,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+MATCH_SCHEMA = "doc_id long, item_id string, start long, words long"
+
+
+def _matches(phrases: Phrases, slop: int) -> Callable:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs, found = segment_matches(pdf, phrases, slop)
+        rows = [(docs["doc_id"].iloc[d], phrases.item_ids[k], p, n) for d, p, n, w in found for k in sorted(phrases.owners[w])]
+        return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "words"])
+
+    return run
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Every match: doc_id, item_id, start (word number) and words; slop > 0 gives proximity matches."""
     out = None
     for phrases in benchmark_blocks(benchmark, window):
-
-        def run(pdf: pd.DataFrame, phrases: Phrases = phrases) -> pd.DataFrame:
-            docs_, found = segment_matches(pdf, phrases, slop)
-            rows = [(docs_["doc_id"].iloc[d], phrases.item_ids[k], p, n) for d, p, n, w in found for k in sorted(phrases.owners[w])]
-            return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "words"])
-
-        one = positional_index(docs, phrases.vocabulary).groupBy("segment").applyInPandas(run, "doc_id long, item_id string, start long, words long")
+        one = positional_index(docs, phrases.vocabulary).groupBy("segment").applyInPandas(_matches(phrases, slop), MATCH_SCHEMA)
         out = one if out is None else out.unionByName(one)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id string, start long, words long") if out is None else out
+    return docs.sparkSession.createDataFrame([], MATCH_SCHEMA) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

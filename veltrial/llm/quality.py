@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from veltrial.llm.common import TextBlock, hash_ranges, rows_of, table, text_blocks
 
 POSITIVES, UNLABELLED = 6000, 12_000
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
+STEPS, RATE, DECAY = 400, 0.05, 0.1
 
 _CLASSES = ["\n\r", " \t", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!?", "'\"()-", "|/\\_=<>[]{}", "#$%&*@^~+`"]
 _CLASS = np.full(256, len(_CLASSES), np.int64)  # what is left: control and non-ASCII bytes

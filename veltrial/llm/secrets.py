@@ -98,6 +98,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), label), pa.int32()), pa.array(pair, pa.int32()), pa.array(total[label][pair], pa.int64())], names=["label", "pair", "n"])
 
 
+def _probabilities(counts: np.ndarray) -> np.ndarray:
+    """Transition probabilities, drawn to those of the characters' kinds (case,
+    digit, sign, border) where a character was seen rarely."""
+    kind = np.zeros(_STATES, np.int64)
+    for k, chars in enumerate((ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62], ALPHABET[62:]), 1):
+        kind[_CODE[[ord(c) for c in chars]]] = k
+    kind[-1] = 5
+    member = np.eye(6)[kind]
+    by_kind = member.T @ counts @ member + 1.0
+    by_kind /= by_kind.sum(1, keepdims=True)
+    prior = by_kind[kind][:, kind] / member.sum(0)[kind]
+    smooth = counts + 20.0 * prior
+    return smooth / smooth.sum(1, keepdims=True)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each transition."""
     share = max(1, docs.count() // max(1, sample_docs))
@@ -107,8 +122,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     for r in sample.mapInArrow(_count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         counts[r["label"], r["pair"]] = r["n"]
     counts[1] += np.bincount(transitions(_seeded_random()), minlength=_STATES * _STATES)
-    smooth = counts.reshape(2, _STATES, _STATES) + 0.5
-    logp = np.log(smooth / smooth.sum(2, keepdims=True))
+    logp = np.log(np.stack([_probabilities(c.reshape(_STATES, _STATES)) for c in counts]))
     return logp[1] - logp[0]
 
 
