@@ -240,10 +240,14 @@ def test_secrets(docs, empty):
     assert (got[97]["n_assign"], got[97]["n_access"], got[97]["n_hex"]) == (3, 1, 1)
     want = ",".join(":".join(k) for k in kinds if k[0] != "random")
     assert got[97]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
-    assert got[98]["spans"] == "random:0:20"
     assert got[80]["spans"] == "" and got[86]["spans"] == ""
+    spark = docs.sparkSession
+    ratio = secrets.train(spark.createDataFrame([(i, LINE * 5) for i in range(40)], "doc_id long, text string"))
+    mixed = spark.createDataFrame([(1, "key Kx9vQ2mZr7TfLp4WnB8s and quickBrownFoxJumps over_the_lazy_dog_near")], "doc_id long, text string")
+    assert secrets.scan_secrets(mixed, ratio).first()["spans"] == "random:4:24"
+    assert secrets.redact_secrets(mixed, ratio).first()["text"] == f"key {secrets.MASK} and quickBrownFoxJumps over_the_lazy_dog_near"
     masked = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
-    assert masked[98].startswith(secrets.MASK + " and camelCase") and masked[80] is None and masked[5] == dict((r[0], r[1]) for r in texts())[5]
+    assert masked[80] is None and "AKIA" not in masked[97] and masked[5] == dict((r[0], r[1]) for r in texts())[5]
     assert rows(secrets.scan_secrets(empty)) == []
 
 
