@@ -152,3 +152,16 @@ def ramp_is_nested(units: DataFrame, experiment, ratios: tuple[float, ...], unit
         step = both.agg(F.sum((F.col("before").isNotNull() & F.col("variant").isNull()).cast("long")).alias("left"), F.sum((F.col("before") != F.col("variant")).cast("long")).alias("changed"), F.count("variant").alias("enrolled")).select(F.lit(a).alias("from_ratio"), F.lit(b).alias("to_ratio"), "left", F.coalesce("changed", F.lit(0)).alias("changed"), "enrolled")
         out = step if out is None else out.unionByName(step)
     return out
+
+
+def rerandomise(users: DataFrame, salts: DataFrame, *, unit: str = "user_id", y: str = "post_metric", x: str = "pre_metric") -> DataFrame:
+    """The same users split anew under each salt: plain and adjusted effects of
+    splits that did nothing."""
+    from veltrial.operators.assignment import BUCKETS, assign_salts
+    from veltrial.operators.inference import contrasts, cuped, moments, welch, with_test
+
+    cells = assign_salts(users.select(unit), salts, unit).join(users.select(unit, y, x), unit)
+    arm = F.when(F.col("bucket") < BUCKETS // 2, "control").otherwise("treatment")
+    pairs = contrasts(cells.groupBy(F.col("salt").alias("experiment"), arm.alias("variant")).agg(*moments(y, x)))
+    adjusted = cuped(pairs).select("experiment", F.col("effect").alias("adjusted_effect"), F.col("std_error").alias("adjusted_std_error"))
+    return with_test(welch(pairs)).join(adjusted, "experiment").select(F.col("experiment").alias("salt"), "effect", "std_error", "p_value", "adjusted_effect", "adjusted_std_error")

@@ -56,7 +56,7 @@ def synthetic_control(panel: DataFrame, treated: str, start: int) -> DataFrame:
         f = _fit(pdf, treated, start)
         return pd.DataFrame({"donor": [str(d) for d in f["donors"]], "weight": f["weights"], "effect": f["effect"]})
 
-    return panel.select(F.col("unit").cast("string").alias("unit"), "period", "outcome").groupBy(F.lit(0)).applyInPandas(run, "donor string, weight double, effect double")
+    return panel.select(F.col("unit").cast("string").alias("unit"), "period", "outcome").groupBy(F.lit("all").alias("all")).applyInPandas(run, "donor string, weight double, effect double")
 
 
 def placebo_inference(panel: DataFrame, treated: str, start: int) -> DataFrame:

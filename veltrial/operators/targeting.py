@@ -112,6 +112,13 @@ def policy_value(scored: DataFrame, treat: Column) -> DataFrame:
     return scored.agg(F.avg(v).alias("value"), (F.stddev_samp(v) / F.sqrt(F.count("*"))).alias("std_error"), F.avg(F.when(treat, 1.0).otherwise(0.0)).alias("share"))
 
 
+def effect_by_group(scored: DataFrame, score: str, id_column: str, groups: int = 5) -> DataFrame:
+    """Mean effect score in equal groups of the ranking, best first."""
+    r = ranked(scored, score, id_column)
+    g = F.expr(f"CAST((rank - 1) * {int(groups)} div total AS INT) + 1")
+    return r.groupBy(g.alias("group")).agg(F.count("*").alias("units"), F.avg("gamma").alias("effect"), (F.stddev_samp("gamma") / F.sqrt(F.count("*"))).alias("std_error"))
+
+
 def learn_threshold_policy(scored: DataFrame, columns: list[str], *, depth: int = 2, n_grid: int = 20, min_share: float = 0.0, max_share: float = 1.0) -> tuple[list[tuple[str, float, bool]], float]:
     """Greedy union of threshold rules: each round sums all candidates in one pass."""
     probs = [(i + 1) / (n_grid + 1) for i in range(n_grid)]

@@ -189,6 +189,7 @@ ORACLES = {
     "ols_line": sql("SELECT round(regr_intercept(y, x), 4) AS intercept, round(regr_slope(y, x), 6) AS slope FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x FROM lineitem)"),
     "rdd_uniform": sql("SELECT round((SELECT regr_intercept(y, u) FROM rd WHERE u >= 0) - (SELECT regr_intercept(y, u) FROM rd WHERE u < 0), 4) AS effect, (SELECT count(*) FROM rd WHERE u < 0) AS n_left, (SELECT count(*) FROM rd WHERE u >= 0) AS n_right"),
     "qini_curve": sql("SELECT round(rk / total, 8) AS fraction, round(q, 2) AS qini FROM qini JOIN points USING (rk)"),
+    "effect_by_group": sql("SELECT CAST(g AS INTEGER) AS \"group\", count(*) AS units, round(avg(gamma), 4) AS effect, round(stddev_samp(gamma) / sqrt(count(*)), 4) AS std_error FROM (SELECT floor((rk - 1) * 4 / total) + 1 AS g, d * y / 0.5 - (1 - d) * y / 0.5 AS gamma FROM (SELECT *, CAST(total AS DOUBLE) AS t FROM ranked)) GROUP BY g"),
     "policy_value": sql("SELECT round(avg(CASE WHEN score > 500 THEN g ELSE 0 END), 4) AS value, round(stddev_samp(CASE WHEN score > 500 THEN g ELSE 0 END) / sqrt(count(*)), 4) AS std_error, round(avg(CASE WHEN score > 500 THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT *, d * y / 0.5 - (1 - d) * y / 0.5 AS g FROM scored)"),
     "top_share": sql("SELECT id, score FROM ranked WHERE rk <= round(total * 0.1)"),
     "rank_correlation": sql("SELECT round(corr(a, b), 6) AS rank_correlation FROM (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM scored)"),

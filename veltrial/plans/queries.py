@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veltrial.operators import clusters, guardrails, inference, looks, panel, quality, regression, sequential, targeting
+from veltrial.plans import report
 from veltrial.plans.warehouse import ARM, Warehouse
 from veltrial.sources import events, traffic
 
@@ -186,10 +187,7 @@ def cumulative_looks(spark, sf_dir):
 
 
 def _look_effects(spark, sf_dir) -> DataFrame:
-    arms = looks.look_arms(warehouse(spark, sf_dir).dws_experiment_variant_daily, 5).where("n > 1")
-    tagged = arms.withColumn("experiment", F.struct("experiment", "look", "info"))
-    rows = inference.welch(inference.contrasts(tagged.drop("look", "info", "ds")))
-    return rows.select("experiment.*", "effect", "std_error")
+    return report.look_effects(warehouse(spark, sf_dir).dws_experiment_variant_daily, 5).drop("variant")
 
 
 @query
@@ -236,6 +234,11 @@ def cluster_looks(spark, sf_dir):
     return rounded(looks.cluster_looks(warehouse(spark, sf_dir).dws_experiment_cluster_daily, 3), info=6)
 
 
+@query
+def experiment_report(spark, sf_dir):
+    return rounded(report.experiment_report(warehouse(spark, sf_dir)), p_value=8)
+
+
 # ---- traffic and quality ---------------------------------------------------------
 
 
@@ -454,6 +457,21 @@ def rank_correlation(spark, sf_dir):
     return rounded(targeting.rank_correlation(_scored(spark, sf_dir), "y", "score"), rank_correlation=6)
 
 
+@query
+def effect_by_group(spark, sf_dir):
+    g = _scored(spark, sf_dir).withColumn("gamma", F.col("d") * F.col("y") / 0.5 - (1 - F.col("d")) * F.col("y") / 0.5)
+    return rounded(targeting.effect_by_group(g, "score", "id", 4))
+
+
+@query
+def rerandomised_effects(spark, sf_dir):
+    from veltrial.operators import simulate
+
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'")
+    salts = spark.createDataFrame([(f"s{i}",) for i in range(20)], "salt string")
+    return rounded(simulate.rerandomise(users, salts), p_value=6)
+
+
 # ---- calibration ---------------------------------------------------------------------
 
 
