@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.operators.inference import contrasts, moments, welch, welch_columns
+from veltrial.operators.inference import contrasts, moments, welch
 
 
 def cluster_totals(daily: DataFrame) -> DataFrame:
@@ -108,5 +108,3 @@ def wild_cluster_bootstrap(totals: DataFrame, *, n_bootstrap: int = 999, weights
         raise ValueError("at least 99 draws; webb or rademacher weights")
     return totals.groupBy("experiment").applyInPandas(_wild(n_bootstrap, weights, imposed, control, seed), "experiment string, effect double, std_error double, p_value double, p_resolution double, clusters long")
 
-
-__all__ = ["cluster_counts", "cluster_level", "cluster_means", "cluster_robust", "cluster_totals", "icc", "mixed_clusters", "welch_columns", "wild_cluster_bootstrap"]
