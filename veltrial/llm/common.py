@@ -3,7 +3,9 @@ word boundaries and word hashes, all vectorised with numpy."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,6 +106,29 @@ def binary_list(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
 
+def released(run: Callable) -> Callable:
+    """A task's function over batches that gives its freed memory back when it
+    ends: Python workers are kept for later stages, and what their allocators
+    hold counts against the executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def task_key() -> int:
     """Tells apart the blocks of different partitions within one run of a stage."""
     context = TaskContext.get()

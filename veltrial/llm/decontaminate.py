@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import TextBlock, rows_of, table, task_key, text_blocks, words
+from veltrial.llm.common import TextBlock, released, rows_of, table, task_key, text_blocks, words
 
 WINDOW = 13
 #: A document is contaminated when at least one in this many of its words is hit.
@@ -155,7 +155,7 @@ def _segment(segment: int, ids: pa.Array, block: TextBlock, vocabulary: np.ndarr
 def positional_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """(segment, term, n, postings, doc_ids): term -1 is the segment's row of
     word counts and document ids; positions count the words of the segment."""
-    return docs.select("doc_id", "text").mapInArrow(_index(vocabulary), INDEX_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(_index(vocabulary)), INDEX_SCHEMA)
 
 
 #: A posting is term << 32 | position: one sorted array holds all lists of a segment.

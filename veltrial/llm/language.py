@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import U64, mix64, table, text_blocks
+from veltrial.llm.common import U64, mix64, released, table, text_blocks
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000
@@ -54,9 +54,8 @@ _TABLES: dict[str, np.ndarray] = {}
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Is a code point a letter; its lower case where that is one code point."""
     if not _TABLES:
-        chars = [chr(p) for p in range(0x110000)]
-        _TABLES["letter"] = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-        _TABLES["lower"] = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.uint32, len(chars))
+        _TABLES["letter"] = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+        _TABLES["lower"] = np.fromiter((ord(x) if len(x := chr(p).lower()) == 1 else p for p in range(0x110000)), np.uint32, 0x110000)
     return _TABLES["letter"], _TABLES["lower"]
 
 
@@ -216,7 +215,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     driver are at most BUCKETS + len(SCRIPT_NAMES) a language."""
     share = max(1, labelled.count() // max(1, sample_docs))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", "lang")
-    rows = sample.mapInArrow(_count, "lang string, kind int, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(released(_count), "lang string, kind int, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique().tolist())
     logp = np.zeros((BUCKETS, len(languages)), np.float32)
     writes = np.zeros((len(SCRIPT_NAMES), len(languages)), bool)
@@ -233,7 +232,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 def _predict(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column("text"), 2 << 20):
+            for block in text_blocks(batch.column("text"), 1 << 20):
                 part = batch.slice(block.lo, block.hi - block.lo)
                 lang, score, n = predict([t or "" for t in part.column("text").to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(n)], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
@@ -253,13 +252,13 @@ def model_of(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_spans: one row per document."""
     model = model or model_of(docs)
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(released(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
 
 
 def _keep(model: Model, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column("text"), 2 << 20):
+            for block in text_blocks(batch.column("text"), 1 << 20):
                 part = batch.slice(block.lo, block.hi - block.lo)
                 lang, score, _ = predict([t or "" for t in part.column("text").to_pylist()], model)
                 yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]))
@@ -269,7 +268,7 @@ def _keep(model: Model, least: float) -> Callable:
 
 def keep_identified(docs: DataFrame, model: Model | None = None, least: float = 0.4) -> DataFrame:
     """Rows, all columns, whose language is known with a score of at least ``least``."""
-    return docs.mapInArrow(_keep(model or model_of(docs), least), docs.schema)
+    return docs.mapInArrow(released(_keep(model or model_of(docs), least)), docs.schema)
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import PASS_BYTES, hash_ranges, mix64, table, task_key, text_blocks
+from veltrial.llm.common import PASS_BYTES, hash_ranges, mix64, released, table, task_key, text_blocks
 
 LENGTH = 4096
 END_ID = 2
@@ -57,12 +57,14 @@ def code_point_classes() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    points = np.array([p for p in range(0x110000) if not 0xD800 <= p < 0xE000], np.uint32)
-    text = points.tobytes().decode("utf-32-le")
     classes = np.zeros(0x110000, np.uint8)
-    for pattern, kind in ((r"[\p{L}]+", LETTER), (r"[\p{N}]+", NUMBER), (r"\s+", SPACE)):
-        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
-            classes[points[a:b]] = kind
+    for start in range(0, 0x110000, 0x4000):  # in pieces: the library returns a string for each run
+        points = np.arange(start, start + 0x4000, dtype=np.uint32)
+        points = points[(points < 0xD800) | (points >= 0xE000)]
+        text = points.tobytes().decode("utf-32-le")
+        for pattern, kind in ((r"[\p{L}]+", LETTER), (r"[\p{N}]+", NUMBER), (r"\s+", SPACE)):
+            for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                classes[points[a:b]] = kind
     return classes
 
 
@@ -197,7 +199,7 @@ def _pieces(path: str, length: int, end_id: int) -> Callable:
 
 def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most ``length`` ids: doc_id, doc_tokens, start, length, ids_crc32, document (tells rows apart)."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), length, end_id), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(released(_pieces(path or tokenizer_path(), length, end_id)), PIECES)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import table
+from veltrial.llm.common import released, table
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -119,7 +119,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
     counts = np.zeros((2, _STATES * _STATES))
     # at most 2 * _STATES^2 rows
-    for r in sample.mapInArrow(_count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
+    for r in sample.mapInArrow(released(_count), "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         counts[r["label"], r["pair"]] = r["n"]
     counts[1] += np.bincount(transitions(_seeded_random()), minlength=_STATES * _STATES)
     logp = np.log(np.stack([_probabilities(c.reshape(_STATES, _STATES)) for c in counts]))
@@ -190,7 +190,7 @@ def _scan(ratio: np.ndarray) -> Callable:
 def scan_secrets(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per document."""
     ratio = train(docs) if ratio is None else ratio
-    return docs.select("doc_id", "text").mapInArrow(_scan(ratio), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(released(_scan(ratio)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _redact(ratio: np.ndarray) -> Callable:
@@ -215,7 +215,7 @@ def _redact(ratio: np.ndarray) -> Callable:
 def redact_secrets(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
     """The same rows and columns; each span of ``text`` becomes MASK."""
     ratio = train(docs) if ratio is None else ratio
-    return docs.mapInArrow(_redact(ratio), docs.schema)
+    return docs.mapInArrow(released(_redact(ratio)), docs.schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
