@@ -503,7 +503,9 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p, unnest(list_transform(range(0, greatest(length(h) // 2 - 49, 0)), lambda i: substr(h, 2 * i + 1, 100))) AS s FROM d),
+k AS (SELECT doc_id, length(h) // 2 AS n, unnest(range(0, (length(h) + 199) // 200)) AS k, unnest(regexp_extract_all(h, '.{1,200}')) AS a FROM d),
+w AS (SELECT doc_id, n, k, a || coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), '') AS a FROM k),
+s AS (SELECT doc_id, 100 * k + i AS p, substr(a, 2 * i + 1, 100) AS s FROM (SELECT doc_id, n, k, a, unnest(range(0, least(100, greatest(n - 49 - 100 * k, 0)))) AS i FROM w)),
 m AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
 hit AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM s JOIN m USING (s) WHERE doc_id > first),
 span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit) GROUP BY doc_id, k),
