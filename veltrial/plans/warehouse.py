@@ -127,7 +127,8 @@ def guardrail_daily(exposure_log: DataFrame, event_log: DataFrame, guardrail_con
     """Declared guardrail events from the day of exposure, by the event's day."""
     declared = guardrail_config.select("experiment", F.col("guardrail").alias("event_name"))
     expo = first_exposures(exposure_log).select(*ARM, "user_id", "expose_ds").join(F.broadcast(declared), "experiment")  # one row a declared guardrail
-    events = event_log.select("user_id", "ds", "event_name", "metric_value")
+    names = F.broadcast(declared.select("event_name").distinct())  # other events never reach the shuffle
+    events = event_log.select("user_id", "ds", "event_name", "metric_value").join(names, "event_name", "left_semi")
     hit = expo.join(events, ["user_id", "event_name"]).where((F.col("ds") >= F.col("expose_ds")) & (F.col("ds") < F.date_add("expose_ds", post_days)))
     # distinct users a day by two plain aggregates instead of a distinct count
     by_user = hit.groupBy(*ARM, "ds", F.col("event_name").alias("guardrail"), "user_id").agg(F.sum("metric_value").alias("v"), F.sum(F.col("metric_value") * F.col("metric_value")).alias("vv"))
