@@ -118,6 +118,18 @@ def test_jaccard_components(docs, empty, width, percent):
     assert rows(jaccard.link_documents(empty, width, percent)) == []
 
 
+@pytest.mark.parametrize(("width", "percent", "n"), [(4, 85, 6), (5, 80, 4), (2, 50, 1)])
+def test_smallest_sets_link_with_a_superset_of_one_more(spark, width, percent, n):
+    word = lambda k, m: " ".join(f"{k}{i}" for i in range(m))
+    data = [(1, word("a", n + width - 1)), (2, word("a", n + width)), (3, word("b", n)), (4, word("c", n + width - 2)), (5, word("c", n + width - 1))]
+    sets = {i: shingles(t, width) for i, t in data}
+    assert (len(sets[1]), len(sets[2])) == (n, n + 1) and 100 * n >= percent * (n + 1)
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    want = {(i, len(sets[i]), min(j for j in sets if link(i, j))) for i, _ in data}
+    assert set(rows(jaccard.link_documents(spark.createDataFrame(data, "doc_id long, text string"), width, percent))) == want
+    assert (2, n + 1, 1) in want
+
+
 def test_near_copies_that_link_only_through_others(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]

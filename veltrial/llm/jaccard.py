@@ -101,7 +101,7 @@ def _pack(block: int, bits: int, row: np.ndarray, token: np.ndarray) -> Iterator
     token, row = token[order], row[order].astype("<u2")
     ranges = (token >> U64(64 - bits)).astype(np.int64)
     edge = np.flatnonzero(np.diff(ranges, prepend=-1))
-    for a, b in zip(edge, [*edge[1:], len(token)], strict=True):
+    for a, b in zip(edge, [*edge, len(token)][1:], strict=True):
         t = token[a:b] >> U64(64 - bits - 40)
         cells = np.bincount(((t >> U64(32)) & U64(255)).astype(np.int64), minlength=256).astype("<u4")
         yield block, int(ranges[a]), b - a, cells.tobytes() + (t & U64(0xFFFFFFFF)).astype("<u4").tobytes() + row[a:b].tobytes(), None
@@ -177,7 +177,7 @@ def _frequencies() -> Callable:
         number, df, row, block = (x[by_block] for x in (number, df, row, block))
         edge = np.flatnonzero(np.diff(block, prepend=-1))
         out = []
-        for a, b in zip(edge, [*edge[1:], len(block)], strict=True):
+        for a, b in zip(edge, [*edge, len(block)][1:], strict=True):
             out.append((int(pdf["block"].iloc[block[a]]), int(pdf["range"].iloc[0]), int(b - a), number[a:b].tobytes() + df[a:b].tobytes() + row[a:b].astype("<u2").tobytes(), None))
         del token, df, row, block, order
         release()
@@ -213,7 +213,8 @@ def _sets(percent: int) -> Callable:
             have = np.bincount(row, minlength=count)
             start = np.cumsum(have) - have
             places = n - -(-percent * n // 100) + 1 - (n - have)  # leading places left to shared shingles
-            for d in np.flatnonzero((places > 0) & (have > 0) & (100 * (n - 1) >= percent * n)):
+            # the best partner of another set is a superset of one more shingle
+            for d in np.flatnonzero((places > 0) & (have > 0) & (100 * n >= percent * (n + 1))):
                 own = token[start[d] : start[d] + have[d]]
                 leading[d] = own[: places[d]].tobytes()
                 shared[d] = np.sort(own).tobytes()
