@@ -230,6 +230,19 @@ def test_word_tokenizer_equals_the_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in many]
 
 
+@pytest.mark.parametrize("pair", ["\uD558\U0001D458", "\U00020BB7\u09B7", "\u4E2D\U00014E2D", "a\u0161"])
+def test_words_that_share_low_bits_keep_their_own_ids(pair):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    for first, second in (pair, pair[::-1]):
+        own = packing.WordTokenizer(path)
+        for many in ([first, f"x {first} y"], [second, f"{first} {second}"]):  # the second meets the first's cached ids
+            ids, count = own.encode(many)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in many]
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = np.random.default_rng(0).integers(1, 101, 300)
     room, want = [], np.empty(300, int)

@@ -160,11 +160,17 @@ class WordTokenizer:
 
     @staticmethod
     def _hash(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        low = hash_ranges((points & 0xFF).astype(np.uint8), begin, end)
-        if len(points) and points.max() > 0xFF:
-            wide = ((points >> 8) ^ (points >> 16)).astype(np.uint8)
-            low = low ^ mix64(hash_ranges(wide, begin, end) + np.uint64(1))
-        return low
+        key = hash_ranges((points & 0xFF).astype(np.uint8), begin, end)
+        for plane in (8, 16):  # all bits count: words that need higher bytes mix them in
+            high = (points >> plane).astype(np.uint8) if len(points) and points.max() >> plane else np.zeros(0, np.uint8)
+            at = np.flatnonzero(high)
+            word = np.searchsorted(begin, at, "right") - 1
+            word = word[word >= 0] if len(begin) else word[:0]
+            at = at[len(at) - len(word) :]
+            word = np.unique(word[at < end[word]])
+            if len(word):
+                key[word] ^= mix64(hash_ranges(high, begin[word], end[word]) + np.uint64(plane))
+        return key
 
 
 PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, document long"
