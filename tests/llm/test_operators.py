@@ -276,6 +276,33 @@ def test_secrets(docs, empty):
     assert rows(secrets.scan_secrets(empty)) == []
 
 
+def test_random_segments_of_runs(spark):
+    prose = [(i, (LINE + OTHER) * 3) for i in range(40)]
+    ratio = secrets.train(spark.createDataFrame(prose, "doc_id long, text string"))
+    word, key = "zqxvkjwpfzgbmqhx", "Kx9vQ2mZr7TfLp4WnB8sYc3HdG6jRt1XeUa5VoI0"
+    path, hexes = "the/lazy/dog/near/the/riverbank/while/seven/wizards/quietly/box/in/the/fog/" * 6, "0123456789abcdef"
+    spans = lambda x: list(secrets.all_spans(secrets.pa.array([x]), ratio))[0]
+    assert spans(f"key {word} end") == [(4, 3, 20)] and spans(f"key {word.upper()} end") == [(4, 3, 20)]
+    assert spans(path[:-1]) == [] and spans("theRiverbankWhileSeven") == []
+    for text in (path + key, f"{path}{key}/{path}{key}"):  # the keys, and at most a word beside them
+        got = spans(text)
+        places = [m.start() for m in re.finditer(key, text)]
+        assert len(got) == len(places) and all(k == 3 and p - 4 <= a <= p and p + 40 <= b <= p + 44 for (a, k, b), p in zip(got, places, strict=True))
+    assert spans(f"{hexes}/{key}") == [(0, 2, 16), (17, 3, 57)]
+    assert spans(f"Kx9vQ2mZ{hexes}TfLp4WnB8s") == [(0, 3, 8), (8, 2, 24), (24, 3, 34)]
+    assert spans(f"sha256={hexes}") == [(7, 2, 23)]
+    assert spans("") == [] and spans(LINE.upper()) == []
+
+
+def test_best_segment_is_the_best():
+    rng = np.random.default_rng(12)
+    for n in [*range(16, 40), 60]:
+        llr = rng.normal(-0.2, 2, n + 1)
+        want = max((llr[(a + 1 if a else 0) : (b if b < n else n + 1)].sum(), a, b) for a in range(n) for b in range(a + 16, n + 1))
+        got = secrets._best_segment(llr)
+        assert np.isclose(got[0], want[0]) and got[1:] == want[1:]
+
+
 def test_a_failing_match_uses_up_its_text():
     assert secrets.base_spans("token: password: abcdefghijklm") == []
     assert secrets.base_spans("ſecret=abcdefghijklmn") == []  # letters of either case, ASCII alone

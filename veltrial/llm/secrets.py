@@ -3,16 +3,18 @@
 Three fixed patterns find the base spans.  A pair of first-order character
 Markov models, one of random strings and one of ordinary identifiers, adds
 spans: a run of token characters is a secret when the log-likelihood ratio of
-the two models exceeds the prior odds.
+the two models exceeds the prior odds, and so is the best segment of a run that
+as a whole does not.
 
 Labelled samples.  Random: the values that the base patterns capture, and seeded
 random strings over common key alphabets.  Ordinary: every other token of the
-sampled documents, alone and joined to snake_case and camelCase.  The sample
+sampled documents, alone, in capitals and joined to snake_case and camelCase.  The sample
 holds about ``sample_docs`` documents chosen by a hash of the id; only bigram
 counts leave the executors, by a partial aggregation.
 
 Defined cases: null or empty text has no span; spans of one kind never overlap;
-a model span that touches a base span is left out; repeated rows and ids are
+of a model span that touches a base span, the parts outside it that
+score alone are kept; repeated rows and ids are
 kept as they are; empty table: empty result; other columns are ignored by
 ``scan_secrets`` and kept by ``redact_secrets``.
 """
@@ -42,6 +44,7 @@ MASK = "[SECRET]"
 #: Characters of a candidate, and its least length.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+LEAST, SIGNS = 16, frozenset("+/_=-")
 #: Prior odds of an ordinary run against a secret, as a natural logarithm.
 PRIOR_ODDS = float(np.log(1e4))
 SAMPLE_DOCS = 4000
@@ -90,7 +93,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut.append(text[at:])
             plain = re.findall(r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*", " ".join(cut))
             joined = ["_".join(plain[i : i + 3]) for i in range(0, len(plain), 7)] + ["".join(w.capitalize() for w in plain[i : i + 3]) for i in range(0, len(plain), 11)]
-            for label, strings in ((0, plain + joined), (1, secret)):
+            capitals = [x.upper() for x in plain[::7] + joined[::5]]
+            for label, strings in ((0, plain + joined + capitals), (1, secret)):
                 if strings:
                     total[label] += np.bincount(transitions(strings), minlength=_STATES * _STATES)
     for label in (0, 1):
@@ -126,24 +130,82 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     return logp[1] - logp[0]
 
 
-def random_spans(texts: list[str], ratio: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Runs of token characters that the models call random, for each text."""
-    found, strings = [], []
-    for i, text in enumerate(texts):
-        for m in CANDIDATE.finditer(text):
-            s = m[0]
-            # one case of letters alone is a word; digits alone belong to the hex pattern
-            if not (s.isalpha() and (s[1:].islower() or s.isupper())) and not s.isdigit():
-                found.append((i, m.start(), m.end()))
-                strings.append(s)
+def _best_segment(llr: np.ndarray) -> tuple[float, int, int]:
+    """Score and range of the characters a..b of a run, LEAST at least, whose
+    transitions score most; those at the run's borders count for its ends."""
+    n = len(llr) - 1
+    total = np.concatenate([[0.0], np.cumsum(llr)])
+    # a segment from the first character on takes the border's transition with it, and so at the end
+    start = np.concatenate([[0.0], total[2 : n + 1]])
+    stop = np.concatenate([total[1:n], [total[n + 1]]])
+    low = np.minimum.accumulate(start[: n - LEAST + 1])
+    gain = stop[LEAST - 1 :] - low
+    k = int(gain.argmax())
+    return float(gain[k]), int(start[: k + 1].argmin()), k + LEAST
+
+
+def _segments(s: str, llr: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a run that the models call random: the run, or else its best
+    segments, each to the signs around it, so that no end of a key is left."""
+    if llr.sum() > PRIOR_ODDS:
+        yield 0, len(s)
+        return
+    todo = [(0, len(s))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        score, a, b = _best_segment(llr[lo : hi + 1])
+        if score > PRIOR_ODDS:
+            a, b = lo + a, lo + b
+            while a > lo and s[a - 1] not in SIGNS:
+                a -= 1
+            while b < hi and s[b] not in SIGNS:
+                b += 1
+            yield a, b
+            todo += [(lo, a), (b, hi)]
+
+
+def _outside(span: tuple[int, int], base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no base span covers."""
+    at = span[0]
+    for x, y in sorted(base):
+        if y > at and x < span[1]:
+            if x > at:
+                yield at, x
+            at = max(at, y)
+    if at < span[1]:
+        yield at, span[1]
+
+
+def random_spans(texts: list[str], ratio: np.ndarray, base: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int]]]:
+    """Parts of runs of token characters that the models call random, for each
+    text, outside its base spans."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if strings:
-        llr = ratio.reshape(-1)[transitions(strings)]
-        length = np.array([len(s) for s in strings]) + 1
-        first = np.cumsum(length) - length
-        for (i, s, e), x in zip(found, np.add.reduceat(llr, first), strict=True):
-            if x > PRIOR_ODDS:
-                out[i].append((s, e))
+    found = [(i, m.start(), m[0]) for i, text in enumerate(texts) for m in CANDIDATE.finditer(text)]
+    if not found:
+        return out
+    flat = ratio.reshape(-1)
+    llr = flat[transitions([s for _, _, s in found])]
+    at = 0
+    for i, start, s in found:
+        own = llr[at : at + len(s) + 1]
+        at += len(s) + 1
+        for a, b in _segments(s, own):
+            span = (start + a, start + b)
+            touched = [x for x in base[i] if x[0] < span[1] and x[1] > span[0]] if base else []
+            if not touched:
+                out[i].append(span)
+                continue
+            for x, y in _outside(span, touched):
+                # a sign that parts it from the base span isn't of the secret: the rest is a run of its own
+                whole = y - x
+                while x < y and x > span[0] and texts[i][x] in SIGNS:
+                    x += 1
+                while x < y and y < span[1] and texts[i][y - 1] in SIGNS:
+                    y -= 1
+                if (y - x >= LEAST or y - x == whole) and flat[transitions([texts[i][x:y]])].sum() > PRIOR_ODDS:
+                    out[i].append((x, y))
     return out
 
 
@@ -164,9 +226,7 @@ def all_spans(column: pa.Array, ratio: np.ndarray) -> Iterator[list[tuple[int, i
         text = column[i].as_py()
         spans = base_spans(text, (a, b, c))
         if d:
-            for s, e in random_spans([text], ratio)[0]:
-                if all(e <= x or s >= y for x, _, y in spans):
-                    spans.append((s, 3, e))
+            spans += [(s, 3, e) for s, e in random_spans([text], ratio, [[(x, y) for x, _, y in spans]])[0]]
         yield sorted(spans)
 
 
