@@ -414,3 +414,25 @@ def test_html(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract_pages(df).collect()}
     assert got == {i: (t, len(t)) for i, _, t in PAGES}
     assert rows(html.extract_pages(df.limit(0))) == []
+
+
+LONG, CLOSING, END = "word " * 120, "closing words of ninety signs " * 3, "a short last line"
+GAP = "<ul>" + "<li><a href='/x'>a link of the list</a></li>" * 4 + "</ul>"
+UNMARKED = [
+    ("<body><div><p>{l}</p><div class='ad'><p>buy</p><p>this</p><p>now</p></div><p>{c}</p></div></body>", "{l} {c}"),
+    ("<body><div><p>{l}</p><div class='ad'><p>buy</p><p>this</p><p>now</p></div><p>{e}</p></div></body>", "{l} {e}"),
+    ("<body><div><h1>Title</h1><p>By</p><p>me</p><p>x</p><p>{l}</p>{g}<p>{e}</p></div><div><p>other</p></div></body>", None),
+    ("<body><form id='main'><nav>menu</nav><div><p>{l}</p><p>{e}</p></div></form></body>", "{l} {e}"),
+    ("<body><div><p>{l}</p><form><p>name</p></form><p>{e}</p></div></body>", "{l} {e}"),
+    ("<body><p>{l}</p>{g}<p>{e}</p></body>", "{l} " + "a link of the list " * 4 + "{e}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), UNMARKED)
+def test_unmarked_articles_are_whole(page, want):
+    parts = {"l": LONG.strip(), "c": CLOSING.strip(), "e": END, "g": GAP}
+    got = html.main_text(page.format(**parts))
+    if want is None:
+        assert got.startswith("Title By me x word") and END in got
+    else:
+        assert got == want.format(**parts)

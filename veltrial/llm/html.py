@@ -4,8 +4,11 @@ A page becomes lines: the text between two block-level tags, character
 references decoded and white space made single.  A line's weight is its text
 length outside links; lines in menus, headers, footers, sidebars, notices,
 adverts, forms and comments weigh nothing.  Weights are summed over sliding
-windows of BLOCK lines; text starts where the sum surges and ends where it dives
-to nothing; what lies between is kept, except for lines of the excluded kinds.
+windows of BLOCK lines, which excluded lines don't enter; text starts where the
+sum surges and ends where it dives to nothing.  Of the block that holds the
+heaviest stretch, all is kept from its first line with weight to its last;
+stretches elsewhere are kept by their share of the heaviest.  A form that
+encloses most of the page's text is no form but a wrapper.
 Where a page marks its article, lines outside weigh nothing and any weight is a
 surge, so that short articles are found too.
 
@@ -27,7 +30,7 @@ from veltrial.llm.common import table
 
 #: Lines of a window, and the weight of a window that is a surge.
 BLOCK, SURGE = 3, 80
-#: Least share of the heaviest stretch that another stretch must weigh (pages without a marked article).
+#: Least share of the heaviest stretch that a stretch outside its block must weigh (pages without a marked article).
 STRETCH = 0.2
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'](?=[^"']*>))*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z""", re.S | re.I)
@@ -40,6 +43,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 EXCLUDED = set("nav header footer aside form button select option dialog menu iframe object svg canvas audio video fieldset legend input label head search".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 MARKED = {"article", "main"}
+#: Elements that group others; the block that holds a paragraph, list or table is one of these.
+GROUPS = set("html body div section article main center form td".split())
 WORDS = set("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies related recommended recommendations widget toolbar pagination pager copyright disclaimer alert toc".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: A paragraph, cell or list item ends where another of its kind begins, or a block around it.
@@ -47,10 +52,10 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr"
 
 
 class Line:
-    __slots__ = ("text", "weight", "marked", "hard", "soft")
+    __slots__ = ("text", "weight", "marked", "hard", "soft", "path")
 
-    def __init__(self, text: str, weight: int, marked: bool, hard: bool, soft: bool):
-        self.text, self.weight, self.marked, self.hard, self.soft = text, weight, marked, hard, soft
+    def __init__(self, text: str, weight: int, marked: bool, hard: bool, soft: bool, path: tuple[tuple[str, int], ...]):
+        self.text, self.weight, self.marked, self.hard, self.soft, self.path = text, weight, marked, hard, soft, path
 
 
 def _soft(name: str, attributes: str) -> bool:
@@ -80,7 +85,9 @@ def _soft(name: str, attributes: str) -> bool:
 def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # name, excluded by name, excluded by attributes
+    path: list[tuple[str, int]] = []  # open blocks: name, number
     text: list[str] = []
+    number = 0
     links = hard = soft = marked = weight = 0
 
     def end_line() -> None:
@@ -88,7 +95,7 @@ def lines_of(page: str) -> list[Line]:
         if text:
             line = " ".join(html_lib.unescape("".join(text)).split())
             if line:
-                out.append(Line(line, weight, marked > 0, hard > 0, soft > 0))
+                out.append(Line(line, weight, marked > 0, hard > 0, soft > 0, tuple(path)))
             text.clear()
         weight = 0
 
@@ -98,6 +105,8 @@ def lines_of(page: str) -> list[Line]:
         hard -= h
         soft -= s
         links -= name == "a"
+        if name in BLOCKS:
+            path.pop()
         marked -= name in MARKED
 
     at = 0
@@ -127,9 +136,12 @@ def lines_of(page: str) -> list[Line]:
         elif name in BLOCKS and stack and stack[-1][0] == "p" and name != "p":
             pop()
         heading = name in HEADINGS and marked > 0 and hard == 1 and any(x[0] == "header" for x in stack)
-        h = name in EXCLUDED
+        h = name in EXCLUDED and name != "form"
         s = _soft(name, m[4])
         stack.append((name, h, s))
+        if name in BLOCKS:
+            path.append((name, number))
+            number += 1
         hard += h
         soft += s
         links += name == "a"
@@ -142,9 +154,43 @@ def lines_of(page: str) -> list[Line]:
         if not links:
             weight += len(page[at:].strip())
     end_line()
+    _exclude_forms(out)
     return out
 
 
+def _exclude_forms(lines: list[Line]) -> None:
+    """Lines in forms are hard, but for forms that hold most of the text outside links."""
+    size: dict[tuple[str, int], int] = {}
+    total = 0
+    for x in lines:
+        if not x.hard:
+            total += x.weight
+            for b in x.path:
+                if b[0] == "form":
+                    size[b] = size.get(b, 0) + x.weight
+    for x in lines:
+        x.hard = x.hard or any(b[0] == "form" and 2 * size[b] <= total for b in x.path)
+
+
+def article_lines(lines: list[Line], weights: list[int], a: int, b: int) -> list[int]:
+    """The lines of the block that holds lines a..b, from its first line with weight to its last."""
+    paths = [x.path for x, w in zip(lines[a:b], weights[a:b], strict=True) if w]
+    if len(paths) == 1:
+        block = paths[0][:-1]
+    else:
+        low, high = min(paths), max(paths)  # what these have in common, all have
+        same = [x == y for x, y in zip(low, high, strict=False)]
+        block = low[: (same + [False]).index(False)]
+    while block and block[-1][0] not in GROUPS:
+        block = block[:-1]
+    n = len(block)
+    inside = [i for i, x in enumerate(lines) if x.path[:n] == block]
+    if not n or block[-1][0] in ("html", "body"):  # the page itself: what stands in it directly
+        inside = [i for i in inside if len(lines[i].path) <= n + 1 or not any(x[0] in GROUPS for x in lines[i].path[n:])]
+    heavy = [i for i in inside if weights[i]]
+    return [i for i in inside if heavy and heavy[0] <= i <= heavy[-1]]
+
+
 def stretches(weights: list[int], surge: int) -> list[tuple[int, int]]:
     """Ranges of lines between a surge of the window sums and the next dive."""
     n = len(weights)
@@ -171,12 +217,16 @@ def main_text(page: str | None) -> str:
         if any(f and x.marked for f, x in zip(fine, lines, strict=True)):
             weights = [len(x.text) if f and x.marked else 0 for f, x in zip(fine, lines, strict=True)]
             kept = stretches(weights, 1)
+            found = [lines[i].text for a, b in kept for i in range(a, b) if fine[i] and (weights[i] or not lines[i].marked)]
         else:
-            weights = [x.weight if f and 2 * x.weight >= len(x.text) else 0 for f, x in zip(fine, lines, strict=True)]
+            rest = [x for f, x in zip(fine, lines, strict=True) if f]
+            weights = [x.weight if 2 * x.weight >= len(x.text) else 0 for x in rest]
             kept = stretches(weights, SURGE) or stretches(weights, max([1, *(sum(weights[i : i + BLOCK]) for i in range(len(weights)))]))
             size = [sum(weights[a:b]) for a, b in kept]
-            kept = [k for k, s in zip(kept, size, strict=True) if s >= STRETCH * max(size)]
-        found = [lines[i].text for a, b in kept for i in range(a, b) if fine[i] and (weights[i] or not any(weights) or not lines[i].marked)]
+            chosen = {i for (a, b), s in zip(kept, size, strict=True) if s >= STRETCH * max(size) for i in range(a, b)}
+            if kept:
+                chosen.update(article_lines(rest, weights, *kept[size.index(max(size))]))
+            found = [rest[i].text for i in sorted(chosen)]
         if found:
             return " ".join(found)
     return ""
