@@ -436,3 +436,13 @@ def test_unmarked_articles_are_whole(page, want):
         assert got.startswith("Title By me x word") and END in got
     else:
         assert got == want.format(**parts)
+
+
+def test_windows_find_the_article_without_its_tag():
+    rng = np.random.default_rng(13)
+    prose = lambda n: " ".join(rng.choice(LINE.split(), n))
+    for k in range(40):
+        parts = "".join(f"<p>{prose(int(rng.integers(3, 120)))}</p>" + "<aside><p>x</p></aside>" * int(rng.integers(0, 5)) for _ in range(int(rng.integers(2, 9))))
+        page = f"<body><nav><a href='/'>{prose(4)}</a></nav><article><h1>{prose(6)}</h1><p>{prose(60)}</p>{parts}</article><div class='ad'>{prose(20)}</div><footer>{prose(9)}</footer></body>"
+        marked = html.main_text(page)
+        assert marked and html.main_text(page.replace("article>", "div>")) == marked, k
