@@ -194,6 +194,14 @@ def test_proximity_matches(spark):
     assert {r["doc_id"] for r in decontaminate.matches(d, b, slop=2).collect()} == {1, 3}
 
 
+def test_proximity_matches_keep_to_their_document(spark):
+    texts = ["b a c d", "x b a c d", "a b z z", "c d", "a b", "a c d b", "b"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(20 + i, "a c d") for i in range(6)], "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(9, "a b c d")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(d, b, slop=2).collect()} == {0, 1}
+    assert decontaminate.matches(d, b).collect() == []
+
+
 def test_position_gaps_round_trip():
     gap = np.array([0, 1, 127, 128, 255, 16383, 16384, 2**21, 2**31], np.int64)
     packed, _ = decontaminate.pack_gaps(gap)

@@ -174,13 +174,14 @@ def posting_lists(terms: pd.DataFrame) -> np.ndarray:
     return (np.repeat(terms["term"].to_numpy(np.int64), count) << TERM_SHIFT) | (total - np.repeat(before, count))
 
 
-def intersect(lists: np.ndarray, table: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase number, position at which it begins) of every match.
+def intersect(lists: np.ndarray, table: np.ndarray, slop: int = 0, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase number, position at which it begins, position of its rarest term) of every match.
 
     table: a phrase's terms by row, -1 past its end.  Every phrase starts from
     the list of its rarest term, less that term's offset; each next rarest term
     keeps the starts that its own offset-adjusted list holds too.  With slop, a
-    term may lie up to that many words off its place (proximity matches)."""
+    term may lie up to that many words off its place (proximity matches), but not
+    outside the document, one of those that end at ``ends``, of the rarest term."""
     terms = np.where(table < 0, 0, table)
     begin = np.searchsorted(lists, terms << TERM_SHIFT)
     count = np.where(table < 0, np.iinfo(np.int64).max, np.searchsorted(lists, (terms + 1) << TERM_SHIFT) - begin)
@@ -189,20 +190,27 @@ def intersect(lists: np.ndarray, table: np.ndarray, slop: int = 0) -> tuple[np.n
     size = np.where(table.max(1, initial=-1) < 0, 0, count[pick])
     phrase = np.repeat(np.arange(len(table)), size)
     first = np.repeat(begin[pick] - (np.cumsum(size) - size), size) + np.arange(len(phrase))
-    start = (lists[first] & ((1 << TERM_SHIFT) - 1)) - rank[phrase, 0] if len(first) else np.zeros(0, np.int64)
-    phrase, start = phrase[start >= 0], start[start >= 0]
+    rarest = lists[first] & ((1 << TERM_SHIFT) - 1) if len(first) else np.zeros(0, np.int64)
+    start = rarest - rank[phrase, 0]
+    if not slop:  # with slop, the rarest term may stand left of its place
+        phrase, start, rarest = phrase[start >= 0], start[start >= 0], rarest[start >= 0]
     for k in range(1, table.shape[1]):
         if not len(start):
             break
         offset = rank[phrase, k]
         term = table[phrase, offset]
         want = (term << TERM_SHIFT) + start + offset
-        at = np.searchsorted(lists, np.maximum(want - slop, term << TERM_SHIFT))
-        hit = (at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] <= want + slop)
+        low, high = np.maximum(want - slop, term << TERM_SHIFT), want + slop
+        if slop and ends is not None:
+            d = np.searchsorted(ends, rarest, "right")
+            low = np.maximum(low, (term << TERM_SHIFT) + np.where(d > 0, ends[d - 1], 0))
+            high = np.minimum(high, (term << TERM_SHIFT) + ends[d] - 1)
+        at = np.searchsorted(lists, low)
+        hit = (at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] <= high)
         hit &= lists[np.minimum(at, len(lists) - 1)] >> TERM_SHIFT == term
         hit |= term < 0
-        phrase, start = phrase[hit], start[hit]
-    return phrase, start
+        phrase, start, rarest = phrase[hit], start[hit], rarest[hit]
+    return phrase, start, rarest
 
 
 def segment_matches(pdf: pd.DataFrame, phrases: Phrases, slop: int = 0) -> tuple[pd.DataFrame, list[tuple[int, int, int, int]]]:
@@ -219,10 +227,15 @@ def segment_matches(pdf: pd.DataFrame, phrases: Phrases, slop: int = 0) -> tuple
     lists = posting_lists(pdf[pdf["term"] >= 0])
     if not len(lists) or not len(phrases.windows):
         return docs, []
-    window, at = intersect(lists, phrases.table, slop)
+    window, at, rarest = intersect(lists, phrases.table, slop, ends)
     length = phrases.lengths[window]
-    d = np.minimum(np.searchsorted(ends, at, "right"), n_docs - 1)
-    good = (at >= begins[d]) & (at + length <= ends[d])
+    if slop:  # the postings were held to their document; the nominal place may reach over its edges
+        d = np.searchsorted(ends, rarest, "right")
+        at = np.maximum(at, begins[d])
+        good = np.ones(len(at), bool)
+    else:
+        d = np.minimum(np.searchsorted(ends, at, "right"), n_docs - 1)
+        good = (at >= begins[d]) & (at + length <= ends[d])
     return docs, list(zip(d[good].tolist(), (at - begins[d])[good].tolist(), length[good].tolist(), window[good].tolist(), strict=True))
 
 
