@@ -454,3 +454,64 @@ def test_windows_find_the_article_without_its_tag():
         page = f"<body><nav><a href='/'>{prose(4)}</a></nav><article><h1>{prose(6)}</h1><p>{prose(60)}</p>{parts}</article><div class='ad'>{prose(20)}</div><footer>{prose(9)}</footer></body>"
         marked = html.main_text(page)
         assert marked and html.main_text(page.replace("article>", "div>")) == marked, k
+
+
+def test_own_class_names_of_an_article_keep_its_text():
+    page = "<article><h1>Head</h1><p class='social-science'>One words here.</p><p class='alert'>Two note.</p><p>Main words here.</p><div class='related-work'><h2>Related</h2><p>x y</p></div>{}<p>End.</p></article>"
+    want = "Head One words here. Two note. Main words here. Related x y End."
+    assert html.main_text(page.format("")) == want
+    for other in ("<div class='cookie-notice'>We use cookies</div>", "<div id='adBanner'>buy</div>", "<div class='related'><a href='/'>other story</a></div>", "<div hidden>no</div>"):
+        assert html.main_text(page.format(other)) == want, other
+    assert html.main_text("<div class='overlay'><p>all of the page</p></div>") == "all of the page"
+
+
+def test_windows_decide_on_marked_pages():
+    """Against the rule as it is written: each marked element whose windows
+    surge, from its first line with weight to its last."""
+    rng = np.random.default_rng(14)
+    for k in range(200):
+        elements, want, plain = [], [], []
+        for _ in range(int(rng.integers(1, 4))):
+            lines = []
+            for _ in range(int(rng.integers(1, 12))):
+                link = bool(rng.random() < 0.5)
+                lines.append((link, " ".join(rng.choice(LINE.split(), int(rng.integers(1, 9))))))
+            weight = [len(t) for _, t in lines]
+            for i in range(len(lines)):  # a line of links in a run of three or more
+                lo = hi = i
+                while lo > 0 and lines[lo - 1][0]:
+                    lo -= 1
+                while hi + 1 < len(lines) and lines[hi + 1][0]:
+                    hi += 1
+                if lines[i][0] and hi - lo + 1 >= 3:
+                    weight[i] = 0
+            if not any(weight):
+                weight = [len(t) for _, t in lines]
+            surge = any(sum(weight[i : i + 3]) >= 80 and weight[i] for i in range(len(lines)))
+            heavy = [i for i, w in enumerate(weight) if w]
+            want.append((surge, [t for _, t in lines[heavy[0] : heavy[-1] + 1]]))
+            plain.append(sum(len(t) for link, t in lines if not link))
+            elements.append("<article>" + "".join(f"<p><a href='/'>{t}</a></p>" if link else f"<p>{t}</p>" for link, t in lines) + "</article>")
+        if not sum(plain):
+            continue
+        kept = [t for s, own in want if s or not any(x for x, _ in want) for t in own]
+        assert html.main_text("<body>" + "<p>outside</p>".join(elements) + "</body>") == " ".join(kept), k
+
+
+def test_repeated_and_broken_pages(spark):
+    page = "<article><p>some text</p><p>more</p></article>"
+    data = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, page[:-4], "x"), (2, "u", "<p>" * 3000 + "deep" + "</p></b>" * 3000, "x")]
+    got = sorted(map(tuple, html.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, n_chars string")).collect()), key=str)
+    assert got == sorted([(1, "u", "some text more", 14)] * 2 + [(None, None, "some text more", 14), (2, "u", "deep", 4)], key=str)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b=\"x>y</a><p c='z>", "</b></i></div>", "<div>x", "<form>a", "<div class=ad>a", "<", "&", "<a ='", "<script>", "<!--", "<div><p>x</b>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    took = []
+    for size in (60_000, 480_000):
+        began = time.process_time()
+        html.main_text(piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)  # eight times the text; quadratic would be 64
