@@ -57,12 +57,12 @@ _VALUE = re.compile(r"[^\s>]*")
 _SPACES = re.compile(r"\s*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\bhidden\b""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 # Element and attribute names.
 BLOCKS = set("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu meta nav object ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul video audio canvas svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title".split())
+_CLOSE = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 EXCLUDED = set("nav header footer aside button select option dialog menu iframe object svg canvas audio video fieldset legend input label head search".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 MARKED = {"article", "main"}
@@ -80,17 +80,20 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr"
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """(start, end, name, is an end tag, attributes) of all markup; comments,
     declarations and raw elements have no name.  What never ends ends the page."""
-    low, at, size = page.translate(_LOWER), 0, len(page)
+    at, size = 0, len(page)
     never = {'"': False, "'": False}  # quotes that don't occur any more
     while True:
         a = page.find("<", at)
         if a < 0 or a + 1 >= size:
             return
         m = _PLAIN.match(page, a)
-        if m and low[m.start(2) : m.end(2)] not in RAW:
-            at = m.end()
-            yield a, at, low[m.start(2) : m.end(2)], m.end(1) > m.start(1), m[3]
-            continue
+        if m:
+            slash, name, attributes = m.groups()
+            name = name.lower()
+            if name not in RAW:
+                at = m.end()
+                yield a, at, name, slash == "/", attributes
+                continue
         c = page[a + 1]
         if c == "!" or c == "?":
             if page.startswith("<!--", a):
@@ -132,18 +135,18 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                     p = close + 1
                     continue
             p = _VALUE.match(page, p).end()
-        name = low[m.start() : m.end()]
+        name = m[0].lower()
         if e == size and page[-1] != ">":
             yield a, size, "", False, ""
             return
         if name in RAW and not end:
             p = e
             while True:  # the element's own end tag
-                p = low.find("</" + name, p)
-                if p < 0 or p + 2 + len(name) >= size:
+                close = _CLOSE[name].search(page, p)
+                if not close or close.end() >= size:
                     e = size
                     break
-                p += 2 + len(name)
+                p = close.end()
                 if page[p] in " \t\n\r\f/>":
                     e = page.find(">", p)
                     e = size if e < 0 else e + 1
