@@ -177,7 +177,7 @@ def test_decontamination(spark, docs, empty):
     assert rows(decontaminate.contamination(empty, bench)) == []
     assert rows(decontaminate.contamination(docs, bench.limit(0)).select("n_hit").distinct()) == [(0,)]
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
-    assert 95 not in kept and 5 in kept and None in kept
+    assert 95 not in kept and 5 in kept and None in kept  # the null text; a row without an id goes by its text
 
 
 def test_decontamination_in_blocks_of_items(spark, docs, monkeypatch):
@@ -187,6 +187,18 @@ def test_decontamination_in_blocks_of_items(spark, docs, monkeypatch):
     assert rows(decontaminate.contamination(docs, bench)) == whole
 
 
+def test_items_with_any_ids(spark, monkeypatch):
+    bench = spark.createDataFrame([("a,b", LINE), (None, LINE), (None, "exactly the same text"), ("a,b", "the lazy dog"), ("", "the lazy dog"), ("x", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, LINE), (1, LINE), (None, "exactly the same text"), (None, LINE), (2, "clean words alone"), (1, "clean words of an id that others have")], "doc_id long, text string")
+    digest = lambda *ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    n = len(tokens(LINE))
+    want = sorted([(1, n, n, 3, digest("", "a,b"), True)] * 2 + [(None, n, n, 3, digest("", "a,b"), True), (None, 4, 4, 1, digest(), True), (2, 3, 0, 0, digest(), False), (1, 8, 0, 0, digest(), False)], key=str)
+    assert rows(decontaminate.contamination(docs, bench)) == want
+    assert rows(decontaminate.drop_contaminated(docs, bench)) == [(1, "clean words of an id that others have"), (2, "clean words alone")]
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    assert rows(decontaminate.contamination(docs, bench)) == want
+
+
 def test_proximity_matches(spark):
     d = spark.createDataFrame([(1, "alpha then beta soon gamma"), (2, "gamma beta alpha"), (3, "alpha beta gamma")], "doc_id long, text string")
     b = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")

@@ -136,12 +136,15 @@ def task_key() -> int:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir;
-    only a session without one (a test's) gets a folder of its own."""
+    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir.
+    Only a local session may do without that setting, as in tests: its executors
+    are the driver."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not (spark.sparkContext.master or "").startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="veltrial-checkpoint-")

@@ -9,16 +9,21 @@ list of the next rarest term, until it is empty or all terms have agreed.
 
 Only the benchmark (the test set) is sent to every task, in blocks of at most
 BLOCK_ITEMS items and BLOCK_BYTES of text; more blocks mean more passes over the
-index, never a dropped item.
+index, never a dropped item.  For several blocks the documents are written once
+with a number each, by which the blocks' findings are brought together.  In a
+segment only the windows take part whose terms all occur in it.
 
 Defined cases: null or empty text has no words; an item without words never
-occurs; an item with fewer words than a window is one window; repeated rows and
-items stay rows of their own; documents with equal ids are not merged; empty
-tables give empty results or zero counts; other columns are ignored.
+occurs; an item with fewer words than a window is one window; repeated document
+rows stay rows of their own; documents with equal ids are not merged; items with
+equal ids are one item, and so are all items without an id: they are counted,
+but have no id in the digest; ids may hold any characters; empty tables give
+empty results or zero counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -28,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import TextBlock, released, rows_of, table, task_key, text_blocks, words
+from veltrial.llm.common import TextBlock, released, rows_of, shared_checkpoint, table, task_key, text_blocks, words
 
 WINDOW = 13
 #: A document is contaminated when at least one in this many of its words is hit.
 HIT_SHARE = 20
 SEGMENT_BYTES = 4 << 20
-BLOCK_ITEMS, BLOCK_BYTES = 50_000, 16 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 50_000, 4 << 20
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
@@ -48,7 +53,7 @@ class Phrases:
     """Windows of a block of benchmark items, over a vocabulary of word hashes."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.item_ids = [str(i) for i, _ in items]
+        self.item_ids = [None if i is None else str(i) for i, _ in items]
         hashes = []
         for _, text in items:
             block = next(text_blocks(pa.array([text], pa.string()), separator=b"\n"))
@@ -67,18 +72,28 @@ class Phrases:
                     self.owners.append(set())
                 self.owners[n].add(k)
         longest = max(map(len, self.windows), default=1)
-        self.table = np.full((len(self.windows), longest), -1, np.int64)
+        self.table = np.full((len(self.windows), longest), -1, np.int32)
         for n, w in enumerate(self.windows):
             self.table[n, : len(w)] = w
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
 
+    def possible(self, terms: np.ndarray) -> np.ndarray:
+        """Windows whose terms are all among these."""
+        has = np.zeros(len(self.vocabulary) + 1, bool)
+        has[terms] = True
+        has[-1] = True  # past a window's end
+        left = np.arange(len(self.table))
+        for k in range(self.table.shape[1]):
+            left = left[has[self.table[left, k]]]
+        return left
+
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
     """Blocks of items whose size is checked as they are read, one at a time."""
     part, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         part.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
+        size += len((r["text"] or "").encode())
         if len(part) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
             yield Phrases(part, window)
             part, size = [], 0
@@ -114,14 +129,14 @@ def _index(vocabulary: np.ndarray) -> Callable:
         segment = task_key()
         for batch in batches:
             for block in text_blocks(batch.column("text"), SEGMENT_BYTES, b"\n"):
-                ids = batch.column("doc_id").slice(block.lo, block.hi - block.lo)
-                yield _segment(segment, ids, block, vocabulary)
+                ids, keys = (batch.column(c).slice(block.lo, block.hi - block.lo) for c in ("doc_id", "key"))
+                yield _segment(segment, ids, keys, block, vocabulary)
                 segment += 1
 
     return run
 
 
-def _segment(segment: int, ids: pa.Array, block: TextBlock, vocabulary: np.ndarray) -> pa.RecordBatch:
+def _segment(segment: int, ids: pa.Array, keys: pa.Array, block: TextBlock, vocabulary: np.ndarray) -> pa.RecordBatch:
     begin, _, hashes = words(block, IS_WORD, FOLD)
     count = np.bincount(rows_of(begin, block.starts), minlength=len(ids)).astype(np.int64)
     rows = [(-1, len(ids), count.tobytes(), ids.cast(pa.int64()))]
@@ -135,11 +150,11 @@ def _segment(segment: int, ids: pa.Array, block: TextBlock, vocabulary: np.ndarr
         gap[first] = at[first]
         packed, begins = pack_gaps(gap)
         cut = np.append(begins[first], len(packed))
-        for k, (a, b) in enumerate(zip(first, [*first[1:], len(at)], strict=True)):
+        for k, (a, b) in enumerate(zip(first, [*first, len(at)][1:], strict=True)):
             rows.append((int(term[a]), b - a, packed[cut[k] : cut[k + 1]].tobytes(), None))
     doc_ids = rows[0][3]
     known = np.frombuffer(doc_ids.is_valid().cast(pa.uint8()).buffers()[1], np.uint8)[: len(ids)]
-    packed = np.concatenate([known.astype(np.int64), doc_ids.fill_null(0).to_numpy(zero_copy_only=False)]).tobytes()
+    packed = np.concatenate([known.astype(np.int64), doc_ids.fill_null(0).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False)]).tobytes()
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(rows), segment), pa.int64()),
@@ -154,8 +169,9 @@ def _segment(segment: int, ids: pa.Array, block: TextBlock, vocabulary: np.ndarr
 
 def positional_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """(segment, term, n, postings, doc_ids): term -1 is the segment's row of
-    word counts and document ids; positions count the words of the segment."""
-    return docs.select("doc_id", "text").mapInArrow(released(_index(vocabulary)), INDEX_SCHEMA)
+    word counts, document ids and keys; positions count the words of the segment."""
+    key = F.col("key") if "key" in docs.columns else F.lit(0).cast("long").alias("key")
+    return docs.select(F.col("doc_id").cast("long"), "text", key).mapInArrow(released(_index(vocabulary)), INDEX_SCHEMA)
 
 
 #: A posting is term << 32 | position: one sorted array holds all lists of a segment.
@@ -182,6 +198,7 @@ def intersect(lists: np.ndarray, table: np.ndarray, slop: int = 0, ends: np.ndar
     keeps the starts that its own offset-adjusted list holds too.  With slop, a
     term may lie up to that many words off its place (proximity matches), but not
     outside the document, one of those that end at ``ends``, of the rarest term."""
+    table = table.astype(np.int64)
     terms = np.where(table < 0, 0, table)
     begin = np.searchsorted(lists, terms << TERM_SHIFT)
     count = np.where(table < 0, np.iinfo(np.int64).max, np.searchsorted(lists, (terms + 1) << TERM_SHIFT) - begin)
@@ -214,20 +231,24 @@ def intersect(lists: np.ndarray, table: np.ndarray, slop: int = 0, ends: np.ndar
 
 
 def segment_matches(pdf: pd.DataFrame, phrases: Phrases, slop: int = 0) -> tuple[pd.DataFrame, list[tuple[int, int, int, int]]]:
-    """Per document ordinal: id and words; and (ordinal, first word, length, window) of each match."""
+    """Per document: key, id and words; and (document's place, first word, length, window) of each match."""
     head = pdf[pdf["term"] == -1].iloc[0]
     n_docs = int(head["n"])
     count = np.frombuffer(head["postings"], np.int64)
     packed = np.frombuffer(head["doc_ids"], np.int64)
-    known, ids = packed[:n_docs].astype(bool), packed[n_docs:]
-    docs = pd.DataFrame({"ordinal": np.arange(n_docs), "doc_id": pd.array(np.where(known, ids, 0), "Int64").copy(), "n_words": count})
+    known, ids, keys = packed[:n_docs].astype(bool), packed[n_docs : 2 * n_docs], packed[2 * n_docs :]
+    docs = pd.DataFrame({"key": keys, "doc_id": pd.array(np.where(known, ids, 0), "Int64").copy(), "n_words": count})
     docs.loc[~known, "doc_id"] = pd.NA
     ends = np.cumsum(count)
     begins = ends - count
     lists = posting_lists(pdf[pdf["term"] >= 0])
     if not len(lists) or not len(phrases.windows):
         return docs, []
-    window, at, rarest = intersect(lists, phrases.table, slop, ends)
+    possible = phrases.possible(pdf["term"].to_numpy()[pdf["term"].to_numpy() >= 0])
+    if not len(possible):
+        return docs, []
+    window, at, rarest = intersect(lists, phrases.table[possible], slop, ends)
+    window = possible[window]
     length = phrases.lengths[window]
     if slop:  # the postings were held to their document; the nominal place may reach over its edges
         d = np.searchsorted(ends, rarest, "right")
@@ -239,24 +260,23 @@ def segment_matches(pdf: pd.DataFrame, phrases: Phrases, slop: int = 0) -> tuple
     return docs, list(zip(d[good].tolist(), (at - begins[d])[good].tolist(), length[good].tolist(), window[good].tolist(), strict=True))
 
 
-HIT_SCHEMA = "segment long, ordinal long, doc_id long, n_words long, hits binary, items string"
+HIT_SCHEMA = "key long, doc_id long, n_words long, hits binary, items array<string>"
 
 
 def _hits(phrases: Phrases) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         docs, found = segment_matches(pdf, phrases)
         hits: dict[int, np.ndarray] = {}
-        items: dict[int, set[str]] = {}
+        items: dict[int, set[str | None]] = {}
         for d, p, n, w in found:
             if d not in hits:
                 hits[d] = np.zeros(int(docs["n_words"].iloc[d]), bool)
                 items[d] = set()
             hits[d][p : p + n] = True
             items[d].update(phrases.item_ids[k] for k in phrases.owners[w])
-        docs["segment"] = pdf["segment"].iloc[0]
-        docs["hits"] = [np.flatnonzero(hits[d]).astype(np.int64).tobytes() if d in hits else b"" for d in docs["ordinal"]]
-        docs["items"] = [",".join(sorted(items[d])) if d in items else "" for d in docs["ordinal"]]
-        return docs[["segment", "ordinal", "doc_id", "n_words", "hits", "items"]]
+        docs["hits"] = [np.flatnonzero(hits[d]).astype(np.int64).tobytes() if d in hits else b"" for d in range(len(docs))]
+        docs["items"] = [list(items.get(d, ())) for d in range(len(docs))]
+        return docs[["key", "doc_id", "n_words", "hits", "items"]]
 
     return run
 
@@ -267,9 +287,9 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hits, items in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
             blobs = [h for h in hits if h]
             n_hit.append(len(np.unique(np.frombuffer(b"".join(blobs), np.int64))) if blobs else 0)
-            ids = sorted({x for part in items if part for x in part.split(",")})
+            ids = {x for part in items for x in part}
             n_items.append(len(ids))
-            digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+            digest.append(hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest())
         words_ = batch.column("n_words").to_numpy()
         hit = np.array(n_hit, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -280,20 +300,15 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
-    found = []
-    for phrases in benchmark_blocks(benchmark, window):
-        found.append(positional_index(docs, phrases.vocabulary).groupBy("segment").applyInPandas(_hits(phrases), HIT_SCHEMA))
-    if not found:
-        empty = Phrases([], window)
-        found.append(positional_index(docs, empty.vocabulary).groupBy("segment").applyInPandas(_hits(empty), HIT_SCHEMA))
+    blocks = list(benchmark_blocks(benchmark, window)) or [Phrases([], window)]
+    if len(blocks) > 1:  # each block scans the documents: numbers that a scan made up could differ from the next one's
+        docs = shared_checkpoint(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
+    found = [positional_index(docs, b.vocabulary).groupBy("segment").applyInPandas(_hits(b), HIT_SCHEMA) for b in blocks]
     if len(found) == 1:
         rows = found[0].select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items"))
     else:
-        every = found[0]
-        for other in found[1:]:
-            every = every.unionByName(other)
-        rows = every.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-        rows = rows.select("doc_id", "n_words", "hits", "items")
+        every = functools.reduce(DataFrame.unionByName, found)
+        rows = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")).drop("key")
     return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -303,7 +318,7 @@ MATCH_SCHEMA = "doc_id long, item_id string, start long, words long"
 def _matches(phrases: Phrases, slop: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         docs, found = segment_matches(pdf, phrases, slop)
-        rows = [(docs["doc_id"].iloc[d], phrases.item_ids[k], p, n) for d, p, n, w in found for k in sorted(phrases.owners[w])]
+        rows = [(docs["doc_id"].iloc[d], phrases.item_ids[k], p, n) for d, p, n, w in found for k in sorted(phrases.owners[w])]  # an item without an id: null
         return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "words"])
 
     return run
@@ -319,9 +334,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows, all columns, whose id no contaminated row has; rows without an id stay."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Rows, all columns, that aren't contaminated.  Each row is judged by its own
+    text, with a null id or one that others have too; equal rows go together.
+    Null and empty texts stay; empty table: empty result."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    bad = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def _cores(bits: int) -> Callable:
         ranges = (h >> U64(64 - bits)).astype(np.int64)
         cut = np.flatnonzero(np.diff(ranges, prepend=-1))
         rows = []
-        for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
+        for a, b in zip(cut, [*cut, len(h)][1:], strict=True):
             t = h[a:b] >> U64(64 - bits - 40)
             cells = np.bincount(((t >> U64(32)) & U64(255)).astype(np.int64), minlength=256).astype("<u4")
             rows.append((key[0].as_py(), int(ranges[a]), int(b - a), cells.tobytes() + (t & U64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(several[a:b]).tobytes()))
@@ -181,7 +181,7 @@ def _repeated(key: tuple, group: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     rows = [
         (names[bucket[a]], key[0].as_py(), int(b - a), np.ascontiguousarray(token[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
-        for a, b in zip(cut, [*cut[1:], len(token)], strict=True)
+        for a, b in zip(cut, [*cut, len(token)][1:], strict=True)
     ]
     return _table(rows, _CORES)
 
@@ -251,7 +251,7 @@ def _runs(bits: int, splitters: np.ndarray) -> Callable:
         part = np.searchsorted(splitters, np.ascontiguousarray(keys[edge, :CORE]).view(f"S{CORE}").ravel(), "right")
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         rows = []
-        for a, b in zip(cut, [*cut[1:], len(edge)], strict=True):
+        for a, b in zip(cut, [*cut, len(edge)][1:], strict=True):
             own = edge[a:b]
             common, rest = front_code(keys[own], length[own])
             lo, hi = edge[a], edge[b] if b < len(edge) else len(keys)
