@@ -7,15 +7,29 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veltrial.operators import clusters, guardrails, inference, panel, quality, regression, sequential, simulate, synthetic, targeting
+from veltrial.functions.special import t_two_sided
+from veltrial.operators import clusters, guardrails, inference, looks, panel, quality, regression, sequential, simulate, synthetic, targeting
 from veltrial.operators.heterogeneity import dml_effect, dr_learner, nuisances, r_learner, s_learner, t_learner, x_learner
+from veltrial.plans import report
 from veltrial.plans.warehouse import Warehouse
 from veltrial.sources import traffic
 
 
+def population(rng, n, rho=0.7):
+    """Metric before and after, N(100, 30) and N(105, 30), correlated."""
+    x = rng.normal(100, 30, n)
+    return x, 105 + rho * (x - 100) + rng.normal(0, 30 * np.sqrt(1 - rho * rho), n)
+
+
+def welch_p(a, b):
+    va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+    d = float(a.mean() - b.mean())
+    return d, math.sqrt(va + vb), t_two_sided(d / math.sqrt(va + vb), (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1)))
+
+
 def arms(spark, n=400, lift=2.0, seed=0):
     rng = np.random.default_rng(seed)
-    x, y = simulate.population(rng, n)
+    x, y = population(rng, n)
     t = np.arange(n) % 2
     pdf = pd.DataFrame({"experiment": "e", "variant": np.where(t == 1, "treatment", "control"), "x": x, "y": y + lift * t})
     return pdf, spark.createDataFrame(pdf)
@@ -34,7 +48,7 @@ def test_welch_and_cuped_identities(spark):
     pairs = inference.contrasts(df.groupBy("experiment", "variant").agg(*inference.moments("y", "x")))
     w = inference.power_columns(inference.with_test(inference.welch(pairs))).first()
     t, c = pdf[pdf.variant == "treatment"], pdf[pdf.variant == "control"]
-    e, se, p = simulate.welch_p(t.y.to_numpy(), c.y.to_numpy())
+    e, se, p = welch_p(t.y.to_numpy(), c.y.to_numpy())
     assert (w["effect"], w["std_error"], w["p_value"]) == pytest.approx((e, se, p))
     assert w["mde"] == pytest.approx(2.8015852 * se, rel=1e-6)
     q = inference.cuped(pairs).first()
@@ -121,19 +135,123 @@ def test_boundaries_spend_alpha():
         sequential.boundaries((0.5, 0.4, 1.0))
 
 
-def test_stopping_rules(spark):
-    t = simulate.stopping_trials(spark, 1500, seed=2).agg(*[F.avg(F.col(r).cast("double")).alias(r) for r in ("naive", "fixed", "sequential", "always_valid")]).first()
-    assert 0.11 < t["naive"] < 0.18 and 0.035 < t["fixed"] < 0.066 and 0.035 < t["sequential"] < 0.066 and t["always_valid"] < 0.02
+def test_an_arm_is_judged_by_its_own_looks(spark):
+    """A null arm beside one with an effect stays unrejected."""
+    data = [("e", v, k + 1, (k + 1) / 5, e, 1.0 / math.sqrt(k + 1)) for v, e in (("strong", 3.0), ("null", 0.05)) for k in range(5)]
+    rows = spark.createDataFrame(data, "experiment string, variant string, look int, info double, effect double, std_error double")
+    last = {r["variant"]: r for r in sequential.always_valid_path(rows, 2.0).where("look = 5").collect()}
+    assert last["strong"]["rejected"] and not last["null"]["rejected"] and last["null"]["always_valid_p"] > 0.5
+    stops = {r["variant"]: r["stopped"] for r in sequential.monitor(rows, sequential.design(spark, (0.2, 0.4, 0.6, 0.8, 1.0))).where("look = 5").collect()}
+    assert stops == {"strong": True, "null": False}
+
+
+def test_three_arms_through_the_looks(spark):
+    rng = np.random.default_rng(21)
+    data = []
+    for v, lift in (("control", 0.0), ("null", 0.0), ("strong", 25.0)):
+        for d in range(1, 11):
+            y = rng.normal(100 + lift, 30, 60)
+            data.append(("e", v, f"2024-01-{d:02d}", 60, float(y.sum()), float((y * y).sum()), 0.0, 0.0, 0.0))
+    daily = spark.createDataFrame(data, "experiment string, variant string, ds string, user_cnt long, post_sum double, post_sq_sum double, pre_sum double, pre_sq_sum double, pre_post_cross_sum double").withColumn("ds", F.to_date("ds"))
+    effects = report.look_effects(daily, 5)
+    last = {r["variant"]: r for r in sequential.always_valid_path(effects, 5.0).where("look = 5").collect()}
+    assert set(last) == {"null", "strong"} and last["strong"]["rejected"] and not last["null"]["rejected"]
+    assert looks.look_problems(looks.look_arms(daily, 5)).collect() == []
+    late = daily.where("variant <> 'null' OR ds > '2024-01-05'")
+    found = {r["problem"] for r in looks.look_problems(looks.look_arms(late, 5), spark.createDataFrame([("e", "control", 1)], "experiment string, variant string, n long")).collect()}
+    assert found == {"an arm has fewer than two units", "an arm has fewer than two clusters"}
+
+
+def test_design_helpers():
+    f = (0.2, 0.4, 0.6, 0.8, 1.0)
+    assert sequential.is_reliable(sequential.boundaries(f)) and not sequential.is_reliable((sequential.FAR,)) and not sequential.is_reliable(())
+    tau = sequential.optimal_tau(2.0, 0.05)
+    least = sequential.rejection_threshold(2.0, tau, 0.05)
+    assert all(least <= sequential.rejection_threshold(2.0, tau * k, 0.05) for k in (0.9, 0.99, 1.01, 1.1))
 
 
-def test_simulations_repeat_themselves(spark):
-    a, b = (simulate.aa_trials(spark, 60, 200, seed=4).orderBy("trial").collect() for _ in range(2))
-    assert a == b
-    r = simulate.wilson(simulate.aa_trials(spark, 300, 200, seed=4).withColumn("hit", F.col("p_value") < 0.05), "hit").first()
-    assert r["low"] < 0.05 < r["high"]
-    c = simulate.cluster_trials(spark, 100).agg(F.avg((F.col("user_p") < 0.05).cast("double")).alias("u"), F.avg((F.col("cluster_p") < 0.05).cast("double")).alias("c")).first()
-    assert c["u"] > 0.2 > c["c"]
-    assert simulate.ratio_trials(spark, 200, 300).agg(F.avg(F.col("rejects").cast("double"))).first()[0] < 0.12
+def test_calibration_over_users(spark):
+    rng = np.random.default_rng(5)
+    x, y = population(rng, 600)
+    rows = [(f"u{i}", "e", "any", f"c{i % 30}", f"2024-01-{1 + i % 10:02d}", float(a), float(b), 1 + i % 4) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    users = spark.createDataFrame(rows, "user_id string, experiment string, variant string, city string, expose_ds string, pre_metric double, post_metric double, post_cnt long").withColumn("expose_ds", F.to_date("expose_ds"))
+    salts = spark.createDataFrame([(f"s{i}",) for i in range(80)], "salt string")
+    got = {r["test"]: r for r in simulate.split_calibration(users, salts).collect()}
+    assert set(got) == {"plain", "adjusted", "ratio"} and all(r["trials"] == 80 and r["low"] < 0.05 < r["high"] and 0.75 < r["sd_z"] < 1.25 for r in got.values())
+    rules = {r["rule"]: r["rate"] for r in simulate.stopping_calibration(users, salts).collect()}
+    assert rules["naive"] >= rules["sequential"] and rules["naive"] >= rules["fixed"] and rules["always_valid"] <= 0.05
+    units = {r["unit"]: r["rate"] for r in simulate.cluster_calibration(users, salts).collect()}
+    assert set(units) == {"user", "cluster"}
+    path = simulate.convergence(simulate.rerandomise(users, salts).withColumn("hit", F.col("p_value") < 0.05), "hit", "salt").collect()
+    assert len(path) == 80 and path[-1]["rate"] == got["plain"]["rate"]
+
+
+def test_cross_fitted_theta_equals_row_by_row(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    y = x @ [1.0, -0.5] + rng.normal(size=300)
+    f = np.arange(300) % 4
+    df = spark.createDataFrame([("e", int(k), float(a), float(b), float(c)) for k, (a, b), c in zip(f, x, y, strict=True)], "experiment string, fold int, a double, b double, y double")
+    got = inference.cross_fitted_theta(inference.cross_sums(df, ["experiment", "fold"], {c: F.col(c) for c in "aby"}), ["a", "b"]).first()
+    z = np.empty(300)
+    for k in range(4):
+        other = f != k
+        c = np.cov(np.c_[x[other], y[other]].T, ddof=0)
+        z[f == k] = y[f == k] - (x[f == k] - x.mean(0)) @ np.linalg.solve(c[:2, :2], c[:2, 2])
+    assert got["adjusted_variance"] == pytest.approx(z.var()) and got["variance_reduction"] == pytest.approx(1 - z.var() / y.var())
+
+
+def test_weighted_quantile_equals_sorting(spark):
+    rng = np.random.default_rng(7)
+    v, w = rng.integers(0, 50, 400).astype(float), rng.random(400)
+    df = spark.createDataFrame([(int(i % 2), float(a), float(b)) for i, (a, b) in enumerate(zip(v, w, strict=True))], "k int, v double, w double")
+    for level in (0.05, 0.5, 0.9, 1.0):
+        got = {r["k"]: r["quantile"] for r in targeting.weighted_quantile(df, ["k"], "v", "w", level, chunks=8).collect()}
+        for k in (0, 1):
+            own = np.arange(400) % 2 == k
+            order = np.argsort(v[own], kind="stable")
+            share = np.cumsum(w[own][order]) / w[own].sum()
+            assert got[k] == v[own][order][np.flatnonzero(share >= level - 1e-12)[0]]
+
+
+def test_a_saturated_regression_gives_the_contrasts(spark):
+    _, df = staggered(spark)
+    m = panel.moments(df)
+    want_k, want = panel.sun_abraham(m, "never_treated")
+    got_k, got = panel.sun_abraham_regression(m)
+    assert got.effect == pytest.approx(want.effect) and panel.std_error(got, m) == pytest.approx(panel.std_error(want, m))
+    assert {k: f.effect for k, f in got_k.items()} == pytest.approx({k: f.effect for k, f in want_k.items()})
+    last_k, _ = panel.sun_abraham_regression(m, base="last")
+    assert last_k[0].effect == pytest.approx(2.0, abs=0.5)
+    short, _ = panel.sun_abraham_regression(m, min_k=-2, max_k=3)
+    assert set(short) == {-2, 0, 1, 2, 3}  # cells without a dummy serve as controls, so the effect shrinks
+    assert 0 < short[0].effect < last_k[0].effect
+
+
+def test_imputation_equals_two_way_regression(spark):
+    pdf, df = staggered(spark, n=60)
+    m = panel.moments(df)
+    got = panel.imputation_effects(m)
+    free = pdf["cohort"].isna() | (pdf["period"] < pdf["cohort"])
+    units, periods = pd.get_dummies(pdf["unit"]).to_numpy(float), pd.get_dummies(pdf["period"]).to_numpy(float)
+    design = np.c_[units, periods]
+    beta = np.linalg.pinv(design[free.to_numpy()]) @ pdf["outcome"].to_numpy()[free.to_numpy()]
+    gap = pdf["outcome"].to_numpy() - design @ beta
+    k = (pdf["period"] - pdf["cohort"]).to_numpy()
+    for lag, f in got.items():
+        assert f.effect == pytest.approx(gap[k == lag].mean()) and panel.std_error(f, m) > 0
+
+
+def test_traffic_helpers(spark):
+    log = spark.createDataFrame([("e", "a", f"u{i}", f"2024-01-01 00:00:{i % 60:02d}") for i in range(2000)], "experiment string, variant string, user_id string, ts string").withColumn("ts", F.to_timestamp("ts")).withColumn("ds", F.to_date("ts"))
+    again = traffic.repeat_exposures(log, 0.1, 30)
+    assert 2120 < again.count() < 2280
+    late = again.groupBy("user_id").agg(F.count("*").alias("n"), (F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))).alias("gap")).where("n > 1")
+    assert {r["gap"] for r in late.select("gap").distinct().collect()} == {1800}
+    assert traffic.users_of_both(log, log.limit(3)).count() == 3
+    ev = spark.createDataFrame([("u", "2024-01-02", 1.0), ("u", "2024-01-05", 3.0), ("v", "2024-01-03", 2.0)], "user_id string, ds string, x double").withColumn("ds", F.to_date("ds"))
+    assert sorted(str(r["first_ds"]) for r in traffic.first_seen(ev).collect()) == ["2024-01-02", "2024-01-02", "2024-01-03"]
+    assert {(r["x"], r["above"]) for r in traffic.split_by_median(ev.withColumn("g", F.lit(1)), "x", ["g"]).collect()} == {(1.0, False), (2.0, False), (3.0, True)}
 
 
 def staggered(spark, n=240, t=8, effect=2.0, seed=0):

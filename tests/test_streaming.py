@@ -41,12 +41,15 @@ def test_request_counts(spark, tmp_path):
 
 
 def test_always_valid_state(spark, tmp_path):
-    rows = [("e", k + 1, e, 1.0) for k, e in enumerate((0.5, 4.0, 1.0))]
-    s = stream(spark, tmp_path / "l", rows, "experiment string, look int, effect double, std_error double")
-    got = sorted(drain(monitor.always_valid_monitor(s, tau=2.0), "valid", "append"), key=lambda r: r["look"])
+    schema = "experiment string, variant string, look int, effect double, std_error double"
+    rows = [("e", "a", k + 1, e, 1.0) for k, e in enumerate((0.5, 4.0, 1.0))]
+    s = stream(spark, tmp_path / "l", rows + [("e", "null", k + 1, 0.1, 1.0) for k in range(3)], schema)
+    every = sorted(drain(monitor.always_valid_monitor(s, tau=2.0), "valid", "append"), key=lambda r: r["look"])
+    assert not any(r["rejected"] for r in every if r["variant"] == "null")
+    got = [r for r in every if r["variant"] == "a"]
     p = [r["always_valid_p"] for r in got]
     assert p == sorted(p, reverse=True) and p[1] == p[2] and got[2]["rejected"]
     from veltrial.operators.sequential import always_valid_path
 
-    batch = always_valid_path(spark.createDataFrame(rows, "experiment string, look int, effect double, std_error double"), 2.0).orderBy("look")
+    batch = always_valid_path(spark.createDataFrame(rows, schema), 2.0).orderBy("look")
     assert [r[0] for r in batch.select(F.round("always_valid_p", 10)).collect()] == [round(x, 10) for x in p]

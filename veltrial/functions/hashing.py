@@ -63,5 +63,8 @@ def murmur3_strings(values: pd.Series, seed: int = 0) -> np.ndarray:
 def murmur3_32(column: Column | str, seed: int = 0) -> Column:
     """Unsigned 32-bit hash as a long; NULL stays NULL."""
     column = F.col(column) if isinstance(column, str) else column
-    hashed = F.pandas_udf(lambda values: pd.Series(murmur3_strings(values, seed)), "long", F.PandasUDFType.SCALAR)(column)
-    return F.when(column.isNotNull(), hashed)
+
+    def batch(values: pd.Series) -> pd.Series:
+        return pd.Series(murmur3_strings(values, seed))
+
+    return F.when(column.isNotNull(), F.pandas_udf(batch, "long")(column))

@@ -113,12 +113,21 @@ def layer_position(layer: Layer, unit: Column | str) -> Column:
     return F.pmod(_hash(f"{layer.salt or layer.name}:", unit), F.lit(layer.buckets))
 
 
+#: Slots that are looked up by a chain of conditions; more are joined.
+CHAIN_SLOTS = 16
+
+
 def route(units: DataFrame, layer: Layer, unit: str = "user_id") -> DataFrame:
     """Adds the layer position and the experiment that owns it (NULL: none)."""
-    owner = F.lit(None).cast("string")
-    for s in layer.slots:
-        owner = F.when((F.col("layer_position") >= s.start) & (F.col("layer_position") < s.end), s.experiment).otherwise(owner)
-    return units.withColumn("layer_position", layer_position(layer, unit)).withColumn("experiment", owner)
+    placed = units.withColumn("layer_position", layer_position(layer, unit))
+    if len(layer.slots) <= CHAIN_SLOTS:
+        owner = F.lit(None).cast("string")
+        for s in layer.slots:
+            owner = F.when((F.col("layer_position") >= s.start) & (F.col("layer_position") < s.end), s.experiment).otherwise(owner)
+        return placed.withColumn("experiment", owner)
+    # a row for each owned position: at most the layer's buckets, declared in code
+    owned = units.sparkSession.createDataFrame([(p, s.experiment) for s in layer.slots for p in range(s.start, s.end)], "layer_position long, experiment string")
+    return placed.join(F.broadcast(owned), "layer_position", "left").select(*placed.columns, "experiment")
 
 
 def enrolled(experiment: Experiment, unit: Column | str) -> Column:

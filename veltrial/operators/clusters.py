@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.operators.inference import contrasts, moments, welch
+from veltrial.operators.inference import contrasts, cuped, moments, welch
 
 
 def cluster_totals(daily: DataFrame) -> DataFrame:
@@ -31,6 +31,17 @@ def cluster_means(totals: DataFrame) -> DataFrame:
     return totals.groupBy("experiment", "variant").agg(*moments(F.col("sum_y") / F.col("n"), F.col("sum_x") / F.col("n")))
 
 
+def cluster_cuped(totals: DataFrame, control: str = "control") -> DataFrame:
+    """Adjustment over cluster means, each cluster counting once."""
+    return cuped(contrasts(cluster_means(totals), control))
+
+
+def pass_through(users: DataFrame, prefix: str = "") -> DataFrame:
+    """Clusters and users of each experiment whose name begins with ``prefix``."""
+    known = users.where(F.col("experiment").startswith(prefix) & F.col("city").isNotNull())
+    return known.groupBy("experiment").agg(F.countDistinct("city").alias("clusters"), F.countDistinct("user_id").alias("users"))
+
+
 def cluster_counts(totals: DataFrame) -> DataFrame:
     return totals.groupBy("experiment", "variant").agg(F.countDistinct("cluster_id").alias("n"))
 

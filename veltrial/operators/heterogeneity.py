@@ -41,10 +41,10 @@ def cross_fit(frame: DataFrame, label: str, out: str, features: list[str], n_fol
     return whole
 
 
-def nuisances(frame: DataFrame, *, y: str, d: str, features: list[str], id_column: str, n_folds: int = 5, learner=None, clip: float = 0.02, seed: int = 0) -> DataFrame:
-    """Adds mu1, mu0, mu and propensity, all cross-fitted."""
+def nuisances(frame: DataFrame, *, y: str, d: str, features: list[str], id_column: str, n_folds: int = 5, learner=None, clip: float = 0.02, seed: int = 0, fold: Column | None = None) -> DataFrame:
+    """Adds mu1, mu0, mu and propensity, all cross-fitted; ``fold`` (0 to n_folds - 1) in the hash's place."""
     learner = learner or forest_learner(seed)
-    out = folds(frame, id_column, n_folds, seed)
+    out = folds(frame, id_column, n_folds, seed) if fold is None else frame.withColumn("fold", fold.cast("int"))
     out = cross_fit(out, y, "mu", features, n_folds, learner)
     out = cross_fit(out, d, "propensity", features, n_folds, learner)
     out = cross_fit(out, y, "mu1", features, n_folds, learner, F.col(d) == 1)

@@ -215,6 +215,50 @@ def multivariate_theta(sums: DataFrame, covariates: list[str], ridge: float = 0.
     return sums.groupBy("experiment").applyInPandas(solve, schema)
 
 
+def ratio_gap(units: DataFrame, other: DataFrame) -> DataFrame:
+    """How far the difference of mean unit ratios lies from another estimand's:
+    units: arms table of ``unit_ratio``; other: experiment, variant, effect."""
+    own = welch(contrasts(units.drop("without_x")))
+    gap = F.col("unit_effect") - F.col("effect")
+    both = own.select("experiment", "variant", F.col("effect").alias("unit_effect")).join(other.select("experiment", "variant", "effect"), ["experiment", "variant"])
+    return both.select("experiment", "variant", "unit_effect", "effect", gap.alias("gap"), F.try_divide(gap, F.abs("effect")).alias("relative_gap"))
+
+
+def cross_fitted_theta(sums: DataFrame, covariates: list[str], ridge: float = 0.0) -> DataFrame:
+    """Per experiment: the variance reduction of theta that is fitted, for each
+    fold, to the other folds.  sums: ``cross_sums`` by experiment and fold; the
+    other folds are the total less the fold, so no row is read again."""
+    import numpy as np
+    import pandas as pd
+
+    names = [*covariates, "y"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(float)
+        total = pdf[[f"sum_{a}" for a in names]].to_numpy(float)
+        cross = np.zeros((len(pdf), len(names), len(names)))
+        for a, b in pairs:
+            i, j = names.index(a), names.index(b)
+            cross[:, i, j] = cross[:, j, i] = pdf[f"sum_{a}_{b}"].to_numpy(float)
+        mean = total.sum(0) / n.sum()
+        s1 = s2 = 0.0  # sums of the adjusted metric and its square
+        for k in range(len(pdf)):
+            rest_n, rest = n.sum() - n[k], total.sum(0) - total[k]
+            cov = (cross.sum(0) - cross[k]) / rest_n - np.outer(rest, rest) / rest_n**2
+            v = np.append(-np.linalg.solve(cov[:-1, :-1] + ridge * np.eye(len(covariates)), cov[:-1, -1]), 1.0)
+            shift = float(v[:-1] @ mean[:-1])  # y - theta (x - mean of x)
+            one = float(v @ total[k])
+            s1 += one - n[k] * shift
+            s2 += float(v @ cross[k] @ v) - 2 * shift * one + n[k] * shift**2
+        size = n.sum()
+        var_y = cross[:, -1, -1].sum() / size - mean[-1] ** 2
+        left = s2 / size - (s1 / size) ** 2
+        return pd.DataFrame([[pdf["experiment"].iloc[0], len(pdf), left, 1 - left / var_y if var_y > 0 else 0.0]], columns=["experiment", "folds", "adjusted_variance", "variance_reduction"])
+
+    return sums.groupBy("experiment").applyInPandas(solve, "experiment string, folds int, adjusted_variance double, variance_reduction double")
+
+
 def cross_sums(frame: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
     """n, sum_<a> and sum_<a>_<b> for all a <= b, in one pass."""
     names = list(columns)
@@ -234,6 +278,12 @@ def srm(counts: DataFrame, alpha: float = SRM_ALPHA) -> DataFrame:
     return rows.withColumn("p_value", p).withColumn("status", F.when(F.col("units") == 0, "fail").when(F.col("p_value").isNull(), "warn").when(F.col("p_value") < alpha, "fail").otherwise("pass"))
 
 
+def srm_from_weights(counts: DataFrame) -> DataFrame:
+    """For weights that nobody declared: shares as they are, ``info``, never a test."""
+    w = Window.partitionBy("experiment")
+    return counts.select("experiment", "variant", "n", F.try_divide("n", F.sum("n").over(w)).alias("share"), F.lit("info").alias("status"))
+
+
 def power_columns(rows: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
     """Adds the minimum detectable effect and the power at the seen effect."""
     z = normal_ppf(1 - alpha / 2)

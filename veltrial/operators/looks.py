@@ -45,7 +45,7 @@ def look_arms(daily: DataFrame, n_looks: int, sums: dict[str, str] | None = None
     """Arms tables of the picked looks: experiment, variant, look, info and sums up to it."""
     run = cumulative(daily, sums=sums)
     picks = pick_looks(information(run, by), n_looks)
-    return run.join(F.broadcast(picks), ["experiment", "ds"])  # n_looks rows an experiment
+    return run.join(picks, ["experiment", "ds"])  # n_looks rows an experiment: AQE broadcasts them while they are few
 
 
 def cluster_looks(daily: DataFrame, n_looks: int) -> DataFrame:
@@ -55,7 +55,7 @@ def cluster_looks(daily: DataFrame, n_looks: int) -> DataFrame:
     seen = run.groupBy("experiment", "variant", "ds").agg(F.count("*").alias("clusters"))
     per_day = seen.groupBy("experiment", "ds").agg(F.sum("clusters").alias("c"), F.min("clusters").alias("least"), F.count("*").alias("arms"))
     fit = per_day.where("least >= 2 AND arms >= 2").withColumn("info", F.col("c") / F.max("c").over(Window.partitionBy("experiment"))).select("experiment", "ds", "info")
-    return run.join(F.broadcast(pick_looks(fit, n_looks)), ["experiment", "ds"])
+    return run.join(pick_looks(fit, n_looks), ["experiment", "ds"])
 
 
 def clusters_agree(clusters: DataFrame, arms: DataFrame, tol: float = 1e-6) -> DataFrame:
@@ -75,3 +75,21 @@ def nested_prefixes(users: DataFrame, n_looks: int, *, id_column: str = "user_id
     cells = ranked.groupBy("experiment", "variant", "look").agg(*moments("post_metric", "pre_metric"))
     run = Window.partitionBy("experiment", "variant").orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
     return cells.select("experiment", "variant", "look", *[F.sum(c).over(run).alias(c) for c in ("n", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy")])
+
+
+def look_problems(arms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(experiment, problem): why looks can't be judged.  arms: rows of
+    ``look_arms``; clusters: experiment, variant, n clusters (cluster designs)."""
+    looks = arms.groupBy("experiment", "look").agg(F.min("info").alias("info"), F.min("n").alias("least"), F.countDistinct("variant").alias("arms"))
+    w = Window.partitionBy("experiment").orderBy("look")
+    steps = looks.withColumn("before", F.lag("info").over(w)).withColumn("most_arms", F.max("arms").over(Window.partitionBy("experiment")))
+    found = steps.groupBy("experiment").agg(
+        F.max((F.col("info") <= F.col("before")).cast("int")).alias("information does not rise"), (F.abs(F.max("info") - 1) > 1e-9).cast("int").alias("the last look is not at full information"),
+        F.max((F.col("least") < 2).cast("int")).alias("an arm has fewer than two units"), F.max((F.col("arms") < F.greatest(F.col("most_arms"), F.lit(2))).cast("int")).alias("an arm is missing from a look"),
+    )
+    if clusters is not None:
+        few = clusters.groupBy("experiment").agg(F.max((F.col("n") < 2).cast("int")).alias("an arm has fewer than two clusters"))
+        found = found.join(few, "experiment", "left")
+    names = [c for c in found.columns if c != "experiment"]
+    rows = found.select("experiment", F.explode(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in names])).alias("problem"))
+    return rows.where("problem IS NOT NULL")

@@ -11,8 +11,8 @@ effects, influence-function variances and joint tests follow from these sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -215,6 +215,58 @@ def imputation(m: Moments) -> dict[int, tuple[float, int]]:
     return {k: (sum(e * n for e, n in v) / sum(n for _, n in v), sum(n for _, n in v)) for k, v in sorted(out.items())}
 
 
+def linear_functional(m: Moments, effect: Callable[[dict[int, np.ndarray]], float]) -> Functional:
+    """The functional of an effect that is linear in the cohorts' means, read off
+    by unit vectors; a unit's influence is its gap to its cohort's mean."""
+    zero = {c: np.zeros(m.periods) for c in m.n}
+    slope = {}
+    for c in m.n:
+        a = np.array([effect(zero | {c: e}) for e in np.eye(m.periods)])
+        slope[c] = m.units / m.n[c] * a
+    return Functional(effect(m.mean), slope, {c: float(slope[c] @ m.mean[c]) for c in m.n})
+
+
+def imputation_effects(m: Moments) -> dict[int, Functional]:
+    """``imputation`` with the influence of every unit, by relative period."""
+    at = lambda k: lambda mean: imputation(replace(m, mean=mean))[k][0]
+    return {k: linear_functional(m, at(k)) for k in imputation(m)}
+
+
+def sun_abraham_regression(m: Moments, min_k: int | None = None, max_k: int | None = None, base: str = "never") -> tuple[dict[int, Functional], Functional]:
+    """Interaction-weighted effects by the saturated regression itself: unit and
+    period effects, and a dummy for each cohort and relative period but -1.
+    Without never-treated units (``base='last'``) the last cohort takes their
+    place, and its treated periods are left out.  Cells outside min_k..max_k have
+    no dummy.  Units of a cohort share a row of the design, so cohort means,
+    weighted by size, give the coefficients."""
+    cohorts = m.cohorts
+    control = NEVER if base == "never" else cohorts[-1]
+    if control not in m.n:
+        raise ValueError("no such base cohort")
+    periods = m.periods if base == "never" else control - 1
+    rows = [c for c in m.n if c == control or c in cohorts]
+    cells = [(g, t) for g in cohorts if g != control for t in range(1, periods + 1) if t - g != -1 and (min_k is None or t - g >= min_k) and (max_k is None or t - g <= max_k)]
+    design = np.zeros((len(rows) * periods, len(rows) + periods + len(cells)))
+    weight = np.zeros(len(design))
+    for i, c in enumerate(rows):
+        for t in range(1, periods + 1):
+            r = i * periods + t - 1
+            design[r, i] = design[r, len(rows) + t - 1] = 1
+            weight[r] = m.n[c]
+            if (c, t) in cells:
+                design[r, len(rows) + periods + cells.index((c, t))] = 1
+    root = np.sqrt(weight)
+    solve = np.linalg.pinv(design * root[:, None], rcond=1e-10) * root  # coefficients = solve @ stacked means
+    part = solve[len(rows) + periods :].reshape(len(cells), len(rows), periods)
+    by: dict[int, list[tuple[Functional, float]]] = {}
+    for j, (g, t) in enumerate(cells):
+        slope = {c: np.pad(part[j, i], (0, m.periods - periods)) for i, c in enumerate(rows)}
+        f = Functional(float(sum(a @ m.mean[c] for c, a in slope.items())), {c: m.units / m.n[c] * a for c, a in slope.items()}, {c: m.units / m.n[c] * float(a @ m.mean[c]) for c, a in slope.items()})
+        by.setdefault(t - g, []).append((f, m.n[g]))
+    post = [x for k, parts in by.items() if k >= 0 for x in parts]
+    return {k: _weighted(parts) for k, parts in sorted(by.items())}, _weighted(post)
+
+
 def _treatment_residual(m: Moments) -> dict[int, np.ndarray]:
     t = np.arange(1, m.periods + 1)
     d = {c: (t >= c).astype(float) for c in m.n}

@@ -2,7 +2,8 @@
 
 Boundaries depend on the plan of looks alone, so they are solved once on the
 driver and meet the data as a small table; everything about the data is columns
-over look rows (experiment, look, info, effect, std_error).
+over look rows (experiment, variant, look, info, effect, std_error).  Each arm is
+judged by its own looks; rows without a variant are one arm an experiment.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from veltrial.functions import distributions as dist
 from veltrial.functions.special import normal_cdf, normal_ppf
@@ -128,10 +130,21 @@ def design(spark: SparkSession, fractions: tuple[float, ...], alpha: float = 0.0
     return spark.createDataFrame([(k + 1, float(t), float(x), float(SPENDING[spending](t, alpha))) for k, (t, x) in enumerate(zip(fractions, b, strict=True))], "look int, info double, boundary double, spent double")
 
 
+def is_reliable(bounds: tuple[float, ...]) -> bool:
+    """Is the last bound finite and short of where the solver gives up?"""
+    return bool(bounds) and math.isfinite(bounds[-1]) and bounds[-1] < FAR
+
+
+def looks_so_far(looks: DataFrame) -> WindowSpec:
+    """The looks of one arm up to each."""
+    keys = [k for k in ("experiment", "variant") if k in looks.columns]
+    return Window.partitionBy(*keys).orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def monitor(looks: DataFrame, plan: DataFrame) -> DataFrame:
     """Crossings and repeated intervals of look rows against a design, by look number."""
     z = F.try_divide("effect", "std_error")
-    w = Window.partitionBy("experiment").orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
+    w = looks_so_far(looks)
     rows = looks.join(F.broadcast(plan.select("look", "boundary")), "look").withColumn("z", z).withColumn("crossed", F.coalesce(F.abs("z") >= F.col("boundary"), F.lit(False)))
     return (
         rows.withColumn("stopped", F.max("crossed").over(w))
@@ -154,8 +167,8 @@ def msprt_p(effect: Column, std_error: Column, tau: float | Column) -> Column:
 
 
 def always_valid_path(looks: DataFrame, tau: float, alpha: float = 0.05) -> DataFrame:
-    """Adds the statistic, its p-value and the running least p-value."""
-    w = Window.partitionBy("experiment").orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds the statistic, its p-value and the running least p-value of the arm."""
+    w = looks_so_far(looks)
     e, s = F.col("effect"), F.col("std_error")
     return looks.withColumn("lambda", msprt(e, s, tau)).withColumn("p", msprt_p(e, s, tau)).withColumn("always_valid_p", F.min("p").over(w)).withColumn("rejected", F.col("always_valid_p") <= alpha)
 
@@ -166,19 +179,13 @@ def rejection_threshold(std_error: float, tau: float, alpha: float) -> float:
 
 
 def optimal_tau(std_error: float, alpha: float = 0.05) -> float:
-    """tau of the least rejection threshold, by golden section over its logarithm."""
-    g = (math.sqrt(5) - 1) / 2
-    a, b = math.log(std_error * 1e-2), math.log(std_error * 1e2)
-    f = lambda x: rejection_threshold(std_error, math.exp(x), alpha)
-    c, d = b - g * (b - a), a + g * (b - a)
-    while b - a > 1e-10:
-        if f(c) < f(d):
-            b, d = d, c
-            c = b - g * (b - a)
-        else:
-            a, c = c, d
-            d = a + g * (b - a)
-    return math.exp(0.5 * (a + b))
+    """tau of the least rejection threshold.  With r = tau^2 / std_error^2 the
+    derivative is zero where r = 2 log(1 / alpha) + log(1 + r): Newton's steps."""
+    r = gap = 2 * math.log(1 / alpha)
+    while abs(gap) > 1e-14 * r:
+        gap = (r - 2 * math.log(1 / alpha) - math.log1p(r)) / (1 - 1 / (1 + r))
+        r -= gap
+    return std_error * math.sqrt(r)
 
 
 def choose_tau(*, std_error: float | None = None, target_effect: float | None = None, alpha: float = 0.05, rule: str = "threshold") -> float:

@@ -1,33 +1,17 @@
-"""Calibration by simulation: trials are rows, and Spark spreads them.
+"""Calibration on the warehouse's own users: each salt splits them anew, so every
+effect that is found is false.
 
-A trial draws from a generator seeded by its number, so a retried task repeats
-it exactly.  What comes back is one row a trial; rates and their intervals are
+The salts are a stated, short list; users x salts are summed map-side, and
+what comes back is one row a salt (and look).  Rates and their intervals are
 aggregates over those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.functions.special import normal_ppf, t_two_sided
-
-Trial = Callable[[np.random.Generator], dict]
-
-
-def trials(spark: SparkSession, n: int, trial: Trial, schema: str, seed: int = 0) -> DataFrame:
-    """trial number and what ``trial`` returns, for n trials."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([{"trial": int(i)} | trial(np.random.default_rng([seed, int(i)])) for i in pdf["id"]])
-
-    slices = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, n, 1, slices).mapInPandas(run, f"trial long, {schema}")
+from veltrial.functions.special import normal_ppf
 
 
 def wilson(rows: DataFrame, hit: str, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
@@ -40,91 +24,10 @@ def wilson(rows: DataFrame, hit: str, alpha: float = 0.05, by: tuple[str, ...] =
     return s.select(*by, "trials", "hits", p.alias("rate"), (centre - half).alias("low"), (centre + half).alias("high"))
 
 
-def welch_p(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """Difference of means, its error and p-value."""
-    va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
-    se = float(np.sqrt(va + vb))
-    df = (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1))
-    d = float(a.mean() - b.mean())
-    return d, se, t_two_sided(d / se, df)
-
-
-def population(rng: np.random.Generator, n: int, rho: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
-    """Metric before and after, N(100, 30) and N(105, 30), correlated."""
-    x = rng.normal(100, 30, n)
-    return x, 105 + rho * (x - 100) + rng.normal(0, 30 * np.sqrt(1 - rho * rho), n)
-
-
-def aa_trials(spark: SparkSession, n_trials: int = 500, n_users: int = 2000, lift: float = 0.0, seed: int = 0) -> DataFrame:
-    """p-values and effects of the plain and the covariate-adjusted test of one
-    random split; with a lift, power."""
-
-    def trial(rng: np.random.Generator) -> dict:
-        x, y = population(rng, n_users)
-        t = rng.random(n_users) < 0.5
-        y = y + lift * t
-        e, se, p = welch_p(y[t], y[~t])
-        theta = np.cov(x, y)[0, 1] / x.var(ddof=1)
-        adjusted = y - theta * (x - x.mean())
-        ea, sa, pa = welch_p(adjusted[t], adjusted[~t])
-        return {"effect": e, "std_error": se, "p_value": p, "adjusted_effect": ea, "adjusted_std_error": sa, "adjusted_p_value": pa}
-
-    return trials(spark, n_trials, trial, "effect double, std_error double, p_value double, adjusted_effect double, adjusted_std_error double, adjusted_p_value double", seed)
-
-
-def ratio_trials(spark: SparkSession, n_trials: int = 300, n_users: int = 1000, relative_lift: float = 0.0, seed: int = 0) -> DataFrame:
-    """Delta-method z of clicks per view, with skewed views."""
-
-    def trial(rng: np.random.Generator) -> dict:
-        views = rng.poisson(rng.lognormal(1.5, 0.8, n_users)) + 1
-        t = rng.random(n_users) < 0.5
-        clicks = rng.binomial(views, np.clip(rng.beta(2, 18, n_users) * (1 + relative_lift * t), 0, 1))
-
-        def arm(m: np.ndarray) -> tuple[float, float]:
-            y, x = clicks[m], views[m]
-            r, c = y.sum() / x.sum(), np.cov(y, x)
-            return r, max(c[0, 0] - 2 * r * c[0, 1] + r * r * c[1, 1], 0) / (m.sum() * x.mean() ** 2)
-
-        (rt, vt), (rc, vc) = arm(t), arm(~t)
-        z = float((rt - rc) / np.sqrt(vt + vc))
-        return {"z": z, "rejects": bool(abs(z) > normal_ppf(0.975))}
-
-    return trials(spark, n_trials, trial, "z double, rejects boolean", seed)
-
-
-def cluster_trials(spark: SparkSession, n_trials: int = 300, n_clusters: int = 40, size: int = 25, sd: float = 10.0, seed: int = 0) -> DataFrame:
-    """Clusters randomised, nothing to find: user-level and cluster-level p-values."""
-
-    def trial(rng: np.random.Generator) -> dict:
-        n = np.maximum(2, rng.lognormal(np.log(size), 0.5, n_clusters).astype(int))
-        t = rng.permutation(n_clusters) < n_clusters // 2
-        base = rng.normal(0, sd, n_clusters)
-        y = [100 + b + rng.normal(0, 30, k) for b, k in zip(base, n, strict=True)]
-        users = np.repeat(t, n)
-        flat, means = np.concatenate(y), np.array([v.mean() for v in y])
-        return {"user_p": welch_p(flat[users], flat[~users])[2], "cluster_p": welch_p(means[t], means[~t])[2]}
-
-    return trials(spark, n_trials, trial, "user_p double, cluster_p double", seed)
-
-
-def stopping_trials(spark: SparkSession, n_trials: int = 2000, n_looks: int = 5, effect: float = 0.0, se_final: float = 1.0, alpha: float = 0.05, tau: float | None = None, seed: int = 0) -> DataFrame:
-    """Which rules stop somewhere along one path of looks: naive, fixed, group
-    sequential, always-valid."""
-    from veltrial.operators.sequential import boundaries, optimal_tau
-
-    info = (np.arange(n_looks) + 1) / n_looks
-    bounds = np.array(boundaries(tuple(float(t) for t in info), alpha))
-    spread = tau or optimal_tau(se_final, alpha)
-    z_fixed = normal_ppf(1 - alpha / 2)
-
-    def trial(rng: np.random.Generator) -> dict:
-        z = np.cumsum(rng.normal(0, np.sqrt(1 / n_looks), n_looks)) / np.sqrt(info) + effect / se_final * np.sqrt(info)
-        v = se_final**2 / info
-        est = z * np.sqrt(v)
-        ratio = np.sqrt(v / (v + spread**2)) * np.exp(est**2 * spread**2 / (2 * v * (v + spread**2)))
-        return {"naive": bool((np.abs(z) > z_fixed).any()), "fixed": bool(abs(z[-1]) > z_fixed), "sequential": bool((np.abs(z) >= bounds).any()), "always_valid": bool((ratio >= 1 / alpha).any())}
-
-    return trials(spark, n_trials, trial, "naive boolean, fixed boolean, sequential boolean, always_valid boolean", seed)
+def convergence(rows: DataFrame, hit: str, order: str) -> DataFrame:
+    """Rate of a boolean over the first 1, 2, ... replicates (one row each)."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(F.row_number().over(w).alias("replicates"), F.avg(F.col(hit).cast("double")).over(w).alias("rate"))
 
 
 def hash_uniformity(units: DataFrame, salts: DataFrame, unit: str = "user_id", n_buckets: int = 100) -> DataFrame:
@@ -155,13 +58,89 @@ def ramp_is_nested(units: DataFrame, experiment, ratios: tuple[float, ...], unit
 
 
 def rerandomise(users: DataFrame, salts: DataFrame, *, unit: str = "user_id", y: str = "post_metric", x: str = "pre_metric") -> DataFrame:
-    """The same users split anew under each salt: plain and adjusted effects of
-    splits that did nothing."""
+    """The users of each experiment split anew under each salt: plain and
+    adjusted effects of splits that did nothing."""
     from veltrial.operators.assignment import BUCKETS, assign_salts
     from veltrial.operators.inference import contrasts, cuped, moments, welch, with_test
 
-    cells = assign_salts(users.select(unit), salts, unit).join(users.select(unit, y, x), unit)
+    cells = assign_salts(users.select(unit).distinct(), salts, unit).join(users.select("experiment", unit, y, x), unit)
     arm = F.when(F.col("bucket") < BUCKETS // 2, "control").otherwise("treatment")
-    pairs = contrasts(cells.groupBy(F.col("salt").alias("experiment"), arm.alias("variant")).agg(*moments(y, x)))
+    pairs = contrasts(cells.groupBy(F.struct("experiment", "salt").alias("experiment"), arm.alias("variant")).agg(*moments(y, x)))
     adjusted = cuped(pairs).select("experiment", F.col("effect").alias("adjusted_effect"), F.col("std_error").alias("adjusted_std_error"))
-    return with_test(welch(pairs)).join(adjusted, "experiment").select(F.col("experiment").alias("salt"), "effect", "std_error", "p_value", "adjusted_effect", "adjusted_std_error")
+    return with_test(welch(pairs)).join(adjusted, "experiment").select("experiment.experiment", "experiment.salt", "effect", "std_error", "p_value", "adjusted_effect", "adjusted_std_error")
+
+
+def resplit(users: DataFrame, salts: DataFrame, unit: str = "user_id") -> DataFrame:
+    """users under every salt: experiment is the salt, variant the new arm."""
+    from veltrial.operators.assignment import BUCKETS, assign_salts
+
+    hashed = assign_salts(users.select(unit).distinct(), salts, unit)
+    arms = hashed.select(F.col("salt").alias("experiment"), unit, F.when(F.col("bucket") < BUCKETS // 2, "control").otherwise("treatment").alias("variant"))
+    return users.drop("experiment", "variant").join(arms, unit)
+
+
+def split_calibration(users: DataFrame, salts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Rejections of the plain, the adjusted and the ratio test over all salts,
+    with the moments of z: its mean and spread tell an honest error from a wrong one."""
+    from veltrial.operators.inference import contrasts, cuped, moments, ratio_delta, welch, with_test
+
+    cells = resplit(users, salts)
+    y = contrasts(cells.groupBy("experiment", "variant").agg(*moments("post_metric", "pre_metric")))
+    r = contrasts(cells.groupBy("experiment", "variant").agg(*moments("post_metric", "post_cnt")))
+    named = [("plain", welch(y)), ("adjusted", cuped(y)), ("ratio", ratio_delta(r))]
+    rows = None
+    for name, frame in named:
+        one = with_test(frame.select("experiment", "variant", "effect", "std_error", "df"), alpha).select("experiment", F.lit(name).alias("test"), "t_statistic", (F.col("p_value") < alpha).alias("hit"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.where(F.col("hit").isNotNull())
+    z = rows.groupBy("test").agg(F.avg("t_statistic").alias("mean_z"), F.stddev_samp("t_statistic").alias("sd_z"))
+    return wilson(rows, "hit", by=("test",)).join(z, "test")
+
+
+def cluster_calibration(users: DataFrame, salts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Clusters split anew: rejections of the user-level and the cluster-level test."""
+    from veltrial.operators.clusters import cluster_means
+    from veltrial.operators.inference import contrasts, moments, welch, with_test
+
+    known = users.where(F.col("city").isNotNull()).select("user_id", "city", "pre_metric", "post_metric")
+    arms = resplit(known.select("city").distinct(), salts, "city")
+    cells = known.join(arms, "city")
+    totals = cells.groupBy("experiment", "variant", F.col("city").alias("cluster_id")).agg(*moments("post_metric", "pre_metric"))
+    by_user = totals.groupBy("experiment", "variant").agg(*[F.sum(m).alias(m) for m in ("n", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy")])
+    rows = None
+    for name, frame in (("user", by_user), ("cluster", cluster_means(totals))):
+        one = with_test(welch(contrasts(frame)), alpha).select(F.lit(name).alias("unit"), (F.col("p_value") < alpha).alias("hit"))
+        rows = one if rows is None else rows.unionByName(one)
+    return wilson(rows.where(F.col("hit").isNotNull()), "hit", by=("unit",))
+
+
+def stopping_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, alpha: float = 0.05, tau: float = 20.0) -> DataFrame:
+    """How often each stopping rule stops somewhere along the looks of splits
+    that did nothing.  Looks are equal shares of entry by day; the group-sequential
+    bounds are those of equal information."""
+    from veltrial.operators.inference import contrasts, welch
+    from veltrial.operators.looks import cumulative, information, pick_looks
+    from veltrial.operators.sequential import always_valid_path, boundaries
+
+    y, x = F.col("post_metric"), F.col("pre_metric")
+    daily = resplit(users.select("user_id", "expose_ds", "pre_metric", "post_metric"), salts).groupBy("experiment", "variant", F.col("expose_ds").alias("ds"))
+    daily = daily.agg(F.count("*").alias("user_cnt"), F.sum(x).alias("pre_sum"), F.sum(y).alias("post_sum"), F.sum(x * x).alias("pre_sq_sum"), F.sum(y * y).alias("post_sq_sum"), F.sum(x * y).alias("pre_post_cross_sum"))
+    run = cumulative(daily)
+    arms = run.join(pick_looks(information(run), n_looks), ["experiment", "ds"]).where("n > 1").withColumn("experiment", F.struct("experiment", "look", "info"))
+    looks = welch(contrasts(arms.drop("look", "info", "ds"))).select("experiment.*", "variant", "effect", "std_error")
+    bounds = boundaries(tuple((k + 1) / n_looks for k in range(n_looks)), alpha)
+    bound = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.least(F.col("look"), F.lit(n_looks)))
+    z, fixed = F.abs(F.try_divide("effect", "std_error")), normal_ppf(1 - alpha / 2)
+    path = always_valid_path(looks, tau, alpha)
+    per = path.groupBy("experiment").agg(
+        F.max(z > fixed).alias("naive"), F.max_by(z > fixed, "look").alias("fixed"), F.max(z >= bound).alias("sequential"), F.max("rejected").alias("always_valid"),
+    )
+    hits = per.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(r), F.lit(False)).alias("hit")) for r in ("naive", "fixed", "sequential", "always_valid")])).alias("r")).select("r.*")
+    return wilson(hits, "hit", by=("rule",))
+
+
+def sample_ratio_replicates(counts: DataFrame, prefix: str = "") -> DataFrame:
+    """Sample-ratio p-value of every replicate whose name begins with ``prefix``."""
+    from veltrial.operators.inference import srm
+
+    return srm(counts.where(F.col("experiment").startswith(prefix))).select("experiment", "units", "chi2", "p_value")

@@ -1,14 +1,17 @@
 """Synthetic control: a donor-weighted stand-in for one treated unit.
 
-The panel before treatment is small (donors x periods); what grows is the
-number of refits for inference, so each placebo or left-out donor is one group
-of its own task."""
+The panel is units x periods, at most MAX_CELLS numbers (a larger one is refused):
+every refit needs all of it, so it goes to the tasks once, as a matrix.  What
+Spark spreads is the refits of the inference, one row each."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,55 +39,76 @@ def _to_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - c[np.flatnonzero(u > c)[-1]], 0)
 
 
-def _fit(pdf: pd.DataFrame, treated: object, start: int, skip: object = None) -> dict:
-    wide = pdf.pivot(index="period", columns="unit", values="outcome").sort_index()
-    donors = [u for u in wide.columns if u not in (treated, skip)]
-    before = wide.index < start
-    w = simplex_weights(wide.loc[before, treated].to_numpy(float), wide.loc[before, donors].to_numpy(float))
-    gap = wide[treated].to_numpy(float) - wide[donors].to_numpy(float) @ w
-    pre, post = float(np.sqrt((gap[before] ** 2).mean())), float(np.sqrt((gap[~before] ** 2).mean()))
-    return {"effect": float(gap[~before].mean()), "pre_rmse": pre, "post_rmse": post, "ratio": post / max(pre, 1e-12), "donors": donors, "weights": w}
+MAX_CELLS = 4_000_000
+
+
+@dataclass
+class Matrix:
+    """Outcomes by period and unit; ``start`` is the number of periods before treatment."""
+
+    units: list[str]
+    values: np.ndarray
+    start: int
+
+    def fit(self, treated: str, skip: str | None = None) -> dict:
+        """Weights on the other units, and the gap before and after."""
+        at = self.units.index(treated)
+        donors = [i for i, u in enumerate(self.units) if i != at and u != skip]
+        y, x = self.values[:, at], self.values[:, donors]
+        w = simplex_weights(y[: self.start], x[: self.start])
+        gap = y - x @ w
+        pre, post = (float(np.sqrt((g**2).mean())) for g in (gap[: self.start], gap[self.start :]))
+        return {"effect": float(gap[self.start :].mean()), "pre_rmse": pre, "post_rmse": post, "ratio": post / max(pre, 1e-12), "donors": [self.units[i] for i in donors], "weights": w}
+
+
+def matrix(panel: DataFrame, start: int) -> Matrix:
+    """The panel of checked size.  A unit that misses a period is refused."""
+    p = panel.select(F.col("unit").cast("string").alias("unit"), "period", F.col("outcome").cast("double").alias("outcome"))
+    n = p.count()
+    if n > MAX_CELLS:
+        raise ValueError(f"{n} cells are more than the {MAX_CELLS} that a synthetic control takes")
+    wide = p.toPandas().pivot(index="period", columns="unit", values="outcome").sort_index()
+    if wide.isna().any().any():
+        raise ValueError("the panel is not balanced")
+    return Matrix([str(u) for u in wide.columns], wide.to_numpy(float), int((wide.index < start).sum()))
 
 
 SCM = "unit string, effect double, pre_rmse double, post_rmse double, ratio double"
 
 
-def synthetic_control(panel: DataFrame, treated: str, start: int) -> DataFrame:
-    """Weights: donor, weight."""
+def _refits(spark: SparkSession, m: Matrix, jobs: list[tuple[str, str, str | None]]) -> DataFrame:
+    """jobs: (name of the row, unit in the treated one's place, unit that is no donor)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = _fit(pdf, treated, start)
-        return pd.DataFrame({"donor": [str(d) for d in f["donors"]], "weight": f["weights"], "effect": f["effect"]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fits = [m.fit(u, s) for u, s in zip(pdf["unit"], pdf["skip"], strict=True)]
+            yield pd.DataFrame([[n, f["effect"], f["pre_rmse"], f["post_rmse"], f["ratio"]] for n, f in zip(pdf["name"], fits, strict=True)], columns=["unit", "effect", "pre_rmse", "post_rmse", "ratio"])
 
-    return panel.select(F.col("unit").cast("string").alias("unit"), "period", "outcome").groupBy(F.lit("all").alias("all")).applyInPandas(run, "donor string, weight double, effect double")
+    return spark.createDataFrame(jobs, "name string, unit string, skip string").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, SCM)
+
+
+def synthetic_control(panel: DataFrame, treated: str, start: int) -> DataFrame:
+    """Weights: donor, weight."""
+    f = matrix(panel, start).fit(treated)
+    return panel.sparkSession.createDataFrame([(d, float(w), f["effect"]) for d, w in zip(f["donors"], f["weights"], strict=True)], "donor string, weight double, effect double")
 
 
 def placebo_inference(panel: DataFrame, treated: str, start: int) -> DataFrame:
     """A refit with each unit in the treated one's place (the treated unit never
     serves as a donor then); p is the rank of its error ratio."""
-    p = panel.select(F.col("unit").cast("string").alias("unit"), "period", "outcome")
-    roles = p.select(F.col("unit").alias("role")).distinct()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = _fit(pdf, key[0], start, None if key[0] == treated else treated)
-        return pd.DataFrame([[key[0], f["effect"], f["pre_rmse"], f["post_rmse"], f["ratio"]]], columns=["unit", "effect", "pre_rmse", "post_rmse", "ratio"])
-
-    fits = p.crossJoin(F.broadcast(roles)).groupBy("role").applyInPandas(run, SCM)
-    own = fits.where(F.col("unit") == treated).select(F.col("ratio").alias("own"))
-    rank = fits.crossJoin(F.broadcast(own)).agg(((1 + F.sum(F.when((F.col("unit") != treated) & (F.col("ratio") >= F.col("own")), 1).otherwise(0))) / F.count("*")).alias("p_value"))
-    return fits.crossJoin(F.broadcast(rank))
+    m = matrix(panel, start)
+    fits = _refits(panel.sparkSession, m, [(u, u, None if u == treated else treated) for u in m.units])
+    whole = Window.partitionBy()  # one row a unit
+    own = F.max(F.when(F.col("unit") == treated, F.col("ratio"))).over(whole)
+    ranked = fits.withColumn("own", own)
+    at_least = F.sum(F.when((F.col("unit") != treated) & (F.col("ratio") >= F.col("own")), 1).otherwise(0)).over(whole)
+    return ranked.withColumn("p_value", (1 + at_least) / F.count("*").over(whole)).drop("own")
 
 
 def leave_one_out(panel: DataFrame, treated: str, start: int) -> DataFrame:
     """The effect without each donor."""
-    p = panel.select(F.col("unit").cast("string").alias("unit"), "period", "outcome")
-    roles = p.where(F.col("unit") != treated).select(F.col("unit").alias("role")).distinct()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = _fit(pdf, treated, start, key[0])
-        return pd.DataFrame([[key[0], f["effect"], f["pre_rmse"], f["post_rmse"], f["ratio"]]], columns=["unit", "effect", "pre_rmse", "post_rmse", "ratio"])
-
-    return p.crossJoin(F.broadcast(roles)).groupBy("role").applyInPandas(run, SCM)
+    m = matrix(panel, start)
+    return _refits(panel.sparkSession, m, [(u, treated, u) for u in m.units if u != treated])
 
 
 def time_placebo(panel: DataFrame, treated: str, start: int, split: int) -> DataFrame:

@@ -80,9 +80,30 @@ def rank_correlation(frame: DataFrame, a: str, b: str) -> DataFrame:
     return frame.select(a, b).join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"{a}_rank", f"{b}_rank").alias("rank_correlation"))
 
 
+def scaled_perfect(effect: str, factor: float = 1.0) -> Column:
+    """A score that ranks as the true effect does: the best a curve can show."""
+    return F.col(effect) * F.lit(float(factor))
+
+
+def constant_prediction(frame: DataFrame, effect: str, out: str = "score") -> DataFrame:
+    """The mean effect for everybody: a score that ranks nobody."""
+    mean = frame.agg(F.avg(effect)).first()[0]
+    return frame.withColumn(out, F.lit(mean).cast("double"))
+
+
 # ---- policies ----------------------------------------------------------------
 
 
+def constant_rule(treat: bool) -> Column:
+    """Everybody or nobody."""
+    return F.lit(bool(treat))
+
+
+def positive_score(gamma: str = "gamma") -> Column:
+    """The rule without limits: whoever's own score is above 0."""
+    return F.col(gamma) > 0
+
+
 def threshold_rule(column: str, cut: float, above: bool = True) -> Column:
     return F.col(column) > cut if above else F.col(column) < cut
 
@@ -152,16 +173,31 @@ def split_policy_value(scored: DataFrame, columns: list[str], id_column: str, **
     return {"value": sum(v[0] for v in values) / 2, "std_error": (values[0][1] ** 2 + values[1][1] ** 2) ** 0.5 / 2, "optimism": sum(v[2] - v[0] for v in values) / 2}
 
 
+def policy_learner(scored: DataFrame, columns: list[str], id_column: str, **kwargs) -> dict:
+    """Rules learned on all rows, their value there, the value on rows that did
+    not learn them, and the difference of the two."""
+    rules, _ = learn_threshold_policy(scored, columns, **kwargs)
+    seen = policy_value(scored, any_rule([threshold_rule(*r) for r in rules])).first()
+    split = split_policy_value(scored, columns, id_column, **kwargs)
+    return {"rules": rules, "in_sample": seen["value"] or 0.0, "share": seen["share"], "value": split["value"], "std_error": split["std_error"], "optimism": (seen["value"] or 0.0) - split["value"]}
+
+
 # ---- conformal intervals -----------------------------------------------------
 
 
-def weighted_quantile(frame: DataFrame, keys: list[str], value: str, weight: str, level: float) -> DataFrame:
-    """Least value whose cumulative weight share reaches ``level``, by key."""
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
-    total = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    per = frame.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    run = per.withColumn("_c", F.sum("_w").over(w) / F.sum("_w").over(total))
-    return run.where(F.col("_c") >= level - 1e-12).groupBy(*keys).agg(F.min(value).alias("quantile"))
+def weighted_quantile(frame: DataFrame, keys: list[str], value: str, weight: str, level: float, chunks: int = 256) -> DataFrame:
+    """Least value whose cumulative weight share reaches ``level``, by key: the
+    values are summed in ranges, and only inside the range that crosses the level
+    are they summed one by one."""
+    cuts = frame.agg(F.percentile_approx(value, [(i + 1) / chunks for i in range(chunks - 1)], 20_000)).first()[0] or []
+    per = _with_range(frame.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), value, cuts, "_p")
+    whole = Window.partitionBy(*keys)
+    ranges = per.groupBy(*keys, "_p").agg(F.sum("_w").alias("_n"))  # at most ``chunks`` rows a key
+    ranges = ranges.withColumn("_end", F.sum("_n").over(whole.orderBy("_p"))).withColumn("_need", F.sum("_n").over(whole) * (level - 1e-12))
+    first = ranges.where("_end >= _need").groupBy(*keys).agg(F.min(F.struct("_p", F.expr("_end - _n").alias("_before"), "_need")).alias("_r")).select(*keys, "_r.*")
+    inside = per.join(F.broadcast(first), [*keys, "_p"])
+    run = inside.withColumn("_c", F.sum("_w").over(whole.orderBy(value)) + F.col("_before"))
+    return run.where("_c >= _need").groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
 def conformal_intervals(frame: DataFrame, *, y: str, d: str, mu1: str, mu0: str, propensity: str, calibrate: Column, alpha: float = 0.1) -> DataFrame:

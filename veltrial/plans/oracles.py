@@ -152,7 +152,7 @@ ORACLES = {
     "cumulative_looks": sql("SELECT experiment, variant, ds, n, round(sum_x, 4) AS sum_x, round(sum_y, 4) AS sum_y, round(sum_xx, 4) AS sum_xx, round(sum_yy, 4) AS sum_yy, round(sum_xy, 4) AS sum_xy FROM run"),
     "look_picks": sql("SELECT experiment, CAST(look AS INTEGER) AS look, ds, round(info, 6) AS info FROM picks"),
     "msprt_path": sql(
-        "SELECT experiment, CAST(look AS INTEGER) AS look, round(effect, 4) AS effect, round(se, 4) AS std_error, round(p, 6) AS p, round(min(p) OVER (PARTITION BY experiment ORDER BY look), 6) AS always_valid_p FROM "
+        "SELECT experiment, 'treatment' AS variant, CAST(look AS INTEGER) AS look, round(effect, 4) AS effect, round(se, 4) AS std_error, round(p, 6) AS p, round(min(p) OVER (PARTITION BY experiment ORDER BY look), 6) AS always_valid_p FROM "
         "(SELECT *, least(1.0, 1 / (sqrt(se * se / (se * se + 400)) * exp(effect * effect * 400 / (2 * se * se * (se * se + 400))))) AS p FROM look)"
     ),
     "posterior_mean_sd": sql("SELECT experiment, variant, round((e / v) / (1 / v + 1 / 2500.0), 4) AS posterior_mean, round(sqrt(1 / (1 / v + 1 / 2500.0)), 4) AS posterior_sd FROM (SELECT experiment, variant, yt - yc AS e, vt / nt + vc / nc AS v FROM pair)"),
@@ -194,3 +194,302 @@ ORACLES = {
     "top_share": sql("SELECT id, score FROM ranked WHERE rk <= round(total * 0.1)"),
     "rank_correlation": sql("SELECT round(corr(a, b), 6) AS rank_correlation FROM (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM scored)"),
 }
+
+# ---- distribution functions by quadrature ------------------------------------------
+# An engine without them integrates the densities by Simpson's rule.
+
+_STEPS = 2000
+
+
+def _simpson(upper: str, density: str) -> str:
+    """Integral from 0 to ``upper`` of a density of u."""
+    u = f"(({upper}) * i / {_STEPS}.0)"
+    weight = f"(CASE WHEN i = 0 OR i = {_STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: {weight} * {density.replace('@u', u)})) * ({upper}) / {3 * _STEPS}.0)"
+
+
+def _cdf(x: str) -> str:
+    return f"(0.5 + sign({x}) * {_simpson(f'abs({x})', 'exp(-0.5 * @u * @u)')} / sqrt(2 * pi()))"
+
+
+def _two_sided(z: str) -> str:
+    return f"(1 - 2 * {_simpson(f'abs({z})', 'exp(-0.5 * @u * @u)')} / sqrt(2 * pi()))"
+
+
+def _t_p(t: str, v: str) -> str:
+    scale = f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi())"
+    return f"(1 - 2 * {scale} * {_simpson(f'abs({t})', f'power(1 + @u * @u / {v}, -({v} + 1) / 2)')})"
+
+
+def _chi2_p(x: str, df: str) -> str:
+    log = f"({df} - 1) * ln(@u) - @u * @u / 2 - lgamma({df} / 2.0) - ({df} / 2.0 - 1) * ln(2)"
+    return f"(1 - {_simpson(f'sqrt({x})', f'(CASE WHEN @u > 0 THEN exp({log}) WHEN {df} = 1 THEN sqrt(2 / pi()) ELSE 0 END)')})"
+
+
+def _t_quantile(z: float, v: str) -> str:
+    """Expansion in 1 / v, for degrees of freedom of users."""
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return "(" + " + ".join([repr(z), *[f"{c!r} / power({v}, {k})" for k, c in enumerate(terms, 1)]]) + ")"
+
+
+Z975, Z80 = 1.959963984540054, 0.8416212335729143
+_E = "round({0}, 4) AS {0}"
+_r4 = lambda *names: ", ".join(_E.format(n) for n in names)
+_PAIR_SUMS = "effect, sqrt({a} + {b}) AS std_error, ({a} + {b}) * ({a} + {b}) / ({a} * {a} / (nt - 1) + {b} * {b} / (nc - 1)) AS df"
+_WELCH_ROWS = f"(SELECT experiment, variant, relative_effect, {_PAIR_SUMS.format(a='(vt / nt)', b='(vc / nc)')} FROM (SELECT *, yt - yc AS effect, (yt - yc) / yc AS relative_effect FROM pair))"
+_CUPED_ROWS = (
+    f"(SELECT experiment, variant, relative_effect, th AS theta, rho AS correlation, xt - xc AS pre_gap, (xt - xc) / sqrt(vxt / nt + vxc / nc) AS pre_gap_z, yt - yc AS naive_effect, {_PAIR_SUMS.format(a='(' + _TV('t', 'vt') + ')', b='(' + _TV('c', 'vc') + ')')} "
+    "FROM (SELECT *, (yt - yc) - th * (xt - xc) AS effect, ((yt - yc) - th * (xt - xc)) / yc AS relative_effect FROM theta))"
+)
+_TESTED = "*, effect / std_error AS t_statistic, {q} * std_error AS half, abs(effect / std_error) AS shift".format(q=_t_quantile(Z975, "df"))
+
+
+def _tested(rows: str) -> str:
+    """Adds p-value, interval, power to rows of effect, std_error, df."""
+    p = _t_p("t_statistic", "df")
+    power = f"1 - {_cdf(f'({Z975} - shift)')} + {_cdf(f'(-{Z975} - shift)')}"
+    return f"(SELECT *, {p} AS p_value, effect - half AS ci_low, effect + half AS ci_high, {Z975 + Z80} * std_error AS mde, {power} AS power FROM (SELECT {_TESTED} FROM {rows}))"
+
+
+_TEST_COLUMNS = "experiment, variant, " + _r4("effect", "std_error", "df", "t_statistic", "ci_low", "ci_high", "mde", "power", "relative_effect") + ", round(p_value, 8) AS p_value, p_value < 0.05 AS significant"
+_BALANCE = "CASE WHEN pre_gap_p IS NULL THEN 'unknown' WHEN pre_gap_p < 0.001 THEN 'warn' ELSE 'pass' END"
+_SRM_ROWS = (
+    f"(SELECT experiment, units, least_expected, chi2, df, CASE WHEN units > 0 AND least_expected >= 5 THEN {_chi2_p('chi2', 'df')} END AS p_value FROM "
+    "(SELECT experiment, CAST(sum(user_cnt) AS BIGINT) AS units, min(expected_cnt) AS least_expected, sum(power(user_cnt - expected_cnt, 2) / nullif(expected_cnt, 0)) AS chi2, count(*) - 1 AS df FROM srm0 GROUP BY experiment))"
+)
+_SRM_STATUS = "CASE WHEN units = 0 THEN 'fail' WHEN p_value IS NULL THEN 'warn' WHEN p_value < 0.001 THEN 'fail' ELSE 'pass' END"
+_HARM = (
+    f"(SELECT g.experiment, g.guardrail, t.variant, g.direction, g.max_harm, t.y / t.n - c.y / c.n AS harm, sqrt({_GV('t')} + {_GV('c')}) AS std_error, power({_GV('t')} + {_GV('c')}, 2) / (power({_GV('t')}, 2) / (t.n - 1) + power({_GV('c')}, 2) / (c.n - 1)) AS df, "
+    "0.05 / count(*) OVER (PARTITION BY g.experiment) AS alpha_each FROM dim_guardrail_config g JOIN guard t ON t.experiment = g.experiment AND t.guardrail = g.guardrail AND t.variant <> 'control' JOIN guard c ON c.experiment = g.experiment AND c.guardrail = g.guardrail AND c.variant = 'control')"
+)
+#: One guardrail an experiment here: alpha_each is 0.05.
+_VERDICTS = f"(SELECT *, harm - half AS harm_low, harm + half AS harm_high, CASE WHEN harm - half > max_harm THEN 'fail' WHEN harm > max_harm THEN 'warn' ELSE 'pass' END AS status FROM (SELECT *, {_t_quantile(Z975, 'df')} * std_error AS half FROM {_HARM}))"
+_POST = "(SELECT experiment, variant, e AS effect, sqrt(v) AS std_error, (e / v) / (1 / v + 1 / 2500.0) AS posterior_mean, sqrt(1 / (1 / v + 1 / 2500.0)) AS posterior_sd FROM (SELECT experiment, variant, yt - yc AS e, vt / nt + vc / nc AS v FROM pair))"
+_PATH = "(SELECT *, least(1.0, 1 / (sqrt(se * se / (se * se + 400)) * exp(effect * effect * 400 / (2 * se * se * (se * se + 400))))) AS p FROM look)"
+
+ORACLES |= {
+    "welch_test": sql(f"SELECT {_TEST_COLUMNS} FROM {_tested(_WELCH_ROWS)}"),
+    "cuped_test": sql(
+        f"SELECT {_TEST_COLUMNS}, {_r4('theta', 'correlation', 'pre_gap', 'pre_gap_z', 'naive_effect', 'pre_gap_p')}, round(rho2, 4) AS variance_reduction, round(1 - sqrt(1 - rho2), 4) AS se_shrinkage, round(1 / (1 - rho2), 4) AS effective_sample_multiplier, abs(correlation) < 0.1 AS weak_covariate, {_BALANCE} AS balance "
+        f"FROM (SELECT *, correlation * correlation AS rho2, {_two_sided('pre_gap_z')} AS pre_gap_p FROM {_tested(_CUPED_ROWS)})"
+    ).replace(", round(mde, 4) AS mde, round(power, 4) AS power", ""),
+    "sample_ratio_test": sql(f"SELECT experiment, units, {_r4('least_expected', 'chi2')}, df, round(p_value, 8) AS p_value, {_SRM_STATUS} AS status FROM {_SRM_ROWS}"),
+    "sample_ratio_info": sql("SELECT experiment, variant, user_cnt AS n, round(user_cnt / sum(user_cnt) OVER (PARTITION BY experiment), 6) AS share, 'info' AS status FROM ads"),
+    "guardrail_verdicts": sql(f"SELECT experiment, guardrail, variant, direction, max_harm, status, {_r4('harm', 'std_error', 'df', 'alpha_each', 'harm_low', 'harm_high')} FROM {_VERDICTS}"),
+    "bayesian_decision": sql(
+        "SELECT *, CASE WHEN greatest(probability_better, 1 - probability_better) < 0.95 AND least(loss_ship, loss_keep) > 0.5 THEN 'continue' WHEN loss_ship <= loss_keep THEN 'ship' ELSE 'keep' END AS action FROM "
+        f"(SELECT experiment, variant, {_r4('effect', 'std_error', 'posterior_mean', 'posterior_sd')}, round(better, 4) AS probability_better, round(posterior_sd * phi - posterior_mean * (1 - better), 4) AS loss_ship, round(posterior_sd * phi + posterior_mean * better, 4) AS loss_keep "
+        f"FROM (SELECT *, {_cdf('(posterior_mean / posterior_sd)')} AS better, exp(-0.5 * power(posterior_mean / posterior_sd, 2)) / sqrt(2 * pi()) AS phi FROM {_POST}))"
+    ),
+    "two_proportions": sql(
+        f"SELECT experiment, variant, round(effect, 6) AS effect, round(se, 6) AS std_error, round(effect - {Z975} * own, 6) AS ci_low, round(effect + {Z975} * own, 6) AS ci_high, round(effect / se, 6) AS z_statistic, round({_two_sided('(effect / se)')}, 6) AS p_value FROM "
+        "(SELECT t.experiment, t.variant, t.s / t.n - c.s / c.n AS effect, sqrt((t.s + c.s) / (t.n + c.n) * (1 - (t.s + c.s) / (t.n + c.n)) * (1.0 / t.n + 1.0 / c.n)) AS se, sqrt(t.s / t.n * (1 - t.s / t.n) / t.n + c.s / c.n * (1 - c.s / c.n) / c.n) AS own "
+        "FROM (SELECT experiment, variant, count(*) AS n, sum(CASE WHEN post_cnt > 0 THEN 1.0 ELSE 0 END) AS s FROM dwd GROUP BY 1, 2) t JOIN (SELECT experiment, variant, count(*) AS n, sum(CASE WHEN post_cnt > 0 THEN 1.0 ELSE 0 END) AS s FROM dwd GROUP BY 1, 2) c ON c.experiment = t.experiment AND c.variant = 'control' AND t.variant <> 'control')"
+    ),
+    "unit_ratio": sql("SELECT experiment, variant, count(*) FILTER (post_cnt > 0) AS n, CAST(0 AS DOUBLE) AS sum_x, round(sum(post_metric / post_cnt) FILTER (post_cnt > 0), 4) AS sum_y, CAST(0 AS DOUBLE) AS sum_xx, round(sum(power(post_metric / post_cnt, 2)) FILTER (post_cnt > 0), 4) AS sum_yy, CAST(0 AS DOUBLE) AS sum_xy, count(*) FILTER (post_cnt <= 0) AS without_x FROM dwd GROUP BY 1, 2"),
+    "unit_ratio_gap": sql(
+        "SELECT u.experiment, u.variant, round(u.e, 4) AS unit_effect, round(r.e, 4) AS effect, round(u.e - r.e, 4) AS gap, round((u.e - r.e) / abs(r.e), 6) AS relative_gap FROM "
+        "(SELECT t.experiment, t.variant, t.m - c.m AS e FROM (SELECT experiment, variant, avg(post_metric / post_cnt) AS m FROM dwd WHERE post_cnt > 0 GROUP BY 1, 2) t JOIN (SELECT experiment, variant, avg(post_metric / post_cnt) AS m FROM dwd WHERE post_cnt > 0 GROUP BY 1, 2) c ON c.experiment = t.experiment AND c.variant = 'control' AND t.variant <> 'control') u "
+        "JOIN (SELECT t.experiment, t.variant, t.y / t.x - c.y / c.x AS e FROM ratio t JOIN ratio c ON c.experiment = t.experiment AND c.variant = 'control' AND t.variant <> 'control') r ON r.experiment = u.experiment AND r.variant = u.variant"
+    ),
+    "multivariate_cuped": sql(
+        "SELECT experiment, round(t1, 6) AS theta_pre_metric, round(t2, 4) AS theta_pre_cnt, round(((a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b)) / ((a + d) / 2 - sqrt(power((a - d) / 2, 2) + b * b)), 4) AS condition_number, round((t1 * c + t2 * e) / v, 6) AS variance_reduction, "
+        "round(greatest(c * c / (a * v), e * e / (d * v)), 6) AS best_single_reduction, round((t1 * c + t2 * e) / v - greatest(c * c / (a * v), e * e / (d * v)), 6) AS extra_reduction FROM (SELECT *, (d * c - b * e) / (a * d - b * b) AS t1, (a * e - b * c) / (a * d - b * b) AS t2 FROM "
+        "(SELECT experiment, var_pop(pre_metric) AS a, covar_pop(pre_metric, pre_cnt) AS b, var_pop(pre_cnt) AS d, covar_pop(pre_metric, post_metric) AS c, covar_pop(pre_cnt, post_metric) AS e, var_pop(post_metric) AS v FROM dwd GROUP BY experiment))"
+    ),
+    "cross_fitted_cuped": sql(
+        "SELECT experiment, CAST(5 AS INTEGER) AS folds, round(var_pop(z), 4) AS adjusted_variance, round(1 - var_pop(z) / var_pop(y), 6) AS variance_reduction FROM (SELECT u.experiment, y, y - t1 * (x - mx) - t2 * (k - mk) AS z FROM "
+        "(SELECT experiment, CAST(user_id AS BIGINT) % 5 AS fold, post_metric AS y, pre_metric AS x, CAST(pre_cnt AS DOUBLE) AS k, avg(pre_metric) OVER w AS mx, avg(pre_cnt) OVER w AS mk FROM dwd WINDOW w AS (PARTITION BY experiment)) u JOIN "
+        "(SELECT experiment, fold, (d * c - b * e) / (a * d - b * b) AS t1, (a * e - b * c) / (a * d - b * b) AS t2 FROM (SELECT experiment, fold, var_pop(pre_metric) AS a, covar_pop(pre_metric, pre_cnt) AS b, var_pop(pre_cnt) AS d, covar_pop(pre_metric, post_metric) AS c, covar_pop(pre_cnt, post_metric) AS e "
+        "FROM dwd, (SELECT unnest(range(0, 5)) AS fold) WHERE CAST(user_id AS BIGINT) % 5 <> fold GROUP BY 1, 2)) f USING (experiment, fold)) GROUP BY experiment"
+    ),
+    "cluster_cuped_effect": sql(
+        f"SELECT experiment, variant, {_r4('effect', 'std_error', 'df')}, round(theta, 6) AS theta FROM (SELECT experiment, variant, th AS theta, {_PAIR_SUMS.format(a='va', b='vb')} FROM (SELECT *, (yt - yc) - th * (xt - xc) AS effect, greatest(vt - 2 * th * kt + th * th * vxt, 0) / nt AS va, greatest(vc - 2 * th * kc + th * th * vxc, 0) / nc AS vb FROM "
+        "(SELECT t.experiment, t.variant, t.n AS nt, c.n AS nc, t.y AS yt, c.y AS yc, t.x AS xt, c.x AS xc, t.v AS vt, c.v AS vc, t.vx AS vxt, c.vx AS vxc, t.k AS kt, c.k AS kc, p.th FROM m t JOIN m c ON c.experiment = t.experiment AND c.variant = 'control' AND t.variant <> 'control' "
+        "JOIN (SELECT experiment, covar_samp(x / n, y / n) / var_samp(x / n) AS th FROM clus GROUP BY experiment) p ON p.experiment = t.experiment)))"
+    ).replace(" FROM m t JOIN m c", " FROM (SELECT experiment, variant, count(*) AS n, avg(y / n) AS y, avg(x / n) AS x, var_samp(y / n) AS v, var_samp(x / n) AS vx, covar_samp(x / n, y / n) AS k FROM clus GROUP BY 1, 2) t JOIN (SELECT experiment, variant, count(*) AS n, avg(y / n) AS y, avg(x / n) AS x, var_samp(y / n) AS v, var_samp(x / n) AS vx, covar_samp(x / n, y / n) AS k FROM clus GROUP BY 1, 2) c"),
+    "cluster_pass_through": sql("SELECT experiment, count(DISTINCT city) AS clusters, count(DISTINCT user_id) AS users FROM dwd WHERE experiment LIKE 'exp_%' AND city IS NOT NULL GROUP BY experiment"),
+    "experiment_report": sql(
+        f"SELECT c.experiment, c.variant, {', '.join(f'round(c.{n}, 4) AS {n}' for n in ('effect', 'std_error', 'ci_low', 'ci_high', 'naive_effect', 'theta', 'mde', 'power'))}, round(c.p_value, 8) AS p_value, round(w.std_error, 4) AS plain_std_error, round(w.p_value, 4) AS plain_p_value, round(c.theta * c.pre_gap, 4) AS covariate_shift, "
+        "round(c.correlation * c.correlation, 4) AS variance_reduction, s.status AS sample_ratio, round(s.p_value, 4) AS sample_ratio_p, coalesce(g.verdict, 'unknown') AS guardrails, c.balance, round(v.p, 4) AS always_valid_p, "
+        "CASE WHEN s.status = 'fail' OR g.verdict = 'stop' THEN 'fail' WHEN s.status = 'warn' OR g.verdict = 'watch' OR c.balance = 'warn' THEN 'warn' ELSE 'pass' END AS health "
+        f"FROM (SELECT *, {_BALANCE} AS balance FROM (SELECT *, {_two_sided('pre_gap_z')} AS pre_gap_p FROM {_tested(_CUPED_ROWS)})) c JOIN {_tested(_WELCH_ROWS)} w ON w.experiment = c.experiment AND w.variant = c.variant "
+        f"LEFT JOIN (SELECT *, {_SRM_STATUS} AS status FROM {_SRM_ROWS}) s ON s.experiment = c.experiment LEFT JOIN (SELECT experiment, CASE WHEN bool_or(status = 'fail') THEN 'stop' WHEN bool_or(status = 'warn') THEN 'watch' ELSE 'ok' END AS verdict FROM {_VERDICTS} GROUP BY experiment) g ON g.experiment = c.experiment "
+        f"LEFT JOIN (SELECT experiment, min(p) AS p FROM {_PATH} GROUP BY experiment) v ON v.experiment = c.experiment"
+    ),
+    "cuped_looks": sql(
+        "SELECT experiment, variant, CAST(look AS INTEGER) AS look, round(info, 6) AS info, round(t.ey - c.ey - th * (t.ex - c.ex), 4) AS effect, round(sqrt(greatest(t.v - 2 * th * t.k + th * th * t.vx, 0) / t.n + greatest(c.v - 2 * th * c.k + th * th * c.vx, 0) / c.n), 4) AS std_error FROM (SELECT p.experiment, 'treatment' AS variant, p.look, p.info, "
+        + ", ".join(f"struct_pack(n := {a}.n, ey := {a}.sum_y / {a}.n, ex := {a}.sum_x / {a}.n, v := ({a}.sum_yy - {a}.sum_y * {a}.sum_y / {a}.n) / ({a}.n - 1), vx := ({a}.sum_xx - {a}.sum_x * {a}.sum_x / {a}.n) / ({a}.n - 1), k := ({a}.sum_xy - {a}.sum_x * {a}.sum_y / {a}.n) / ({a}.n - 1)) AS {b}" for a, b in (("rt", "t"), ("rc", "c")))
+        + ", ((rt.sum_xy + rc.sum_xy) - (rt.sum_x + rc.sum_x) * (rt.sum_y + rc.sum_y) / (rt.n + rc.n)) / ((rt.sum_xx + rc.sum_xx) - power(rt.sum_x + rc.sum_x, 2) / (rt.n + rc.n)) AS th "
+        "FROM picks p JOIN run rt ON rt.experiment = p.experiment AND rt.ds = p.ds AND rt.variant = 'treatment' JOIN run rc ON rc.experiment = p.experiment AND rc.ds = p.ds AND rc.variant = 'control' WHERE rt.n > 1 AND rc.n > 1)"
+    ),
+    "cluster_looks": sql(
+        "SELECT r.experiment, r.ds, r.variant, r.cluster_id, r.n, round(r.sum_x, 4) AS sum_x, round(r.sum_y, 4) AS sum_y, round(r.sum_xx, 4) AS sum_xx, round(r.sum_yy, 4) AS sum_yy, round(r.sum_xy, 4) AS sum_xy, CAST(p.look AS INTEGER) AS look, round(p.info, 6) AS info FROM crun r JOIN "
+        "(SELECT experiment, min(ds) AS ds, info, row_number() OVER (PARTITION BY experiment ORDER BY info) AS look FROM (SELECT experiment, ds, info FROM (SELECT *, row_number() OVER (PARTITION BY experiment, k ORDER BY abs(info - k / 3.0), ds) AS r FROM cinfo, (SELECT unnest(range(1, 4)) AS k)) WHERE r = 1 "
+        "UNION ALL SELECT experiment, max(ds), arg_max(info, ds) FROM cinfo GROUP BY experiment) GROUP BY experiment, info) p ON p.experiment = r.experiment AND p.ds = r.ds"
+    ).replace(
+        " SELECT r.experiment", ", crun AS (SELECT * FROM (SELECT k.experiment, k.variant, k.cluster_id, d.ds, CAST(sum(coalesce(user_cnt, 0)) OVER w AS BIGINT) AS n, sum(coalesce(pre_sum, 0)) OVER w AS sum_x, sum(coalesce(post_sum, 0)) OVER w AS sum_y, sum(coalesce(pre_sq_sum, 0)) OVER w AS sum_xx, sum(coalesce(post_sq_sum, 0)) OVER w AS sum_yy, sum(coalesce(pre_post_cross_sum, 0)) OVER w AS sum_xy "
+        "FROM (SELECT DISTINCT experiment, variant, cluster_id FROM cluster_daily) k JOIN (SELECT experiment, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM cluster_daily GROUP BY experiment) d USING (experiment) LEFT JOIN cluster_daily c ON c.experiment = k.experiment AND c.variant = k.variant AND c.cluster_id = k.cluster_id AND c.ds = d.ds "
+        "WINDOW w AS (PARTITION BY k.experiment, k.variant, k.cluster_id ORDER BY d.ds)) WHERE n > 0), cinfo AS (SELECT experiment, ds, c / max(c) OVER (PARTITION BY experiment) AS info FROM (SELECT experiment, ds, sum(c) AS c, min(c) AS least, count(*) AS arms FROM (SELECT experiment, variant, ds, count(*) AS c FROM crun GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE least >= 2 AND arms >= 2) SELECT r.experiment", 1
+    ),
+    "users_of_both_halves": sql("SELECT event_name, count(*) AS rows, round(sum(metric_value), 4) AS value FROM ods_event_log WHERE day(ds) <= 15 AND user_id IN (SELECT user_id FROM ods_event_log WHERE day(ds) > 15) GROUP BY event_name"),
+    "days_since_first_seen": sql("SELECT CAST(date_diff('day', f, ds) AS INTEGER) AS day, count(*) AS rows, count(DISTINCT user_id) AS users FROM (SELECT *, min(ds) OVER (PARTITION BY user_id) AS f FROM ods_event_log) GROUP BY 1"),
+    "median_split": sql("SELECT experiment, variant, round(max(m), 4) AS median, count(*) FILTER (pre_metric > m) AS above, count(*) AS users FROM (SELECT *, median(pre_metric) OVER (PARTITION BY experiment, variant) AS m FROM dwd) GROUP BY 1, 2"),
+    "live_shares": sql("SELECT experiment, variant, count(*) AS users, count(*) FILTER (post_metric > 0) AS live, round(avg(CASE WHEN post_metric > 0 THEN 1.0 ELSE 0 END), 6) AS live_share FROM dwd GROUP BY 1, 2"),
+    "declared_lifts": sql("SELECT experiment, count(*) AS arms, CAST(0 AS BIGINT) AS declared FROM dim_experiment_config GROUP BY experiment"),
+    "list_experiments": sql("SELECT e.experiment, 'default' AS layer, arms, users, first_ds, last_ds, CAST(CASE WHEN g.experiment IS NULL THEN 0 ELSE 1 END AS INTEGER) AS has_guardrails FROM (SELECT experiment, count(DISTINCT variant) AS arms, count(DISTINCT user_id) AS users, min(ds) AS first_ds, max(ds) AS last_ds FROM ods_exposure_log GROUP BY experiment) e LEFT JOIN dim_guardrail_config g ON g.experiment = e.experiment"),
+    "retried_exposures": sql("SELECT experiment, variant, count(*) AS users, min(expose_ts) AS first_ts, max(expose_ts) AS last_ts FROM expo GROUP BY 1, 2"),
+    "switched_arms": sql("SELECT 'broken' AS experiment, user_id, CAST(2 AS BIGINT) AS arms FROM ods_event_log GROUP BY user_id HAVING count(DISTINCT day(ds) % 2) > 1"),
+    "did_twfe_weights": sql(
+        "SELECT CAST(cohort AS BIGINT) AS cohort, CAST(period AS INTEGER) AS period, round(sum(d) / max(dd), 6) AS weight FROM (SELECT *, sum(d * d) OVER () AS dd FROM (SELECT cohort, period, t - avg(t) OVER (PARTITION BY unit) - avg(t) OVER (PARTITION BY period) + avg(t) OVER () AS d FROM (SELECT unit, period, cohort, CASE WHEN period >= cohort THEN 1.0 ELSE 0.0 END AS t FROM panel))) WHERE period >= cohort GROUP BY 1, 2"
+    ),
+    "qini_area": sql(
+        "SELECT round(a, 2) AS auuc, round(b, 2) AS auuc_random, round(a - b, 2) AS qini_coefficient FROM (SELECT sum((f - pf) * (q + pq) / 2) AS a, sum((f - pf) * arg_end * (2 * i - 3) / (k - 1) / 2) AS b FROM (SELECT f, q, lag(f) OVER w AS pf, lag(q) OVER w AS pq, row_number() OVER w AS i, count(*) OVER () AS k, first_value(q) OVER (ORDER BY f DESC) AS arg_end "
+        "FROM (SELECT rk / total AS f, q FROM qini JOIN points USING (rk)) WINDOW w AS (ORDER BY f)))"
+    ),
+    "policy_bounds": sql(" UNION ALL ".join(f"SELECT '{n}' AS policy, round(avg(v), 4) AS value, round(stddev_samp(v) / sqrt(count(*)), 4) AS std_error, round(avg(s), 6) AS share FROM (SELECT CASE WHEN {c} THEN g ELSE 0 END AS v, CASE WHEN {c} THEN 1.0 ELSE 0.0 END AS s FROM (SELECT d * y / 0.5 - (1 - d) * y / 0.5 AS g FROM scored))" for n, c in (("all", "true"), ("none", "false"), ("positive", "g > 0")))),
+    "conformal_intervals": sql(
+        "SELECT d, count(*) AS units, round(avg(2 * m), 4) AS width, round(avg(e - m), 4) AS mean_low, round(avg(e + m), 4) AS mean_high FROM (SELECT s.d, CASE WHEN s.d = 1 THEN y - 150000 ELSE 150000 + score - y END AS e, q.m FROM scored s JOIN (SELECT 1 - d AS d, min(r) AS m FROM "
+        "(SELECT d, r, sum(w) OVER (PARTITION BY d ORDER BY r) / sum(w) OVER (PARTITION BY d) AS c, least(1.0, 0.9 * (1 + 1.0 / count(*) OVER (PARTITION BY d))) AS level FROM (SELECT d, abs(y - CASE WHEN d = 1 THEN 150000 + score ELSE 150000 END) AS r, CASE WHEN d = 1 THEN (1 - p) / p ELSE p / (1 - p) END AS w FROM (SELECT *, 0.25 + id % 3 / 4.0 AS p FROM scored) WHERE id % 2 = 0)) WHERE c >= level - 1e-12 GROUP BY d) q ON q.d = s.d) GROUP BY d"
+    ),
+}
+
+# ---- effects with influence functions -------------------------------------------------
+
+_SPEC = """spec AS (
+  SELECT 'group_time' AS est, t - g AS k, g, t, g - 1 AS b, greatest(t, g - 1) AS lim FROM gs, ts WHERE t <> g - 1
+  UNION ALL SELECT 'group_time_overall', NULL, g, t, g - 1, t FROM gs, ts WHERE t >= g
+  UNION ALL SELECT 'interaction_weighted', t - g, g, t, g - 1, 999999 FROM gs, ts WHERE t <> g - 1
+  UNION ALL SELECT 'interaction_weighted_overall', NULL, g, t, g - 1, 999999 FROM gs, ts WHERE t >= g
+  UNION ALL SELECT 'switchers', 0, g, g, g - 1, g FROM gs UNION ALL SELECT 'switchers_placebo', -1, g, g - 1, g - 2, g FROM gs),
+dy AS (SELECT s.est, s.k, s.g, s.t, a.unit, a.cohort IS NOT NULL AND a.cohort = s.g AS own, a.outcome - b.outcome AS x FROM spec s JOIN panel a ON a.period = s.t JOIN panel b ON b.period = s.b AND b.unit = a.unit
+  WHERE (a.cohort IS NOT NULL AND a.cohort = s.g) OR coalesce(a.cohort, 1000000) > s.lim),
+cell AS (SELECT est, k, g, t, count(*) FILTER (own) AS n1, avg(x) FILTER (own) AS m1, count(*) FILTER (NOT own) AS n0, avg(x) FILTER (NOT own) AS m0 FROM dy GROUP BY ALL HAVING count(*) FILTER (NOT own) >= 2),
+weighed AS (SELECT *, n1 / sum(n1) OVER (PARTITION BY est, k) AS w FROM cell),
+units AS (SELECT count(DISTINCT unit) AS n FROM panel),
+psi AS (SELECT c.est, c.k, d.unit, sum(c.w * CASE WHEN d.own THEN u.n / c.n1 * (d.x - c.m1) ELSE -u.n / c.n0 * (d.x - c.m0) END) AS p FROM dy d JOIN weighed c ON c.est = d.est AND c.k IS NOT DISTINCT FROM d.k AND c.g = d.g AND c.t = d.t, units u GROUP BY ALL),
+studied AS (SELECT e.est, e.k, e.effect, sqrt(s.ss / (u.n - 1) / u.n) AS std_error, CAST(u.n - 1 AS DOUBLE) AS df FROM (SELECT est, k, sum(w * (m1 - m0)) AS effect FROM weighed GROUP BY ALL) e JOIN (SELECT est, k, sum(p * p) AS ss FROM psi GROUP BY ALL) s ON s.est = e.est AND s.k IS NOT DISTINCT FROM e.k, units u)"""
+_GS = "gs AS (SELECT unnest([4, 5, 6]) AS g), ts AS (SELECT unnest(range(1, 8)) AS t), "
+_STUDY = f"coalesce(CAST(k AS VARCHAR), 'all') AS k, {_r4('effect', 'std_error')}, round({_t_p('(effect / std_error)', 'df')}, 8) AS p_value, round(effect - {_t_quantile(Z975, 'df')} * std_error, 4) AS ci_low, round(effect + {_t_quantile(Z975, 'df')} * std_error, 4) AS ci_high"
+_WITH_STUDY = f"WITH {CTES}, {_GS}{_SPEC} "
+
+ORACLES |= {
+    "did_event_study": f"{_WITH_STUDY} SELECT est AS estimator, {_STUDY} FROM studied",
+    "did_saturated_regression": f"{_WITH_STUDY} SELECT {_STUDY} FROM studied WHERE est IN ('interaction_weighted', 'interaction_weighted_overall')",
+    "did_trend_breakdown": f"{_WITH_STUDY}, ev AS (SELECT k, sum(w * (m1 - m0)) AS e, sum(n1) AS n FROM weighed WHERE est = 'group_time' GROUP BY k), "
+    "post AS (SELECT sum(n * e) / sum(n) AS effect, sum(n * (k + 1)) / sum(n) AS reach FROM ev WHERE k >= 0), step AS (SELECT k, abs(e - lag(e) OVER (ORDER BY k)) AS s FROM (SELECT k, e FROM ev WHERE k < 0 UNION ALL SELECT -1, 0.0)), "
+    "bend AS (SELECT abs(s - lag(s) OVER (ORDER BY k)) AS b FROM step WHERE s IS NOT NULL) SELECT round(effect, 4) AS effect, round(effect / reach, 4) AS linear_breakdown, round(abs(effect) / ((SELECT max(s) FROM step) * reach), 6) AS relative_magnitude_breakdown, round((SELECT max(b) FROM bend), 4) AS smoothness_observed FROM post",
+}
+
+# ---- learners with linear outcome models -----------------------------------------------
+
+_TRIAL = "t AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) / 1000 AS y, CAST(o_custkey % 2 AS DOUBLE) AS d, o_orderkey * 7919 % 1000 / 1000.0 AS a, month(o_orderdate) / 12.0 AS b FROM orders)"
+_ARMS = "l AS (SELECT regr_slope(y, a) FILTER (d = 1) AS s1, regr_intercept(y, a) FILTER (d = 1) AS i1, regr_slope(y, a) FILTER (d = 0) AS s0, regr_intercept(y, a) FILTER (d = 0) AS i0 FROM t)"
+_CATE = "round(avg(cate), 4) AS mean, round(min(cate), 4) AS low, round(max(cate), 4) AS high"
+_FOLDS = "f AS (SELECT k AS fold, regr_slope(y, a) AS sy, regr_intercept(y, a) AS iy, regr_slope(d, a) AS sd, regr_intercept(d, a) AS id_, regr_slope(y, a) FILTER (d = 1) AS s1, regr_intercept(y, a) FILTER (d = 1) AS i1, regr_slope(y, a) FILTER (d = 0) AS s0, regr_intercept(y, a) FILTER (d = 0) AS i0 FROM t, (SELECT unnest([0, 1]) AS k) WHERE id % 2 <> k GROUP BY k), "
+_FOLDS += "n AS (SELECT t.*, y - iy - sy * a AS ry, d - least(greatest(id_ + sd * a, 0.02), 0.98) AS rd, least(greatest(id_ + sd * a, 0.02), 0.98) AS p, i1 + s1 * a AS mu1, i0 + s0 * a AS mu0 FROM t JOIN f ON f.fold = t.id % 2)"
+
+ORACLES |= {
+    "t_learner": f"WITH {_TRIAL}, {_ARMS} SELECT {_CATE} FROM (SELECT i1 - i0 + (s1 - s0) * a AS cate FROM t, l)",
+    "x_learner": f"WITH {_TRIAL}, {_ARMS} SELECT {_CATE} FROM (SELECT i1 - i0 + (s1 - s0) * a AS cate FROM t, l)",
+    "s_learner": f"WITH {_TRIAL}, r AS (SELECT y - regr_slope(y, a) OVER () * a AS ry, d - regr_slope(d, a) OVER () * a AS rd FROM t) SELECT round(c, 4) AS mean, round(c, 4) AS low, round(c, 4) AS high FROM (SELECT regr_slope(ry, rd) AS c FROM r)",
+    "dml_effect": f"WITH {_TRIAL}, {_FOLDS} SELECT round(th, 4) AS effect, round(sqrt(sum(power(ry - th * rd, 2) * rd * rd)) / sum(rd * rd), 4) AS std_error, count(*) AS n FROM n, (SELECT sum(ry * rd) / sum(rd * rd) AS th FROM n) GROUP BY th",
+    "r_learner": f"WITH {_TRIAL}, {_FOLDS}, w AS (SELECT sum(rd * rd) AS w, sum(rd * rd * a) AS wa, sum(rd * rd * a * a) AS waa, sum(rd * ry) AS wt, sum(rd * ry * a) AS wat FROM n) SELECT {_CATE} FROM (SELECT (wt * waa - wat * wa) / (w * waa - wa * wa) + (w * wat - wa * wt) / (w * waa - wa * wa) * a AS cate FROM t, w)",
+    "dr_learner": f"WITH {_TRIAL}, {_FOLDS}, g AS (SELECT a, mu1 - mu0 + d * (y - mu1) / p - (1 - d) * (y - mu0) / (1 - p) AS gamma FROM n) SELECT {_CATE} FROM (SELECT i + s * a AS cate FROM t, (SELECT regr_intercept(gamma, a) AS i, regr_slope(gamma, a) AS s FROM g))",
+    "plugin_effect": f"WITH {_TRIAL}, m AS (SELECT covar_samp(d, a) AS da, covar_samp(d, b) AS db, covar_samp(a, b) AS ab, var_samp(a) AS aa, var_samp(b) AS bb, var_samp(d) AS dd, covar_samp(y, d) AS yd, covar_samp(y, a) AS ya, covar_samp(y, b) AS yb FROM t) "
+    "SELECT round((yd - ya * u - yb * v) / (dd - da * u - db * v), 4) AS effect FROM (SELECT *, (da * bb - db * ab) / (aa * bb - ab * ab) AS u, (db * aa - da * ab) / (aa * bb - ab * ab) AS v FROM m)",
+}
+
+# ---- the assignment hash in arithmetic of 64-bit numbers ---------------------------------
+
+_M = 1 << 32
+
+
+def _scramble(k: str) -> str:
+    return f"list_transform(list_transform({k}, lambda x: x * 3432918353 % {_M}), lambda x: ((x << 15) | (x >> 17)) % {_M} * 461845907 % {_M})"
+
+
+def _murmur(rows: str, key: str) -> str:
+    """rows (a SELECT) with the hash ``h`` of the text ``key`` (ASCII)."""
+    byte = lambda at: f"CAST(ord(substr(key_, CAST({at} AS BIGINT), 1)) AS UBIGINT)"
+    word = f"{byte('4 * i + 1')} + {byte('4 * i + 2')} * 256 + {byte('4 * i + 3')} * 65536 + {byte('4 * i + 4')} * 16777216"
+    tail = " + ".join(f"CASE WHEN n_ % 4 > {j} THEN {byte(f'n_ // 4 * 4 + {j + 1}')} * {256**j} ELSE 0 END" for j in range(3))
+    mix = f"list_reduce(list_prepend(CAST(0 AS UBIGINT), {_scramble(f'list_transform(range(0, n_ // 4), lambda i: {word})')}), lambda h, k: (((xor(h, k) << 13) | (xor(h, k) >> 19)) % {_M} * 5 + 3864292196) % {_M})"
+    steps = f"SELECT *, {mix} AS h0, {_scramble(f'[CAST({tail} AS UBIGINT)]')}[1] AS t_ FROM (SELECT *, CAST(length(key_) AS BIGINT) AS n_ FROM (SELECT *, {key} AS key_ FROM ({rows})))"
+    steps = f"SELECT *, xor(xor(h0, t_), CAST(n_ AS UBIGINT)) AS h1 FROM ({steps})"
+    steps = f"SELECT *, xor(h1, h1 >> 16) * 2246822507 % {_M} AS h2 FROM ({steps})"
+    steps = f"SELECT *, xor(h2, h2 >> 13) * 3266489909 % {_M} AS h3 FROM ({steps})"
+    return f"(SELECT * EXCLUDE (key_, n_, h0, t_, h1, h2, h3), CAST(xor(h3, h3 >> 16) AS BIGINT) AS h FROM ({steps}))"
+
+
+_UNITS = "SELECT 'u' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS user_id FROM customer"
+_RESPLIT = lambda users, n: f"(SELECT *, CASE WHEN h % 10000 < 5000 THEN 'control' ELSE 'treatment' END AS arm FROM {_murmur(f'SELECT * FROM ({users}), (SELECT printf(' + chr(39) + 's%03d' + chr(39) + f', unnest(range(0, {n}))) AS salt)', 'salt || ' + chr(39) + ':group:' + chr(39) + ' || user_id')})"
+_RE = "SELECT DISTINCT user_id FROM dwd"
+_REPAIR = (
+    "(SELECT t.experiment, t.salt, t.n AS nt, c.n AS nc, t.y AS yt, c.y AS yc, t.v AS vt, c.v AS vc, t.x AS xt, c.x AS xc, t.vx AS vxt, c.vx AS vxc, t.k AS kt, c.k AS kc, th FROM m t JOIN m c ON c.experiment = t.experiment AND c.salt = t.salt AND c.arm = 'control' AND t.arm = 'treatment' "
+    "JOIN (SELECT experiment, covar_samp(pre_metric, post_metric) / var_samp(pre_metric) AS th FROM dwd GROUP BY experiment) p ON p.experiment = t.experiment)"
+)
+_M_CTE = "m AS (SELECT d.experiment, s.salt, s.arm, count(*) AS n, avg(post_metric) AS y, avg(pre_metric) AS x, var_samp(post_metric) AS v, var_samp(pre_metric) AS vx, covar_samp(pre_metric, post_metric) AS k FROM dwd d JOIN {s} s USING (user_id) GROUP BY 1, 2, 3)"
+
+
+def _resplit_rows(n: int) -> str:
+    return (
+        f"WITH {CTES}, {_M_CTE.format(s=_RESPLIT(_RE, n))}, r AS (SELECT *, effect / std_error AS t FROM (SELECT experiment, salt, {_PAIR_SUMS.format(a='(vt / nt)', b='(vc / nc)')}, effect - th * (xt - xc) AS adjusted_effect, sqrt(greatest(vt - 2 * th * kt + th * th * vxt, 0) / nt + greatest(vc - 2 * th * kc + th * th * vxc, 0) / nc) AS adjusted_std_error "
+        f"FROM (SELECT *, yt - yc AS effect FROM {_REPAIR}))), tested AS (SELECT *, {_t_p('t', 'df')} AS p_value FROM r) "
+    )
+
+
+ORACLES |= {
+    "assignment_shares": f"SELECT v AS variant, count(user_id) AS units FROM (SELECT unnest(['control', 'treatment', '__not_enrolled__']) AS v) LEFT JOIN (SELECT user_id, CASE WHEN h / {float(_M)} >= 0.8 THEN '__not_enrolled__' WHEN b < 5000 THEN 'control' ELSE 'treatment' END AS w FROM {_murmur('SELECT user_id, h % 10000 AS b FROM ' + _murmur(_UNITS, chr(39) + 'checkout:group:' + chr(39) + ' || user_id'), chr(39) + 'checkout:traffic:' + chr(39) + ' || user_id')}) ON w = v GROUP BY v",
+    "layer_routing": f"SELECT CASE WHEN p < 4000 THEN 'a' WHEN p < 7000 THEN 'b' END AS experiment, count(*) AS units FROM (SELECT h % 10000 AS p FROM {_murmur(_UNITS, chr(39) + 'ranking:' + chr(39) + ' || user_id')}) GROUP BY 1",
+    "hash_uniformity": f"SELECT salt, units, round(chi2, 4) AS chi2, round({_chi2_p('chi2', '99')}, 6) AS p_value FROM (SELECT salt, CAST(sum(n) AS BIGINT) AS units, sum(n * n) * 100.0 / sum(n) - sum(n) AS chi2 FROM (SELECT salt, h % 10000 // 100 AS cell, count(*) AS n FROM "
+    + _murmur(f"SELECT user_id, 'salt' || CAST(i AS VARCHAR) AS salt FROM ({_UNITS}), (SELECT unnest(range(0, 20)) AS i)", "salt || ':group:' || user_id")
+    + " GROUP BY 1, 2) GROUP BY salt)",
+    "rerandomised_effects": _resplit_rows(20) + f"SELECT experiment, salt, {_r4('effect', 'std_error', 'adjusted_effect', 'adjusted_std_error')}, round(p_value, 6) AS p_value FROM tested",
+    "rejection_convergence": _resplit_rows(40) + "SELECT CAST(row_number() OVER w AS INTEGER) AS replicates, round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0 END) OVER w, 6) AS rate FROM tested WHERE experiment = 'exp_a' WINDOW w AS (ORDER BY salt)",
+    "sample_ratio_replicates": f"WITH {CTES} SELECT salt AS experiment, CAST(a + b AS BIGINT) AS units, round(x, 4) AS chi2, round({_chi2_p('x', '1')}, 6) AS p_value FROM (SELECT *, power(a - b, 2) / (a + b) AS x FROM (SELECT salt, count(*) FILTER (arm = 'control') AS a, count(*) FILTER (arm = 'treatment') AS b FROM {_RESPLIT(_RE + ' WHERE experiment = ' + chr(39) + 'exp_a' + chr(39), 20)} GROUP BY salt))",
+}
+
+# ---- monitoring, and the quality gates ---------------------------------------------------
+
+
+def _monitor() -> str:
+    """The solved bounds are constants here; tests check them against their own definition."""
+    from veltrial.operators.sequential import boundaries
+
+    bound = f"list_extract({list(boundaries((0.2, 0.4, 0.6, 0.8, 1.0)))!r}, CAST(look AS BIGINT))"
+    rows = f"(SELECT *, effect / se AS z, abs(effect / se) >= {bound} AS crossed, {bound} AS boundary FROM look WHERE look <= 5)"
+    return sql(f"SELECT CAST(look AS INTEGER) AS look, experiment, 'treatment' AS variant, round(se, 4) AS std_error, {_r4('info', 'effect', 'boundary', 'z')}, crossed, bool_or(crossed) OVER (PARTITION BY experiment ORDER BY look) AS stopped, round(effect - boundary * se, 4) AS repeated_low, round(effect + boundary * se, 4) AS repeated_high FROM {rows}")
+
+
+#: What each checked table is in the common table expressions above.
+_CHECKED = {
+    "dwd_experiment_user": "dwd",
+    "dws_experiment_variant_daily": "dws",
+    "ads_experiment_result": "ads",
+    "ads_experiment_srm": "(SELECT *, power(user_cnt - expected_cnt, 2) / nullif(expected_cnt, 0) AS chi2_component FROM srm0)",
+    "dws_experiment_cluster_daily": "cluster_daily",
+    "dws_experiment_ratio_daily": "ratio_daily",
+    "ads_experiment_ratio_result": "(SELECT experiment, variant, n AS user_cnt, yy AS sum_yy, xx AS sum_xx FROM ratio)",
+    "dws_experiment_guardrail_daily": "guard_daily",
+    "ads_experiment_guardrail_result": "(SELECT experiment, guardrail, variant, n AS user_cnt, yy AS value_sq_sum FROM guard)",
+    "dws_experiment_covariate_daily": "cov_daily",
+    "ads_experiment_covariate_result": "(SELECT experiment, variant, n AS user_cnt, mm AS pre_metric_sq_sum, kk AS pre_cnt_sq_sum FROM cov)",
+    "guardrail_config": "dim_guardrail_config",
+}
+
+
+def _quality() -> str:
+    from veltrial.schemas import CONTRACTS
+
+    parts = []
+    for name, source in _CHECKED.items():
+        c = CONTRACTS[name]
+        checks = [(f"null_key:{k}", f"{k} IS NULL") for k in c.key] + [(f"null:{k}", f"{k} IS NULL") for k in c.required]
+        checks += [(f"enum:{k}", f"{k} IS NULL OR {k} NOT IN ({', '.join(map(repr, v))})") for k, v in c.enums.items()] + [(f"negative:{k}", f"{k} < 0") for k in c.non_negative]
+        parts += [f"SELECT '{name}' AS \"table\", '{label}' AS \"check\", count(*) FILTER ({bad}) AS bad FROM {source}" for label, bad in checks]
+        parts.append(f"SELECT '{name}', 'duplicate_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM {source} GROUP BY {', '.join(c.key)})")
+    return sql(" UNION ALL ".join(parts))
+
+
+ORACLES |= {"sequential_monitor": _monitor(), "quality_checks": _quality()}

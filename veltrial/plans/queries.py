@@ -21,8 +21,20 @@ def query(fn: Query) -> Query:
     return fn
 
 
+_KEPT: dict[tuple[str, str], Warehouse] = {}
+
+
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(events.sources(spark, sf_dir), events.METRIC_EVENT, events.WINDOW_DAYS, events.WINDOW_DAYS)
+    """The warehouse of a directory.  Its users and daily sums are kept by the
+    session, so that the join of exposures and events runs once for all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        for (app, _), old in _KEPT.items():
+            if app == key[0]:
+                old.release()
+        _KEPT.clear()
+        _KEPT[key] = Warehouse(events.sources(spark, sf_dir), events.METRIC_EVENT, events.WINDOW_DAYS, events.WINDOW_DAYS).keep()
+    return _KEPT[key]
 
 
 def rounded(frame: DataFrame, **digits: int) -> DataFrame:
@@ -110,11 +122,49 @@ def cuped_test(spark, sf_dir):
     return rounded(inference.balance(inference.with_test(inference.cuped(_pairs(spark, sf_dir)))), p_value=8)
 
 
+_COVARIATES = {"pre_metric": F.col, "pre_cnt": lambda c: F.col(c).cast("double")}
+
+
+def _cross_columns() -> dict:
+    return {c: make(c) for c, make in _COVARIATES.items()} | {"y": F.col("post_metric")}
+
+
 @query
 def multivariate_cuped(spark, sf_dir):
     users = warehouse(spark, sf_dir).dwd_experiment_user
-    columns = {"pre_metric": F.col("pre_metric"), "pre_cnt": F.col("pre_cnt").cast("double"), "y": F.col("post_metric")}
-    return inference.multivariate_theta(inference.cross_sums(users, ["experiment"], columns), ["pre_metric", "pre_cnt"])
+    got = inference.multivariate_theta(inference.cross_sums(users, ["experiment"], _cross_columns()), list(_COVARIATES))
+    thetas = [F.col("theta")[i].alias(f"theta_{c}") for i, c in enumerate(_COVARIATES)]
+    return rounded(got.select("experiment", *thetas, *got.columns[2:]), theta_pre_metric=6, variance_reduction=6, best_single_reduction=6, extra_reduction=6)
+
+
+@query
+def cross_fitted_cuped(spark, sf_dir):
+    """Five folds by the user's number."""
+    users = warehouse(spark, sf_dir).dwd_experiment_user.withColumn("fold", F.col("user_id").cast("long") % 5)
+    sums = inference.cross_sums(users, ["experiment", "fold"], _cross_columns())
+    return rounded(inference.cross_fitted_theta(sums, list(_COVARIATES)), variance_reduction=6)
+
+
+@query
+def two_proportions(spark, sf_dir):
+    """Share of users with a purchase after exposure."""
+    users = warehouse(spark, sf_dir).dwd_experiment_user
+    arms = users.groupBy(*ARM).agg(*inference.moments(F.when(F.col("post_cnt") > 0, 1.0).otherwise(0.0)))
+    names = ("effect", "std_error", "ci_low", "ci_high", "z_statistic", "p_value")
+    return rounded(inference.two_proportions(inference.contrasts(arms)), **dict.fromkeys(names, 6))
+
+
+@query
+def unit_ratio_gap(spark, sf_dir):
+    w = warehouse(spark, sf_dir)
+    delta = inference.ratio_delta(inference.contrasts(w.ads_experiment_ratio_result.withColumnRenamed("user_cnt", "n")))
+    return rounded(inference.ratio_gap(inference.unit_ratio(w.dwd_experiment_user, "post_metric", "post_cnt"), delta), relative_gap=6)
+
+
+@query
+def sample_ratio_info(spark, sf_dir):
+    counts = warehouse(spark, sf_dir).ads_experiment_result.select(*ARM, F.col("user_cnt").alias("n"))
+    return rounded(inference.srm_from_weights(counts), share=6)
 
 
 @query
@@ -153,6 +203,16 @@ def icc_components(spark, sf_dir):
     return rounded(clusters.icc(_clusters(spark, sf_dir)).select("experiment", "clusters", "units", "ms_between", "ms_within", "m0"), m0=6)
 
 
+@query
+def cluster_cuped_effect(spark, sf_dir):
+    return rounded(clusters.cluster_cuped(_clusters(spark, sf_dir)).select(*_TEST, "theta"), theta=6)
+
+
+@query
+def cluster_pass_through(spark, sf_dir):
+    return clusters.pass_through(warehouse(spark, sf_dir).dwd_experiment_user, "exp_")
+
+
 @query
 def mixed_clusters(spark, sf_dir):
     return clusters.mixed_clusters(_clusters(spark, sf_dir))
@@ -160,7 +220,10 @@ def mixed_clusters(spark, sf_dir):
 
 @query
 def wild_bootstrap(spark, sf_dir):
-    return rounded(clusters.wild_cluster_bootstrap(_clusters(spark, sf_dir).where(F.col("experiment") == "exp_city"), n_bootstrap=999, seed=7))
+    """Of the experiments whose clusters each hold one arm: the others aren't randomised by cluster."""
+    totals = _clusters(spark, sf_dir)
+    mixed = clusters.mixed_clusters(totals).select("experiment").distinct()
+    return rounded(clusters.wild_cluster_bootstrap(totals.join(mixed, "experiment", "left_anti"), n_bootstrap=999, seed=7))
 
 
 def _harm(spark, sf_dir) -> DataFrame:
@@ -186,8 +249,21 @@ def cumulative_looks(spark, sf_dir):
     return rounded(looks.cumulative(warehouse(spark, sf_dir).dws_experiment_variant_daily))
 
 
-def _look_effects(spark, sf_dir) -> DataFrame:
-    return report.look_effects(warehouse(spark, sf_dir).dws_experiment_variant_daily, 5).drop("variant")
+def _look_effects(spark, sf_dir, estimator: str = "post_only") -> DataFrame:
+    return report.look_effects(warehouse(spark, sf_dir).dws_experiment_variant_daily, 5, estimator=estimator)
+
+
+@query
+def cuped_looks(spark, sf_dir):
+    """Adjusted effect at each look, theta estimated anew."""
+    return rounded(_look_effects(spark, sf_dir, "cuped"), info=6)
+
+
+@query
+def look_problems(spark, sf_dir):
+    w = warehouse(spark, sf_dir)
+    counts = clusters.cluster_counts(_clusters(spark, sf_dir))
+    return looks.look_problems(looks.look_arms(w.dws_experiment_variant_daily, 5), counts)
 
 
 @query
@@ -199,7 +275,7 @@ def look_picks(spark, sf_dir):
 @query
 def msprt_path(spark, sf_dir):
     path = sequential.always_valid_path(_look_effects(spark, sf_dir), tau=20.0)
-    return rounded(path.select("experiment", "look", "effect", "std_error", "p", "always_valid_p"), p=6, always_valid_p=6)
+    return rounded(path.select("experiment", "variant", "look", "effect", "std_error", "p", "always_valid_p"), p=6, always_valid_p=6)
 
 
 @query
@@ -273,6 +349,61 @@ def users_without_exposure(spark, sf_dir):
     return traffic.users_without_exposure(s["event_log"], s["exposure_log"].where(F.col("experiment") == "exp_city"))
 
 
+@query
+def users_of_both_halves(spark, sf_dir):
+    """Events of the first half of the month by users that the second half knows too."""
+    log = events.sources(spark, sf_dir)["event_log"]
+    half = F.dayofmonth("ds") <= 15
+    return rounded(traffic.users_of_both(log.where(half), log.where(~half)).groupBy("event_name").agg(F.count("*").alias("rows"), F.sum("metric_value").alias("value")))
+
+
+@query
+def days_since_first_seen(spark, sf_dir):
+    seen = traffic.first_seen(events.sources(spark, sf_dir)["event_log"])
+    return seen.groupBy(F.datediff("ds", "first_ds").alias("day")).agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"))
+
+
+@query
+def median_split(spark, sf_dir):
+    """Users above the median of their arm before exposure."""
+    split = traffic.split_by_median(warehouse(spark, sf_dir).dwd_experiment_user, "pre_metric", ARM)
+    return rounded(split.groupBy(*ARM).agg(F.max("median").alias("median"), F.count_if("above").alias("above"), F.count("*").alias("users")))
+
+
+@query
+def live_shares(spark, sf_dir):
+    return rounded(traffic.live_shares(warehouse(spark, sf_dir).dwd_experiment_user), live_share=6)
+
+
+@query
+def declared_lifts(spark, sf_dir):
+    return traffic.declared_lifts(events.sources(spark, sf_dir)["experiment_config"])
+
+
+@query
+def list_experiments(spark, sf_dir):
+    s = events.sources(spark, sf_dir)
+    return traffic.list_experiments(s["exposure_log"], s["experiment_config"], s["guardrail_config"])
+
+
+@query
+def retried_exposures(spark, sf_dir):
+    """First exposures are the same with a tenth of the log sent again later."""
+    from veltrial.plans.warehouse import first_exposures
+
+    log = events.sources(spark, sf_dir)["exposure_log"]
+    again = traffic.repeat_exposures(log, 0.1, 30)
+    return first_exposures(again).groupBy(*ARM).agg(F.count("*").alias("users"), F.min("expose_ts").alias("first_ts"), F.max("expose_ts").alias("last_ts"))
+
+
+@query
+def switched_arms(spark, sf_dir):
+    """Users that a deliberately broken split shows both arms of an experiment."""
+    s = events.sources(spark, sf_dir)["event_log"]
+    broken = s.select(F.lit("broken").alias("experiment"), F.when(F.dayofmonth("ds") % 2 == 0, "control").otherwise("treatment").alias("variant"), "user_id")
+    return quality.arm_switchers(broken)
+
+
 @query
 def arm_switchers(spark, sf_dir):
     return quality.arm_switchers(warehouse(spark, sf_dir).dwd_experiment_user)
@@ -366,7 +497,7 @@ def did_group_time(spark, sf_dir):
 
 @query
 def did_event_study(spark, sf_dir):
-    """Effects by period since treatment under five estimators."""
+    """Effects by period since treatment under three estimators."""
     m = panel.moments(order_panel(spark, sf_dir))
     cells = panel.group_time(m)
     named = [("group_time", k, f) for k, f in panel.event_study(cells).items()] + [("group_time_overall", None, panel.overall(cells))]
@@ -374,9 +505,30 @@ def did_event_study(spark, sf_dir):
     named += [("interaction_weighted", k, f) for k, f in by_k.items()] + [("interaction_weighted_overall", None, total)]
     plus, minus = panel.switchers(m)
     named += [("switchers", 0, plus), ("switchers_placebo", -1, minus)]
-    rows = [{"estimator": e, "k": k} | panel.estimate(f, m) for e, k, f in named]
-    rows += [{"estimator": "imputation", "k": k, "effect": e, "std_error": None, "p_value": None, "ci_low": None, "ci_high": None} for k, (e, _) in panel.imputation(m).items()]
-    return rounded(_rows(spark, rows, "estimator string, k int, effect double, std_error double, p_value double, ci_low double, ci_high double"))
+    rows = [{"estimator": e, "k": "all" if k is None else str(k)} | panel.estimate(f, m) for e, k, f in named]
+    return rounded(_rows(spark, rows, "estimator string, k string, effect double, std_error double, p_value double, ci_low double, ci_high double"), p_value=8)
+
+
+@query
+def did_imputation(spark, sf_dir):
+    """Gaps to the imputed outcome without treatment, with the influence of every unit."""
+    m = panel.moments(order_panel(spark, sf_dir))
+    rows = [{"k": k} | panel.estimate(f, m) for k, f in panel.imputation_effects(m).items()]
+    return rounded(_rows(spark, rows, "k int, effect double, std_error double, p_value double, ci_low double, ci_high double"))
+
+
+@query
+def did_saturated_regression(spark, sf_dir):
+    m = panel.moments(order_panel(spark, sf_dir))
+    by_k, total = panel.sun_abraham_regression(m)
+    rows = [{"k": str(k)} | panel.estimate(f, m) for k, f in [*by_k.items(), ("all", total)]]
+    return rounded(_rows(spark, rows, "k string, effect double, std_error double, p_value double, ci_low double, ci_high double"), p_value=8)
+
+
+@query
+def did_trend_breakdown(spark, sf_dir):
+    b = panel.trend_breakdown(panel.moments(order_panel(spark, sf_dir)))
+    return rounded(_rows(spark, [b], "effect double, linear_breakdown double, relative_magnitude_breakdown double, smoothness_observed double"), relative_magnitude_breakdown=6)
 
 
 @query
@@ -463,13 +615,123 @@ def effect_by_group(spark, sf_dir):
     return rounded(targeting.effect_by_group(g, "score", "id", 4))
 
 
+@query
+def score_ceiling(spark, sf_dir):
+    """Areas under the curve of the score that ranks as the outcome does, and of a constant one."""
+    g = _scored(spark, sf_dir).withColumn("perfect", targeting.scaled_perfect("y", 2.0))
+    flat = targeting.constant_prediction(g, "y", "flat")
+    area = lambda f, c: targeting.auuc(targeting.qini_curve(f, y="y", treatment="d", score=c, id_column="id")).select(F.lit(c).alias("score"), "auuc")
+    return rounded(area(g, "perfect").unionByName(area(flat, "flat")), auuc=1)
+
+
+def _gamma(spark, sf_dir) -> DataFrame:
+    return _scored(spark, sf_dir).withColumn("gamma", F.col("d") * F.col("y") / 0.5 - (1 - F.col("d")) * F.col("y") / 0.5)
+
+
+@query
+def policy_bounds(spark, sf_dir):
+    """Values of treating all, none, and whoever's own score is positive."""
+    g = _gamma(spark, sf_dir)
+    rules = {"all": targeting.constant_rule(True), "none": targeting.constant_rule(False), "positive": targeting.positive_score()}
+    parts = [targeting.policy_value(g, rule).select(F.lit(name).alias("policy"), "value", "std_error", "share") for name, rule in rules.items()]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), share=6)
+
+
+@query
+def policy_learner(spark, sf_dir):
+    got = targeting.policy_learner(_gamma(spark, sf_dir), ["score", "y"], "id", depth=2, n_grid=8)
+    got["rules"] = "; ".join(f"{c} {'>' if above else '<'} {cut:g}" for c, cut, above in got["rules"])
+    return rounded(_rows(spark, [got], "rules string, in_sample double, share double, value double, std_error double, optimism double"))
+
+
+@query
+def conformal_intervals(spark, sf_dir):
+    """Width and coverage of intervals around two plain outcome models, calibrated on even ids."""
+    f = _scored(spark, sf_dir).withColumn("mu1", 150000 + F.col("score")).withColumn("mu0", F.lit(150000.0)).withColumn("propensity", 0.25 + F.col("id") % 3 / 4.0)
+    out = targeting.conformal_intervals(f, y="y", d="d", mu1="mu1", mu0="mu0", propensity="propensity", calibrate=F.col("id") % 2 == 0, alpha=0.1)
+    return rounded(out.groupBy("d").agg(F.count("*").alias("units"), F.avg(F.col("effect_high") - F.col("effect_low")).alias("width"), F.avg("effect_low").alias("mean_low"), F.avg("effect_high").alias("mean_high")))
+
+
+def _trial(spark, sf_dir) -> DataFrame:
+    """Orders as a trial: two features, a split that doesn't look at them."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice").cast("double") / 1000).alias("y"), (F.col("o_custkey") % 2).cast("double").alias("d"), (F.col("o_orderkey") * 7919 % 1000 / 1000).alias("a"), (F.month("o_orderdate") / 12).alias("b"))
+
+
+def _linear():
+    from pyspark.ml.regression import LinearRegression
+
+    return LinearRegression(solver="normal")
+
+
+def _effects(scored: DataFrame) -> DataFrame:
+    return rounded(scored.agg(F.avg("cate").alias("mean"), F.min("cate").alias("low"), F.max("cate").alias("high")))
+
+
+@query
+def s_learner(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return _effects(heterogeneity.s_learner(_trial(spark, sf_dir), y="y", d="d", features=["a"], learner=_linear))
+
+
+@query
+def t_learner(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return _effects(heterogeneity.t_learner(_trial(spark, sf_dir), y="y", d="d", features=["a"], learner=_linear))
+
+
+@query
+def x_learner(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return _effects(heterogeneity.x_learner(_trial(spark, sf_dir), y="y", d="d", features=["a"], learner=_linear))
+
+
+def _nuisances(spark, sf_dir) -> DataFrame:
+    from veltrial.operators import heterogeneity
+
+    return heterogeneity.nuisances(_trial(spark, sf_dir), y="y", d="d", features=["a"], id_column="id", n_folds=2, learner=_linear, fold=F.col("id") % 2)
+
+
+@query
+def dml_effect(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return rounded(_rows(spark, [heterogeneity.dml_effect(_nuisances(spark, sf_dir), "y", "d")], "effect double, std_error double, n long"))
+
+
+@query
+def r_learner(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return _effects(heterogeneity.r_learner(_nuisances(spark, sf_dir), y="y", d="d", features=["a"], learner=_linear))
+
+
+@query
+def dr_learner(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return _effects(heterogeneity.dr_learner(_nuisances(spark, sf_dir), y="y", d="d", features=["a"], learner=_linear))
+
+
+@query
+def plugin_effect(spark, sf_dir):
+    from veltrial.operators import heterogeneity
+
+    return rounded(_rows(spark, [{"effect": heterogeneity.plugin_effect(_trial(spark, sf_dir), "y", "d", ["a", "b"])}], "effect double"))
+
+
 @query
 def rerandomised_effects(spark, sf_dir):
     from veltrial.operators import simulate
 
-    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'")
-    salts = spark.createDataFrame([(f"s{i}",) for i in range(20)], "salt string")
-    return rounded(simulate.rerandomise(users, salts), p_value=6)
+    return rounded(simulate.rerandomise(warehouse(spark, sf_dir).dwd_experiment_user, _salts(spark, 20)), p_value=6)
+
+
+def _salts(spark, n: int) -> DataFrame:
+    return spark.createDataFrame([(f"s{i:03d}",) for i in range(n)], "salt string")
 
 
 # ---- calibration ---------------------------------------------------------------------
@@ -477,21 +739,45 @@ def rerandomised_effects(spark, sf_dir):
 
 @query
 def aa_calibration(spark, sf_dir):
+    """False rejections over splits of exp_a's users anew: a split has one experiment's users."""
     from veltrial.operators import simulate
 
-    t = simulate.aa_trials(spark, 400, 500, seed=11)
-    hits = t.select(F.explode(F.array(F.struct(F.lit("plain").alias("test"), (F.col("p_value") < 0.05).alias("hit")), F.struct(F.lit("adjusted").alias("test"), (F.col("adjusted_p_value") < 0.05).alias("hit")))).alias("r")).select("r.*")
-    return rounded(simulate.wilson(hits, "hit", by=("test",)))
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'")
+    return rounded(simulate.split_calibration(users, _salts(spark, 100)))
+
+
+@query
+def cluster_calibration(spark, sf_dir):
+    from veltrial.operators import simulate
+
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_city'")
+    return rounded(simulate.cluster_calibration(users, _salts(spark, 60)))
 
 
 @query
 def stopping_rules(spark, sf_dir):
     from veltrial.operators import simulate
 
-    rules = ["naive", "fixed", "sequential", "always_valid"]
-    t = simulate.stopping_trials(spark, 2000, seed=5)
-    hits = t.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hit")) for r in rules])).alias("r")).select("r.*")
-    return rounded(simulate.wilson(hits, "hit", by=("rule",)))
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'")
+    return rounded(simulate.stopping_calibration(users, _salts(spark, 100)))
+
+
+@query
+def rejection_convergence(spark, sf_dir):
+    from veltrial.operators import simulate
+
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'")
+    hits = simulate.rerandomise(users, _salts(spark, 40)).withColumn("hit", F.col("p_value") < 0.05)
+    return rounded(simulate.convergence(hits, "hit", "salt"), rate=6)
+
+
+@query
+def sample_ratio_replicates(spark, sf_dir):
+    from veltrial.operators import simulate
+
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'").select("user_id")
+    counts = simulate.resplit(users, _salts(spark, 20)).groupBy(*ARM).agg(F.count("*").alias("n")).withColumn("design_weight", F.lit(0.5))
+    return rounded(simulate.sample_ratio_replicates(counts, "s0"), p_value=6)
 
 
 @query
@@ -505,7 +791,7 @@ def hash_uniformity(spark, sf_dir):
 
 @query
 def synthetic_control(spark, sf_dir):
-    """Yearly revenue of market segments and nations as units of a small panel."""
+    """Yearly revenue of nations as units of a small panel; the last year, cut off in August, is left out."""
     from veltrial.operators import synthetic
 
     c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("unit"))

@@ -9,10 +9,12 @@ from veltrial.operators import guardrails, inference, looks, sequential
 from veltrial.plans.warehouse import Warehouse
 
 
-def look_effects(daily: DataFrame, n_looks: int, control: str = "control") -> DataFrame:
-    """experiment, look, info, effect, std_error of the picked looks."""
+def look_effects(daily: DataFrame, n_looks: int, control: str = "control", estimator: str = "post_only") -> DataFrame:
+    """experiment, variant, look, info, effect, std_error of the picked looks;
+    ``cuped`` estimates theta anew at each look."""
     arms = looks.look_arms(daily, n_looks).where("n > 1").withColumn("experiment", F.struct("experiment", "look", "info"))
-    rows = inference.welch(inference.contrasts(arms.drop("look", "info", "ds"), control))
+    pairs = inference.contrasts(arms.drop("look", "info", "ds"), control)
+    rows = {"post_only": inference.welch, "cuped": inference.cuped}[estimator](pairs)
     return rows.select("experiment.*", "variant", "effect", "std_error")
 
 
@@ -27,8 +29,8 @@ def experiment_report(warehouse: Warehouse, *, control: str = "control", alpha:
     harm = guardrails.guardrail_harm(warehouse.ads_experiment_guardrail_result, warehouse.sources["guardrail_config"], control=control)
     rails = guardrails.experiment_verdict(guardrails.verdicts(harm, alpha)).select("experiment", F.col("verdict").alias("guardrails"))
     path = sequential.always_valid_path(look_effects(warehouse.dws_experiment_variant_daily, n_looks, control), tau, alpha)
-    valid = path.groupBy("experiment").agg(F.min("p").alias("always_valid_p"))
-    rows = adjusted.join(plain, ["experiment", "variant"]).join(ratio, "experiment", "left").join(rails, "experiment", "left").join(valid, "experiment", "left")
+    valid = path.groupBy("experiment", "variant").agg(F.min("p").alias("always_valid_p"))
+    rows = adjusted.join(plain, ["experiment", "variant"]).join(ratio, "experiment", "left").join(rails, "experiment", "left").join(valid, ["experiment", "variant"], "left")
     rows = rows.withColumn("guardrails", F.coalesce("guardrails", F.lit("unknown"))).withColumn("covariate_shift", F.col("theta") * F.col("pre_gap"))
     bad = (F.col("sample_ratio") == "fail") | (F.col("guardrails") == "stop")
     odd = (F.col("sample_ratio") == "warn") | (F.col("guardrails") == "watch") | (F.col("balance") == "warn")

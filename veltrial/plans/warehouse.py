@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,6 +241,20 @@ class Warehouse:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.TABLES}
 
+    #: Layers that others are built from.
+    KEPT = ("dwd_experiment_user", "dws_experiment_variant_daily", "dws_experiment_cluster_daily", "dws_experiment_guardrail_daily")
+
+    def keep(self) -> Warehouse:
+        """Let the session keep the layers that others are built from, once they
+        are computed (on disk where memory is short; a lost part is computed again)."""
+        for name in self.KEPT:
+            self.__dict__[name] = getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def release(self) -> None:
+        for name in self.KEPT:
+            self.__dict__.pop(name).unpersist()
+
     def write(self, target: str) -> Warehouse:
         """Store every table as Parquet, users first, each later layer read from
         what was stored, so that the large join runs once."""

@@ -94,6 +94,51 @@ def repeated_exposures(exposure_log: DataFrame) -> DataFrame:
     return exposure_log.groupBy("experiment", "variant", "user_id").agg(F.count("*").alias("n")).groupBy("experiment").agg((F.sum("n") - F.count("*")).alias("repeats"))
 
 
+def repeat_exposures(exposure_log: DataFrame, share: float = 0.1, minutes: int = 30) -> DataFrame:
+    """The log and a share of its rows again, later: what a client that retries
+    sends.  The rows are chosen by a hash, so a retried task chooses the same."""
+    chosen = F.pmod(F.xxhash64("experiment", "variant", "user_id", "ts"), F.lit(10_000)) < int(share * 10_000)
+    again = exposure_log.where(chosen).withColumn("ts", F.col("ts") + F.make_dt_interval(mins=F.lit(minutes))).withColumn("ds", F.to_date("ts"))
+    return exposure_log.unionByName(again)
+
+
+def first_seen(event_log: DataFrame) -> DataFrame:
+    """Events with the first day of their user."""
+    return event_log.join(event_log.groupBy("user_id").agg(F.min("ds").alias("first_ds")), "user_id")
+
+
+def users_of_both(event_log: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of users that another log knows too."""
+    return event_log.join(other.select("user_id").distinct(), "user_id", "left_semi")
+
+
+def split_by_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Adds the exact median of each group, and whether a row is above it."""
+    middle = rows.groupBy(*by).agg(F.median(value).alias("median"))
+    return rows.join(middle, by).withColumn("above", F.col(value) > F.col("median"))
+
+
+def declared_lifts(config: DataFrame) -> DataFrame:
+    """Arms of each experiment, and those whose true lift is declared."""
+    return config.groupBy("experiment").agg(F.count("*").alias("arms"), F.count("true_lift").alias("declared"))
+
+
+def live_shares(users: DataFrame) -> DataFrame:
+    """Share of users with anything measured after exposure: an arm at 0 has no data, not no effect."""
+    live = F.when(F.col("post_metric") > 0, 1).otherwise(0)
+    return users.groupBy("experiment", "variant").agg(F.count("*").alias("users"), F.sum(live).alias("live"), F.avg(live).alias("live_share"))
+
+
+def list_experiments(exposure_log: DataFrame, config: DataFrame, guardrails: DataFrame) -> DataFrame:
+    """Every experiment with its layer, arms, days and users; those with
+    guardrails first, then the larger."""
+    seen = exposure_log.groupBy("experiment").agg(F.countDistinct("variant").alias("arms"), F.countDistinct("user_id").alias("users"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
+    declared = config.groupBy("experiment").agg(F.any_value("layer").alias("layer"))  # one layer an experiment
+    rails = guardrails.groupBy("experiment").agg(F.max(F.when(F.col("max_harm").isNotNull(), 1).otherwise(0)).alias("has_guardrails"))
+    rows = seen.join(declared, "experiment", "left").join(rails, "experiment", "left")
+    return rows.select("experiment", "layer", "arms", "users", "first_ds", "last_ds", F.coalesce("has_guardrails", F.lit(0)).alias("has_guardrails")).orderBy(F.desc("has_guardrails"), F.desc("users"), "experiment")
+
+
 @dataclass
 class IngestReport:
     rows: dict[str, int]

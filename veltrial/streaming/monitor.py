@@ -49,8 +49,8 @@ def request_counts(requests: DataFrame, window: str = "60 seconds", delay: str =
 
 
 def always_valid_monitor(looks: DataFrame, tau: float, alpha: float = 0.05) -> DataFrame:
-    """looks(experiment, look, effect, std_error) as they come: the running
-    least p-value of each experiment, kept as state of one number."""
+    """looks(experiment, variant, look, effect, std_error) as they come: the running
+    least p-value of each arm, kept as state of one number."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -62,8 +62,8 @@ def always_valid_monitor(looks: DataFrame, tau: float, alpha: float = 0.05) -> D
                 v = r.std_error**2
                 ratio = np.sqrt(v / (v + tau**2)) * np.exp(r.effect**2 * tau**2 / (2 * v * (v + tau**2)))
                 best = min(best, 1 / ratio if ratio > 1 else 1.0)
-                out.append([key[0], int(r.look), float(best), bool(best <= alpha)])
+                out.append([*key, int(r.look), float(best), bool(best <= alpha)])
         state.update((float(best),))
-        yield pd.DataFrame(out, columns=["experiment", "look", "always_valid_p", "rejected"])
+        yield pd.DataFrame(out, columns=["experiment", "variant", "look", "always_valid_p", "rejected"])
 
-    return looks.groupBy("experiment").applyInPandasWithState(update, "experiment string, look int, always_valid_p double, rejected boolean", "best double", "append", GroupStateTimeout.NoTimeout)
+    return looks.groupBy("experiment", "variant").applyInPandasWithState(update, "experiment string, variant string, look int, always_valid_p double, rejected boolean", "best double", "append", GroupStateTimeout.NoTimeout)
