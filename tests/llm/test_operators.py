@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veltrial.llm import decontaminate, html, jaccard, language, packing, quality, secrets, sharding, suffixes, vectors
+from veltrial.llm import common, decontaminate, html, jaccard, language, packing, quality, secrets, sharding, suffixes, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, range string, n string, block string, token string, part string, shard string, _n string, component string"
 LINE = "The quick brown fox jumps over the lazy dog near the riverbank while seven wizards quietly box in the fog. "
@@ -118,6 +118,57 @@ def test_jaccard_components(docs, empty, width, percent):
     assert rows(jaccard.link_documents(empty, width, percent)) == []
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_all_small_set_sizes(spark, percent):
+    """Sets of 1 to 40 shingles beside one with one more, against brute force."""
+    data = []
+    for n in range(1, 41):
+        w = [f"s{n}w{i}" for i in range(n + 4)]
+        data += [(10 * n, " ".join(w[:-1])), (10 * n + 1, " ".join(w)), (10 * n + 2, " ".join(w[2:]))]
+    sets = {i: shingles(t, 4) for i, t in data}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and a // 10 == b // 10 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted(((i, len(s), find(i)) for i, s in sets.items()), key=str)
+    assert rows(jaccard.link_documents(spark.createDataFrame(data, "doc_id long, text string"), 4, percent)) == want
+
+
+@pytest.mark.parametrize("data", [[(1, "a b c d e f")], [(1, "a b c d e f"), (2, "g h i j k l")], [(1, "a"), (2, "a")], [(1, "a b c d e"), (2, "a b c d e"), (3, None)], [(None, None)]])
+def test_tiny_tables(spark, data):
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    first = {}
+    for i, t in data:
+        first.setdefault(t, i)
+    want = sorted(((i, len(shingles(t, 4)), first[t] if t else i) for i, t in data), key=str)
+    assert rows(jaccard.link_documents(df, 4, 85)) == want
+    assert [r[0] for r in rows(suffixes.remove_repeats(df))] == [i for i, _ in sorted(data, key=str)]
+
+
+def test_a_line_in_every_document(spark):
+    """A hot passage: its shingles and suffixes stand in all documents."""
+    rng = np.random.default_rng(16)
+    line = "this line of sixty bytes or so stands in each of the texts here"
+    prose = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 30)) for _ in range(300)]
+    data = [(i, f"{p} {line} {q}") for i, (p, q) in enumerate(zip(prose, prose[1:] + prose[:1], strict=True))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(jaccard.link_documents(df, 4, 20))
+    sets = [shingles(t, 4) for _, t in data]
+    assert {r[1] for r in got} == {len(s) for s in sets}
+    link = [100 * len(sets[i] & sets[(i + 1) % 300]) >= 20 * len(sets[i] | sets[(i + 1) % 300]) for i in range(300)]
+    assert all(link) and {r[2] for r in got} == {0}
+    assert {r[2] for r in rows(jaccard.link_documents(df, 4, 85))} == set(range(300))
+    removed = {r["doc_id"]: r for r in suffixes.remove_repeats(df).collect()}
+    assert removed[0]["n_removed"] == 0 and all(removed[i]["n_removed"] >= len(line) for i in range(1, 300))
+
+
 @pytest.mark.parametrize(("width", "percent", "n"), [(4, 85, 6), (5, 80, 4), (2, 50, 1)])
 def test_smallest_sets_link_with_a_superset_of_one_more(spark, width, percent, n):
     word = lambda k, m: " ".join(f"{k}{i}" for i in range(m))
@@ -215,9 +266,12 @@ def test_proximity_matches_keep_to_their_document(spark):
 
 
 def test_position_gaps_round_trip():
-    gap = np.array([0, 1, 127, 128, 255, 16383, 16384, 2**21, 2**31], np.int64)
-    packed, _ = decontaminate.pack_gaps(gap)
-    assert decontaminate.unpack_gaps(packed).tolist() == gap.tolist()
+    rng = np.random.default_rng(15)
+    for gap in (np.array([0, 1, 127, 128, 255, 16383, 16384, 2**21, 2**31, 2**42 - 1], np.int64), np.zeros(0, np.int64), np.array([2**40]), rng.integers(0, 2**30, 5000), rng.integers(2**21, 2**27, 500)):
+        packed, _ = common.pack_gaps(gap)
+        assert common.unpack_gaps(packed).tolist() == gap.tolist()
+    values = np.sort(rng.integers(0, 2**40, 3000))
+    assert common.unpack_ascending(common.pack_ascending(values)).tolist() == values.tolist()
 
 
 def test_packing(docs, empty):

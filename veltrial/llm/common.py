@@ -101,6 +101,50 @@ def rows_of(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, points, "right") - 1
 
 
+#: Most bytes of a packed number: 42 bits.
+_GAP_BYTES = 6
+
+
+def pack_gaps(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Base-128 bytes of non-negative numbers below 2^42, and where each number begins."""
+    gap = gap.astype(np.int64)
+    width = np.ones(len(gap), np.int64)
+    for k in range(1, _GAP_BYTES):
+        width += gap >= 1 << (7 * k)
+    first = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    most = int(width.max(initial=1))
+    for k in range(most):
+        if k and not (width > k).all():
+            has = np.flatnonzero(width > k)
+            out[first[has] + k] = ((gap[has] >> (7 * k)) & 127) | ((width[has] > k + 1) << 7)
+        else:
+            out[first + k] = ((gap >> (7 * k)) & 127) | ((width > k + 1) << 7)
+    return out, first
+
+
+def unpack_gaps(raw: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(raw < 128)
+    if not len(last):
+        return np.zeros(0, np.int64)
+    first = np.concatenate(([0], last[:-1] + 1))
+    width = last - first + 1
+    out = (raw[first] & 127).astype(np.int64)
+    for k in range(1, int(width.max())):
+        has = np.flatnonzero(width > k)
+        out[has] |= (raw[first[has] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Ascending numbers below 2^42 as packed differences."""
+    return pack_gaps(np.diff(values.astype(np.int64), prepend=0))[0].tobytes()
+
+
+def unpack_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_gaps(np.frombuffer(data, np.uint8)))
+
+
 def binary_list(parts: list[np.ndarray]) -> pa.Array:
     """One binary value for each numpy array."""
     return pa.array([p.tobytes() for p in parts], pa.binary())

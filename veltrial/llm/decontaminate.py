@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import TextBlock, released, rows_of, shared_checkpoint, table, task_key, text_blocks, words
+from veltrial.llm.common import TextBlock, pack_gaps, released, rows_of, shared_checkpoint, table, task_key, text_blocks, unpack_gaps, words
 
 WINDOW = 13
 #: A document is contaminated when at least one in this many of its words is hit.
@@ -104,26 +104,6 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phr
 INDEX_SCHEMA = "segment long, term int, n long, postings binary, doc_ids binary"
 
 
-def pack_gaps(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Base-128 bytes of non-negative numbers, and where each number begins."""
-    width = np.ones(len(gap), np.int64)
-    for k in range(1, 5):
-        width += gap >= 1 << (7 * k)
-    first = np.cumsum(width) - width
-    out = np.zeros(int(width.sum()), np.uint8)
-    for k in range(5):
-        has = width > k
-        out[first[has] + k] = ((gap[has] >> (7 * k)) & 127) | ((width[has] > k + 1) << 7)
-    return out, first
-
-
-def unpack_gaps(raw: np.ndarray) -> np.ndarray:
-    last = np.flatnonzero(raw < 128)
-    first = np.concatenate(([0], last[:-1] + 1))
-    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
-
-
 def _index(vocabulary: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = task_key()

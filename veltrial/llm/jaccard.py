@@ -4,7 +4,8 @@ Sets are the distinct word shingles of a text, as 64-bit hashes; two link when
 100 * intersection >= percent * union.
 
 1. Postings.  Blocks of documents send each distinct shingle, packed, to one of
-   2^b token ranges; a set that occurs again in its block is sent once.
+   2^b token ranges; a set that occurs again in its block is sent once, and so is
+   a shingle that HOT sets of the block have, with their number.
 2. Token ranges find each shingle's document frequency.  A shingle of one
    document can be in no intersection, so only the others go back, packed, to
    their block, with their frequency.
@@ -39,13 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import U64, mix64, release, released, rows_of, shared_checkpoint, table, task_key, text_blocks, words
+from veltrial.llm.common import U64, mix64, pack_ascending, release, released, rows_of, shared_checkpoint, table, task_key, text_blocks, unpack_ascending, words
 from veltrial.llm.components import connected_components
 
 #: Words of a shingle and percentage of the union, unless the caller says otherwise.
 WORDS, PERCENT = 5, 80
 #: Postings of a block, documents of a block (their numbers take 16 bits), and postings a token range should hold.
 BLOCK_TOKENS, BLOCK_DOCS, RANGE_TOKENS = 1 << 20, 1 << 15, 1 << 21
+#: Sets of a block from which on a shingle's list of sets stays with the block.
+HOT, SEE_HEAD = 16, 0xFFFF
 GROUP_CLASSES = 256
 
 IS_WORD = np.ones(256, bool)
@@ -92,19 +95,34 @@ def set_digests(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarr
     return n, one.view(np.int64), two.view(np.int64)
 
 
-POSTINGS = "block long, range int, n long, data binary, doc_id binary"
+POSTINGS = "block long, range int, n long, tokens binary, rows binary, doc_id binary"
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["block", "range", "n", "tokens", "rows", "doc_id"]
 
 
-def _pack(block: int, bits: int, row: np.ndarray, token: np.ndarray) -> Iterator[tuple]:
-    """A row for each token range: 256 cell counts, then the low 32 bits and the document numbers."""
-    order = np.argsort(token)
+def _pack(block: int, bits: int, row: np.ndarray, token: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """A row for each token range: the shingles, 40 bits of each, as packed
+    differences; the set of each, or SEE_HEAD; and the number of sets of those.
+    Beside them, the sets of the hot shingles, back to back, and their numbers."""
+    order = np.argsort(token, kind="stable")
     token, row = token[order], row[order].astype("<u2")
+    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(token)))
+    hot = np.repeat(times >= HOT, times)
+    stays, sizes = row[hot], times[times >= HOT]
+    sent = ~hot
+    sent[first] = True
+    row = np.where(hot, SEE_HEAD, row)[sent].astype("<u2")
+    token = token[sent]
     ranges = (token >> U64(64 - bits)).astype(np.int64)
     edge = np.flatnonzero(np.diff(ranges, prepend=-1))
+    out, at = [], 0
     for a, b in zip(edge, [*edge, len(token)][1:], strict=True):
-        t = token[a:b] >> U64(64 - bits - 40)
-        cells = np.bincount(((t >> U64(32)) & U64(255)).astype(np.int64), minlength=256).astype("<u4")
-        yield block, int(ranges[a]), b - a, cells.tobytes() + (t & U64(0xFFFFFFFF)).astype("<u4").tobytes() + row[a:b].tobytes(), None
+        t = (token[a:b] >> U64(64 - bits - 40)) & U64((1 << 40) - 1)
+        n_hot = int((row[a:b] == SEE_HEAD).sum())
+        out.append((block, int(ranges[a]), int(b - a), pack_ascending(t), row[a:b].tobytes() + sizes[at : at + n_hot].astype("<u4").tobytes(), None))
+        at += n_hot
+    return out, stays, sizes
 
 
 def _postings(bits: int, width: int) -> Callable:
@@ -118,15 +136,16 @@ def _postings(bits: int, width: int) -> Callable:
             n, one, two = (np.concatenate([r[k] for r in rows]) for k in (2, 3, 4))
             ids_ = pa.concat_arrays(ids).cast(pa.int64())
             known = ids_.is_valid().to_numpy(zero_copy_only=False)
-            head = np.concatenate([n, one, two, known.astype(np.int64), ids_.fill_null(0).to_numpy(zero_copy_only=False)])
             _, first = np.unique(np.stack([n, one, two]), axis=1, return_index=True)
             sent = np.zeros(count, bool)
             sent[first] = True
             keep = sent[row]
+            packed, stays, sizes = _pack(block, bits, row[keep], token[keep])
+            head = np.concatenate([n, one, two, known.astype(np.int64), ids_.fill_null(0).to_numpy(zero_copy_only=False), sizes])
             # the block's head goes through one of the token ranges, so that the texts are read once
-            out = [(block, block % (1 << bits), count, None, head.tobytes()), *_pack(block, bits, row[keep], token[keep])]
+            out = [(block, block % (1 << bits), count, None, stays.tobytes(), head.tobytes()), *packed]
             block, rows, held, count, ids = block + 1, [], 0, 0, []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "range", "n", "data", "doc_id"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
             for b in text_blocks(batch.column("text"), separator=b"\n"):
@@ -156,20 +175,23 @@ def _frequencies() -> Callable:
         pdf = pdf[pdf["doc_id"].isna()].reset_index(drop=True)
         if not len(pdf):
             return heads
-        token, row, block = [], [], []
-        for k, (n, data) in enumerate(zip(pdf["n"], pdf["data"], strict=True)):
-            raw = memoryview(data)
-            cells = np.frombuffer(raw[:1024], "<u4")
-            token.append((np.repeat(np.arange(256, dtype=np.uint64), cells) << U64(32)) | np.frombuffer(raw[1024 : 1024 + 4 * n], "<u4"))
-            row.append(np.frombuffer(raw[1024 + 4 * n :], "<u2"))
+        token, row, block, times = [], [], [], []
+        for k, (n, tokens, rows) in enumerate(zip(pdf["n"], pdf["tokens"], pdf["rows"], strict=True)):
+            token.append(unpack_ascending(tokens))
+            own = np.frombuffer(rows, "<u2", n)
+            count = np.ones(n, np.uint32)
+            count[own == SEE_HEAD] = np.frombuffer(rows, "<u4", -1, 2 * n)
+            row.append(own)
+            times.append(count)
             block.append(np.full(n, k, np.int32))
-        token, row, block = np.concatenate(token), np.concatenate(row), np.concatenate(block)
+        token, row, block, times = (np.concatenate(x) for x in (token, row, block, times))
         order = np.argsort(token, kind="stable")
         token = token[order]
         edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        df = np.diff(np.append(edge, len(token)))
-        number = np.repeat(np.cumsum(df > 1) - 1, df)
-        df = np.repeat(df, df)
+        df = np.add.reduceat(times[order].astype(np.int64), edge)
+        size = np.diff(np.append(edge, len(token)))
+        number = np.repeat(np.cumsum(df > 1) - 1, size)
+        df = np.repeat(df, size)
         shared = df > 1
         number, df, order = number[shared].astype("<u4"), np.minimum(np.round(8 * np.log2(df[shared])), 255).astype(np.uint8), order[shared]
         row, block = row[order], block[order]
@@ -178,10 +200,10 @@ def _frequencies() -> Callable:
         edge = np.flatnonzero(np.diff(block, prepend=-1))
         out = []
         for a, b in zip(edge, [*edge, len(block)][1:], strict=True):
-            out.append((int(pdf["block"].iloc[block[a]]), int(pdf["range"].iloc[0]), int(b - a), number[a:b].tobytes() + df[a:b].tobytes() + row[a:b].astype("<u2").tobytes(), None))
-        del token, df, row, block, order
+            out.append((int(pdf["block"].iloc[block[a]]), int(pdf["range"].iloc[0]), int(b - a), number[a:b].tobytes() + df[a:b].tobytes(), row[a:b].astype("<u2").tobytes(), None))
+        del token, df, row, block, times, order
         release()
-        return pd.concat([heads, pd.DataFrame(out, columns=["block", "range", "n", "data", "doc_id"])])
+        return pd.concat([heads, pd.DataFrame(out, columns=_NAMES)])
 
     return run
 
@@ -195,19 +217,28 @@ def _sets(percent: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf["doc_id"].notna()].iloc[0]
         count = int(head["n"])
-        n, one, two, known, ids = np.frombuffer(head["doc_id"], np.int64).reshape(5, count)
+        packed = np.frombuffer(head["doc_id"], np.int64)
+        n, one, two, known, ids = packed[: 5 * count].reshape(5, count)
+        sizes, stays = packed[5 * count :], np.frombuffer(head["rows"], "<u2")
         out = pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy(), "n": n, "one": one, "two": two})
         out.loc[known == 0, "doc_id"] = pd.NA
         shared: list[bytes | None] = [None] * count
         leading: list[bytes | None] = [None] * count
-        rest = pdf[pdf["doc_id"].isna()]
+        rest = pdf[pdf["doc_id"].isna()].sort_values("range")
         if len(rest):
             token, df, row = [], [], []
-            for r, m, data in zip(rest["range"], rest["n"], rest["data"], strict=True):
-                token.append(np.frombuffer(data, "<u4", m) | (U64(r) << U64(32)))
-                df.append(np.frombuffer(data, np.uint8, m, 4 * m))
-                row.append(np.frombuffer(data, "<u2", m, 5 * m))
-            token, df, row = np.concatenate(token), np.concatenate(df), np.concatenate(row).astype(np.int64)
+            for r, m, tokens, rows in zip(rest["range"], rest["n"], rest["tokens"], rest["rows"], strict=True):
+                token.append(np.frombuffer(tokens, "<u4", m) | (U64(r) << U64(32)))
+                df.append(np.frombuffer(tokens, np.uint8, m, 4 * m))
+                row.append(np.frombuffer(rows, "<u2", m))
+            token, df, row = np.concatenate(token), np.concatenate(df), np.concatenate(row)
+            # every hot shingle comes back, in the order of its hash, which is the order of the head's lists
+            times = np.ones(len(row), np.int64)
+            times[row == SEE_HEAD] = sizes
+            hot = np.repeat(row == SEE_HEAD, times)
+            token, df, row = (np.repeat(x, times) for x in (token, df, row))
+            row[hot] = stays
+            row = row.astype(np.int64)
             order = np.lexsort((token, df, row))
             token, row = token[order], row[order]
             have = np.bincount(row, minlength=count)
