@@ -77,7 +77,7 @@ def test_loser_tree_merges_front_coded_runs():
         common = [0] + [suffixes._common(a, b, 0) for a, b in zip(keys, keys[1:], strict=False)]
         rest = [k[c:] for k, c in zip(keys, common, strict=True)]
         n = len(keys)
-        runs.append(suffixes.Run(n, bytes(common) + bytes(map(len, rest)) + np.ones(n, "<u4").tobytes() + b"".join(rest) + np.zeros(n, "<i8").tobytes() + np.zeros(n, "<u4").tobytes()))
+        runs.append(suffixes.Run(n, bytes(common) + bytes(map(len, rest)) + np.zeros(n, "<i8").tobytes() + b"".join(rest)))
     out, last = [], b""
     for r, c in suffixes.merge(runs):
         key = runs[r].key

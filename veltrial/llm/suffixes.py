@@ -9,18 +9,19 @@ strings have their anchors at equal places, and sorting the suffixes at anchors
    packed, to ranges of hashes; those that several documents have come back.
 2. A bucket sorts the suffixes at the anchors that are left.  A suffix's key is
    the text from the anchor to the end of the anchor's last string, then the
-   text before it, backwards.  The sorted run is cut at sampled splitters,
-   front-coded, and exchanged.
+   text before it, backwards.  The sorted run, each key once with the least id of
+   the bucket that has it, is cut at sampled splitters, front-coded, and exchanged.
 3. Each part merges its runs with a loser tree whose nodes keep the length of
    the prefix known to be common with the last key put out: different lengths
    decide without looking at the keys, equal ones go on comparing behind them.
 4. Equal keys are repeats in all their strings.  Keys that share only the
    anchor's 24 bytes are opened into their 50-byte strings, compared by these.
-   Buckets get back, for each suffix, which of its strings begin in an earlier
-   document.
+   A bucket gets back the keys for which an earlier document is elsewhere: the
+   least id, and which of the strings that id's own suffix repeats.  It sorts its
+   suffixes again and knows the rest itself.
 
 The texts are exchanged once, by bucket; all steps that need them read that
-exchange.
+exchange.  A suffix that all documents have is one key a bucket.
 
 Defined cases: null text is empty; a text under 50 bytes keeps all; rows with
 equal ids are one document in the comparison and keep their own result rows; a
@@ -39,14 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import U64, mix64, table
+from veltrial.llm.common import U64, mix64, pack_ascending, table, unpack_ascending
 
 LENGTH = 50
 #: Bytes hashed at a place, and places (hence strings of an anchor) in a 50-byte string.
 CORE = 24
 PLACES = LENGTH - CORE + 1
 WIDTH = LENGTH + PLACES  # bytes of a key: text from the anchor, text before it, its length
-BUCKET_BYTES = 4 << 20
+#: Bytes of a bucket, and the buckets that a smaller table is cut into (of PASS bytes or more).
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 PASS = 1 << 17
 SAMPLE_DOCS = 2000
 NO_ID = np.iinfo(np.int64).max
@@ -136,7 +138,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _cores(bits: int) -> Callable:
-    """Distinct core hashes of a bucket by range: cell counts, low 32 bits, and whether several of its documents have it."""
+    """Distinct core hashes of a bucket by range: 40 bits of each, and whether several of its documents have it."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         bucket = Bucket(group)
@@ -153,9 +155,8 @@ def _cores(bits: int) -> Callable:
         cut = np.flatnonzero(np.diff(ranges, prepend=-1))
         rows = []
         for a, b in zip(cut, [*cut, len(h)][1:], strict=True):
-            t = h[a:b] >> U64(64 - bits - 40)
-            cells = np.bincount(((t >> U64(32)) & U64(255)).astype(np.int64), minlength=256).astype("<u4")
-            rows.append((key[0].as_py(), int(ranges[a]), int(b - a), cells.tobytes() + (t & U64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(several[a:b]).tobytes()))
+            t = (h[a:b] >> U64(64 - bits - 40)) & U64((1 << 40) - 1)
+            rows.append((key[0].as_py(), int(ranges[a]), int(b - a), np.packbits(several[a:b]).tobytes() + pack_ascending(t)))
         return _table(rows, _CORES)
 
     return run
@@ -166,21 +167,22 @@ def _repeated(key: tuple, group: pa.Table) -> pa.Table:
     token, bucket, several = [], [], []
     names = group.column("bucket").to_pylist()
     for k, (n, data) in enumerate(zip(group.column("n").to_pylist(), group.column("data").to_pylist(), strict=True)):
-        token.append((np.repeat(np.arange(256, dtype=np.uint64), np.frombuffer(data, "<u4", 256)) << U64(32)) | np.frombuffer(data, "<u4", n, 1024))
-        several.append(np.unpackbits(np.frombuffer(data, np.uint8, -1, 1024 + 4 * n), count=n).astype(bool))
+        cut = -(-n // 8)
+        token.append(unpack_ascending(data[cut:]))
+        several.append(np.unpackbits(np.frombuffer(data, np.uint8, cut), count=n).astype(bool))
         bucket.append(np.full(n, k, np.int32))
     token, bucket, several = np.concatenate(token), np.concatenate(bucket), np.concatenate(several)
     order = np.argsort(token, kind="stable")
     token, bucket, several = token[order], bucket[order], several[order]
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     size = np.diff(np.append(edge, len(token)))
-    good = np.repeat((size > 1) | np.logical_or.reduceat(several, edge), size)
+    good = np.repeat((size > 1) | (np.logical_or.reduceat(several, edge) if len(edge) else False), size)
     token, bucket = token[good], bucket[good]
     order = np.argsort(bucket, kind="stable")
     token, bucket = token[order], bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     rows = [
-        (names[bucket[a]], key[0].as_py(), int(b - a), np.ascontiguousarray(token[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+        (names[bucket[a]], key[0].as_py(), int(b - a), pack_ascending(token[a:b]))
         for a, b in zip(cut, [*cut, len(token)][1:], strict=True)
     ]
     return _table(rows, _CORES)
@@ -189,10 +191,9 @@ def _repeated(key: tuple, group: pa.Table) -> pa.Table:
 def _hashes_of(group: pa.Table) -> np.ndarray:
     """range << 40 | hash, ascending."""
     out = [np.zeros(0, np.uint64)]
-    for r, n, data in zip(group.column("range").to_pylist(), group.column("n").to_pylist(), group.column("data").to_pylist(), strict=True):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(data, np.uint8).reshape(n, 5)
-        out.append(wide.view("<u8").ravel() | (U64(r) << U64(40)))
+    for r, data in zip(group.column("range").to_pylist(), group.column("data").to_pylist(), strict=True):
+        if r >= 0:
+            out.append(unpack_ascending(data).astype(np.uint64) | (U64(r) << U64(40)))
     return np.sort(np.concatenate(out))
 
 
@@ -224,44 +225,48 @@ def front_code(keys: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, bytes]
     return common, keys[(column >= common[:, None]) & (column < length[:, None])].tobytes()
 
 
-def _runs(bits: int, splitters: np.ndarray) -> Callable:
-    """A bucket's sorted, front-coded run for each part.
+class Suffixes:
+    """The suffixes of a bucket at repeated anchors, in order: ``first`` string
+    and text (``row``) of each; ``edge`` is where a new key begins, ``least`` the
+    smallest id that has it, and ``part`` where it is merged."""
 
-    Of a run: distinct keys (prefix length, rest length, rows: a byte, a byte,
-    two bytes each), all rests, then the rows of all keys: id, first string."""
-
-    def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        if not texts.num_rows or not known.num_rows:
-            return _RUNS.empty_table()
-        bucket, wanted = Bucket(texts), _hashes_of(known)
+    def __init__(self, bucket: Bucket, known: pa.Table, bits: int, splitters: np.ndarray):
+        wanted = _hashes_of(known)
         at, first, last, row = bucket.anchors()
-        h = core_hashes(bucket.data, at) >> U64(64 - bits - 40)
-        here = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        if len(wanted):
+            h = core_hashes(bucket.data, at) >> U64(64 - bits - 40)
+            here = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        else:
+            here = np.zeros(len(at), bool)
         at, first, last, row = at[here], first[here], last[here], row[here]
-        if not len(at):
-            return _RUNS.empty_table()
         keys, length = suffix_keys(bucket.data, at, first, last)
         order = np.argsort(length, kind="stable")  # a key before those that only add zero bytes to it
         order = order[np.argsort(keys[order].view(f"S{WIDTH}").ravel(), kind="stable")]
-        keys, length, row, first = keys[order], length[order], row[order], first[order]
+        keys, length, self.row, self.first = keys[order], length[order], row[order], first[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]).any(1) | (length[1:] != length[:-1])
-        edge = np.flatnonzero(fresh)
-        times = np.diff(np.append(edge, len(keys)))
-        part = np.searchsorted(splitters, np.ascontiguousarray(keys[edge, :CORE]).view(f"S{CORE}").ravel(), "right")
-        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        self.edge = np.flatnonzero(fresh)
+        self.ids = bucket.ids[self.row]
+        self.least = np.minimum.reduceat(self.ids, self.edge) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.length = keys[self.edge], length[self.edge]
+        self.part = np.searchsorted(splitters, np.ascontiguousarray(self.keys[:, :CORE]).view(f"S{CORE}").ravel(), "right") if len(keys) else np.zeros(0, np.int64)
+
+
+def _runs(bits: int, splitters: np.ndarray) -> Callable:
+    """A bucket's sorted, front-coded run for each part.
+
+    Of a run: distinct keys (prefix length, rest length: a byte each), the least
+    id of each, then all rests."""
+
+    def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+        if not texts.num_rows or not known.num_rows:
+            return _RUNS.empty_table()
+        s = Suffixes(Bucket(texts), known, bits, splitters)
+        cut = np.flatnonzero(np.diff(s.part, prepend=-1))
         rows = []
-        for a, b in zip(cut, [*cut, len(edge)][1:], strict=True):
-            own = edge[a:b]
-            common, rest = front_code(keys[own], length[own])
-            lo, hi = edge[a], edge[b] if b < len(edge) else len(keys)
-            rows.append(
-                (
-                    int(part[a]), key[0].as_py(), int(b - a),
-                    common.astype(np.uint8).tobytes() + (length[own] - common).astype(np.uint8).tobytes() + times[a:b].astype("<u4").tobytes() + rest
-                    + bucket.ids[row[lo:hi]].astype("<i8").tobytes() + first[lo:hi].astype("<u4").tobytes(),
-                )
-            )
+        for a, b in zip(cut, [*cut, len(s.edge)][1:], strict=True):
+            common, rest = front_code(s.keys[a:b], s.length[a:b])
+            rows.append((int(s.part[a]), key[0].as_py(), int(b - a), common.astype(np.uint8).tobytes() + (s.length[a:b] - common).astype(np.uint8).tobytes() + s.least[a:b].astype("<i8").tobytes() + rest))
         return _table(rows, _RUNS)
 
     return run
@@ -270,16 +275,12 @@ def _runs(bits: int, splitters: np.ndarray) -> Callable:
 class Run:
     """A front-coded run, read key by key."""
 
-    __slots__ = ("common", "rest_length", "times", "blob", "n", "at", "offset", "key", "ids", "first")
+    __slots__ = ("common", "rest_length", "blob", "n", "at", "offset", "key", "least")
 
     def __init__(self, n: int, data: bytes):
-        self.n, self.at, self.offset, self.key = n, -1, 6 * n, b""
-        raw = np.frombuffer(data, np.uint8)
-        self.times = raw[2 * n : 6 * n].view("<u4")
-        rows, rests = int(self.times.sum()), int(raw[n : 2 * n].sum(dtype=np.int64))
-        self.ids = np.frombuffer(data, "<i8", rows, 6 * n + rests)
-        self.first = np.frombuffer(data, "<u4", rows, 6 * n + rests + 8 * rows)
+        self.n, self.at, self.offset, self.key = n, -1, 10 * n, b""
         self.common, self.rest_length, self.blob = data[:n], data[n : 2 * n], data
+        self.least = np.frombuffer(data, "<i8", n, 2 * n)
 
     def step(self) -> int:
         """Go to the next key; its common prefix length with the one before, -1 at the end."""
@@ -351,10 +352,6 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
             node >>= 1
 
 
-FLAGS = "bucket int, n long, data binary"
-_FLAGS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
-
-
 def opened(keys: list[bytes], group: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Masks of strings (bit 0: the first) of each key that another key of its group has with a smaller id."""
     flat = np.frombuffer(b"".join(keys), np.uint8)
@@ -387,7 +384,10 @@ def opened(keys: list[bytes], group: np.ndarray, least: np.ndarray) -> np.ndarra
 
 
 def _merged(key: tuple, table_: pa.Table) -> pa.Table:
-    """One part: merge the runs and tell each bucket which strings are repeats."""
+    """One part: merge the runs and tell each bucket of keys that an earlier
+    document elsewhere has: their numbers in its run, the least id, and the
+    strings that the suffix of the least id itself repeats.  The rows stand
+    beside those of the cores, under the range -1 - part."""
     buckets = table_.column("bucket").to_pylist()
     runs = [Run(n, d) for n, d in zip(table_.column("n").to_pylist(), table_.column("data").to_pylist(), strict=True)]
     source, place, common, keys = [], [], [], []
@@ -401,14 +401,12 @@ def _merged(key: tuple, table_: pa.Table) -> pa.Table:
             common.append(c)
             keys.append(run.key)
     if not source:
-        return _FLAGS.empty_table()
+        return _CORES.empty_table()
     source, place, common = np.array(source), np.array(place), np.array(common)
-    offset = [np.concatenate(([0], np.cumsum(r.times, dtype=np.int64))) for r in runs]
-    ids = [np.minimum.reduceat(r.ids, o[:-1]) for r, o in zip(runs, offset, strict=True)]
     smallest = np.empty(len(source), np.int64)
-    for r in range(len(runs)):
+    for r, run in enumerate(runs):
         own = source == r
-        smallest[own] = ids[r][place[own]]
+        smallest[own] = run.least[place[own]]
     number = np.cumsum(common >= 0) - 1  # of the distinct key
     least = np.minimum.reduceat(smallest, np.flatnonzero(common >= 0))
     core = np.cumsum(common[common >= 0] < CORE) - 1
@@ -422,40 +420,52 @@ def _merged(key: tuple, table_: pa.Table) -> pa.Table:
         part = open_[cut:end]
         mask[part] = opened([keys[i] for i in part], core[part], least[part])
         cut = end
-    full = (np.int64(1) << np.array([len(k) - LENGTH for k in keys], np.int64)) - 1  # all strings of a key
     rows = []
     for r, run in enumerate(runs):
         own = source == r
         key_of = np.empty(run.n, np.int64)
         key_of[place[own]] = number[own]
-        key_of = np.repeat(key_of, run.times)
-        m = np.where(run.ids > least[key_of], full[key_of], mask[key_of])
-        hit = m > 0
-        if hit.any():
-            rows.append((buckets[r], int(hit.sum()), run.first[hit].astype("<u4").tobytes() + m[hit].astype("<u4").tobytes()))
-    return _table(rows, _FLAGS)
+        told = np.flatnonzero((least[key_of] < run.least) | (mask[key_of] > 0))
+        if len(told):
+            k = key_of[told]
+            rows.append((buckets[r], -1 - key[0].as_py(), len(told), least[k].astype("<i8").tobytes() + mask[k].astype("<u4").tobytes() + pack_ascending(told)))
+    return _table(rows, _CORES)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def removed_bytes(bucket: Bucket, flags: pa.Table) -> np.ndarray:
+def removed_bytes(bucket: Bucket, s: Suffixes, told: pa.Table) -> np.ndarray:
+    least, mask = s.least.copy(), np.zeros(len(s.edge), np.int64)
+    start = np.searchsorted(s.part, np.arange(int(s.part[-1]) + 2)) if len(s.part) else np.zeros(1, np.int64)
+    for r, n, data in zip(told.column("range").to_pylist(), told.column("n").to_pylist(), told.column("data").to_pylist(), strict=True):
+        if r < 0:
+            at = start[-1 - r] + unpack_ascending(data[12 * n :])
+            least[at], mask[at] = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<u4", n, 8 * n)
+    key = np.repeat(np.arange(len(s.edge)), np.diff(np.append(s.edge, len(s.first))))
+    strings = (np.int64(1) << (s.length - LENGTH)) - 1  # all strings of a key
+    own = np.where(s.ids > least[key], strings[key], mask[key])
     change = np.zeros(len(bucket.data) + LENGTH + 1, np.int32)
-    for n, data in zip(flags.column("n").to_pylist(), flags.column("data").to_pylist(), strict=True):
-        first, mask = np.frombuffer(data, "<u4", n).astype(np.int64), np.frombuffer(data, "<u4", n, 4 * n)
-        for bit in range(PLACES):
-            at = first[(mask >> bit) & 1 == 1] + bit  # no anchor comes twice
-            change[at] += 1
-            change[at + LENGTH] -= 1
+    for bit in range(PLACES):
+        at = s.first[(own >> bit) & 1 == 1] + bit  # no anchor comes twice
+        change[at] += 1
+        change[at + LENGTH] -= 1
     return np.cumsum(change)[: len(bucket.data)] > 0
 
 
-def _result(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
-    if not texts.num_rows:
-        return _RESULT.empty_table()
-    bucket = Bucket(texts)
-    gone = removed_bytes(bucket, flags) if flags.num_rows else np.zeros(len(bucket.data), bool)
+def _result(bits: int, splitters: np.ndarray) -> Callable:
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _RESULT.empty_table()
+        bucket = Bucket(texts)
+        gone = removed_bytes(bucket, Suffixes(bucket, told, bits, splitters), told) if told.num_rows else np.zeros(len(bucket.data), bool)
+        return _digest(bucket, gone)
+
+    return run
+
+
+def _digest(bucket: Bucket, gone: np.ndarray) -> pa.Table:
     removed, spans, kept = [], [], []
     for a, b in zip(bucket.starts[:-1].tolist(), bucket.starts[1:].tolist(), strict=True):
         g = gone[a:b]
@@ -486,15 +496,16 @@ def splitters(source: DataFrame, documents: int, parts: int) -> np.ndarray:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
     total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    n_buckets = max(1, -(-(total["b"] or 0) // BUCKET_BYTES))
+    size = total["b"] or 0
+    n_buckets = max(1, -(-size // BUCKET_BYTES), min(LEAST_BUCKETS, size // PASS))
     bits = min(20, max(4, (n_buckets // 8).bit_length()))
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int").alias("bucket"))
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int").alias("bucket"))
     cut = splitters(source, total["n"], max(1, n_buckets // 2))
     by_bucket = source.groupBy("bucket")
     repeated = by_bucket.applyInArrow(_cores(bits), CORES).groupBy("range").applyInArrow(_repeated, CORES)
     runs = by_bucket.cogroup(repeated.groupBy("bucket")).applyInArrow(_runs(bits, cut), RUNS)
-    flags = runs.groupBy("part").applyInArrow(_merged, FLAGS)
-    return by_bucket.cogroup(flags.groupBy("bucket")).applyInArrow(_result, RESULT)
+    told = repeated.unionByName(runs.groupBy("part").applyInArrow(_merged, CORES))
+    return by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(_result(bits, cut), RESULT)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
