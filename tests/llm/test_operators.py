@@ -424,6 +424,44 @@ def test_vector_search(spark):
         want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(best)]
     assert got == sorted(want)
     assert vectors.top_k(whole.limit(0), whole, 20).count() == 0
+    assert vectors.top_k(whole.limit(0), whole.limit(0), 20).count() == 0
+
+
+def test_vector_search_over_blocks(spark, monkeypatch):
+    """Clusters, many small blocks, repeated rows and ids, and a block that no query reaches."""
+    for name, value in (("BLOCK_ROWS", 40), ("QUERY_ROWS", 7), ("SAMPLE_ROWS", 60), ("CELLS", 4), ("SUMMARIES", 5)):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors.approximate, "__defaults__", (4,))
+    rng = np.random.default_rng(18)
+    centres = rng.normal(0, 2, (9, 8))
+    v = centres[rng.integers(0, 9, 700)] + rng.normal(0, 0.1, (700, 8))
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    data += data[20:24] + [(40, [float(x) for x in v[0]])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    whole = vectors.integer_vectors(df)
+    got = sorted(tuple(r) for r in vectors.top_k(whole.where("vec_id % 20 = 0"), whole, 5).select("query_id", "rank", "vec_id", "score").collect())
+    q = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in data]
+    found = {}
+    for i, a in q:
+        if i % 20 == 0:
+            found.setdefault(i, []).extend((-int(a @ b), j) for j, b in q if j != i)
+    want = sorted((i, r + 1, j, -s) for i, scores in found.items() for r, (s, j) in enumerate(sorted(scores)[:5]))
+    assert got == want
+
+
+def test_huge_components(spark):
+    big = [(0, [1e300, 1.0]), (1, [1e300, -3.0]), (2, [-1e300, 0.0]), (3, [2.0**50, 1.0]), (4, [3.0, 5.0]), (20, [2.0**30, 2.0**30 + 0.5]), (5, [2.0**28, -(2.0**28) + 0.25]), (6, [1e308, 1.0])]
+    whole = vectors.integer_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in vectors.top_k(whole.where("vec_id % 20 = 0"), whole, 20).collect()}
+    import math
+
+    ints = {i: [math.floor(64 * x) if abs(64 * x) < math.inf else None for x in v] for i, v in big}
+    for i in (0, 20):
+        for j in ints:
+            if j != i and None not in ints[j]:
+                exact = sum(a * b for a, b in zip(ints[i], ints[j], strict=True))
+                assert got[i, j] == max(-vectors.MOST, min(vectors.MOST, exact)), (i, j)
+    assert not any(6 in k for k in got)
 
 
 def test_language(spark, docs, empty):
