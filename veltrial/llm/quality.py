@@ -118,6 +118,26 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(ratio), 0.05, 0.97))
 
 
+def _parts(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Risk of the positives, and of the negatives as the unlabelled rows less
+    the positives' share of them (logistic loss)."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def non_negative_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """Positive-unlabelled risk of scores, the negatives' part held at 0."""
+    plus, minus = _parts(zp, zu, prior)
+    return float(plus + max(minus, 0.0))
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk; where the negatives' part is below 0, the step that leads it back up."""
+    zp, zu = p @ w, u @ w
+    g_pos = -prior * (p.T @ _sigmoid(-zp)) / len(p)
+    g_rest = (u.T @ _sigmoid(zu)) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+    return g_pos + g_rest if _parts(zp, zu, prior)[1] >= 0 else -g_rest
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
@@ -128,14 +148,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     prior = estimate_prior(p, u)
     keep = np.r_[np.ones(FEATURES), 0]
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = -prior * (p.T @ _sigmoid(-zp)) / len(p)
-        g_rest = (u.T @ _sigmoid(zu)) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
-        return (g_pos + g_rest if rest >= 0 else -g_rest) + DECAY * keep * w
-
-    w = _descend(gradient, FEATURES + 1)
+    w = _descend(lambda w: risk_gradient(w, p, u, prior) + DECAY * keep * w, FEATURES + 1)
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 

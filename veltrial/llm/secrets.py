@@ -21,7 +21,9 @@ kept as they are; empty table: empty result; other columns are ignored by
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -178,6 +180,18 @@ def _outside(span: tuple[int, int], base: list[tuple[int, int]]) -> Iterator[tup
         yield at, span[1]
 
 
+class _Near:
+    """Spans of a text, to find those that touch another one without looking at all."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+        self.ends = list(itertools.accumulate((b for _, b in self.spans), max))
+
+    def touching(self, a: int, b: int) -> list[tuple[int, int]]:
+        return [x for x in self.spans[bisect.bisect_right(self.ends, a) : bisect.bisect_left(self.starts, b)] if x[1] > a]
+
+
 def random_spans(texts: list[str], ratio: np.ndarray, base: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int]]]:
     """Parts of runs of token characters that the models call random, for each
     text, outside its base spans."""
@@ -187,13 +201,15 @@ def random_spans(texts: list[str], ratio: np.ndarray, base: list[list[tuple[int,
         return out
     flat = ratio.reshape(-1)
     llr = flat[transitions([s for _, _, s in found])]
-    at = 0
+    at, last, near = 0, -1, _Near([])
     for i, start, s in found:
         own = llr[at : at + len(s) + 1]
         at += len(s) + 1
+        if i != last and base:
+            last, near = i, _Near(base[i])
         for a, b in _segments(s, own):
             span = (start + a, start + b)
-            touched = [x for x in base[i] if x[0] < span[1] and x[1] > span[0]] if base else []
+            touched = near.touching(*span)
             if not touched:
                 out[i].append(span)
                 continue

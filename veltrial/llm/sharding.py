@@ -9,6 +9,9 @@ same rule (largest spread first, oppositely ordered), with only the sums and
 their permutation at hand: n_shards numbers a bucket, with at most MAX_BUCKETS
 buckets, whatever the input.
 
+The texts are read once: sizes and hashes are written to the shared folder, and
+all that follows works on those.
+
 Defined cases: null text has size 1, as the empty text, and the two form
 different groups only if their hashes differ (they don't: null counts as
 empty); repeated rows stay rows of their own; empty table: empty result; extra
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import table
+from veltrial.llm.common import shared_checkpoint, table
 
 #: Groups that one bucket's differencing handles, and the most buckets whose sums the driver combines.
 BUCKET_GROUPS = 20_000
@@ -89,6 +92,7 @@ def balance_groups(groups: DataFrame, n_shards: int, n_buckets: int) -> DataFram
     """groups(group_key binary, group_bytes long) -> (group_key, shard int)."""
     seeded = groups.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(n_buckets)).cast("int"))
     parts = seeded.groupBy("bucket").applyInPandas(_bucket(n_shards), "bucket int, group_key binary, part int, part_bytes long")
+    parts = shared_checkpoint(parts)
     # a part's sum is a column of its groups; the driver gets n_shards numbers a bucket
     sums = seeded_sums(parts, n_shards)
     order = sorted(sums)
@@ -132,13 +136,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("group_key"),
+        F.monotonically_increasing_id().alias("row"),  # tells equal rows apart; fixed by the write
     )
-    total = docs.count()
+    rows = shared_checkpoint(rows)
+    total = rows.count()
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes"))
     buckets = min(MAX_BUCKETS, max(1, -(-total // BUCKET_GROUPS)))
     shards = balance_groups(groups, n_shards, buckets)
     placed = rows.join(shards, "group_key").drop("group_key")
-    return numbered(placed, ["shard"], ["doc_id", "text_crc32", "size"], total, "slot").select(
+    return numbered(placed, ["shard"], ["row"], total, "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
