@@ -181,6 +181,37 @@ def test_smallest_sets_link_with_a_superset_of_one_more(spark, width, percent, n
     assert (2, n + 1, 1) in want
 
 
+@pytest.mark.parametrize("percent", [85, 60])
+def test_large_groups_of_near_copies(spark, monkeypatch, percent):
+    """Many groups a hub, most connected and some apart, against brute force."""
+    monkeypatch.setattr(jaccard, "GROUP_CLASSES", 8)
+    rng = np.random.default_rng(23)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 4 if i % 5 else 14))):
+            words[int(rng.integers(60))] = f"z{rng.integers(5)}"
+        data.append((i, " ".join(words)))
+    data += [(200 + i, " ".join([*base[:25], *(f"y{i}_{j}" for j in range(20))])) for i in range(20)]
+    sets = {i: shingles(t, 4) for i, t in data}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = sorted(((i, len(s), find(i)) for i, s in sets.items()), key=str)
+    assert len({find(i) for i in sets}) > 20
+    assert rows(jaccard.link_documents(spark.createDataFrame(data, "doc_id long, text string"), 4, percent)) == want
+
+
 def test_near_copies_that_link_only_through_others(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]

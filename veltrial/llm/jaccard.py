@@ -21,6 +21,10 @@ Sets are the distinct word shingles of a text, as 64-bit hashes; two link when
    other group's token union; only sets that reach their percentage of their
    own size open the other group.  Within an opened pair, sets already known to be connected
    are not compared again.
+   Where a hub has several groups, each is first compared with the hub's first
+   one alone.  After that nearly all of a group of copies is connected: the few
+   classes that aren't go to groups of their own, and groups that lie in one
+   component are not compared with each other.
 6. Links join classes; components come from distributed star contraction.
 
 Defined cases: null, empty or word-less text has an empty set and links with
@@ -374,14 +378,51 @@ def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = shared_checkpoint(
         classes.select("class_id", "n", "shared").join(member, "class_id").groupBy("hub", "chunk").applyInPandas(_within(percent), "hub long, chunk int, class_id long, n long, shared binary, local long")
     )
-    matrix = votes.select("class_id", "token").join(groups.select("class_id", "hub", "chunk"), "class_id").select("token", F.struct("hub", "chunk").alias("g")).distinct()
-    pairs = matrix.alias("a").join(matrix.alias("b"), F.col("a.token") == F.col("b.token")).where(F.col("a.g") < F.col("b.g")).select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct()
-    sides = [
-        pairs.join(groups.withColumn("g", F.struct("hub", "chunk")), F.col("g") == F.col(own)).select("ga", "gb", F.lit(side).alias("side"), "class_id", "n", "shared", "local")
-        for side, own in ((0, "ga"), (1, "gb"))
-    ]
-    between = sides[0].unionByName(sides[1]).groupBy("ga", "gb").applyInPandas(_between(percent), "u long, v long")
-    return groups.where("class_id <> local").select(F.col("class_id").alias("u"), F.col("local").alias("v")).unionByName(between)
+    within = groups.where("class_id <> local").select(F.col("class_id").alias("u"), F.col("local").alias("v"))
+    if groups.where("chunk > 0").isEmpty():
+        return within.unionByName(_compared(votes, groups.withColumn("inside", F.lit(None).cast("long")), percent))
+    first = groups.where("chunk > 0").select(F.struct("hub", F.lit(0).alias("chunk")).alias("ga"), F.struct("hub", "chunk").alias("gb")).distinct()
+    known = shared_checkpoint(within.unionByName(_sides(first, groups).groupBy("ga", "gb").applyInPandas(_between(percent), "u long, v long")))
+    settled, apart = _settled(groups, known, percent)
+    again = apart.where("class_id <> local").select(F.col("class_id").alias("u"), F.col("local").alias("v"))
+    columns = [*groups.columns, "inside"]
+    return known.unionByName(again).unionByName(_compared(votes, settled.select(columns).unionByName(apart.withColumn("inside", F.lit(None).cast("long")).select(columns)), percent))
+
+
+def _sides(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of both groups of each pair (ga, gb)."""
+    named = groups.withColumn("g", F.struct("hub", "chunk"))
+    sides = [pairs.join(named, F.col("g") == F.col(own)).select("ga", "gb", F.lit(side).alias("side"), "class_id", "n", "shared", "local") for side, own in ((0, "ga"), (1, "gb"))]
+    return sides[0].unionByName(sides[1])
+
+
+def _settled(groups: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups whose classes lie in one component (``inside``; null in a hub's only
+    group where they don't), and groups of the classes that lie apart from
+    their group's main component, compared among themselves."""
+    component = connected_components(known)
+    placed = groups.join(component, groups["class_id"] == component["node"], "left").withColumn("local", F.coalesce("component", "class_id")).drop("node", "component")
+    sizes = placed.groupBy("hub", "chunk", "local").agg(F.count("*").alias("n_local"))
+    main = sizes.groupBy("hub", "chunk").agg(F.max_by("local", F.struct("n_local", "local")).alias("main"), F.count("*").alias("components"))
+    several = groups.where("chunk > 0").select("hub").distinct().withColumn("several", F.lit(True))
+    marked = shared_checkpoint(placed.join(main, ["hub", "chunk"]).join(several, "hub", "left").withColumn("apart", F.col("several").isNotNull() & (F.col("local") != F.col("main"))))
+    whole = (F.col("components") == 1) | F.col("several").isNotNull()
+    settled = marked.where("NOT apart").withColumn("inside", F.when(whole, F.col("main")))
+    rest = marked.where("apart")
+    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_CLASSES).alias("parts"))
+    # groups of their own have negative numbers
+    regrouped = rest.join(parts, "hub").withColumn("chunk", (-1 - F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("parts"))).cast("int"))
+    schema = "hub long, chunk int, class_id long, n long, shared binary, local long"
+    return settled, shared_checkpoint(regrouped.select("hub", "chunk", "class_id", "n", "shared").groupBy("hub", "chunk").applyInPandas(_within(percent), schema))
+
+
+def _compared(votes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links between groups that share a leading shingle and aren't inside one component."""
+    cells = groups.select("class_id", F.struct("hub", "chunk").alias("g"), "inside")
+    matrix = votes.select("class_id", "token").join(cells, "class_id").select("token", "g", "inside").distinct()
+    new = F.col("a.inside").isNull() | F.col("b.inside").isNull() | (F.col("a.inside") != F.col("b.inside"))
+    pairs = matrix.alias("a").join(matrix.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.g") < F.col("b.g")) & new).select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct()
+    return _sides(pairs, groups).groupBy("ga", "gb").applyInPandas(_between(percent), "u long, v long")
 
 
 def link_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
