@@ -22,3 +22,35 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == set(seen["secrets"])
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(str, last.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stored(spark, folder, rows):
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(1, LINE)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, stored(spark, tmp_path, [])).collect() == []
+
+
+def test_repeated_rows_null_ids_and_extra_columns(spark, tmp_path):
+    """Each stage by itself on rows that share ids or have none, beside a column of a clashing name."""
+    clean = "seven quiet wizards walk along the river in the morning fog and count their boats"
+    rows = [(1, clean, "en", "s", 1), (1, clean, "en", "s", 1), (None, clean + " today", "en", "s", 1), (None, LINE, "en", "s", 1), (2, None, None, None, None), (3, LINE, "en", None, 1)]
+    folder = stored(spark, tmp_path, rows)
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], COLUMNS + ", component_id string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert kept["language"] == sorted([(i, t) for i, t, *_ in rows if t], key=str)
+    assert kept["near_duplicates"] == sorted([(1, clean), (None, clean + " today"), (None, LINE), (2, None), (3, LINE)], key=str)
+    assert kept["decontaminate"] == sorted([(i, t) for i, t, *_ in rows if t != LINE], key=str)
+    assert kept["secrets"] == sorted([(i, t) for i, t, *_ in rows], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(packed) == len(rows) and sum(r["doc_id"] is None for r in packed) == 2

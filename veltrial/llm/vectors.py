@@ -40,7 +40,7 @@ from veltrial.llm.common import shared_checkpoint, table
 
 SCALE = 64
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
-CELLS = 64
+CELLS = 256
 #: Sampled vectors that set the floors, and those of them that the blocks gather around.
 SAMPLE_ROWS, CENTROIDS = 2048, 256
 #: Block summaries that one task compares with a query block.
