@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but
 for the last, which returns the pieces of the packed sequences.
+
+Defined cases: an empty table gives an empty result; repeated rows and rows with
+one id or none are judged as each function says; other columns stay.
 """
 
 from __future__ import annotations
@@ -18,28 +21,29 @@ from veltrial.llm.secrets import redact_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language for the most part, go."""
+    """Documents without a letter (null, empty), or in no language for the most part, go; repeated rows go together."""
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest id."""
+    """One document of each group of near copies stays: the smallest id, once;
+    null and empty texts and rows without an id stay."""
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go, each row by its own text; null and empty texts stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the new text."""
+    """Secrets are masked; n_chars follows the new text; null stays null; no row goes."""
     masked = redact_secrets(docs)
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences; a null or empty text is its end id alone."""
     return pack_documents(docs)
 
 
