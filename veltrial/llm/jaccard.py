@@ -54,6 +54,8 @@ BLOCK_TOKENS, BLOCK_DOCS, RANGE_TOKENS = 1 << 20, 1 << 15, 1 << 21
 #: Sets of a block from which on a shingle's list of sets stays with the block.
 HOT, SEE_HEAD = 16, 0xFFFF
 GROUP_CLASSES = 256
+#: Groups of a hub that are all compared with each other, without a look at what is connected first.
+FEW_GROUPS = 4
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -348,6 +350,7 @@ def _within(percent: int) -> Callable:
         links = Links(pdf["class_id"])
         link_groups(pdf, pdf, links, True, percent)
         pdf["local"] = [links.find(int(i)) for i in pdf["class_id"]]
+        release()
         return pdf[["hub", "chunk", "class_id", "n", "shared", "local"]]
 
     return run
@@ -361,6 +364,7 @@ def _between(percent: int) -> Callable:
             links.join(int(i), int(root))
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         found = link_groups(a, b, links, False, percent) if len(a) and len(b) else []
+        release()
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return run
@@ -379,7 +383,7 @@ def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         classes.select("class_id", "n", "shared").join(member, "class_id").groupBy("hub", "chunk").applyInPandas(_within(percent), "hub long, chunk int, class_id long, n long, shared binary, local long")
     )
     within = groups.where("class_id <> local").select(F.col("class_id").alias("u"), F.col("local").alias("v"))
-    if groups.where("chunk > 0").isEmpty():
+    if groups.where(F.col("chunk") >= FEW_GROUPS).isEmpty():
         return within.unionByName(_compared(votes, groups.withColumn("inside", F.lit(None).cast("long")), percent))
     first = groups.where("chunk > 0").select(F.struct("hub", F.lit(0).alias("chunk")).alias("ga"), F.struct("hub", "chunk").alias("gb")).distinct()
     known = shared_checkpoint(within.unionByName(_sides(first, groups).groupBy("ga", "gb").applyInPandas(_between(percent), "u long, v long")))

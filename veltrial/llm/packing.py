@@ -10,10 +10,9 @@ so the work is parallel and a group's size depends on GROUP_PIECES alone.
 Tokenising works on distinct words: the text is split as the tokenizer's own
 pre-tokenizer does, over code-point classes read from the tokenizer library, and
 only words that the worker has not met run through the BPE model.  Words are
-found by a 64-bit hash; a found word is compared with the one that it was kept
-for, and words of one hash in a block by length and outer letters.  Where these
-differ, and where a text holds a special token's string, the tokenizer gets the
-texts whole.
+found by a 64-bit hash of all their bits, and each is held against the length and
+the outer letters of the word that its ids were made of.  Where these differ, and
+where a text holds a special token's string, the tokenizer gets the texts whole.
 
 Defined cases: null or empty text is the end id alone; repeated rows and ids are
 rows of their own; no document is dropped or cut short; empty table: empty
@@ -38,8 +37,8 @@ from veltrial.llm.common import PASS_BYTES, hash_ranges, mix64, released, table,
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 8192
-#: Words whose ids one worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids one worker keeps, and new ones among them that aren't yet in the sorted table.
+CACHE_WORDS, NEW_WORDS = 400_000, 16_384
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -84,8 +83,8 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.words: list[str] = []
+        self.hashes, self.entries, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.marks = np.zeros(1024, np.int64)
         self.starts, self.lengths, self.ids, self.used, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
 
     def _add(self, key: int, word: str) -> int:
@@ -95,14 +94,31 @@ class WordTokenizer:
         if self.count == len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(self.count, np.int64)])
             self.lengths = np.concatenate([self.lengths, np.zeros(self.count, np.int64)])
+            self.marks = np.concatenate([self.marks, np.zeros(self.count, np.int64)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[self.count], self.lengths[self.count] = self.used, len(ids)
         self.used += len(ids)
-        self.known[key] = self.count
-        self.words.append(word)
+        self.marks[self.count] = (len(word) << 42) | (ord(word[0]) << 21) | ord(word[-1])
+        self.new[key] = self.count
         self.count += 1
         return self.count - 1
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of known words, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.entries[at], -1)
+
+    def _settle(self) -> None:
+        """Merge the new words into the sorted table."""
+        hashes = np.fromiter(self.new.keys(), np.uint64, len(self.new))
+        order = np.argsort(hashes)
+        hashes = np.concatenate([self.hashes, hashes[order]])
+        entries = np.concatenate([self.entries, np.fromiter(self.new.values(), np.int64, len(self.new))[order]])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.entries, self.new = hashes[order], entries[order], {}
+
     def normal(self, text: str) -> str:
         # the library lowers each character by itself; str.lower alone treats a final sigma apart
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -120,22 +136,20 @@ class WordTokenizer:
             text_ends = np.cumsum(size + 1) - 1
         hashes = self._hash(points, begin, end)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHE_WORDS and self.known:
+        if self.count + len(unique) > CACHE_WORDS and self.count:
             self._reset()
-        first = where[inverse]
-        clash = bool(((end - begin != (end - begin)[first]) | (points[begin] != points[begin[first]]) | (points[end - 1] != points[end[first] - 1])).any())
-        entry = np.empty(len(unique), np.int64)
-        for j, (h, a, b) in enumerate(zip(unique.tolist(), begin[where].tolist(), end[where].tolist(), strict=True)):
-            k = self.known.get(h, -1)
-            if k < 0:
-                k = self._add(h, joined[a:b])
-            elif self.words[k] != joined[a:b]:
-                clash = True
-            entry[j] = k
-        if clash:  # two words of one hash
+        entry = self._find(unique)
+        for j in np.flatnonzero(entry < 0).tolist():
+            h = int(unique[j])
+            k = self.new.get(h, -1)
+            entry[j] = self._add(h, joined[begin[where[j]] : end[where[j]]]) if k < 0 else k
+        if len(self.new) > NEW_WORDS:
+            self._settle()
+        entry = entry[inverse]
+        mark = ((end - begin) << 42) | (points[begin].astype(np.int64) << 21) | points[end - 1]
+        if (self.marks[entry] != mark).any():  # two words of one hash
             every = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
             return np.concatenate([*every, np.zeros(0, np.int32)]), np.array([len(x) for x in every], np.int64)
-        entry = entry[inverse]
         length = self.lengths[entry]
         first = np.cumsum(length) - length
         total = int(length.sum())
