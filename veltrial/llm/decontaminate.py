@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import TextBlock, pack_gaps, released, rows_of, shared_checkpoint, table, task_key, text_blocks, unpack_gaps, words
+from veltrial.llm.common import TextBlock, pack_gaps, released, rows_of, shared_checkpoint, table, task_key, text_blocks, unpack_gaps, unused, words
 
 WINDOW = 13
 #: A document is contaminated when at least one in this many of its words is hit.
@@ -317,9 +317,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """Rows, all columns, that aren't contaminated.  Each row is judged by its own
     text, with a null id or one that others have too; equal rows go together.
     Null and empty texts stay; empty table: empty result."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    bad = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(bad, "_row", "left_anti").select(docs.columns)
+    row = unused(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    bad = contamination(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(bad, row, "left_anti").select(docs.columns)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import U64, mix64, pack_ascending, release, released, rows_of, shared_checkpoint, table, task_key, text_blocks, unpack_ascending, words
+from veltrial.llm.common import U64, mix64, pack_ascending, release, released, rows_of, shared_checkpoint, table, task_key, text_blocks, unpack_ascending, unused, words
 from veltrial.llm.components import connected_components
 
 #: Words of a shingle and percentage of the union, unless the caller says otherwise.
@@ -460,10 +460,14 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GR
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows, all columns, of the smallest doc_id of each component; of rows with
-    one id, the one with the least text.  Rows without an id stay."""
-    linked = link_documents(docs, width, percent)
-    heads = linked.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Rows, all columns, of the smallest doc_id of each component (one without an
+    id stands behind all others).  Each row is judged by its own text, with a null
+    id or one that others have too; of rows with equal id and text one stays."""
+    row, first = unused(docs, "row"), unused(docs, "first")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    linked = link_documents(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent)
+    # both sides once: a hot row is one key of each
+    member = linked.select(F.col("doc_id").alias(row), "component_id").distinct().join(keyed.select(row, F.col("doc_id").alias("id")).distinct(), row)
+    heads = member.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("head")).select(F.col("head")[row].alias(row))
+    numbered = keyed.join(heads, row, "left_semi").withColumn(first, F.row_number().over(Window.partitionBy(row, "doc_id").orderBy("text")))
+    return numbered.where(F.col(first) == 1).select(docs.columns)
