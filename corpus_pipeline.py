@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest id, once;
-    null and empty texts and rows without an id stay."""
+    """One document of each group of near copies stays: the smallest id, once, or
+    a row without an id where none has one; texts without a word stay, equal rows once."""
     return keep_one_of_each(docs)
 
 
