@@ -179,12 +179,11 @@ def task_key() -> int:
     return (context.partitionId() if context else 0) << 32
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir.
-    Only a local session may do without that setting, as in tests: its executors
-    are the driver."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.  Only a local
+    session may do without that setting, as in tests: its executors are the driver."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
             if not (spark.sparkContext.master or "").startswith("local"):
@@ -193,6 +192,12 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="veltrial-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
+    return context.getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

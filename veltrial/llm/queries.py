@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veltrial.llm import decontaminate, html, jaccard, language, packing, quality, secrets, sharding, suffixes, vectors
+from veltrial.llm import decontaminate, html, jaccard, language, packing, quality, secrets, sharding, streamdedup, suffixes, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_shards": sharding.op10_shards,
+    "op12_stream_dedup": streamdedup.op12_stream_dedup,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_vectors": vectors.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
+    "op12_stream_dedup": streamdedup.OP12_SQL,
 }
