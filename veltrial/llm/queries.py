@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veltrial.llm import decontaminate, html, jaccard, language, packing, quality, secrets, sharding, streamdedup, suffixes, vectors, whitening
+from veltrial.llm import decontaminate, html, jaccard, language, packing, phrases, quality, secrets, sharding, streamdedup, suffixes, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_shards": sharding.op10_shards,
+    "op11_phrases": phrases.op11_phrases,
     "op12_stream_dedup": streamdedup.op12_stream_dedup,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -28,5 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_vectors": vectors.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op12_stream_dedup": streamdedup.OP12_SQL,
 }
