@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import TextBlock, U64, hash_ranges, mix64, pack_gaps, released, shared_checkpoint, table, task_key, text_blocks, unpack_gaps, words
+from veltrial.llm.common import TextBlock, U64, hash_ranges, mix64, pack_gaps, release, released, shared_checkpoint, table, task_key, text_blocks, unpack_gaps, words
 
 MIN_COUNT, MAX_WORDS, TOP, COVERED = 10, 3, 2000, 50
 BITS = 40
@@ -174,24 +174,39 @@ class Candidates:
         bucket = rows["bucket"].to_numpy()
         self.perfect = PerfectHash(bucket)
         order = np.argsort(self.perfect.slots(bucket))
-        rows = rows.take(pa.array(order))
         self.bucket = bucket[order]
         lang = pc.dictionary_encode(rows["lang"]).combine_chunks()
         self.langs = {name: i for i, name in enumerate(lang.dictionary.to_pylist())}
-        self.lang = lang.indices.to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(rows["phrase"].cast(pa.large_string()), " ").combine_chunks()
-        self.length = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        word = split.flatten().dictionary_encode()
-        block = next(text_blocks(word.dictionary, 1 << 62), TextBlock(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        self.lang = lang.indices.to_numpy(zero_copy_only=False)[order]
+        # the phrases' words, a slice at a time: all of them at once would be several times the table
+        distinct = pa.array([], pa.large_string())
+        lengths = [np.zeros(0, np.int8)]
+        for phrases in self._slices(rows):
+            distinct = pa.concat_arrays([distinct, pc.unique(phrases.flatten())]).unique()
+            lengths.append(phrases.value_lengths().to_numpy(zero_copy_only=False).astype(np.int8))
+        self.length = np.concatenate(lengths)
+        self.words = np.full((len(bucket), int(self.length.max(initial=1))), -1, np.int32)
+        lo = 0
+        for phrases, length in zip(self._slices(rows), lengths[1:], strict=True):
+            length = length.astype(np.int64)
+            row = np.repeat(np.arange(len(length)), length)
+            self.words[lo + row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = pc.index_in(phrases.flatten(), value_set=distinct).to_numpy(zero_copy_only=False)
+            lo += len(length)
+        self.length, self.words = self.length[order], self.words[order]
+        block = next(text_blocks(distinct, 1 << 62), TextBlock(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
         self.data, self.starts = block.data.copy(), block.starts.copy()
-        self.words = np.full((len(self.bucket), int(self.length.max(initial=1))), -1, np.int32)
-        row = np.repeat(np.arange(len(self.length)), self.length)
-        self.words[row, np.arange(len(row)) - np.repeat(np.cumsum(self.length) - self.length, self.length)] = word.indices.to_numpy(zero_copy_only=False)
         code, first = np.unique(hash_ranges(self.data, self.starts[:-1], self.starts[1:]), return_index=True)
         self.by_word = PerfectHash(code)
         self.word_at = np.empty(len(code), np.int64)
         self.word_at[self.by_word.slots(code)] = first  # a second word of one hash is never found: its phrases count as collisions
-        self.counts = rows["f"].to_numpy() if "f" in rows.column_names else None
+        self.counts = rows["f"].to_numpy()[order] if "f" in rows.column_names else None
+        release()
+
+    @staticmethod
+    def _slices(rows: pa.Table) -> Iterator[pa.Array]:
+        for lo in range(0, rows.num_rows, 1 << 17):
+            phrases = rows["phrase"].slice(lo, 1 << 17).combine_chunks().cast(pa.large_string())
+            yield pc.split_pattern(phrases, " ")
 
     def _own_words(self, text: Encoded) -> np.ndarray:
         """This table's number of each of a text's distinct words, -1 where it has none."""
@@ -488,11 +503,12 @@ class PhraseMiner:
         named = heavy.toArrow().sort_by("bucket")
         at = sc.broadcast((named["bucket"].to_numpy(), named["block"].to_numpy()))
         keys = shared_checkpoint(self.blocks.mapInArrow(released(_keys(at, self.most, self.bits)), KEYS))
-        at.unpersist()
+        at.destroy()
+        del named
         candidates = Candidates(keys.toArrow(), self.bits)
         sent = sc.broadcast(candidates)
         counted = shared_checkpoint(self.blocks.mapInArrow(released(_count(sent, self.most)), COUNTS))
-        sent.unpersist()
+        sent.destroy()
         chunks, last = counted.where("chunk >= 0").select("chunk", "part", "slots", "counts"), self.parts
         while last:
             chunks = chunks.groupBy("chunk", F.expr(f"cast(part div {FAN} as int)").alias("part")).applyInPandas(_sum_chunks, "chunk int, part int, slots binary, counts binary")
@@ -500,15 +516,16 @@ class PhraseMiner:
         total = np.zeros(len(candidates.bucket), np.int64)
         for r in chunks.collect():  # an array of counts over the slots of this pass
             _unchunk(r["slots"], r["counts"], total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK])
-        candidates.counts = total
-        own = sc.broadcast(candidates)
+        own = sc.broadcast((candidates.perfect, total))
+        del candidates
+        release()
         most = self.min_count
 
         def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = own.value
+            perfect, counts = own.value
             for batch in batches:
                 bucket = batch.column("bucket").to_numpy()
-                f = table.counts[table.perfect.slots(bucket)] if len(bucket) else np.zeros(0, np.int64)
+                f = counts[perfect.slots(bucket)] if len(bucket) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], names=[*batch.schema.names, "f"]).filter(pa.array(f >= most))
 
         found = shared_checkpoint(keys.mapInArrow(with_counts, KEYS + ", f long").withColumn("layer", F.lit(0)))
