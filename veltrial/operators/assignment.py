@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veltrial.functions import distributions as dist
 from veltrial.functions.hashing import murmur3_32
 
 BUCKETS = 10_000
@@ -159,8 +160,30 @@ def distribution(assigned: DataFrame, experiment: Experiment) -> DataFrame:
     return declared.join(found, "variant", "left").select("variant", F.coalesce("units", F.lit(0)).alias("units"))
 
 
+def salt_pairs(units: DataFrame, salts: list[str], unit: str = "user_id") -> DataFrame:
+    """2 x 2 tables of the halves that each two salts make: left_salt, right_salt,
+    units, both (in the second half under both), left_n, right_n.
+
+    A unit's halves are columns, so all pairs are sums of one pass; the salts of
+    independent layers should make chi-square of 1 degree of freedom."""
+    half = [F.pmod(murmur3_32(F.concat(F.lit(f"{s}:group:"), F.col(unit).cast("string"))), F.lit(BUCKETS)) >= BUCKETS // 2 for s in salts]
+    bits = units.select(*[h.cast("long").alias(f"h{i}") for i, h in enumerate(half)])
+    sums = bits.agg(F.count("*").alias("n"), *[F.sum(F.col(f"h{i}") * F.col(f"h{j}")).alias(f"s{i}_{j}") for i in range(len(salts)) for j in range(i, len(salts))])
+    cells = [F.struct(F.lit(salts[i]).alias("left_salt"), F.lit(salts[j]).alias("right_salt"), F.col("n").alias("units"), F.col(f"s{i}_{j}").alias("both"), F.col(f"s{i}_{i}").alias("left_n"), F.col(f"s{j}_{j}").alias("right_n")) for i in range(len(salts)) for j in range(i + 1, len(salts))]
+    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def orthogonality(pairs: DataFrame) -> DataFrame:
+    """Adds the chi-square of independence of each table of ``salt_pairs``."""
+    n, a, left, right = (F.col(c).cast("double") for c in ("units", "both", "left_n", "right_n"))
+    chi2 = F.try_divide(n * (n * a - left * right) ** 2, left * right * (n - left) * (n - right))
+    return pairs.withColumn("chi2", chi2).withColumn("p_value", dist.chi2_sf(F.col("chi2"), F.lit(1.0)))
+
+
 def assign_salts(units: DataFrame, salts: DataFrame, unit: str = "user_id") -> DataFrame:
-    """Every unit under every salt (a stated, short list): salt, unit, bucket and hash."""
-    pairs = units.select(unit).crossJoin(F.broadcast(salts.select("salt")))
+    """Every row of units, with all its columns, under every salt (a stated, short
+    list): adds salt, hash and bucket.  Nothing is exchanged: what the caller sums
+    by salt is summed where the rows are."""
+    pairs = units.crossJoin(F.broadcast(salts.select("salt")))
     hashed = murmur3_32(F.concat(F.col("salt"), F.lit(":group:"), F.col(unit).cast("string")))
     return pairs.withColumn("hash", hashed).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veltrial.operators.inference import contrasts, cuped, moments, welch
@@ -77,45 +77,45 @@ def cluster_robust(totals: DataFrame, control: str = "control") -> DataFrame:
     return p.select("experiment", "variant", (F.col("t_y") / n1 - F.col("c_y") / n0).alias("effect"), F.sqrt(v).alias("std_error"), F.greatest(g - 2, F.lit(1)).cast("double").alias("df"))
 
 
-# Webb's six-point weights.
-WEBB = np.array([-np.sqrt(1.5), -1.0, -np.sqrt(0.5), np.sqrt(0.5), 1.0, np.sqrt(1.5)])
-
+# Webb's six-point weights, and Rademacher's two.
+WEIGHTS = {"webb": (-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)), "rademacher": (-1.0, 1.0)}
 
-def _wild(n_bootstrap: int, weights: str, imposed: bool, control: str, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["variant", "cluster_id"], ignore_index=True)
-        n, y, t = pdf["n"].to_numpy(float), pdf["sum_y"].to_numpy(float), (pdf["variant"] != control).to_numpy(float)
-        n1, n0, g, total = (n * t).sum(), (n * (1 - t)).sum(), len(n), n.sum()
 
-        def fit(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            m1, m0 = sums @ t / n1, sums @ (1 - t) / n0
-            s = sums - n * np.where(t > 0, m1[:, None], m0[:, None])
-            ss1, ss0 = (s * s) @ t, (s * s) @ (1 - t)
-            b12, b22 = -1 / n0, total / (n1 * n0)
-            v = (b12 * b12 * (ss1 + ss0) + 2 * b12 * b22 * ss1 + b22 * b22 * ss1) * g / (g - 1) * (total - 1) / (total - 2)
-            return m1 - m0, np.sqrt(v)
+def _arm_sums(rows: DataFrame, keys: list[str], y: Column) -> DataFrame:
+    """What the CR1 error needs of each side: sums over clusters of y, y^2, n y, n, n^2."""
+    side = lambda t: [F.sum(F.when(F.col("treated") == t, c)).alias(f"{name}{t}") for name, c in (("y", y), ("yy", y * y), ("ny", F.col("n") * y), ("n", F.col("n")), ("nn", F.col("n") * F.col("n")))]
+    return rows.groupBy(*keys).agg(*side(1), *side(0), F.count("*").alias("clusters"))
 
-        effect, se = (x[0] for x in fit(y[None, :]))
-        rng = np.random.default_rng(seed)
-        w = rng.choice(WEBB if weights == "webb" else np.array([-1.0, 1.0]), (n_bootstrap, g))
-        if imposed:
-            fitted = n * y.sum() / total
-            centre = 0.0
-        else:
-            fitted = n * np.where(t > 0, (y * t).sum() / n1, (y * (1 - t)).sum() / n0)
-            centre = effect
-        e, s = fit(fitted + w * (y - fitted))
-        stat = np.abs(np.divide(e - centre, s, out=np.zeros(n_bootstrap), where=s > 0))
-        p = (1 + (stat >= abs(effect / se)).sum()) / (n_bootstrap + 1)
-        return pd.DataFrame([[pdf["experiment"].iloc[0], float(effect), float(se), float(p), 1 / (n_bootstrap + 1), g]], columns=["experiment", "effect", "std_error", "p_value", "p_resolution", "clusters"])
 
-    return run
+def _effect_and_error(sums: DataFrame) -> DataFrame:
+    n1, n0, g = F.col("n1"), F.col("n0"), F.col("clusters")
+    m1, m0, n = F.col("y1") / n1, F.col("y0") / n0, n1 + n0
+    spread = lambda t, m: F.greatest(F.col(f"yy{t}") - 2 * m * F.col(f"ny{t}") + m * m * F.col(f"nn{t}"), F.lit(0.0))
+    v = (spread(1, m1) / (n1 * n1) + spread(0, m0) / (n0 * n0)) * F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 2)
+    return sums.withColumn("effect", m1 - m0).withColumn("std_error", F.sqrt(v))
 
 
 def wild_cluster_bootstrap(totals: DataFrame, *, n_bootstrap: int = 999, weights: str = "webb", imposed: bool = True, control: str = "control", seed: int = 0) -> DataFrame:
-    """Bootstrap-t over clusters, two arms; an experiment's clusters (a few
-    numbers each) form one group."""
-    if n_bootstrap < 99 or weights not in ("webb", "rademacher"):
+    """Bootstrap-t over clusters, two arms: experiment, effect, std_error, p_value,
+    p_resolution, clusters.
+
+    A cluster's weight in a replicate is a hash of seed, replicate and cluster, so
+    no draw is stored.  Every statistic is made of sums over clusters, which are
+    added up where the clusters are; n_bootstrap rows an experiment are exchanged,
+    however many clusters it has."""
+    if n_bootstrap < 99 or weights not in WEIGHTS:
         raise ValueError("at least 99 draws; webb or rademacher weights")
-    return totals.groupBy("experiment").applyInPandas(_wild(n_bootstrap, weights, imposed, control, seed), "experiment string, effect double, std_error double, p_value double, p_resolution double, clusters long")
-
+    rows = totals.select("experiment", "cluster_id", F.col("n").cast("double").alias("n"), F.col("sum_y").cast("double").alias("y"), (F.col("variant") != control).cast("int").alias("treated"))
+    found = _effect_and_error(_arm_sums(rows, ["experiment"], F.col("y")))
+    m1, m0 = F.col("y1") / F.col("n1"), F.col("y0") / F.col("n0")
+    both = (F.col("y1") + F.col("y0")) / (F.col("n1") + F.col("n0"))
+    models = found.select("experiment", F.col("effect").alias("_effect"), F.col("std_error").alias("_error"), (both if imposed else m1).alias("_m1"), (both if imposed else m0).alias("_m0"), (F.lit(0.0) if imposed else F.col("effect")).alias("_centre"))
+    fitted = F.col("n") * F.when(F.col("treated") == 1, F.col("_m1")).otherwise(F.col("_m0"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("cluster_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    values = WEIGHTS[weights]
+    weight = F.element_at(F.array(*map(F.lit, values)), (draw % len(values) + 1).cast("int"))
+    drawn = rows.join(models, "experiment").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    again = _effect_and_error(_arm_sums(drawn, ["experiment", "replicate", "_effect", "_error", "_centre"], fitted + weight * (F.col("y") - fitted)))
+    stat = F.coalesce(F.abs(F.try_divide(F.col("effect") - F.col("_centre"), F.col("std_error"))), F.lit(0.0))
+    beyond = again.groupBy("experiment").agg(F.count_if(stat >= F.abs(F.col("_effect") / F.col("_error"))).alias("_beyond"))
+    return found.join(beyond, "experiment").select("experiment", "effect", "std_error", ((F.col("_beyond") + 1) / (n_bootstrap + 1)).alias("p_value"), F.lit(1 / (n_bootstrap + 1)).alias("p_resolution"), "clusters")

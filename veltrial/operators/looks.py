@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMS = {"n": "user_cnt", "sum_x": "pre_sum", "sum_y": "post_sum", "sum_xx": "pre_sq_sum", "sum_yy": "post_sq_sum", "sum_xy": "pre_post_cross_sum"}
@@ -65,14 +65,20 @@ def clusters_agree(clusters: DataFrame, arms: DataFrame, tol: float = 1e-6) -> D
     return both.where((F.col("n") != F.col("cn")) | (F.abs(F.col("sum_y") - F.col("cy")) > tol * F.greatest(F.lit(1.0), F.abs("sum_y"))))
 
 
-def nested_prefixes(users: DataFrame, n_looks: int, *, id_column: str = "user_id", seed: int = 0) -> DataFrame:
+def nested_prefixes(users: DataFrame, n_looks: int, *, id_column: str = "user_id", seed: int = 0, order: Column | None = None) -> DataFrame:
     """Prefix sums over a random order of entry, cut at equal shares of each arm:
-    the order is a hash of the id, so a retry gives the same looks."""
-    w = Window.partitionBy("experiment", "variant").orderBy(F.xxhash64(id_column, F.lit(seed)), id_column)
-    ranked = users.withColumn("look", F.ntile(n_looks).over(w))
+    the order is a 32-bit hash of the id (or ``order``), so a retry gives the same
+    looks; ranks are found range by range, so an arm may be of any size."""
     from veltrial.operators.inference import moments
-
-    cells = ranked.groupBy("experiment", "variant", "look").agg(*moments("post_metric", "pre_metric"))
+    from veltrial.operators.ranks import hashed_ranks
+
+    order = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit(seed)), 32) if order is None else order
+    ranked = hashed_ranks(users, ["experiment", "variant"], order, id_column)
+    small = F.floor(F.col("total") / n_looks)
+    larger = F.col("total") % n_looks  # as many shares have one more
+    wide = larger * (small + 1)
+    look = F.when(F.col("rank") <= wide, F.ceil(F.col("rank") / (small + 1))).otherwise(larger + F.ceil((F.col("rank") - wide) / F.greatest(small, F.lit(1)))).cast("int")
+    cells = ranked.withColumn("look", look).groupBy("experiment", "variant", "look").agg(*moments("post_metric", "pre_metric"))
     run = Window.partitionBy("experiment", "variant").orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
     return cells.select("experiment", "variant", "look", *[F.sum(c).over(run).alias(c) for c in ("n", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy")])
 

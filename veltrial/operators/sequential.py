@@ -1,18 +1,20 @@
 """Sequential monitoring: spending, boundaries, always-valid and Bayesian rules.
 
-Boundaries depend on the plan of looks alone, so they are solved once on the
-driver and meet the data as a small table; everything about the data is columns
-over look rows (experiment, variant, look, info, effect, std_error).  Each arm is
-judged by its own looks; rows without a variant are one arm an experiment.
+Everything about the data is columns over look rows (experiment, variant, look,
+info, effect, std_error).  Each arm is judged by its own looks at the information
+they really had: every distinct vector of information is solved once, on the
+executors, and joined back.  A plan made in advance may be given instead.  Rows
+without a variant are one arm an experiment.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -87,7 +89,15 @@ class _Path:
 def boundaries(fractions: tuple[float, ...], alpha: float = 0.05, spending: str = "obf") -> tuple[float, ...]:
     """Two-sided bounds of |z| at the information fractions: each look spends
     what the spending function allows by then."""
-    if any(b <= a for a, b in zip(fractions, fractions[1:], strict=False)) or abs(fractions[-1] - 1) > 1e-9 or fractions[0] <= 0:
+    if abs(fractions[-1] - 1) > 1e-9:
+        raise ValueError("fractions must rise strictly and end at 1")
+    return spending_bounds(fractions, alpha, spending)
+
+
+@lru_cache(maxsize=256)
+def spending_bounds(fractions: tuple[float, ...], alpha: float = 0.05, spending: str = "obf") -> tuple[float, ...]:
+    """The bounds so far; the last look may be short of the full information."""
+    if any(b <= a for a, b in zip(fractions, fractions[1:], strict=False)) or not 0 < fractions[0] <= fractions[-1] <= 1 + 1e-9:
         raise ValueError("fractions must rise strictly and end at 1")
     path, out, spent = _Path(fractions), [], 0.0
     for t in fractions:
@@ -141,11 +151,41 @@ def looks_so_far(looks: DataFrame) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def monitor(looks: DataFrame, plan: DataFrame) -> DataFrame:
-    """Crossings and repeated intervals of look rows against a design, by look number."""
-    z = F.try_divide("effect", "std_error")
+def own_boundaries(looks: DataFrame, alpha: float = 0.05, spending: str = "obf") -> DataFrame:
+    """Bounds of each arm's looks at the information they had: the arm's keys,
+    look, boundary and the alpha spent by then (NULL where information doesn't rise)."""
+    keys = [k for k in ("experiment", "variant") if k in looks.columns]
+    steps = F.array_sort(F.collect_list(F.struct("look", "info")))
+    arms = looks.groupBy(*keys).agg(steps.alias("_l")).select(*keys, F.col("_l.look").alias("look"), F.col("_l.info").alias("_info"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bounds, spent = [], []
+            for info in pdf["_info"]:
+                t = tuple(float(x) for x in info)
+                try:
+                    bounds.append(list(spending_bounds(t, alpha, spending)))
+                    spent.append([SPENDING[spending](x, alpha) for x in t])
+                except ValueError:
+                    bounds.append([None] * len(t))
+                    spent.append([None] * len(t))
+            yield pd.DataFrame({"_info": pdf["_info"], "boundary": bounds, "spent": spent})
+
+    # one row for each distinct vector, however many arms share it
+    solved = arms.select("_info").distinct().mapInPandas(solve, "_info array<double>, boundary array<double>, spent array<double>")
+    return arms.join(solved, "_info").select(*keys, F.explode(F.arrays_zip("look", "boundary", "spent")).alias("_b")).select(*keys, "_b.*")
+
+
+def monitor(looks: DataFrame, plan: DataFrame | None = None, alpha: float = 0.05, spending: str = "obf") -> DataFrame:
+    """Crossings and repeated intervals of look rows against the bounds at their
+    own information, or against a plan made in advance (by look number)."""
     w = looks_so_far(looks)
-    rows = looks.join(F.broadcast(plan.select("look", "boundary")), "look").withColumn("z", z).withColumn("crossed", F.coalesce(F.abs("z") >= F.col("boundary"), F.lit(False)))
+    if plan is None:
+        keys = [k for k in ("experiment", "variant") if k in looks.columns]
+        rows = looks.join(own_boundaries(looks, alpha, spending), [*keys, "look"])
+    else:
+        rows = looks.join(plan.select("look", "boundary"), "look")
+    rows = rows.withColumn("z", F.try_divide("effect", "std_error")).withColumn("crossed", F.coalesce(F.abs("z") >= F.col("boundary"), F.lit(False)))
     return (
         rows.withColumn("stopped", F.max("crossed").over(w))
         .withColumn("repeated_low", F.col("effect") - F.col("boundary") * F.col("std_error"))
@@ -166,9 +206,15 @@ def msprt_p(effect: Column, std_error: Column, tau: float | Column) -> Column:
     return F.least(F.lit(1.0), 1 / msprt(effect, std_error, tau))
 
 
-def always_valid_path(looks: DataFrame, tau: float, alpha: float = 0.05) -> DataFrame:
-    """Adds the statistic, its p-value and the running least p-value of the arm."""
+def always_valid_path(looks: DataFrame, tau: float | None = None, alpha: float = 0.05) -> DataFrame:
+    """Adds the statistic, its p-value and the running least p-value of the arm.
+    Without tau, each arm has the one of least threshold at its last look's error,
+    which the plan of looks fixes, not the effect."""
     w = looks_so_far(looks)
+    if tau is None:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = looks.withColumn("tau", F.last("std_error").over(whole) * optimal_tau(1.0, alpha))
+        return always_valid_path(rows, F.col("tau"), alpha)
     e, s = F.col("effect"), F.col("std_error")
     return looks.withColumn("lambda", msprt(e, s, tau)).withColumn("p", msprt_p(e, s, tau)).withColumn("always_valid_p", F.min("p").over(w)).withColumn("rejected", F.col("always_valid_p") <= alpha)
 

@@ -453,13 +453,135 @@ ORACLES |= {
 # ---- monitoring, and the quality gates ---------------------------------------------------
 
 
-def _monitor() -> str:
-    """The solved bounds are constants here; tests check them against their own definition."""
-    from veltrial.operators.sequential import boundaries
+# Bounds of alpha spending, solved by this engine: the density inside the bounds is
+# carried from look to look over Simpson's nodes, and each bound is found by Newton's
+# steps on the logarithm of the chance beyond it.
 
-    bound = f"list_extract({list(boundaries((0.2, 0.4, 0.6, 0.8, 1.0)))!r}, CAST(look AS BIGINT))"
-    rows = f"(SELECT *, effect / se AS z, abs(effect / se) >= {bound} AS crossed, {bound} AS boundary FROM look WHERE look <= 5)"
-    return sql(f"SELECT CAST(look AS INTEGER) AS look, experiment, 'treatment' AS variant, round(se, 4) AS std_error, {_r4('info', 'effect', 'boundary', 'z')}, crossed, bool_or(crossed) OVER (PARTITION BY experiment ORDER BY look) AS stopped, round(effect - boundary * se, 4) AS repeated_low, round(effect + boundary * se, 4) AS repeated_high FROM {rows}")
+_NODES, _TAIL, _STEPS_UP = 160, 200, 10
+_INSIDE = "list_sum(list_transform(range(1, len(xs) + 1), lambda j: ms[j] * exp(-0.5 * power(({z} - rho * xs[j]) / s, 2)))) / (s * sqrt(2 * pi()))"
+_WEIGHT = "(CASE WHEN {i} = 0 OR {i} = {n} THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END)"
+
+
+def _inside(z: str) -> str:
+    return _INSIDE.format(z=z)
+
+
+def _solved(rows: str) -> str:
+    """Tables ending in bnd(key, look, boundary, spent) for rows(key, look, info)."""
+    w = _WEIGHT.format(i="i", n=_TAIL)
+    spent = f"2 * list_sum(list_transform(range(0, {_TAIL + 1}), lambda i: {w} * exp(-0.5 * power({Z975} / sqrt(x) + i * 0.04, 2)))) * 0.04 / 3 / sqrt(2 * pi())"
+    beyond = f"(2 * list_sum(list_transform(range(0, {_TAIL + 1}), lambda i: {w} * {_inside('(b + i * 0.04)')})) * 0.04 / 3)"
+    nodes = f"list_transform(range(0, {_NODES + 1}), lambda i: b * (2.0 * i / {_NODES} - 1))"
+    masses = f"list_transform(range(0, {_NODES + 1}), lambda i: {_WEIGHT.format(i='i', n=_NODES)} * b * 2.0 / {_NODES} / 3 * {_inside(f'(b * (2.0 * i / {_NODES} - 1))')})"
+    up = f"it < {_STEPS_UP}"
+    return (
+        f"vec AS (SELECT key, list(info ORDER BY look) AS t, list(look ORDER BY look) AS ls FROM {rows} GROUP BY key), "
+        f"plan AS (SELECT t, list_transform(t, lambda x: {spent}) AS sp FROM (SELECT DISTINCT t FROM vec)), "
+        "solve AS (SELECT t, sp, 1 AS k, 0 AS it, CAST(2 AS DOUBLE) AS b, [CAST(0 AS DOUBLE)] AS xs, [CAST(1 AS DOUBLE)] AS ms, CAST([] AS DOUBLE[]) AS bs FROM plan UNION ALL "
+        f"SELECT t, sp, CASE WHEN {up} THEN k ELSE k + 1 END, CASE WHEN {up} THEN it + 1 ELSE 0 END, CASE WHEN {up} THEN least(8.0, b + tail / (2 * dens) * ln(greatest(tail, 1e-200) / greatest(target, 1e-200))) ELSE 2.0 END, "
+        f"CASE WHEN {up} THEN xs ELSE {nodes} END, CASE WHEN {up} THEN ms ELSE {masses} END, CASE WHEN {up} THEN bs ELSE list_append(bs, b) END "
+        f"FROM (SELECT *, CASE WHEN {up} THEN {beyond} END AS tail, CASE WHEN {up} THEN {_inside('b')} END AS dens FROM (SELECT *, CASE WHEN k = 1 THEN 0.0 ELSE sqrt(t[k - 1] / t[k]) END AS rho, CASE WHEN k = 1 THEN 1.0 ELSE sqrt(1 - t[k - 1] / t[k]) END AS s, "
+        "CASE WHEN k = 1 THEN sp[1] ELSE sp[k] - sp[k - 1] END AS target FROM solve WHERE k <= len(t)))), "
+        "bnd AS (SELECT v.key, unnest(v.ls) AS look, unnest(s.bs) AS boundary, unnest(s.sp) AS spent FROM vec v JOIN solve s ON s.t = v.t AND s.k > len(s.t))"
+    )
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
+ORACLES["sequential_monitor"] = _recursive(
+    f"WITH {CTES}, jr AS (SELECT experiment AS key, look, info FROM look), {_solved('jr')} SELECT CAST(look AS INTEGER) AS look, experiment, 'treatment' AS variant, round(info, 6) AS info, round(effect, 4) AS effect, round(se, 4) AS std_error, round(boundary, 4) AS boundary, round(spent, 6) AS spent, round(effect / se, 3) AS z, "
+    "abs(effect / se) >= boundary AS crossed, bool_or(abs(effect / se) >= boundary) OVER (PARTITION BY experiment ORDER BY look) AS stopped, round(effect - boundary * se, 2) AS repeated_low, round(effect + boundary * se, 2) AS repeated_high FROM look JOIN (SELECT key AS experiment, look, boundary, spent FROM bnd) USING (experiment, look)"
+)
+
+# ---- calibration over splits of exp_a's users ---------------------------------------------
+
+_WILSON = "count(*) AS trials, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, avg(CASE WHEN hit THEN 1.0 ELSE 0 END) AS p"
+_Z2 = Z975 * Z975
+_WILSON_ROW = f"trials, hits, round(p, 4) AS rate, round((p + {_Z2} / (2 * trials)) / (1 + {_Z2} / trials) - {Z975} * sqrt(p * (1 - p) / trials + {_Z2} / (4.0 * trials * trials)) / (1 + {_Z2} / trials), 4) AS low, round((p + {_Z2} / (2 * trials)) / (1 + {_Z2} / trials) + {Z975} * sqrt(p * (1 - p) / trials + {_Z2} / (4.0 * trials * trials)) / (1 + {_Z2} / trials), 4) AS high"
+_NEW_SUMS = ("x", "y", "xx", "yy", "xy", "k", "kk", "ky", "y0")
+_ADD = "sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy, CAST(sum(k) AS DOUBLE) AS k, CAST(sum(k * k) AS DOUBLE) AS kk, sum(k * y) AS ky, sum(y0) AS y0"
+
+
+def _splits(n: int, lift: float = 0.0, where: str = "") -> str:
+    """Tables ending in rr: running sums of every salt, arm and day; pk: its looks."""
+    return (
+        f"ua AS (SELECT * FROM dwd WHERE experiment = 'exp_a'), rs AS (SELECT salt, arm, expose_ds AS ds, CASE WHEN arm = 'treatment' THEN post_metric * {1 + lift} ELSE post_metric END AS y, pre_metric AS x, post_cnt AS k, post_metric AS y0 FROM ua JOIN {_RESPLIT('SELECT user_id FROM ua', n)} USING (user_id) {where}), "
+        f"dd AS (SELECT salt, arm, ds, count(*) AS n, {_ADD} FROM rs GROUP BY 1, 2, 3), "
+        "sd AS (SELECT a.salt, a.arm, d.ds FROM (SELECT DISTINCT salt, arm FROM dd) a JOIN (SELECT salt, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM dd GROUP BY salt) d USING (salt)), "
+        f"rr AS (SELECT sd.salt, sd.arm, sd.ds, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS n, {', '.join(f'sum(coalesce({c}, 0)) OVER w AS {c}' for c in _NEW_SUMS)} FROM sd LEFT JOIN dd USING (salt, arm, ds) WINDOW w AS (PARTITION BY sd.salt, sd.arm ORDER BY sd.ds)), "
+        "fi AS (SELECT salt, ds, sum(n) / max(sum(n)) OVER (PARTITION BY salt) AS info FROM rr GROUP BY salt, ds), "
+        "pk AS (SELECT salt, min(ds) AS ds, info, row_number() OVER (PARTITION BY salt ORDER BY info) AS look FROM (SELECT salt, ds, info FROM (SELECT *, row_number() OVER (PARTITION BY salt, k ORDER BY abs(info - k / 5.0), ds) AS r FROM fi, (SELECT unnest(range(1, 6)) AS k)) WHERE r = 1 UNION ALL SELECT salt, max(ds), arg_max(info, ds) FROM fi GROUP BY salt) GROUP BY salt, info)"
+    )
+
+
+def _arm_columns(p: str) -> str:
+    cov = lambda a, b, ab: f"({p}.{ab} - {p}.{a} * {p}.{b} / {p}.n) / ({p}.n - 1)"
+    names = {"n": f"{p}.n", "my": f"{p}.y / {p}.n", "mx": f"{p}.x / {p}.n", "mk": f"{p}.k / {p}.n", "r": f"{p}.y / nullif({p}.k, 0)", "v": cov("y", "y", "yy"), "vx": cov("x", "x", "xx"), "c": cov("x", "y", "xy"), "vk": cov("k", "k", "kk"), "ck": cov("k", "y", "ky")}
+    return ", ".join(f"{v} AS {p}_{k}" for k, v in names.items())
+
+
+def _tests_of(pairs: str) -> str:
+    """est(test, salt, look, info, truth, effect, va, vb, nt, nc) and jr with std_error, df, z and p-value, of arm rows joined as t and c."""
+    rv = lambda p: f"greatest({p}_v - 2 * {p}_r * {p}_ck + {p}_r * {p}_r * {p}_vk, 0) / ({p}_n * {p}_mk * {p}_mk)"
+    av = lambda p: f"greatest({p}_v - 2 * th * {p}_c + th * th * {p}_vx, 0) / {p}_n"
+    return (
+        f"pr AS (SELECT t.salt, look, info, {_arm_columns('t')}, {_arm_columns('c')}, t.y0 + c.y0 AS u, t.n + c.n AS un, t.k + c.k AS uk, "
+        f"((t.xy + c.xy) - (t.x + c.x) * (t.y + c.y) / (t.n + c.n)) / ((t.xx + c.xx) - (t.x + c.x) * (t.x + c.x) / (t.n + c.n)) AS th FROM {pairs}), "
+        "est AS (SELECT 'plain' AS test, salt, look, info, u / un AS per, t_my - c_my AS effect, t_v / t_n AS va, c_v / c_n AS vb, t_n, c_n FROM pr UNION ALL "
+        f"SELECT 'adjusted', salt, look, info, u / un, t_my - c_my - th * (t_mx - c_mx), {av('t')}, {av('c')}, t_n, c_n FROM pr UNION ALL SELECT 'ratio', salt, look, info, u / uk, t_r - c_r, {rv('t')}, {rv('c')}, t_n, c_n FROM pr), "
+        "tt AS (SELECT *, effect / std_error AS z FROM (SELECT *, sqrt(va + vb) AS std_error, (va + vb) * (va + vb) / (va * va / (t_n - 1) + vb * vb / (c_n - 1)) AS df FROM est WHERE va + vb > 0)), "
+        f"jr AS (SELECT test || salt AS key, *, {_t_p('z', 'df')} AS p_value, {_t_quantile(Z975, 'df')} * std_error AS half FROM tt)"
+    )
+
+
+_AT_LOOKS = "pk JOIN rr t ON t.salt = pk.salt AND t.ds = pk.ds AND t.arm = 'treatment' AND t.n > 1 JOIN rr c ON c.salt = pk.salt AND c.ds = pk.ds AND c.arm = 'control' AND c.n > 1"
+_BY_LOOK = (
+    "SELECT test, CAST(look AS INTEGER) AS look, count(*) AS trials, round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0 END), 4) AS rejected, round(avg(CASE WHEN abs(effect - {lift} * per) <= half THEN 1.0 ELSE 0 END), 4) AS covered, round(avg(CASE WHEN stopped THEN 1.0 ELSE 0 END), 4) AS stopped, "
+    "round(avg((effect - {lift} * per) / std_error), 3) AS mean_z, round(stddev_samp((effect - {lift} * per) / std_error), 3) AS sd_z FROM (SELECT jr.*, bool_or(abs(z) >= boundary) OVER (PARTITION BY jr.key ORDER BY jr.look) AS stopped FROM jr JOIN bnd ON bnd.key = jr.key AND bnd.look = jr.look) GROUP BY test, look"
+)
+
+
+def _own_tau(alpha: float = 0.05) -> float:
+    """tau^2 over the squared error: where r = 2 log(1 / alpha) + log(1 + r), by substitution."""
+    import math
+
+    r = 1.0
+    for _ in range(200):
+        r = 2 * math.log(1 / alpha) + math.log1p(r)
+    return r
+
+
+_R = _own_tau()
+_VALID = f"least(1.0, 1 / (sqrt(power(std_error, 2) / (power(std_error, 2) + {_R} * power(last_se, 2))) * exp(effect * effect * {_R} * power(last_se, 2) / (2 * power(std_error, 2) * (power(std_error, 2) + {_R} * power(last_se, 2))))))"
+_PLAIN_LOOKS = f"WITH {CTES}, {_splits(100)}, {_tests_of(_AT_LOOKS)}"
+_MAX_Z = "(SELECT salt, max(abs(z)) AS m FROM tt WHERE test = 'plain' GROUP BY salt)"
+
+ORACLES |= {
+    "aa_calibration": f"WITH {CTES}, {_splits(100)}, {_tests_of('(SELECT salt, 1 AS look, 1.0 AS info, max(ds) AS ds FROM rr GROUP BY salt) pk JOIN rr t ON t.salt = pk.salt AND t.ds = pk.ds AND t.arm = ' + chr(39) + 'treatment' + chr(39) + ' JOIN rr c ON c.salt = pk.salt AND c.ds = pk.ds AND c.arm = ' + chr(39) + 'control' + chr(39))} "
+    f"SELECT test, {_WILSON_ROW}, round(mean_z, 4) AS mean_z, round(sd_z, 4) AS sd_z FROM (SELECT test, {_WILSON}, avg(z) AS mean_z, stddev_samp(z) AS sd_z FROM (SELECT *, p_value < 0.05 AS hit FROM jr) GROUP BY test)",
+    "calibration_by_look": _recursive(f"WITH {CTES}, {_splits(60)}, {_tests_of(_AT_LOOKS)}, {_solved('jr')} {_BY_LOOK.format(lift=0)}"),
+    "power_by_look": _recursive(f"WITH {CTES}, {_splits(60, 0.3)}, {_tests_of(_AT_LOOKS)}, {_solved('jr')} {_BY_LOOK.format(lift=0.3)}"),
+    "stopping_rules": _recursive(
+        f"{_PLAIN_LOOKS}, pl AS (SELECT *, last_value(std_error) OVER (PARTITION BY key ORDER BY look ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_se FROM jr WHERE test = 'plain'), {_solved('pl')}, "
+        f"per AS (SELECT pl.key, max(abs(z)) > {Z975} AS naive, arg_max(abs(z), pl.look) > {Z975} AS fixed, bool_or(abs(z) >= boundary) AS sequential, min({_VALID}) <= 0.05 AS always_valid FROM pl JOIN bnd ON bnd.key = pl.key AND bnd.look = pl.look GROUP BY pl.key) "
+        f"SELECT rule, {_WILSON_ROW} FROM (SELECT rule, {_WILSON} FROM (SELECT unnest(['naive', 'fixed', 'sequential', 'always_valid']) AS rule, unnest([naive, fixed, sequential, always_valid]) AS hit FROM per) GROUP BY rule)"
+    ),
+    "constant_boundary": f"{_PLAIN_LOOKS} SELECT round(b, 4) AS boundary, count(*) AS trials, round(avg(CASE WHEN m > b THEN 1.0 ELSE 0 END), 4) AS stopped, round(avg(CASE WHEN m > {Z975} THEN 1.0 ELSE 0 END), 4) AS naive FROM {_MAX_Z}, (SELECT quantile_cont(m, 0.95) AS b FROM {_MAX_Z} WHERE salt < 's050') WHERE salt >= 's050' GROUP BY b",
+    "cluster_calibration": f"WITH {CTES}, cu AS (SELECT * FROM dwd WHERE experiment = 'exp_city' AND city IS NOT NULL), cs AS (SELECT salt, arm, user_id AS city FROM {_RESPLIT('SELECT DISTINCT city AS user_id FROM cu', 60)}), "
+    "cc AS (SELECT salt, arm, city, count(*) AS n, sum(post_metric) AS y, sum(post_metric * post_metric) AS yy FROM cu JOIN cs USING (city) GROUP BY 1, 2, 3), "
+    "ca AS (SELECT 'user' AS unit, salt, arm, CAST(sum(n) AS DOUBLE) AS n, sum(y) / sum(n) AS m, (sum(yy) - sum(y) * sum(y) / sum(n)) / (sum(n) - 1) AS v FROM cc GROUP BY 1, 2, 3 UNION ALL SELECT 'cluster', salt, arm, count(*), avg(y / n), var_samp(y / n) FROM cc GROUP BY 1, 2, 3), "
+    "ct AS (SELECT t.unit, (t.m - c.m) / sqrt(t.v / t.n + c.v / c.n) AS z, power(t.v / t.n + c.v / c.n, 2) / (power(t.v / t.n, 2) / (t.n - 1) + power(c.v / c.n, 2) / (c.n - 1)) AS df FROM ca t JOIN ca c ON c.unit = t.unit AND c.salt = t.salt AND t.arm = 'treatment' AND c.arm = 'control' WHERE t.n > 1 AND c.n > 1) "
+    f"SELECT unit, {_WILSON_ROW} FROM (SELECT unit, {_WILSON} FROM (SELECT unit, {_t_p('z', 'df')} < 0.05 AS hit FROM ct) GROUP BY unit)",
+    "share_dispersion": f"WITH {CTES} SELECT splits, round(mean_z, 4) AS mean_z, round(sd_z, 4) AS sd_z, round(chi2, 4) AS chi2, round({_chi2_p('chi2', 'CAST(splits AS DOUBLE)')}, 6) AS over_p, round(1 - {_chi2_p('chi2', 'CAST(splits AS DOUBLE)')}, 6) AS under_p FROM (SELECT count(*) AS splits, avg(z) AS mean_z, stddev_samp(z) AS sd_z, sum(z * z) AS chi2 FROM "
+    f"(SELECT (t - n * 0.5) / sqrt(n * 0.25) AS z FROM (SELECT salt, count(*) AS n, count(*) FILTER (arm = 'treatment') AS t FROM {_RESPLIT(_RE + ' WHERE experiment = ' + chr(39) + 'exp_a' + chr(39), 40)} GROUP BY salt)))",
+    "layer_orthogonality": "WITH h AS (SELECT user_id, salt, h % 10000 >= 5000 AS two FROM " + _murmur(f"SELECT user_id, 'layer' || CAST(i AS VARCHAR) AS salt FROM ({_UNITS}), (SELECT unnest(range(0, 8)) AS i)", "salt || ':group:' || user_id") + "), "
+    "p AS (SELECT a.salt AS left_salt, b.salt AS right_salt, count(*) AS units, count(*) FILTER (a.two AND b.two) AS b2, count(*) FILTER (a.two) AS left_n, count(*) FILTER (b.two) AS right_n FROM h a JOIN h b ON a.user_id = b.user_id AND a.salt < b.salt GROUP BY 1, 2) "
+    f"SELECT left_salt, right_salt, units, b2 AS \"both\", left_n, right_n, round(chi2, 4) AS chi2, round({_chi2_p('chi2', '1')}, 6) AS p_value FROM (SELECT *, units * power(CAST(units AS DOUBLE) * b2 - CAST(left_n AS DOUBLE) * right_n, 2) / (CAST(left_n AS DOUBLE) * right_n * (units - left_n) * (units - right_n)) AS chi2 FROM p)",
+}
+_OWN_PATH = "(SELECT *, se AS std_error, last_value(se) OVER (PARTITION BY experiment ORDER BY look ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_se FROM look)"
+ORACLES["experiment_report"] = ORACLES["experiment_report"].replace(f"(SELECT experiment, min(p) AS p FROM {_PATH} GROUP BY experiment)", f"(SELECT experiment, min({_VALID}) AS p FROM {_OWN_PATH} GROUP BY experiment)")
 
 
 #: What each checked table is in the common table expressions above.
@@ -492,4 +614,71 @@ def _quality() -> str:
     return sql(" UNION ALL ".join(parts))
 
 
-ORACLES |= {"sequential_monitor": _monitor(), "quality_checks": _quality()}
+ORACLES["quality_checks"] = _quality()
+
+# ---- ranks by key, wild bootstrap, comparison, heterogeneity -------------------------------
+
+_DRAW = lambda text: f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+_WEBB = "[-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)]"
+_CR1 = "sqrt((ss1 / (n1 * n1) + ss0 / (n0 * n0)) * g / (g - 1) * (n1 + n0 - 1) / (n1 + n0 - 2))"
+
+
+def _half_warehouse(k: int) -> str:
+    """The tables above over the events of users with even (0) or odd (1) numbers."""
+    return CTES.replace("FROM events", f"FROM (SELECT * FROM events WHERE user_id % 2 = {k}) events")
+
+
+_DAY_Z = "SELECT t.experiment, t.variant, t.ds, t.sum_y / t.n - c.sum_y / c.n AS e, sqrt((t.sum_yy - t.sum_y * t.sum_y / t.n) / (t.n - 1) / t.n + (c.sum_yy - c.sum_y * c.sum_y / c.n) / (c.n - 1) / c.n) AS s FROM run t JOIN run c ON c.experiment = t.experiment AND c.ds = t.ds AND c.variant = 'control' AND t.variant <> 'control' WHERE t.n > 1 AND c.n > 1 AND t.experiment = 'exp_a'"
+_SHAPE = "SELECT {name} AS warehouse, count(*) AS n, avg(post_metric) AS mean, stddev_samp(post_metric) AS sd, avg(CASE WHEN post_metric = 0 THEN 1.0 ELSE 0.0 END) AS zero_share, max(post_metric) / avg(post_metric) AS max_over_mean FROM dwd"
+
+
+def _of_half(k: int, body: str) -> str:
+    return f"(WITH {_half_warehouse(k)} {body})"
+
+
+_SPLIT_ROWS = (
+    f"WITH {_TRIAL}, each AS (SELECT t.*, s AS split, {_DRAW(chr(39) + '0:' + chr(39) + ' || s || ' + chr(39) + ':' + chr(39) + ' || id')} % 2 AS half FROM t, (SELECT unnest(range(0, 10)) AS s)), "
+    "fit AS (SELECT split, regr_slope(y, a) FILTER (d = 1) AS s1, regr_intercept(y, a) FILTER (d = 1) AS i1, regr_slope(y, a) FILTER (d = 0) AS s0, regr_intercept(y, a) FILTER (d = 0) AS i0 FROM each WHERE half = 0 GROUP BY split), "
+    "sc AS (SELECT split, i1 + s1 * a - i0 - s0 * a AS proxy, i1 + s1 * a - i0 - s0 * a + d * (y - i1 - s1 * a) / 0.5 - (1 - d) * (y - i0 - s0 * a) / 0.5 AS score FROM each JOIN fit USING (split) WHERE half = 1) "
+)
+_Z9875 = 2.241402727604947  # two medians of bounds, each at half of alpha
+_MEDIANS = lambda v, e: f"count(*) AS splits, round(median({v}), 3) AS estimate, round(median({v} - {_Z9875} * {e}), 3) AS low, round(median({v} + {_Z9875} * {e}), 3) AS high"
+_BLP = (
+    _SPLIT_ROWS + ", st AS (SELECT split, count(*) AS n, avg(proxy) AS mt, avg(score) AS effect, covar_samp(proxy, score) / var_samp(proxy) AS slope, var_samp(proxy) * (count(*) - 1) AS tt FROM sc GROUP BY split), "
+    "bl AS (SELECT split, effect, slope, sqrt(sum(e * e)) / n * sqrt(n / (n - 2)) AS effect_se, sqrt(sum(t * t * e * e)) / tt * sqrt(n / (n - 2)) AS slope_se FROM (SELECT *, proxy - mt AS t, score - effect - slope * (proxy - mt) AS e FROM sc JOIN st USING (split)) GROUP BY split, effect, slope, n, tt) "
+)
+_SIDES = "sum(CASE WHEN d = 1 THEN 1.0 ELSE 0 END) AS n1, sum(CASE WHEN d = 1 THEN y ELSE 0 END) AS y1, sum(CASE WHEN d = 0 THEN 1.0 ELSE 0 END) AS n0, sum(CASE WHEN d = 0 THEN y ELSE 0 END) AS y0"
+_UPTO = ", ".join(f"sum({s}) OVER (PARTITION BY tree, feature ORDER BY bin) AS l{s}, sum({s}) OVER (PARTITION BY tree, feature) AS a{s}" for s in ("n1", "y1", "n0", "y0"))
+
+ORACLES |= {
+    "nested_prefixes": f"WITH {CTES}, o AS (SELECT *, ntile(4) OVER (PARTITION BY experiment, variant ORDER BY h, user_id) AS look FROM {_murmur('SELECT * FROM dwd', chr(39) + 'order:' + chr(39) + ' || user_id')}) "
+    "SELECT experiment, variant, CAST(look AS INTEGER) AS look, CAST(sum(n) OVER w AS BIGINT) AS n, round(sum(x) OVER w, 4) AS sum_x, round(sum(y) OVER w, 4) AS sum_y, round(sum(xx) OVER w, 4) AS sum_xx, round(sum(yy) OVER w, 4) AS sum_yy, round(sum(xy) OVER w, 4) AS sum_xy FROM "
+    "(SELECT experiment, variant, look, count(*) AS n, sum(pre_metric) AS x, sum(post_metric) AS y, sum(pre_metric * pre_metric) AS xx, sum(post_metric * post_metric) AS yy, sum(pre_metric * post_metric) AS xy FROM o GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY experiment, variant ORDER BY look)",
+    "line_quantiles": "SELECT l_returnflag, l_linestatus, count(*) AS n, q, round(CASE q WHEN 0.1 THEN quantile_cont(v, 0.1) WHEN 0.5 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.9) END, 4) AS quantile FROM (SELECT *, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem), (SELECT unnest([CAST(0.1 AS DOUBLE), 0.5, 0.9]) AS q) GROUP BY l_returnflag, l_linestatus, q",
+    "wild_bootstrap": f"WITH {CTES}, wc AS (SELECT experiment, cluster_id, n, y, variant <> 'control' AS t FROM clus WHERE experiment NOT IN (SELECT experiment FROM clus GROUP BY experiment, cluster_id HAVING count(DISTINCT variant) > 1)), "
+    f"wf AS (SELECT *, y1 / n1 - y0 / n0 AS effect, {_CR1} AS se FROM (SELECT experiment, count(*) AS g, any_value(n1) AS n1, any_value(n0) AS n0, any_value(y1) AS y1, any_value(y0) AS y0, sum(CASE WHEN t THEN power(y - n * y1 / n1, 2) ELSE 0 END) AS ss1, sum(CASE WHEN t THEN 0 ELSE power(y - n * y0 / n0, 2) END) AS ss0 FROM "
+    "(SELECT *, sum(CASE WHEN t THEN n END) OVER w AS n1, sum(CASE WHEN t THEN 0 ELSE n END) OVER w AS n0, sum(CASE WHEN t THEN y END) OVER w AS y1, sum(CASE WHEN t THEN 0 ELSE y END) OVER w AS y0 FROM wc WINDOW w AS (PARTITION BY experiment)) GROUP BY experiment)), "
+    f"wd AS (SELECT experiment, r, t, n, f.n1, f.n0, f.g, n * (y1 + y0) / (n1 + n0) + list_extract({_WEBB}, {_DRAW(chr(39) + '7:' + chr(39) + ' || r || ' + chr(39) + ':' + chr(39) + ' || cluster_id')} % 6 + 1) * (y - n * (y1 + y0) / (n1 + n0)) AS v FROM wc JOIN wf f USING (experiment), (SELECT unnest(range(0, 999)) AS r)), "
+    f"wr AS (SELECT experiment, r, abs((m1 - m0) / {_CR1}) AS z FROM (SELECT experiment, r, n1, n0, g, any_value(m1) AS m1, any_value(m0) AS m0, sum(CASE WHEN t THEN power(v - n * m1, 2) ELSE 0 END) AS ss1, sum(CASE WHEN t THEN 0 ELSE power(v - n * m0, 2) END) AS ss0 FROM "
+    "(SELECT *, sum(CASE WHEN t THEN v END) OVER w / n1 AS m1, sum(CASE WHEN t THEN 0 ELSE v END) OVER w / n0 AS m0 FROM wd WINDOW w AS (PARTITION BY experiment, r)) GROUP BY experiment, r, n1, n0, g)) "
+    "SELECT experiment, round(effect, 4) AS effect, round(se, 4) AS std_error, round((1 + (SELECT count(*) FROM wr WHERE wr.experiment = wf.experiment AND z >= abs(effect / se))) / 1000.0, 4) AS p_value, round(0.001, 4) AS p_resolution, g AS clusters FROM wf",
+    "value_distance": sql(
+        "SELECT n_left, n_right, round(d, 8) AS distance, round(place, 4) AS \"at\", round(CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: 2 * power(-1, k - 1) * exp(-2 * k * k * x * x))))) END, 6) AS p_value FROM (SELECT *, sqrt(n_left * n_right / (n_left + n_right)) * d AS x FROM "
+        "(SELECT CAST(nl AS BIGINT) AS n_left, CAST(nr AS BIGINT) AS n_right, max(gap) AS d, arg_max(v, round(gap, 12)) AS place FROM (SELECT v, nl, nr, abs(sum(l) OVER w / nl - sum(r) OVER w / nr) AS gap FROM (SELECT v, sum(l) AS l, sum(r) AS r, sum(sum(l)) OVER () AS nl, sum(sum(r)) OVER () AS nr FROM "
+        "(SELECT metric_value AS v, CASE WHEN day(ds) <= 15 THEN 1 ELSE 0 END AS l, CASE WHEN day(ds) <= 15 THEN 0 ELSE 1 END AS r FROM ods_event_log WHERE event_name = 'purchase' AND metric_value IS NOT NULL) GROUP BY v) WINDOW w AS (ORDER BY v) ORDER BY v) GROUP BY nl, nr))"
+    ),
+    "warehouse_shapes": " UNION ALL ".join(f"SELECT warehouse, n, {_r4('mean', 'sd', 'max_over_mean')}, round(zero_share, 6) AS zero_share FROM {_of_half(k, _SHAPE.format(name=repr(name)))}" for k, name in enumerate(("even", "odd"))),
+    "warehouse_days": f"SELECT experiment, variant, CAST(day AS INTEGER) AS day, round(le, 4) AS left_effect, round(ls, 4) AS left_std_error, round(le / ls, 3) AS left_z, round(re, 4) AS right_effect, round(rs, 4) AS right_std_error, round(re / rs, 3) AS right_z, round(gap, 3) AS gap_z, round({_two_sided('gap')}, 4) AS gap_p FROM "
+    "(SELECT *, (le - re) / sqrt(ls * ls + rs * rs) AS gap FROM (SELECT experiment, variant, date_diff('day', min(ds) OVER (PARTITION BY experiment, variant), ds) + 1 AS day, e AS le, s AS ls FROM "
+    f"{_of_half(0, _DAY_Z)}) FULL JOIN (SELECT experiment, variant, date_diff('day', min(ds) OVER (PARTITION BY experiment, variant), ds) + 1 AS day, e AS re, s AS rs FROM {_of_half(1, _DAY_Z)}) USING (experiment, variant, day))",
+    "linear_predictor": f"{_BLP} SELECT 'effect' AS term, {_MEDIANS('effect', 'effect_se')} FROM bl UNION ALL SELECT 'slope', {_MEDIANS('slope', 'slope_se')} FROM bl",
+    "sorted_effects": f"{_SPLIT_ROWS}, cut AS (SELECT split, quantile_cont(proxy, [0.25, 0.5, 0.75]) AS q FROM sc GROUP BY split), gr AS (SELECT split, 1 + CAST(proxy > q[1] AS INTEGER) + CAST(proxy > q[2] AS INTEGER) + CAST(proxy > q[3] AS INTEGER) AS g, avg(score) AS effect, stddev_samp(score) / sqrt(count(*)) AS se FROM sc JOIN cut USING (split) GROUP BY 1, 2) "
+    f"SELECT CAST(g AS INTEGER) AS \"group\", {_MEDIANS('effect', 'se')} FROM gr GROUP BY g",
+    "forest_first_level": f"WITH {_TRIAL}, tr AS (SELECT t.*, tree, {_DRAW(chr(39) + '0:bag:' + chr(39) + ' || tree // 2 || ' + chr(39) + ':' + chr(39) + ' || id')} % 2 AS outside, {_DRAW(chr(39) + '0:tree:' + chr(39) + ' || tree || ' + chr(39) + ':' + chr(39) + ' || id')} % 2 AS half FROM t, (SELECT unnest(range(0, 8)) AS tree)), "
+    "bn AS (SELECT *, unnest(['a', 'b']) AS feature, unnest([list_sum(list_transform(range(1, 16), lambda k: CASE WHEN a > k / 16.0 THEN 1 ELSE 0 END)), list_sum(list_transform(range(1, 12), lambda k: CASE WHEN b > k / CAST(12 AS DOUBLE) THEN 1 ELSE 0 END))]) AS bin FROM tr WHERE outside = 0), "
+    f"hs AS (SELECT tree, feature, bin, {_SIDES} FROM bn WHERE half = 0 GROUP BY 1, 2, 3), up AS (SELECT tree, feature, bin, {_UPTO} FROM hs), "
+    "gn AS (SELECT *, (ln1 + ln0) * power(ly1 / ln1 - ly0 / ln0, 2) + (an1 - ln1 + an0 - ln0) * power((ay1 - ly1) / (an1 - ln1) - (ay0 - ly0) / (an0 - ln0), 2) - (an1 + an0) * power(ay1 / an1 - ay0 / an0, 2) AS gain FROM up WHERE least(ln1, ln0, an1 - ln1, an0 - ln0) >= 20), "
+    "bs AS (SELECT tree, feature, bin, gain FROM gn WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY tree ORDER BY round(gain, 6) DESC, feature, bin) = 1) "
+    "SELECT CAST(bs.tree AS INTEGER) AS tree, CAST(1 AS INTEGER) AS node, bs.feature, CAST(bs.bin AS INTEGER) AS bin, round(gain, 2) AS gain, round(avg(y) FILTER (bn.bin <= bs.bin AND d = 1) - avg(y) FILTER (bn.bin <= bs.bin AND d = 0), 4) AS left_effect, round(avg(y) FILTER (bn.bin > bs.bin AND d = 1) - avg(y) FILTER (bn.bin > bs.bin AND d = 0), 4) AS right_effect "
+    "FROM bs JOIN bn ON bn.tree = bs.tree AND bn.feature = bs.feature AND bn.half = 1 GROUP BY bs.tree, bs.feature, bs.bin, gain",
+}

@@ -280,8 +280,8 @@ def msprt_path(spark, sf_dir):
 
 @query
 def sequential_monitor(spark, sf_dir):
-    plan = sequential.design(spark, (0.2, 0.4, 0.6, 0.8, 1.0))
-    return rounded(sequential.monitor(_look_effects(spark, sf_dir), plan))
+    """Each arm against the bounds at its looks' own information."""
+    return rounded(sequential.monitor(_look_effects(spark, sf_dir)), info=6, z=3, repeated_low=2, repeated_high=2, spent=6)
 
 
 @query
@@ -762,6 +762,51 @@ def stopping_rules(spark, sf_dir):
     return rounded(simulate.stopping_calibration(users, _salts(spark, 100)))
 
 
+def _exp_a(spark, sf_dir) -> DataFrame:
+    return warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_a'")
+
+
+@query
+def calibration_by_look(spark, sf_dir):
+    """False rejections, coverage and false stops at each look of splits that did nothing."""
+    from veltrial.operators import simulate
+
+    return rounded(simulate.look_calibration(_exp_a(spark, sf_dir), _salts(spark, 60)), mean_z=3, sd_z=3)
+
+
+@query
+def power_by_look(spark, sf_dir):
+    """The same with a lift of 30 per cent drawn by the salt: rejections are power."""
+    from veltrial.operators import simulate
+
+    return rounded(simulate.look_calibration(_exp_a(spark, sf_dir), _salts(spark, 60), lift=0.3), mean_z=3, sd_z=3)
+
+
+@query
+def constant_boundary(spark, sf_dir):
+    """Fitted on one half of the salts, judged on the other."""
+    from veltrial.operators import simulate
+
+    salts = _salts(spark, 100)
+    return rounded(simulate.constant_boundary(_exp_a(spark, sf_dir), salts.where("salt < 's050'"), salts.where("salt >= 's050'")))
+
+
+@query
+def share_dispersion(spark, sf_dir):
+    from veltrial.operators import simulate
+
+    return rounded(simulate.share_dispersion(_exp_a(spark, sf_dir), _salts(spark, 40)), over_p=6, under_p=6)
+
+
+@query
+def layer_orthogonality(spark, sf_dir):
+    """Every two of eight salts over all customers."""
+    from veltrial.operators.assignment import orthogonality, salt_pairs
+
+    units = read(spark, sf_dir, "customer").select(F.format_string("u%07d", "c_custkey").alias("user_id"))
+    return rounded(orthogonality(salt_pairs(units, [f"layer{i}" for i in range(8)])), p_value=6)
+
+
 @query
 def rejection_convergence(spark, sf_dir):
     from veltrial.operators import simulate
@@ -799,3 +844,111 @@ def synthetic_control(spark, sf_dir):
     p = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("unit", "period").agg((F.sum("v") / 1e6).alias("outcome"))
     full = p.join(p.groupBy("unit").agg(F.count("*").alias("n")).where("n = 6").select("unit"), "unit", "left_semi")
     return rounded(synthetic.placebo_inference(full, "0", 5))
+
+
+# ---- ranks by key, comparison, heterogeneity over the whole table ----------------------
+
+
+@query
+def nested_prefixes(spark, sf_dir):
+    """Four prefixes of each arm in the order of the assignment hash."""
+    from veltrial.functions.hashing import murmur3_32
+
+    users = warehouse(spark, sf_dir).dwd_experiment_user
+    order = murmur3_32(F.concat(F.lit("order:"), F.col("user_id")))
+    return rounded(looks.nested_prefixes(users, 4, order=order))
+
+
+@query
+def line_quantiles(spark, sf_dir):
+    """Exact tenth, median and ninth decile of the price of lines by ship mode and return flag."""
+    from veltrial.operators.ranks import exact_quantiles
+
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    keys = ["l_returnflag", "l_linestatus"]
+    parts = [exact_quantiles(lines, keys, "l_extendedprice", q).withColumn("q", F.lit(q)) for q in (0.1, 0.5, 0.9)]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query
+def value_distance(spark, sf_dir):
+    """Values of purchases in the first and the second half of the month."""
+    from veltrial.operators import compare
+
+    log = events.sources(spark, sf_dir)["event_log"].where("event_name = 'purchase'")
+    half = F.dayofmonth("ds") <= 15
+    return rounded(compare.kolmogorov_distance(log.where(half), log.where(~half), "metric_value"), distance=8, p_value=6)
+
+
+def _halves(spark, sf_dir) -> list[Warehouse]:
+    """Two warehouses of one table: users with even and with odd numbers."""
+    s = events.sources(spark, sf_dir)
+    part = lambda k: {n: f.where(F.col("user_id").cast("long") % 2 == k) if "user_id" in f.columns else f for n, f in s.items()}
+    return [Warehouse(part(k), events.METRIC_EVENT, events.WINDOW_DAYS, events.WINDOW_DAYS) for k in (0, 1)]
+
+
+@query
+def warehouse_days(spark, sf_dir):
+    from veltrial.operators import compare
+
+    even, odd = _halves(spark, sf_dir)
+    got = compare.days_side_by_side(even.dws_experiment_variant_daily, odd.dws_experiment_variant_daily)
+    return rounded(got.where("experiment = 'exp_a'"), left_z=3, right_z=3, gap_z=3)
+
+
+@query
+def warehouse_shapes(spark, sf_dir):
+    from veltrial.operators import compare
+
+    even, odd = _halves(spark, sf_dir)
+    return rounded(compare.shape(even.dwd_experiment_user, "even").unionByName(compare.shape(odd.dwd_experiment_user, "odd")), zero_share=6)
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    from veltrial.operators import splits
+
+    return splits.judged(_trial(spark, sf_dir), y="y", d="d", features=["a"], id_column="id", propensity=0.5, n_splits=10)
+
+
+@query
+def linear_predictor(spark, sf_dir):
+    """Mean effect and slope on the proxy, medians over ten splits."""
+    from veltrial.operators import splits
+
+    rows = splits.best_linear_predictor(_judged(spark, sf_dir))
+    mean = splits.over_splits(rows, [], "effect", "effect_se").withColumn("term", F.lit("effect"))
+    return rounded(mean.unionByName(splits.over_splits(rows, [], "slope", "slope_se").withColumn("term", F.lit("slope"))), estimate=3, low=3, high=3)
+
+
+@query
+def sorted_effects(spark, sf_dir):
+    """Effects of four groups by the proxy, medians over ten splits."""
+    from veltrial.operators import splits
+
+    return rounded(splits.over_splits(splits.sorted_groups(_judged(spark, sf_dir)), ["group"], "effect", "std_error"), estimate=3, low=3, high=3)
+
+
+def _forest_plan(**more):
+    from veltrial.operators.forest import Plan
+
+    return Plan(("a", "b"), (tuple(k / 16 for k in range(1, 16)), tuple(k / 12 for k in range(1, 12))), **more)
+
+
+@query
+def forest_first_level(spark, sf_dir):
+    """First split of eight honest trees, with the effects of the other half on both sides."""
+    from veltrial.operators import forest
+
+    grown = forest.grow(_trial(spark, sf_dir), _forest_plan(bags=4, bag_trees=2, depth=1, min_leaf=20), y="y", d="d", id_column="id")
+    return rounded(forest.splits_table(grown, spark), gain=2)
+
+
+@query
+def forest_effects(spark, sf_dir):
+    """Effects of a forest of depth 3 by twelfths of the year, with their mean error."""
+    from veltrial.operators import forest
+
+    rows = _trial(spark, sf_dir)
+    grown = forest.grow(rows, _forest_plan(bags=8, bag_trees=3, depth=3, min_leaf=20), y="y", d="d", id_column="id")
+    out = forest.predict(rows, grown).groupBy(F.round(F.col("b") * 12).cast("int").alias("month"))
+    return rounded(out.agg(F.count("*").alias("n"), F.avg("cate").alias("effect"), F.avg("cate_se").alias("error")))

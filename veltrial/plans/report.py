@@ -18,7 +18,7 @@ def look_effects(daily: DataFrame, n_looks: int, control: str = "control", estim
     return rows.select("experiment.*", "variant", "effect", "std_error")
 
 
-def experiment_report(warehouse: Warehouse, *, control: str = "control", alpha: float = 0.05, tau: float = 20.0, n_looks: int = 5) -> DataFrame:
+def experiment_report(warehouse: Warehouse, *, control: str = "control", alpha: float = 0.05, tau: float | None = None, n_looks: int = 5) -> DataFrame:
     """Adjusted and plain effect with their difference explained, power, sample
     ratio, guardrails, always-valid p, and the worst of all as health."""
     results = warehouse.ads_experiment_result

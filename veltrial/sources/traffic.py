@@ -114,7 +114,9 @@ def users_of_both(event_log: DataFrame, other: DataFrame) -> DataFrame:
 
 def split_by_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Adds the exact median of each group, and whether a row is above it."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias("median"))
+    from veltrial.operators.ranks import exact_quantiles
+
+    middle = exact_quantiles(rows, by, value).select(*by, F.col("quantile").alias("median"))
     return rows.join(middle, by).withColumn("above", F.col(value) > F.col("median"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +26,26 @@ def daily_moments(outcomes: DataFrame, *, delay: str = "2 days", y: str = "post_
 
 def first_exposures(exposures: DataFrame, delay: str = "1 day") -> DataFrame:
     """One row per experiment, arm and user: the earliest timestamp among those
-    that come until the watermark passes, in any order of arrival."""
+    that come until the watermark passes, in any order of arrival.
+
+    The state of a user stays, as a mark, after the row has come out: an exposure
+    that comes later, however much, is never a first one again."""
 
     def earliest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (ts,) = state.get
-            state.remove()
+            ts, _ = state.get
+            state.update((ts, True))
             yield pd.DataFrame([[*key, pd.Timestamp(ts, unit="us")]], columns=["experiment", "variant", "user_id", "expose_ts"])
             return
-        least = min(int(b["ts"].min().value // 1000) for b in batches if len(b))
-        if state.exists:
-            least = min(least, state.get[0])
-        state.update((least,))
+        seen, done = state.get if state.exists else (None, False)
+        if done:
+            return
+        least = min([int(b["ts"].min().value // 1000) for b in batches if len(b)] + ([seen] if seen is not None else []))
+        state.update((least, False))
         state.setTimeoutTimestamp(max(least // 1000, state.getCurrentWatermarkMs()) + 1)
 
     keyed = exposures.select("experiment", "variant", "user_id", "ts").withWatermark("ts", delay).groupBy("experiment", "variant", "user_id")
-    return keyed.applyInPandasWithState(earliest, "experiment string, variant string, user_id string, expose_ts timestamp", "least long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(earliest, "experiment string, variant string, user_id string, expose_ts timestamp", "least long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def request_counts(requests: DataFrame, window: str = "60 seconds", delay: str = "60 seconds") -> DataFrame:
@@ -53,17 +58,13 @@ def always_valid_monitor(looks: DataFrame, tau: float, alpha: float = 0.05) -> D
     least p-value of each arm, kept as state of one number."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        best = state.get[0] if state.exists else 1.0
-        out = []
-        for pdf in batches:
-            for r in pdf.sort_values("look").itertuples():
-                v = r.std_error**2
-                ratio = np.sqrt(v / (v + tau**2)) * np.exp(r.effect**2 * tau**2 / (2 * v * (v + tau**2)))
-                best = min(best, 1 / ratio if ratio > 1 else 1.0)
-                out.append([*key, int(r.look), float(best), bool(best <= alpha)])
-        state.update((float(best),))
-        yield pd.DataFrame(out, columns=["experiment", "variant", "look", "always_valid_p", "rejected"])
+        rows = pd.concat(list(batches)).sort_values("look", kind="stable")
+        effect, v = rows["effect"].to_numpy(float), rows["std_error"].to_numpy(float) ** 2
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            ratio = np.sqrt(v / (v + tau**2)) * np.exp(effect**2 * tau**2 / (2 * v * (v + tau**2)))
+            p = np.where(ratio > 1, 1 / ratio, 1.0)
+        best = np.minimum.accumulate(np.minimum(np.nan_to_num(p, nan=1.0), state.get[0] if state.exists else 1.0))
+        state.update((float(best[-1]),))
+        yield pd.DataFrame({"experiment": key[0], "variant": key[1], "look": rows["look"].to_numpy(), "always_valid_p": best, "rejected": best <= alpha})
 
     return looks.groupBy("experiment", "variant").applyInPandasWithState(update, "experiment string, variant string, look int, always_valid_p double, rejected boolean", "best double", "append", GroupStateTimeout.NoTimeout)
