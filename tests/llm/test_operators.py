@@ -742,39 +742,52 @@ def test_own_class_names_of_an_article_keep_its_text():
     assert html.main_text("<div class='overlay'><p>all of the page</p></div>") == "all of the page"
 
 
-def test_windows_decide_on_marked_pages():
-    """Against the rule as it is written: each marked element whose windows
-    surge, from its first line with weight to its last."""
+def test_marked_articles_are_kept_whole():
+    """Every marked element with text outside links, with all its lines; what
+    stands beside them goes while a window in one of them surges or none beside them does."""
     rng = np.random.default_rng(14)
     for k in range(200):
-        elements, want, plain = [], [], []
+        elements, want = [], []
         for _ in range(int(rng.integers(1, 4))):
-            lines = []
-            for _ in range(int(rng.integers(1, 12))):
-                link = bool(rng.random() < 0.5)
-                lines.append((link, " ".join(rng.choice(LINE.split(), int(rng.integers(1, 9))))))
-            weight = [len(t) for _, t in lines]
-            for i in range(len(lines)):  # a line of links in a run of three or more
-                lo = hi = i
-                while lo > 0 and lines[lo - 1][0]:
-                    lo -= 1
-                while hi + 1 < len(lines) and lines[hi + 1][0]:
-                    hi += 1
-                if lines[i][0] and hi - lo + 1 >= 3:
-                    weight[i] = 0
-            if not any(weight):
-                weight = [len(t) for _, t in lines]
-            surge = any(sum(weight[i : i + 3]) >= 80 and weight[i] for i in range(len(lines)))
-            heavy = [i for i, w in enumerate(weight) if w]
-            want.append((surge, [t for _, t in lines[heavy[0] : heavy[-1] + 1]]))
-            plain.append(sum(len(t) for link, t in lines if not link))
+            lines = [(bool(rng.random() < 0.5), " ".join(rng.choice(LINE.split(), int(rng.integers(1, 9))))) for _ in range(int(rng.integers(1, 12)))]
+            want.append((any(not link for link, _ in lines), [t for _, t in lines]))
             elements.append("<article>" + "".join(f"<p><a href='/'>{t}</a></p>" if link else f"<p>{t}</p>" for link, t in lines) + "</article>")
-        if not sum(plain):
-            continue
         kept = [t for s, own in want if s or not any(x for x, _ in want) for t in own]
         assert html.main_text("<body>" + "<p>outside</p>".join(elements) + "</body>") == " ".join(kept), k
 
 
+WORDS = "some plain words of a text that goes on for a while "
+HAND_PAGES = [
+    ("<body><article><h1>Head</h1><p>" + WORDS * 3 + "</p></article><article class='comment'><p>" + "nice post " * 30 + "</p></article></body>", "Head " + (WORDS * 3).strip()),
+    ("<body><main><h1>Head</h1><p>The lead.</p><article><p>" + WORDS * 3 + "</p></article></main></body>", "Head The lead. " + (WORDS * 3).strip()),
+    ("<body><article><p>" + WORDS * 3 + "</p></article><article><p>A short second one.</p></article></body>", WORDS * 3 + "A short second one."),
+    ("<body><article><p>" + WORDS * 3 + "</p><ul><li><a href='1'>First source</a></li><li><a href='2'>Second source</a></li><li><a href='3'>Third source</a></li></ul></article></body>", WORDS * 3 + "First source Second source Third source"),
+    ("<body><main><ul><li><a href='1'>Home</a></li><li><a href='2'>News</a></li><li><a href='3'>Sport</a></li></ul><h1>Head</h1><article><p>" + WORDS * 3 + "</p></article></main></body>", "Head " + (WORDS * 3).strip()),
+    ("<body><article><p>Text " + WORDS * 3 + "</p><article class='comment' id='comment-7'><p>" + "nice " * 60 + "</p></article></article></body>", ("Text " + WORDS * 3).strip()),
+]
+
+
+@pytest.mark.parametrize("page,want", HAND_PAGES, ids=["comments marked as articles", "text of main beside an article", "a short second article", "a closing list of links", "a menu in main", "a comment inside the article"])
+def test_hand_made_marked_pages(page, want):
+    assert html.main_text(page) == want
+
+
+def test_windows_overrule_the_tag(spark):
+    """Teasers in article elements, the text in a plain block: the windows decide."""
+    rng = np.random.default_rng(15)
+    rows, want = [], {}
+    for k in range(40):
+        text = " ".join(rng.choice(LINE.split(), 60))
+        teasers = "".join(f"<article><p>{' '.join(rng.choice(LINE.split(), 4))}</p></article>" for _ in range(int(rng.integers(1, 4))))
+        if k % 2:  # a marked page as usual
+            rows.append((k, "u", f"<body><article><p>{text}</p></article><div><p>{' '.join(rng.choice(LINE.split(), 4))}</p></div></body>"))
+        else:
+            rows.append((k, "u", f"<body><div class='page'><div class='body'><p>{text}</p></div></div><div class='more'>{teasers}</div></body>"))
+        want[k] = text
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_repeated_and_broken_pages(spark):
     page = "<article><p>some text</p><p>more</p></article>"
     data = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, page[:-4], "x"), (2, "u", "<p>" * 3000 + "deep" + "</p></b>" * 3000, "x")]

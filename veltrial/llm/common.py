@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text handled by one numpy pass; larger single texts form a pass of their own.
@@ -201,6 +202,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sampled(df: DataFrame, most: int, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of the columns, each distinct
+    one once: neither null nor shared ids, nor a text that most rows have, can take
+    the whole sample or leave it empty.  One pass counts the distinct rows."""
+    key = F.xxhash64(*columns, F.lit(7))
+    distinct = df.select(F.approx_count_distinct(key, 0.02)).first()[0]
+    parts = max(1, -(-distinct // max(1, most)))
+    return df.withColumn("_key", key).where(F.pmod("_key", F.lit(parts)) == 0).dropDuplicates(["_key"]).drop("_key")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -10,10 +10,12 @@ to nothing.
 * The block that holds the heaviest stretch is the article: all of it is kept
   from its first line with weight to its last.  Stretches elsewhere are kept by
   their share of the heaviest.
-* Where a page marks articles, each marked element is a block of its own: it is
-  kept if a window in it surges (or none in any does), from its first line with
-  weight to its last.  A run of BLOCK lines or more that are links for the most
-  part has no weight, so that menus before or after the text go.
+* Where a page marks articles, the tag is a hint that the windows confirm: where
+  no window in a marked element surges but one beside them does (teasers in
+  ``article``, the text in a plain block), the rule above holds for the rest.  Else every marked
+  element that has text outside links is kept, articles whole; in a ``main``
+  element, what stands beside its articles is kept too, but for runs of BLOCK lines
+  or more that are links for the most part.
 * Class and id names exclude an element when all their parts say so
   (``cookie-notice``, not ``social-science``).  Names that an article may use
   itself (``alert``, ``related``) exclude nothing inside a marked article but
@@ -187,7 +189,7 @@ def _by_name(value: str) -> int:
 
 def _soft(name: str, attributes: str) -> int:
     """The same by an element's class, id, role and style."""
-    if not attributes or name in MARKED or name in ("html", "body"):
+    if not attributes or name in ("main", "html", "body"):
         return 0
     best = 0
     for m in _ATTRIBUTE.finditer(attributes):
@@ -361,32 +363,36 @@ def stretches(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
-def _marked_lines(lines: list[Line]) -> list[int]:
-    """Of pages that mark articles."""
-    total = sum(x.weight for x in lines if x.mark)
-    articles = sum(x.weight for x in lines if x.article)
-    narrow = 2 * articles >= total and articles > 0  # the articles inside a main element
+def _marked_lines(lines: list[Line]) -> list[int] | None:
+    """Of pages that mark articles; None where the windows find the text elsewhere."""
     light = [2 * x.weight < len(x.text) for x in lines]
+    weights = [0 if a else x.weight for a, x in zip(light, lines, strict=True)]
     blocks: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
-        if x.mark and (x.article or not narrow):
-            blocks.setdefault(x.mark, []).append(i)
+        blocks.setdefault(x.mark, []).append(i)
+    surges = lambda own: bool(stretches([weights[i] for i in own], SURGE))
+    beside = blocks.pop(0, [])
+    if surges(beside) and not any(map(surges, blocks.values())):
+        return None
     kept: list[tuple[bool, list[int]]] = []
     for own in blocks.values():
-        weights = [len(lines[i].text) for i in own]
+        size = [len(lines[i].text) for i in own]
         k = 0
-        while k < len(own):  # runs of links have no weight
+        while k < len(own):  # runs of links outside articles have no weight
             j = k
-            while j < len(own) and light[own[j]]:
+            while j < len(own) and light[own[j]] and not lines[own[j]].article:
                 j += 1
             if j - k >= BLOCK:
-                weights[k:j] = [0] * (j - k)
+                size[k:j] = [0] * (j - k)
             k = max(j, k + 1)
-        if not any(weights):
-            weights = [len(lines[i].text) for i in own]
-        kept.append((bool(stretches(weights, SURGE)), [own[i] for i in _trimmed(list(range(len(own))), weights)]))
-    surged = any(s for s, _ in kept)
-    return sorted(i for s, own in kept if s or not surged for i in own)
+        if not any(size):
+            size = [len(lines[i].text) for i in own]
+        chosen = [own[i] for i in _trimmed(list(range(len(own))), size)]
+        if any(lines[i].article for i in own):  # a menu between a heading and its article goes too
+            chosen = [i for i, w in zip(own, size, strict=True) if w]
+        kept.append((any(weights[i] for i in own), chosen))
+    text = any(t for t, _ in kept)
+    return sorted(i for t, own in kept if t or not text for i in own)
 
 
 def main_text(page: str | None) -> str:
@@ -394,8 +400,10 @@ def main_text(page: str | None) -> str:
         return ""
     lines, softs = lines_of(page)
     rest = taking_part(lines, softs)
-    if any(x.mark for x in rest):
-        return " ".join(rest[i].text for i in _marked_lines(rest))
+    marked = _marked_lines(rest) if any(x.mark for x in rest) else None
+    if marked is not None:
+        return " ".join(rest[i].text for i in marked)
+    rest = [x for x in rest if not x.mark]
     weights = [x.weight if 2 * x.weight >= len(x.text) else 0 for x in rest]
     kept = stretches(weights, SURGE) or stretches(weights, max([1, *(sum(weights[i : i + BLOCK]) for i in range(len(weights)))]))
     if not kept:

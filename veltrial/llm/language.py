@@ -7,7 +7,7 @@ language.  Viterbi over a document's words, with a penalty for each change of
 language, labels spans; the document gets the language of most of its letters.
 
 The trigram tables are counted on a bounded sample (SAMPLE_DOCS labelled rows,
-chosen by a hash of the id) and hold BUCKETS numbers a language.
+distinct ones, chosen by a hash of id and text) and hold BUCKETS numbers a language.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
 rows without a label train nothing; no labelled row at all: every text is
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import U64, mix64, released, table, text_blocks
+from veltrial.llm.common import U64, mix64, released, sampled, table, text_blocks
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000
@@ -213,8 +213,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """labelled: doc_id, text, lang (non-null).  The counts that reach the
     driver are at most BUCKETS + len(SCRIPT_NAMES) a language."""
-    share = max(1, labelled.count() // max(1, sample_docs))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", "lang")
+    sample = sampled(labelled.select("doc_id", "text", "lang"), sample_docs, ("doc_id", "text", "lang")).select("text", "lang")
     rows = sample.mapInArrow(released(_count), "lang string, kind int, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique().tolist())
     logp = np.zeros((BUCKETS, len(languages)), np.float32)
@@ -252,7 +251,7 @@ def model_of(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_spans: one row per document."""
     model = model or model_of(docs)
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(released(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(released(_predict(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_spans long")
 
 
 def _keep(model: Model, least: float) -> Callable:

@@ -7,8 +7,8 @@ is estimated from the same two samples: the least ratio, over score thresholds,
 of the unlabelled share above the threshold to the positive share above it.
 
 Trusted positives are rows of ``labels`` with quality 1; rows with quality 0 are
-not used.  Both samples are bounded (POSITIVES, UNLABELLED rows, chosen by a
-hash of the id); scoring covers every document.
+not used.  Both samples are bounded (POSITIVES, UNLABELLED rows, distinct
+ones, chosen by a hash of id and text); scoring covers every document.
 
 Features: shares of ordered pairs of character classes, share of words that
 repeat the one before, share of distinct words, word length, text length.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import TextBlock, hash_ranges, rows_of, table, text_blocks
+from veltrial.llm.common import TextBlock, hash_ranges, rows_of, sampled, table, text_blocks
 
 POSITIVES, UNLABELLED = 6000, 12_000
 STEPS, RATE, DECAY = 400, 0.05, 0.1
@@ -159,19 +159,14 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("positive").slice(block.lo, block.hi - block.lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
 
 
-def _hash_share(df: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of doc_id."""
-    parts = max(1, -(-df.count() // most))
-    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, quality; only rows with quality 1 are used."""
-    positives = _hash_share(labels.where(F.col("quality") == 1).select("doc_id").distinct(), POSITIVES)
+    known = labels.where(F.col("quality") == 1).select("doc_id").distinct()
+    positives = sampled(docs.select("doc_id").join(known, "doc_id", "left_semi"), POSITIVES, ("doc_id",))  # of ids that have a text
     text = docs.select("doc_id", "text")
-    # at most about POSITIVES ids
-    p = text.join(F.broadcast(positives), "doc_id", "left_semi").withColumn("positive", F.lit(True))
-    u = _hash_share(text, UNLABELLED).withColumn("positive", F.lit(False))
+    # about POSITIVES ids at most; an id may have any number of rows, so those are sampled too
+    p = sampled(text.join(F.broadcast(positives), "doc_id", "left_semi"), POSITIVES).withColumn("positive", F.lit(True))
+    u = sampled(text, UNLABELLED).withColumn("positive", F.lit(False))
     rows = p.unionByName(u).select("positive", "text").mapInArrow(_feature_rows, "positive boolean, x binary").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, FEATURES)
     is_positive = rows["positive"].to_numpy(bool)
@@ -196,7 +191,7 @@ def held_out(doc_id="doc_id"):
 def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document."""
     model = model or train(docs, labels.where(~held_out()))
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_score(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.llm.common import released, table
+from veltrial.llm.common import released, sampled, table
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -121,8 +121,7 @@ def _probabilities(counts: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each transition."""
-    share = max(1, docs.count() // max(1, sample_docs))
-    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    sample = sampled(docs.select("doc_id", "text"), sample_docs).select("text")
     counts = np.zeros((2, _STATES * _STATES))
     # at most 2 * _STATES^2 rows
     for r in sample.mapInArrow(released(_count), "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
@@ -266,7 +265,7 @@ def _scan(ratio: np.ndarray) -> Callable:
 def scan_secrets(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per document."""
     ratio = train(docs) if ratio is None else ratio
-    return docs.select("doc_id", "text").mapInArrow(released(_scan(ratio)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(released(_scan(ratio)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _redact(ratio: np.ndarray) -> Callable:

@@ -485,9 +485,10 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def splitters(source: DataFrame, documents: int, parts: int) -> np.ndarray:
-    """Cores that cut the order of suffixes in about equal parts, from about SAMPLE_DOCS documents."""
-    share = max(1, documents // SAMPLE_DOCS)
-    rows = source.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(share)) == 0).select("doc_id", "text").mapInArrow(_sample, "core binary").distinct()
+    """Cores that cut the order of suffixes in about equal parts, from about
+    SAMPLE_DOCS documents, or more where there are more parts to cut."""
+    share = max(1, documents // max(SAMPLE_DOCS, parts))
+    rows = source.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(share)) == 0).select("doc_id", "text").mapInArrow(_sample, "core binary").distinct()
     cores = sorted(bytes(r["core"]) for r in rows.collect())  # bounded by the sample's texts
     cut = [cores[len(cores) * k // parts] for k in range(1, parts)] if cores else []
     return np.unique(np.array(cut, f"S{CORE}")) if cut else np.zeros(0, f"S{CORE}")
