@@ -580,6 +580,37 @@ ORACLES |= {
     "p AS (SELECT a.salt AS left_salt, b.salt AS right_salt, count(*) AS units, count(*) FILTER (a.two AND b.two) AS b2, count(*) FILTER (a.two) AS left_n, count(*) FILTER (b.two) AS right_n FROM h a JOIN h b ON a.user_id = b.user_id AND a.salt < b.salt GROUP BY 1, 2) "
     f"SELECT left_salt, right_salt, units, b2 AS \"both\", left_n, right_n, round(chi2, 4) AS chi2, round({_chi2_p('chi2', '1')}, 6) AS p_value FROM (SELECT *, units * power(CAST(units AS DOUBLE) * b2 - CAST(left_n AS DOUBLE) * right_n, 2) / (CAST(left_n AS DOUBLE) * right_n * (units - left_n) * (units - right_n)) AS chi2 FROM p)",
 }
+# ---- looks by the declared unit ------------------------------------------------------------
+
+_CLUSTER_CTES = (
+    ", crun AS (SELECT * FROM (SELECT k.experiment, k.variant, k.cluster_id, d.ds, CAST(sum(coalesce(user_cnt, 0)) OVER w AS DOUBLE) AS n, sum(coalesce(pre_sum, 0)) OVER w AS x, sum(coalesce(post_sum, 0)) OVER w AS y, sum(coalesce(post_sq_sum, 0)) OVER w AS yy FROM (SELECT DISTINCT experiment, variant, cluster_id FROM cluster_daily) k "
+    "JOIN (SELECT experiment, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM cluster_daily GROUP BY experiment) d USING (experiment) LEFT JOIN cluster_daily c ON c.experiment = k.experiment AND c.variant = k.variant AND c.cluster_id = k.cluster_id AND c.ds = d.ds WINDOW w AS (PARTITION BY k.experiment, k.variant, k.cluster_id ORDER BY d.ds)) WHERE n > 0), "
+    "cinfo AS (SELECT experiment, ds, c / max(c) OVER (PARTITION BY experiment) AS info FROM (SELECT experiment, ds, sum(c) AS c, min(c) AS least, count(*) AS arms FROM (SELECT experiment, variant, ds, count(*) AS c FROM crun GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE least >= 2 AND arms >= 2), "
+    "cpick AS (SELECT experiment, min(ds) AS ds, info, row_number() OVER (PARTITION BY experiment ORDER BY info) AS look FROM (SELECT experiment, ds, info FROM (SELECT *, row_number() OVER (PARTITION BY experiment, k ORDER BY abs(info - k / 3.0), ds) AS r FROM cinfo, (SELECT unnest(range(1, 4)) AS k)) WHERE r = 1 UNION ALL SELECT experiment, max(ds), arg_max(info, ds) FROM cinfo GROUP BY experiment) GROUP BY experiment, info), "
+    "cm AS (SELECT r.experiment, r.variant, p.look, p.info, count(*) AS g, avg(y / n) AS my, avg(x / n) AS mx, var_samp(y / n) AS vy, var_samp(x / n) AS vx, covar_samp(x / n, y / n) AS k, sum(y / n) AS sy, sum(x / n) AS sx, sum(x / n * x / n) AS sxx, sum(x / n * y / n) AS sxy, sum(n) AS un, sum(y) AS uy, sum(yy) AS uyy FROM crun r JOIN cpick p ON p.experiment = r.experiment AND p.ds = r.ds GROUP BY 1, 2, 3, 4), "
+    "cp AS (SELECT t.experiment, t.look, t.info, t.g AS tg, c.g AS cg, t.my AS ty, c.my AS cy, t.mx AS tx, c.mx AS cx, t.vy AS tvy, c.vy AS cvy, t.vx AS tvx, c.vx AS cvx, t.k AS tk, c.k AS ck, ((t.sxy + c.sxy) - (t.sx + c.sx) * (t.sy + c.sy) / (t.g + c.g)) / ((t.sxx + c.sxx) - power(t.sx + c.sx, 2) / (t.g + c.g)) AS th, "
+    "t.uy / t.un - c.uy / c.un AS ue, sqrt((t.uyy - t.uy * t.uy / t.un) / (t.un - 1) / t.un + (c.uyy - c.uy * c.uy / c.un) / (c.un - 1) / c.un) AS us FROM cm t JOIN cm c ON c.experiment = t.experiment AND c.look = t.look AND t.variant = 'treatment' AND c.variant = 'control'), "
+    "cl AS (SELECT 'cluster_level' AS estimator, experiment, look, info, ty - cy AS effect, sqrt(tvy / tg + cvy / cg) AS se FROM cp UNION ALL SELECT 'cluster_cuped', experiment, look, info, ty - cy - th * (tx - cx), sqrt(greatest(tvy - 2 * th * tk + th * th * tvx, 0) / tg + greatest(cvy - 2 * th * ck + th * th * cvx, 0) / cg) FROM cp UNION ALL SELECT 'unit_level', experiment, look, info, ue, us FROM cp)"
+)
+_THREE = (
+    ", near3 AS (SELECT experiment, ds, info, row_number() OVER (PARTITION BY experiment, k ORDER BY abs(info - k / 3.0), ds) AS r FROM info, (SELECT unnest(range(1, 4)) AS k)), pick3 AS (SELECT experiment, min(ds) AS ds, info, row_number() OVER (PARTITION BY experiment ORDER BY info) AS look FROM (SELECT experiment, ds, info FROM near3 WHERE r = 1 UNION ALL SELECT experiment, max(ds), arg_max(info, ds) FROM info GROUP BY experiment) GROUP BY experiment, info), "
+    "ul AS (SELECT p.experiment, p.look, p.info, t.n AS tn, c.n AS cn, t.sum_y / t.n - c.sum_y / c.n AS gap, t.sum_x / t.n - c.sum_x / c.n AS pre, (t.sum_yy - t.sum_y * t.sum_y / t.n) / (t.n - 1) AS tv, (c.sum_yy - c.sum_y * c.sum_y / c.n) / (c.n - 1) AS cv, (t.sum_xx - t.sum_x * t.sum_x / t.n) / (t.n - 1) AS tvx, (c.sum_xx - c.sum_x * c.sum_x / c.n) / (c.n - 1) AS cvx, "
+    "(t.sum_xy - t.sum_x * t.sum_y / t.n) / (t.n - 1) AS tk, (c.sum_xy - c.sum_x * c.sum_y / c.n) / (c.n - 1) AS ck, ((t.sum_xy + c.sum_xy) - (t.sum_x + c.sum_x) * (t.sum_y + c.sum_y) / (t.n + c.n)) / ((t.sum_xx + c.sum_xx) - power(t.sum_x + c.sum_x, 2) / (t.n + c.n)) AS th "
+    "FROM pick3 p JOIN run t ON t.experiment = p.experiment AND t.ds = p.ds AND t.variant = 'treatment' JOIN run c ON c.experiment = p.experiment AND c.ds = p.ds AND c.variant = 'control' WHERE t.n > 1 AND c.n > 1), "
+    "jr AS (SELECT experiment AS key, look, info, 'cuped' AS path, gap - th * pre AS effect, sqrt(greatest(tv - 2 * th * tk + th * th * tvx, 0) / tn + greatest(cv - 2 * th * ck + th * th * cvx, 0) / cn) AS std_error, 'post_only' AS beside, gap AS beside_effect, sqrt(tv / tn + cv / cn) AS beside_std_error FROM ul WHERE experiment = 'exp_a' UNION ALL "
+    "SELECT a.experiment, a.look, a.info, a.estimator, a.effect, a.se, b.estimator, b.effect, b.se FROM cl a JOIN cl b ON b.experiment = a.experiment AND b.look = a.look AND a.estimator = 'cluster_cuped' AND b.estimator = 'cluster_level' WHERE a.experiment = 'exp_city')"
+)
+ORACLES |= {
+    "ratio_looks": sql(
+        "SELECT p.experiment, 'treatment' AS variant, CAST(p.look AS INTEGER) AS look, round(p.info, 6) AS info, round(t.y / t.x - c.y / c.x, 4) AS effect, round(sqrt(" + _RV("t") + " + " + _RV("c") + "), 4) AS std_error FROM picks p JOIN rrun t ON t.experiment = p.experiment AND t.ds = p.ds AND t.variant = 'treatment' JOIN rrun c ON c.experiment = p.experiment AND c.ds = p.ds AND c.variant = 'control' WHERE t.n > 1 AND c.n > 1"
+    ).replace(" SELECT p.experiment", ", rrun AS (SELECT s.experiment, s.variant, s.ds, CAST(sum(coalesce(user_cnt, 0)) OVER w AS DOUBLE) AS n, sum(coalesce(sum_y, 0)) OVER w AS y, CAST(sum(coalesce(sum_x, 0)) OVER w AS DOUBLE) AS x, sum(coalesce(sum_yy, 0)) OVER w AS yy, CAST(sum(coalesce(sum_xx, 0)) OVER w AS DOUBLE) AS xx, sum(coalesce(sum_xy, 0)) OVER w AS xy FROM spine s LEFT JOIN ratio_daily USING (experiment, variant, ds) WINDOW w AS (PARTITION BY s.experiment, s.variant ORDER BY s.ds)) SELECT p.experiment", 1),
+    "cluster_effects_by_look": f"WITH {CTES}{_CLUSTER_CTES} SELECT estimator, experiment, 'treatment' AS variant, CAST(look AS INTEGER) AS look, round(info, 6) AS info, round(effect, 4) AS effect, round(se, 4) AS std_error FROM cl",
+    "monitoring": _recursive(
+        f"WITH {CTES}{_CLUSTER_CTES}{_THREE}, pl AS (SELECT *, effect / std_error AS z, last_value(std_error) OVER (PARTITION BY key ORDER BY look ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_se FROM jr), {_solved('pl')} "
+        f"SELECT pl.key AS experiment, 'treatment' AS variant, CAST(pl.look AS INTEGER) AS look, round(info, 6) AS info, path, {_r4('effect', 'std_error', 'boundary', 'beside_effect', 'beside_std_error')}, round(z, 3) AS z, abs(z) >= boundary AS crossed, bool_or(abs(z) >= boundary) OVER w AS stopped, round(effect - boundary * std_error, 2) AS repeated_low, "
+        f"round(effect + boundary * std_error, 2) AS repeated_high, round(last_se * sqrt({_R}), 3) AS tau, round(min({_VALID}) OVER w, 6) AS always_valid_p, beside FROM pl JOIN bnd ON bnd.key = pl.key AND bnd.look = pl.look WINDOW w AS (PARTITION BY pl.key ORDER BY pl.look)"
+    ),
+}
 _OWN_PATH = "(SELECT *, se AS std_error, last_value(se) OVER (PARTITION BY experiment ORDER BY look ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_se FROM look)"
 ORACLES["experiment_report"] = ORACLES["experiment_report"].replace(f"(SELECT experiment, min(p) AS p FROM {_PATH} GROUP BY experiment)", f"(SELECT experiment, min({_VALID}) AS p FROM {_OWN_PATH} GROUP BY experiment)")
 

@@ -259,6 +259,26 @@ def cuped_looks(spark, sf_dir):
     return rounded(_look_effects(spark, sf_dir, "cuped"), info=6)
 
 
+@query
+def ratio_looks(spark, sf_dir):
+    return rounded(report.look_effects(warehouse(spark, sf_dir).dws_experiment_ratio_daily, 5, estimator="ratio_delta"), info=6)
+
+
+@query
+def cluster_effects_by_look(spark, sf_dir):
+    """Cluster means, adjusted cluster means and users as units, at the same looks."""
+    daily = warehouse(spark, sf_dir).dws_experiment_cluster_daily
+    parts = [report.look_effects(daily, 3, estimator=e).withColumn("estimator", F.lit(e)) for e in ("cluster_level", "cluster_cuped", "unit_level")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), info=6)
+
+
+@query
+def monitoring(spark, sf_dir):
+    """exp_a as declared by user and adjusted mean, exp_city by cluster and adjusted mean."""
+    got = report.monitoring(warehouse(spark, sf_dir), {"exp_a": ("unit", "mean", "cuped"), "exp_city": ("cluster", "mean", "cuped")}, n_looks=3)
+    return rounded(got, info=6, z=3, repeated_low=2, repeated_high=2, always_valid_p=6, tau=3)
+
+
 @query
 def look_problems(spark, sf_dir):
     w = warehouse(spark, sf_dir)

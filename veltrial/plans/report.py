@@ -5,19 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.operators import guardrails, inference, looks, sequential
+from veltrial.operators import clusters, guardrails, inference, looks, sequential
 from veltrial.plans.warehouse import Warehouse
 
 
-def look_effects(daily: DataFrame, n_looks: int, control: str = "control", estimator: str = "post_only") -> DataFrame:
-    """experiment, variant, look, info, effect, std_error of the picked looks;
-    ``cuped`` estimates theta anew at each look."""
-    arms = looks.look_arms(daily, n_looks).where("n > 1").withColumn("experiment", F.struct("experiment", "look", "info"))
-    pairs = inference.contrasts(arms.drop("look", "info", "ds"), control)
-    rows = {"post_only": inference.welch, "cuped": inference.cuped}[estimator](pairs)
+def _at_looks(arms: DataFrame) -> DataFrame:
+    """Arms of looks as arms of experiments of their own, for ``contrasts``."""
+    return arms.withColumn("experiment", F.struct("experiment", "look", "info")).drop("look", "info", "ds")
+
+
+def _effects(rows: DataFrame) -> DataFrame:
     return rows.select("experiment.*", "variant", "effect", "std_error")
 
 
+def look_effects(daily: DataFrame, n_looks: int, control: str = "control", estimator: str = "post_only") -> DataFrame:
+    """experiment, variant, look, info, effect, std_error of the picked looks of a
+    daily layer.  ``post_only`` and ``cuped`` (theta anew at each look) take the
+    variant layer, ``ratio_delta`` the ratio layer; ``cluster_level`` and
+    ``cluster_cuped`` the cluster layer, where clusters are what is counted, and
+    ``unit_level`` the same layer and looks with users as units."""
+    if estimator in ("post_only", "cuped", "ratio_delta"):
+        sums = looks.RATIO_SUMS if estimator == "ratio_delta" else looks.SUMS
+        pairs = inference.contrasts(_at_looks(looks.look_arms(daily, n_looks, sums).where("n > 1")), control)
+        return _effects({"post_only": inference.welch, "cuped": inference.cuped, "ratio_delta": inference.ratio_delta}[estimator](pairs))
+    totals = looks.cluster_looks(daily, n_looks)
+    if estimator == "unit_level":
+        users = totals.groupBy("experiment", "variant", "look", "info").agg(*[F.sum(m).alias(m) for m in inference.MOMENTS])
+        return _effects(inference.welch(inference.contrasts(_at_looks(users.where("n > 1")), control)))
+    by_cluster = _at_looks(totals).drop("cluster_id")
+    return _effects({"cluster_level": inference.welch, "cluster_cuped": inference.cuped}[estimator](inference.contrasts(clusters.cluster_means(by_cluster), control)))
+
+
+#: Which estimate an experiment is judged by, and which stands beside it, as declared.
+PATHS = {
+    ("unit", "mean", "cuped"): ("cuped", "post_only"), ("unit", "mean", "post_only"): ("post_only", "cuped"),
+    ("cluster", "mean", "cuped"): ("cluster_cuped", "cluster_level"), ("cluster", "mean", "post_only"): ("cluster_level", "unit_level"),
+    ("unit", "ratio", "cuped"): ("ratio_delta", None), ("unit", "ratio", "post_only"): ("ratio_delta", None),
+}
+
+
+def monitoring(warehouse: Warehouse, declared: dict[str, tuple[str, str, str]], *, n_looks: int = 5, alpha: float = 0.05, spending: str = "obf", control: str = "control") -> DataFrame:
+    """Looks of every declared experiment (its unit, kind of metric and estimator)
+    by its own path: the group-sequential bounds of its own information, repeated
+    intervals, the always-valid p-value, and the other path's effect beside them."""
+    layers = {"ratio_delta": warehouse.dws_experiment_ratio_daily, "cluster_level": warehouse.dws_experiment_cluster_daily, "cluster_cuped": warehouse.dws_experiment_cluster_daily, "unit_level": warehouse.dws_experiment_cluster_daily}
+    chosen: dict[tuple[str, str | None], list[str]] = {}
+    for experiment, kind in declared.items():
+        if kind not in PATHS:
+            raise ValueError(f"{experiment}: {kind} isn't one of {sorted(PATHS)}")
+        chosen.setdefault(PATHS[kind], []).append(experiment)
+    out = None
+    for (primary, other), names in chosen.items():
+        rows = lambda path: look_effects(layers.get(path, warehouse.dws_experiment_variant_daily).where(F.col("experiment").isin(names)), n_looks, control, path)  # noqa: E731, B023
+        judged = sequential.always_valid_path(sequential.monitor(rows(primary), alpha=alpha, spending=spending), None, alpha).withColumn("path", F.lit(primary)).withColumn("beside", F.lit(other))
+        if other:
+            beside = rows(other).select("experiment", "variant", "look", F.col("effect").alias("beside_effect"), F.col("std_error").alias("beside_std_error"))
+            judged = judged.join(beside, ["experiment", "variant", "look"], "left")
+        else:
+            judged = judged.withColumn("beside_effect", F.lit(None).cast("double")).withColumn("beside_std_error", F.lit(None).cast("double"))
+        part = judged.select(
+            "experiment", "variant", "look", "info", "path", "effect", "std_error", "z", "boundary", "crossed", "stopped", "repeated_low", "repeated_high", "tau", "always_valid_p", "beside", "beside_effect", "beside_std_error",
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def experiment_report(warehouse: Warehouse, *, control: str = "control", alpha: float = 0.05, tau: float | None = None, n_looks: int = 5) -> DataFrame:
     """Adjusted and plain effect with their difference explained, power, sample
     ratio, guardrails, always-valid p, and the worst of all as health."""
