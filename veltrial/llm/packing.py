@@ -280,7 +280,9 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    groups = max(1, -(-docs.count() // GROUP_PIECES))
+    # a token is a byte at least, so a text has at most this many pieces; long texts add groups, not to a group
+    most = F.ceil((F.octet_length(F.coalesce("text", F.lit(""))) + 1) / length)
+    groups = max(1, -(-(docs.agg(F.sum(most)).first()[0] or 0) // GROUP_PIECES))
     pieces = token_pieces(docs, path, length, end_id)
     # a piece that fills a sequence needs no packing partner, but shares the group's numbering
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("document", "start"), F.lit(groups)))
