@@ -23,7 +23,6 @@ empty results or zero counts; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -280,14 +279,19 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
-    blocks = list(benchmark_blocks(benchmark, window)) or [Phrases([], window)]
-    if len(blocks) > 1:  # each block scans the documents: numbers that a scan made up could differ from the next one's
-        docs = shared_checkpoint(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
-    found = [positional_index(docs, b.vocabulary).groupBy("segment").applyInPandas(_hits(b), HIT_SCHEMA) for b in blocks]
-    if len(found) == 1:
-        rows = found[0].select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items"))
+    blocks = benchmark_blocks(benchmark, window)
+    own, more = next(blocks, None) or Phrases([], window), next(blocks, None)
+    if more is None:
+        found = positional_index(docs, own.vocabulary).groupBy("segment").applyInPandas(_hits(own), HIT_SCHEMA)
+        rows = found.select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items"))
     else:
-        every = functools.reduce(DataFrame.unionByName, found)
+        # each block scans the documents: numbers that a scan made up could differ from the next one's
+        docs = shared_checkpoint(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
+        every = None
+        while own is not None:  # a block's hits are written before the driver reads the block after the next
+            found = shared_checkpoint(positional_index(docs, own.vocabulary).groupBy("segment").applyInPandas(_hits(own), HIT_SCHEMA).where("octet_length(hits) > 0" if every is not None else "true"))
+            every = found if every is None else every.unionByName(found)
+            own, more = more, next(blocks, None)
         rows = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")).drop("key")
     return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
