@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veltrial.functions.special import f_sf, t_ppf, t_two_sided
+from veltrial.functions.special import normal_ppf, f_sf, t_ppf, t_two_sided
 
 NEVER = 10**6
 
@@ -329,3 +329,26 @@ def trend_breakdown(m: Moments, control: str = "not_yet_treated") -> dict[str, f
     most = max(steps, default=math.nan)
     bends = [abs(b - a) for a, b in zip(steps, steps[1:], strict=False)]
     return {"effect": effect, "linear_breakdown": effect / reach, "relative_magnitude_breakdown": abs(effect) / (most * reach) if most else math.inf, "smoothness_observed": max(bends, default=0.0)}
+
+
+def trend_sensitivity(m: Moments, multiples: tuple[float, ...] = (0.5, 1.0, 2.0), control: str = "not_yet_treated", alpha: float = 0.05) -> list[dict]:
+    """Bounds of the overall effect when parallel trends may fail after treatment by
+    ``multiple`` times the largest effect before it: as a level (``relative``), by
+    that much more each period (``linear``), or with a slope that bends by that
+    much each period (``smoothness``).  low and high hold the effect's own error
+    too; ``breakdown`` is the failure a period that undoes the effect."""
+    cells = group_time(m, control)
+    study = event_study(cells)
+    post = [(k, sum(n for (g, t), (_, n, _) in cells.items() if t - g == k)) for k in study if k >= 0]
+    total = sum(n for _, n in post)
+    growth = {"relative": 1.0, "linear": sum(n * (k + 1) for k, n in post) / total, "smoothness": sum(n * (k + 1) * (k + 2) / 2 for k, n in post) / total}
+    largest = max((abs(f.effect) for k, f in study.items() if k < 0), default=0.0)
+    all_ = overall(cells)
+    got = estimate(all_, m)
+    half = normal_ppf(1 - alpha / 2) * got["std_error"]
+    rows = []
+    for name, grow in growth.items():
+        for multiple in multiples:
+            wide = multiple * largest * grow + half
+            rows.append({"restriction": name, "multiple": multiple, "effect": got["effect"], "bias": multiple * largest * grow, "low": got["effect"] - wide, "high": got["effect"] + wide, "breakdown": abs(got["effect"]) / grow, "robust": abs(got["effect"]) > wide})
+    return rows

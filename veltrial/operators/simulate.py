@@ -158,7 +158,7 @@ def look_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, li
     key = F.struct("experiment", "look", "info", "true_mean", "true_ratio")
     rows = _estimates(arms.withColumn("experiment", key).drop("look", "info", "true_mean", "true_ratio"), alpha)
     rows = rows.select(F.struct("test", "experiment.experiment").alias("experiment"), "test", "experiment.look", "experiment.info", F.when(F.col("test") == "ratio", F.col("experiment.true_ratio")).otherwise(F.col("experiment.true_mean")).alias("truth"), "effect", "std_error", "p_value", "ci_low", "ci_high")
-    judged = monitor(rows.where(F.col("p_value").isNotNull()), alpha=alpha)
+    judged = monitor(rows.where(F.col("p_value").isNotNull()).persist(), alpha=alpha)  # a row a salt, test and look: read for the bounds, too
     n = F.count("*")
     share = lambda c: F.avg(c.cast("double"))
     z = (F.col("effect") - F.col("truth")) / F.col("std_error")
@@ -181,7 +181,7 @@ def stopping_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5
     tau is each split's own unless given."""
     from veltrial.operators.sequential import always_valid_path, monitor
 
-    looks = _look_rows(users, salts, n_looks)
+    looks = _look_rows(users, salts, n_looks).persist()  # a row a salt and look
     fixed = normal_ppf(1 - alpha / 2)
     path = always_valid_path(monitor(looks, alpha=alpha), tau, alpha)
     z = F.abs("z")

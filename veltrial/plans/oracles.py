@@ -381,6 +381,13 @@ ORACLES |= {
     "bend AS (SELECT abs(s - lag(s) OVER (ORDER BY k)) AS b FROM step WHERE s IS NOT NULL) SELECT round(effect, 4) AS effect, round(effect / reach, 4) AS linear_breakdown, round(abs(effect) / ((SELECT max(s) FROM step) * reach), 6) AS relative_magnitude_breakdown, round((SELECT max(b) FROM bend), 4) AS smoothness_observed FROM post",
 }
 
+ORACLES["did_trend_sensitivity"] = (
+    f"{_WITH_STUDY}, ev AS (SELECT k, sum(w * (m1 - m0)) AS e, sum(n1) AS n FROM weighed WHERE est = 'group_time' GROUP BY k), o AS (SELECT effect, std_error FROM studied WHERE est = 'group_time_overall'), "
+    "gr AS (SELECT unnest(['relative', 'linear', 'smoothness']) AS restriction, unnest([1.0, sum(n * (k + 1)) / sum(n), sum(n * (k + 1) * (k + 2) / 2) / sum(n)]) AS g FROM ev WHERE k >= 0), mx AS (SELECT max(abs(e)) AS largest FROM ev WHERE k < 0) "
+    f"SELECT restriction, multiple, round(effect, 4) AS effect, round(multiple * largest * g, 2) AS bias, round(effect - multiple * largest * g - {Z975} * std_error, 2) AS low, round(effect + multiple * largest * g + {Z975} * std_error, 2) AS high, round(abs(effect) / g, 4) AS breakdown, abs(effect) > multiple * largest * g + {Z975} * std_error AS robust "
+    "FROM gr, mx, o, (SELECT unnest([CAST(0.5 AS DOUBLE), 1.0, 2.0]) AS multiple)"
+)
+
 # ---- learners with linear outcome models -----------------------------------------------
 
 _TRIAL = "t AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) / 1000 AS y, CAST(o_custkey % 2 AS DOUBLE) AS d, o_orderkey * 7919 % 1000 / 1000.0 AS a, month(o_orderdate) / 12.0 AS b FROM orders)"
@@ -441,6 +448,7 @@ def _resplit_rows(n: int) -> str:
 
 ORACLES |= {
     "assignment_shares": f"SELECT v AS variant, count(user_id) AS units FROM (SELECT unnest(['control', 'treatment', '__not_enrolled__']) AS v) LEFT JOIN (SELECT user_id, CASE WHEN h / {float(_M)} >= 0.8 THEN '__not_enrolled__' WHEN b < 5000 THEN 'control' ELSE 'treatment' END AS w FROM {_murmur('SELECT user_id, h % 10000 AS b FROM ' + _murmur(_UNITS, chr(39) + 'checkout:group:' + chr(39) + ' || user_id'), chr(39) + 'checkout:traffic:' + chr(39) + ' || user_id')}) ON w = v GROUP BY v",
+    "assignment_codes": f"SELECT CAST(CASE WHEN h / {float(_M)} >= 0.9 THEN -1 WHEN b < 5000 THEN 0 WHEN b < 8000 THEN 1 ELSE 2 END AS INTEGER) AS arm_code, count(*) AS units FROM {_murmur('SELECT user_id, h % 10000 AS b FROM ' + _murmur(_UNITS, chr(39) + 'search:group:' + chr(39) + ' || user_id'), chr(39) + 'search:traffic:' + chr(39) + ' || user_id')} GROUP BY 1",
     "layer_routing": f"SELECT CASE WHEN p < 4000 THEN 'a' WHEN p < 7000 THEN 'b' END AS experiment, count(*) AS units FROM (SELECT h % 10000 AS p FROM {_murmur(_UNITS, chr(39) + 'ranking:' + chr(39) + ' || user_id')}) GROUP BY 1",
     "hash_uniformity": f"SELECT salt, units, round(chi2, 4) AS chi2, round({_chi2_p('chi2', '99')}, 6) AS p_value FROM (SELECT salt, CAST(sum(n) AS BIGINT) AS units, sum(n * n) * 100.0 / sum(n) - sum(n) AS chi2 FROM (SELECT salt, h % 10000 // 100 AS cell, count(*) AS n FROM "
     + _murmur(f"SELECT user_id, 'salt' || CAST(i AS VARCHAR) AS salt FROM ({_UNITS}), (SELECT unnest(range(0, 20)) AS i)", "salt || ':group:' || user_id")
@@ -646,6 +654,17 @@ def _quality() -> str:
 
 
 ORACLES["quality_checks"] = _quality()
+ORACLES["late_arm_problems"] = (
+    f"WITH {CTES.replace('FROM dwd GROUP BY 1, 2, 3),' + chr(10) + 'ads AS', 'FROM dwd WHERE variant = ' + chr(39) + 'control' + chr(39) + ' OR day(expose_ds) >= 20 GROUP BY 1, 2, 3),' + chr(10) + 'ads AS')} "
+    "SELECT DISTINCT experiment, 'an arm has fewer than two units' AS problem FROM picks JOIN run USING (experiment, ds) WHERE n < 2 "
+    "UNION SELECT DISTINCT experiment, 'an arm is missing from a look' FROM (SELECT experiment, ds FROM picks JOIN run USING (experiment, ds) GROUP BY experiment, ds HAVING count(DISTINCT variant) < 2)"
+)
+
+_AREA = lambda order: (
+    f"(SELECT sum((f - pf) * (q + pq) / 2) AS a FROM (SELECT f, q, lag(f) OVER (ORDER BY f) AS pf, lag(q) OVER (ORDER BY f) AS pq FROM (SELECT rk / total AS f, q FROM (SELECT rk, total, sum(y * d) OVER w - CASE WHEN sum(1 - d) OVER w > 0 THEN sum(y * (1 - d)) OVER w * sum(d) OVER w / sum(1 - d) OVER w ELSE 0 END AS q "
+    f"FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rk, count(*) OVER () AS total FROM scored) WINDOW w AS (ORDER BY rk)) JOIN points USING (rk))))"
+)
+ORACLES["score_ceiling"] = sql(f"SELECT 'perfect' AS score, round(a, 1) AS auuc FROM {_AREA('y DESC, id')} UNION ALL SELECT 'flat', round(a, 1) FROM {_AREA('id')}")
 
 # ---- ranks by key, wild bootstrap, comparison, heterogeneity -------------------------------
 

@@ -21,15 +21,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
-_KEPT: dict[tuple[str, str], Warehouse] = {}
+_KEPT: dict[tuple[str, str, str], Warehouse] = {}
+
+
+def _listing(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files under a path: other files, another warehouse."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return traffic.fingerprint(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The warehouse of a directory.  Its users and daily sums are kept by the
     session, so that the join of exposures and events runs once for all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, f"{sf_dir}/events.parquet"))
     if key not in _KEPT:
-        for (app, _), old in _KEPT.items():
+        for (app, *_), old in _KEPT.items():
             if app == key[0]:
                 old.release()
         _KEPT.clear()
@@ -286,6 +293,13 @@ def look_problems(spark, sf_dir):
     return looks.look_problems(looks.look_arms(w.dws_experiment_variant_daily, 5), counts)
 
 
+@query
+def late_arm_problems(spark, sf_dir):
+    """What is found where the treatment of the warehouse's experiments starts on the 20th only."""
+    daily = warehouse(spark, sf_dir).dws_experiment_variant_daily.where((F.col("variant") == "control") | (F.dayofmonth("ds") >= 20))
+    return looks.look_problems(looks.look_arms(daily, 5))
+
+
 @query
 def look_picks(spark, sf_dir):
     run = looks.cumulative(warehouse(spark, sf_dir).dws_experiment_variant_daily)
@@ -470,6 +484,16 @@ def assignment_shares(spark, sf_dir):
     return distribution(assign(units, exp), exp)
 
 
+@query
+def assignment_codes(spark, sf_dir):
+    """Integer codes of three arms, -1 for those not enrolled."""
+    from veltrial.operators.assignment import Arm, Experiment, assign
+
+    units = read(spark, sf_dir, "customer").select(F.format_string("u%07d", "c_custkey").alias("user_id"))
+    exp = Experiment("search", (Arm("control", 0.5), Arm("short", 0.3), Arm("long", 0.2)), traffic_ratio=0.9)
+    return assign(units, exp).groupBy("arm_code").agg(F.count("*").alias("units"))
+
+
 @query
 def layer_routing(spark, sf_dir):
     from veltrial.operators.assignment import Layer, Slot, route
@@ -551,6 +575,13 @@ def did_trend_breakdown(spark, sf_dir):
     return rounded(_rows(spark, [b], "effect double, linear_breakdown double, relative_magnitude_breakdown double, smoothness_observed double"), relative_magnitude_breakdown=6)
 
 
+@query
+def did_trend_sensitivity(spark, sf_dir):
+    """Bounds of the overall effect under three ways in which trends may part."""
+    rows = panel.trend_sensitivity(panel.moments(order_panel(spark, sf_dir)))
+    return rounded(_rows(spark, rows, "restriction string, multiple double, effect double, bias double, low double, high double, breakdown double, robust boolean"), bias=2, low=2, high=2)
+
+
 @query
 def did_pretrend(spark, sf_dir):
     m = panel.moments(order_panel(spark, sf_dir))
