@@ -2,15 +2,14 @@
 
 Everything about the data is columns over look rows (experiment, variant, look,
 info, effect, std_error).  Each arm is judged by its own looks at the information
-they really had: every distinct vector of information is solved once, on the
-executors, and joined back.  A plan made in advance may be given instead.  Rows
-without a variant are one arm an experiment.
+they really had: its bounds are solved where its rows are.  A plan made in advance
+may be given instead.  Rows without a variant are one arm an experiment.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -152,39 +151,33 @@ def looks_so_far(looks: DataFrame) -> WindowSpec:
 
 
 def own_boundaries(looks: DataFrame, alpha: float = 0.05, spending: str = "obf") -> DataFrame:
-    """Bounds of each arm's looks at the information they had: the arm's keys,
-    look, boundary and the alpha spent by then (NULL where information doesn't rise)."""
+    """Adds boundary and the alpha spent by then: the bounds of each arm's looks at
+    the information they had (NULL where information doesn't rise).  A task solves
+    each vector of information that its arms have once."""
     keys = [k for k in ("experiment", "variant") if k in looks.columns]
-    steps = F.array_sort(F.collect_list(F.struct("look", "info")))
-    arms = looks.groupBy(*keys).agg(steps.alias("_l")).select(*keys, F.col("_l.look").alias("look"), F.col("_l.info").alias("_info"))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bounds, spent = [], []
-            for info in pdf["_info"]:
-                t = tuple(float(x) for x in info)
-                try:
-                    bounds.append(list(spending_bounds(t, alpha, spending)))
-                    spent.append([SPENDING[spending](x, alpha) for x in t])
-                except ValueError:
-                    bounds.append([None] * len(t))
-                    spent.append([None] * len(t))
-            yield pd.DataFrame({"_info": pdf["_info"], "boundary": bounds, "spent": spent})
-
-    # one row for each distinct vector, however many arms share it
-    solved = arms.select("_info").distinct().mapInPandas(solve, "_info array<double>, boundary array<double>, spent array<double>")
-    return arms.join(solved, "_info").select(*keys, F.explode(F.arrays_zip("look", "boundary", "spent")).alias("_b")).select(*keys, "_b.*")
+
+    @F.pandas_udf("array<double>")
+    def solved(vectors: pd.Series) -> pd.Series:
+        known: dict[tuple[float, ...], list[float | None]] = {}
+        for t in {tuple(map(float, v)) for v in vectors}:
+            try:
+                known[t] = [*spending_bounds(t, alpha, spending), *(SPENDING[spending](x, alpha) for x in t)]
+            except ValueError:
+                known[t] = [None] * (2 * len(t))
+        return pd.Series([known[tuple(map(float, v))] for v in vectors])
+
+    by_look = Window.partitionBy(*keys).orderBy("look")
+    every = by_look.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = looks.withColumn("_info", F.collect_list("info").over(every)).withColumn("_at", F.row_number().over(by_look)).withColumn("_both", solved("_info"))
+    at = lambda k: F.element_at("_both", k)
+    return rows.withColumn("boundary", at(F.col("_at"))).withColumn("spent", at(F.col("_at") + F.size("_info"))).drop("_info", "_at", "_both")
 
 
 def monitor(looks: DataFrame, plan: DataFrame | None = None, alpha: float = 0.05, spending: str = "obf") -> DataFrame:
     """Crossings and repeated intervals of look rows against the bounds at their
     own information, or against a plan made in advance (by look number)."""
     w = looks_so_far(looks)
-    if plan is None:
-        keys = [k for k in ("experiment", "variant") if k in looks.columns]
-        rows = looks.join(own_boundaries(looks, alpha, spending), [*keys, "look"])
-    else:
-        rows = looks.join(plan.select("look", "boundary"), "look")
+    rows = own_boundaries(looks, alpha, spending) if plan is None else looks.join(plan.select("look", "boundary"), "look")
     rows = rows.withColumn("z", F.try_divide("effect", "std_error")).withColumn("crossed", F.coalesce(F.abs("z") >= F.col("boundary"), F.lit(False)))
     return (
         rows.withColumn("stopped", F.max("crossed").over(w))

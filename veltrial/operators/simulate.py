@@ -144,7 +144,7 @@ def replicate_looks(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, lif
     arms = run.join(pick_looks(information(run), n_looks), ["experiment", "ds"])
     here = Window.partitionBy("experiment", "look")
     total = lambda c: F.sum(c).over(here)
-    return arms.withColumn("true_mean", lift * total("untreated") / total("n")).withColumn("true_ratio", lift * F.try_divide(total("untreated"), total("ratio_sum_x"))).drop("ds", "untreated")
+    return arms.withColumn("true_mean", lift * total("untreated") / total("n")).withColumn("true_ratio", lift * F.try_divide(total("untreated"), total("ratio_sum_x"))).drop("ds", "untreated").persist()  # salts x arms x looks, read by both sides of every test
 
 
 def look_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, lift: float = 0.0, alpha: float = 0.05) -> DataFrame:
@@ -158,7 +158,7 @@ def look_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, li
     key = F.struct("experiment", "look", "info", "true_mean", "true_ratio")
     rows = _estimates(arms.withColumn("experiment", key).drop("look", "info", "true_mean", "true_ratio"), alpha)
     rows = rows.select(F.struct("test", "experiment.experiment").alias("experiment"), "test", "experiment.look", "experiment.info", F.when(F.col("test") == "ratio", F.col("experiment.true_ratio")).otherwise(F.col("experiment.true_mean")).alias("truth"), "effect", "std_error", "p_value", "ci_low", "ci_high")
-    judged = monitor(rows.where(F.col("p_value").isNotNull()).persist(), alpha=alpha)  # a row a salt, test and look: read for the bounds, too
+    judged = monitor(rows.where(F.col("p_value").isNotNull()), alpha=alpha)
     n = F.count("*")
     share = lambda c: F.avg(c.cast("double"))
     z = (F.col("effect") - F.col("truth")) / F.col("std_error")
@@ -167,6 +167,32 @@ def look_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, li
     )
 
 
+def cluster_look_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 3, alpha: float = 0.05) -> DataFrame:
+    """Clusters split anew, judged at looks by their number: by estimator (users as
+    units, cluster means, adjusted cluster means) and look, how often a fixed test
+    rejects there and how often the group-sequential rule has stopped by then."""
+    from veltrial.operators.effects import cluster_effects
+    from veltrial.operators.looks import cluster_looks
+    from veltrial.operators.sequential import monitor
+
+    y, x = F.col("post_metric"), F.col("pre_metric")
+    known = users.where(F.col("city").isNotNull()).select("city", "expose_ds", "pre_metric", "post_metric")
+    keys = ["experiment", "variant", F.col("city").alias("cluster_id"), F.col("expose_ds").alias("ds")]
+    sums = {"pre_sum": x, "post_sum": y, "pre_sq_sum": x * x, "post_sq_sum": y * y, "pre_post_cross_sum": x * y}
+    daily = resplit(known, salts, "city").groupBy(*keys).agg(F.count("*").alias("user_cnt"), *[F.sum(c).alias(n) for n, c in sums.items()]).persist()  # salts x clusters x days
+    totals = cluster_looks(daily, n_looks).persist()  # salts x clusters x looks
+    rows = None
+    for name in ("unit_level", "cluster_level", "cluster_cuped"):
+        one = cluster_effects(totals, name).where("std_error > 0")
+        one = one.select(F.struct(F.lit(name).alias("estimator"), "experiment").alias("experiment"), "variant", "look", "info", "effect", "std_error")
+        rows = one if rows is None else rows.unionByName(one)
+    judged = monitor(rows, alpha=alpha)
+    share = lambda c: F.avg(c.cast("double"))
+    return judged.groupBy("experiment.estimator", "look").agg(
+        F.count("*").alias("trials"), share(F.abs("z") > normal_ppf(1 - alpha / 2)).alias("rejected"), share(F.col("stopped")).alias("stopped"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z")
+    )
+
+
 def _look_rows(users: DataFrame, salts: DataFrame, n_looks: int) -> DataFrame:
     """experiment, variant, look, info, effect, std_error of the plain test."""
     from veltrial.operators.inference import MOMENTS, contrasts, welch
@@ -181,7 +207,7 @@ def stopping_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5
     tau is each split's own unless given."""
     from veltrial.operators.sequential import always_valid_path, monitor
 
-    looks = _look_rows(users, salts, n_looks).persist()  # a row a salt and look
+    looks = _look_rows(users, salts, n_looks)
     fixed = normal_ppf(1 - alpha / 2)
     path = always_valid_path(monitor(looks, alpha=alpha), tau, alpha)
     z = F.abs("z")

@@ -388,6 +388,21 @@ ORACLES["did_trend_sensitivity"] = (
     "FROM gr, mx, o, (SELECT unnest([CAST(0.5 AS DOUBLE), 1.0, 2.0]) AS multiple)"
 )
 
+_IV_SUMS = ", ".join(f"sum({a} * {b}{c}) AS {n}" for n, a, b, c in (("s11", "u", "u", ""), ("s12", "u", "w", ""), ("s22", "w", "w", ""), ("u1", "u", "x", ""), ("u2", "w", "x", ""), ("v1", "u", "y", ""), ("v2", "w", "y", ""),
+    *((f"{p}{i}", a, b, f" * {q}") for i, a, b in (("11", "u", "u"), ("12", "u", "w"), ("22", "w", "w")) for p, q in (("yy", "y * y"), ("yd", "y * x"), ("dd", "x * x")))))
+ORACLES["iv_interval"] = (
+    "WITH l AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x, CASE WHEN l_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS z, CAST(l_partkey % 5 AS DOUBLE) AS z2 FROM lineitem), "
+    "c AS (SELECT y - avg(y) OVER () AS y, x - avg(x) OVER () AS x, z - avg(z) OVER () AS u, z2 - avg(z2) OVER () AS w FROM l), "
+    f"s AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM (SELECT count(*) AS n, {_IV_SUMS} FROM c)), "
+    "g AS (SELECT *, (s22 * u1 - s12 * u2) / det AS p1, (s11 * u2 - s12 * u1) / det AS p2 FROM s), "
+    "f AS (SELECT *, (p1 * v1 + p2 * v2) / (p1 * u1 + p2 * u2) AS b, p1 * u1 + p2 * u2 AS hh FROM g), "
+    "e AS (SELECT f.*, (SELECT sum(power((p1 * u + p2 * w) * (y - b * x), 2)) FROM c) AS meat, (SELECT sum(u * u * r * r) FROM (SELECT u, x - p1 * u - p2 * w AS r FROM c)) AS r11, (SELECT sum(u * w * r * r) FROM (SELECT u, w, x - p1 * u - p2 * w AS r FROM c)) AS r12, (SELECT sum(w * w * r * r) FROM (SELECT w, x - p1 * u - p2 * w AS r FROM c)) AS r22 FROM f), "
+    "grid AS (SELECT b + (-40.0 + 80.0 * i / 1200.0) * sqrt(meat * n / (n - 2)) / hh AS t, i, * FROM e, (SELECT unnest(range(0, 1201)) AS i)), "
+    "st AS (SELECT i, t, n, (a1 * a1 * k22 - 2 * a1 * a2 * k12 + a2 * a2 * k11) / (k11 * k22 - k12 * k12) AS stat FROM (SELECT i, t, n, v1 - t * u1 AS a1, v2 - t * u2 AS a2, yy11 - 2 * t * yd11 + t * t * dd11 AS k11, yy12 - 2 * t * yd12 + t * t * dd12 AS k12, yy22 - 2 * t * yd22 + t * t * dd22 AS k22 FROM grid)), "
+    "wald AS (SELECT (p1 * p1 * m22 - 2 * p1 * p2 * m12 + p2 * p2 * m11) / (m11 * m22 - m12 * m12) / 2 * {scale} AS f FROM (SELECT *, (s22 * s22 * r11 - 2 * s12 * s22 * r12 + s12 * s12 * r22) / (det * det) AS m11, (s12 * s12 * r12 + s11 * s22 * r12 - s12 * s22 * r11 - s11 * s12 * r22) / (det * det) AS m12, (s12 * s12 * r11 - 2 * s11 * s12 * r12 + s11 * s11 * r22) / (det * det) AS m22 FROM e)) "
+    "SELECT round(min(t), 4) AS low, round(max(t), 4) AS high, NOT (min(i) = 0 OR max(i) = 1200) AS bounded, false AS empty, (SELECT round(f, 4) FROM wald) AS f_statistic, (SELECT f < 10 FROM wald) AS weak FROM st WHERE stat <= {limit}"
+).replace("{limit}", repr(5.991464547107979)).replace("{scale}", "(n - 3) / n")
+
 # ---- learners with linear outcome models -----------------------------------------------
 
 _TRIAL = "t AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) / 1000 AS y, CAST(o_custkey % 2 AS DOUBLE) AS d, o_orderkey * 7919 % 1000 / 1000.0 AS a, month(o_orderdate) / 12.0 AS b FROM orders)"
@@ -615,10 +630,19 @@ ORACLES |= {
     "cluster_effects_by_look": f"WITH {CTES}{_CLUSTER_CTES} SELECT estimator, experiment, 'treatment' AS variant, CAST(look AS INTEGER) AS look, round(info, 6) AS info, round(effect, 4) AS effect, round(se, 4) AS std_error FROM cl",
     "monitoring": _recursive(
         f"WITH {CTES}{_CLUSTER_CTES}{_THREE}, pl AS (SELECT *, effect / std_error AS z, last_value(std_error) OVER (PARTITION BY key ORDER BY look ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_se FROM jr), {_solved('pl')} "
-        f"SELECT pl.key AS experiment, 'treatment' AS variant, CAST(pl.look AS INTEGER) AS look, round(info, 6) AS info, path, {_r4('effect', 'std_error', 'boundary', 'beside_effect', 'beside_std_error')}, round(z, 3) AS z, abs(z) >= boundary AS crossed, bool_or(abs(z) >= boundary) OVER w AS stopped, round(effect - boundary * std_error, 2) AS repeated_low, "
-        f"round(effect + boundary * std_error, 2) AS repeated_high, round(last_se * sqrt({_R}), 3) AS tau, round(min({_VALID}) OVER w, 6) AS always_valid_p, beside FROM pl JOIN bnd ON bnd.key = pl.key AND bnd.look = pl.look WINDOW w AS (PARTITION BY pl.key ORDER BY pl.look)"
+        f"SELECT pl.key AS experiment, 'treatment' AS variant, CAST(pl.look AS INTEGER) AS look, round(info, 6) AS info, path, round(boundary, 4) AS boundary, {', '.join(f'round({c}, 3) AS {c}' for c in ('effect', 'std_error', 'beside_effect', 'beside_std_error'))}, round(z, 3) AS z, abs(z) >= boundary AS crossed, bool_or(abs(z) >= boundary) OVER w AS stopped, round(effect - boundary * std_error, 2) AS repeated_low, "
+        f"round(effect + boundary * std_error, 2) AS repeated_high, round(last_se * sqrt({_R}), 3) AS tau, round(min({_VALID}) OVER w, 5) AS always_valid_p, beside FROM pl JOIN bnd ON bnd.key = pl.key AND bnd.look = pl.look WINDOW w AS (PARTITION BY pl.key ORDER BY pl.look)"
     ),
 }
+_CITY_SPLITS = (
+    f"cu AS (SELECT * FROM dwd WHERE experiment = 'exp_city' AND city IS NOT NULL), cs AS (SELECT salt, arm, user_id AS city FROM {_RESPLIT('SELECT DISTINCT city AS user_id FROM cu', 30)}), "
+    "cd2 AS (SELECT salt AS experiment, arm AS variant, city AS cluster_id, expose_ds AS ds, count(*) AS user_cnt, sum(pre_metric) AS pre_sum, sum(post_metric) AS post_sum, sum(post_metric * post_metric) AS post_sq_sum FROM cu JOIN cs USING (city) GROUP BY 1, 2, 3, 4)"
+)
+ORACLES["cluster_calibration_by_look"] = _recursive(
+    f"WITH {CTES}, {_CITY_SPLITS}{_CLUSTER_CTES.replace('cluster_daily', 'cd2')}, pl AS (SELECT estimator || experiment AS key, * FROM cl WHERE se > 0), {_solved('pl')} "
+    f"SELECT estimator, CAST(look AS INTEGER) AS look, count(*) AS trials, round(avg(CASE WHEN abs(effect / se) > {Z975} THEN 1.0 ELSE 0 END), 4) AS rejected, round(avg(CASE WHEN stopped THEN 1.0 ELSE 0 END), 4) AS stopped, round(avg(effect / se), 3) AS mean_z, round(stddev_samp(effect / se), 3) AS sd_z FROM "
+    "(SELECT pl.*, bool_or(abs(effect / se) >= boundary) OVER (PARTITION BY pl.key ORDER BY pl.look) AS stopped FROM pl JOIN bnd ON bnd.key = pl.key AND bnd.look = pl.look) GROUP BY estimator, look"
+)
 _OWN_PATH = "(SELECT *, se AS std_error, last_value(se) OVER (PARTITION BY experiment ORDER BY look ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_se FROM look)"
 ORACLES["experiment_report"] = ORACLES["experiment_report"].replace(f"(SELECT experiment, min(p) AS p FROM {_PATH} GROUP BY experiment)", f"(SELECT experiment, min({_VALID}) AS p FROM {_OWN_PATH} GROUP BY experiment)")
 

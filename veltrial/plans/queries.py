@@ -283,7 +283,7 @@ def cluster_effects_by_look(spark, sf_dir):
 def monitoring(spark, sf_dir):
     """exp_a as declared by user and adjusted mean, exp_city by cluster and adjusted mean."""
     got = report.monitoring(warehouse(spark, sf_dir), {"exp_a": ("unit", "mean", "cuped"), "exp_city": ("cluster", "mean", "cuped")}, n_looks=3)
-    return rounded(got, info=6, z=3, repeated_low=2, repeated_high=2, always_valid_p=6, tau=3)
+    return rounded(got, info=6, effect=3, std_error=3, beside_effect=3, beside_std_error=3, z=3, repeated_low=2, repeated_high=2, always_valid_p=5, tau=3)
 
 
 @query
@@ -833,6 +833,14 @@ def power_by_look(spark, sf_dir):
     return rounded(simulate.look_calibration(_exp_a(spark, sf_dir), _salts(spark, 60), lift=0.3), mean_z=3, sd_z=3)
 
 
+@query
+def cluster_calibration_by_look(spark, sf_dir):
+    from veltrial.operators import simulate
+
+    users = warehouse(spark, sf_dir).dwd_experiment_user.where("experiment = 'exp_city'")
+    return rounded(simulate.cluster_look_calibration(users, _salts(spark, 30)), mean_z=3, sd_z=3)
+
+
 @query
 def constant_boundary(spark, sf_dir):
     """Fitted on one half of the salts, judged on the other."""
