@@ -202,14 +202,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sampled(df: DataFrame, most: int, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the columns, each distinct
-    one once: neither null nor shared ids, nor a text that most rows have, can take
-    the whole sample or leave it empty.  One pass counts the distinct rows."""
+def sampled(df: DataFrame, most: int, columns: tuple[str, ...] = ("doc_id", "text"), once: bool = True) -> DataFrame:
+    """The rows of about ``most`` distinct ones at most, chosen by a hash of the
+    columns, so that neither null nor shared ids decide; with ``once``, each distinct
+    row once, so that a text that most rows have can't take the sample.  One pass
+    counts the distinct rows."""
     key = F.xxhash64(*columns, F.lit(7))
     distinct = df.select(F.approx_count_distinct(key, 0.02)).first()[0]
     parts = max(1, -(-distinct // max(1, most)))
-    return df.withColumn("_key", key).where(F.pmod("_key", F.lit(parts)) == 0).dropDuplicates(["_key"]).drop("_key")
+    rows = df.withColumn("_key", key).where(F.pmod("_key", F.lit(parts)) == 0)
+    return (rows.dropDuplicates(["_key"]) if once else rows).drop("_key")
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -260,21 +260,37 @@ def _hits(phrases: Phrases) -> Callable:
     return run
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_hit, n_items, digest = [], [], []
-        for hits, items in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            blobs = [h for h in hits if h]
-            n_hit.append(len(np.unique(np.frombuffer(b"".join(blobs), np.int64))) if blobs else 0)
-            ids = {x for part in items for x in part}
-            n_items.append(len(ids))
-            digest.append(hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest())
-        words_ = batch.column("n_words").to_numpy()
-        hit = np.array(n_hit, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hit), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array((hit > 0) & (HIT_SHARE * hit >= words_))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, n_words, and lists of hits and items -> RESULT."""
+    n_hit, n_items, digest = [], [], []
+    for hits, items in zip(pdf["hits"], pdf["items"], strict=True):
+        blobs = [h for h in hits if h]
+        n_hit.append(len(np.unique(np.frombuffer(b"".join(blobs), np.int64))) if blobs else 0)
+        ids = {x for part in items for x in part}
+        n_items.append(len(ids))
+        digest.append(hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest())
+    hit = np.array(n_hit, np.int64)
+    words_ = pdf["n_words"].to_numpy(np.int64)
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": words_, "n_hit": hit, "n_items": n_items, "items_sha256": digest, "contaminated": (hit > 0) & (HIT_SHARE * hit >= words_)})
+
+
+def _judged(phrases: Phrases) -> Callable:
+    """Hits and their summary in one step, where the benchmark is one block."""
+    hits = _hits(phrases)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = hits(pdf)
+        return _summary(docs.assign(hits=[[h] for h in docs["hits"]], items=[[x] for x in docs["items"]]))
+
+    return run
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield _summary(pdf)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -282,18 +298,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     blocks = benchmark_blocks(benchmark, window)
     own, more = next(blocks, None) or Phrases([], window), next(blocks, None)
     if more is None:
-        found = positional_index(docs, own.vocabulary).groupBy("segment").applyInPandas(_hits(own), HIT_SCHEMA)
-        rows = found.select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items"))
-    else:
-        # each block scans the documents: numbers that a scan made up could differ from the next one's
-        docs = shared_checkpoint(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
-        every = None
-        while own is not None:  # a block's hits are written before the driver reads the block after the next
-            found = shared_checkpoint(positional_index(docs, own.vocabulary).groupBy("segment").applyInPandas(_hits(own), HIT_SCHEMA).where("octet_length(hits) > 0" if every is not None else "true"))
-            every = found if every is None else every.unionByName(found)
-            own, more = more, next(blocks, None)
-        rows = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")).drop("key")
-    return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        return positional_index(docs, own.vocabulary).groupBy("segment").applyInPandas(_judged(own), RESULT)
+    # each block scans the documents: numbers that a scan made up could differ from the next one's
+    docs = shared_checkpoint(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
+    every = None
+    while own is not None:  # a block's hits are written before the driver reads the block after the next
+        found = shared_checkpoint(positional_index(docs, own.vocabulary).groupBy("segment").applyInPandas(_hits(own), HIT_SCHEMA).where("octet_length(hits) > 0" if every is not None else "true"))
+        every = found if every is None else every.unionByName(found)
+        own, more = more, next(blocks, None)
+    rows = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")).drop("key")
+    return rows.mapInPandas(_summaries, RESULT)
 
 
 MATCH_SCHEMA = "doc_id long, item_id string, start long, words long"

@@ -6,8 +6,8 @@ these, hashed character trigrams give the word a log-likelihood for each
 language.  Viterbi over a document's words, with a penalty for each change of
 language, labels spans; the document gets the language of most of its letters.
 
-The trigram tables are counted on a bounded sample (SAMPLE_DOCS labelled rows,
-distinct ones, chosen by a hash of id and text) and hold BUCKETS numbers a language.
+The trigram tables are counted on a bounded sample (SAMPLE_DOCS distinct labelled
+rows, chosen by a hash of id and text) and hold BUCKETS numbers a language.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
 rows without a label train nothing; no labelled row at all: every text is
@@ -213,7 +213,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """labelled: doc_id, text, lang (non-null).  The counts that reach the
     driver are at most BUCKETS + len(SCRIPT_NAMES) a language."""
-    sample = sampled(labelled.select("doc_id", "text", "lang"), sample_docs, ("doc_id", "text", "lang")).select("text", "lang")
+    sample = sampled(labelled.select("doc_id", "text", "lang"), sample_docs, ("doc_id", "text", "lang"), once=False).select("text", "lang")
     rows = sample.mapInArrow(released(_count), "lang string, kind int, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique().tolist())
     logp = np.zeros((BUCKETS, len(languages)), np.float32)

@@ -121,7 +121,7 @@ def _probabilities(counts: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each transition."""
-    sample = sampled(docs.select("doc_id", "text"), sample_docs).select("text")
+    sample = sampled(docs.select("doc_id", "text"), sample_docs, once=False).select("text")
     counts = np.zeros((2, _STATES * _STATES))
     # at most 2 * _STATES^2 rows
     for r in sample.mapInArrow(released(_count), "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
