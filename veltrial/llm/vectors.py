@@ -71,9 +71,12 @@ def score_bounds(queries: np.ndarray, least: np.ndarray, most: np.ndarray) -> tu
     """Lower and upper bounds of the inner products of queries with boxes (rows of least and most)."""
     with np.errstate(over="ignore", invalid="ignore"):
         middle, half = least / 2 + most / 2, most / 2 - least / 2
-        centre, reach = queries @ middle.T, np.abs(queries) @ half.T
-        size = np.abs(queries) @ np.maximum(np.abs(least), np.abs(most)).T
-        slack = np.where(size < EXACT / 4, 0.0, size * (queries.shape[1] + 4) * 2.0**-51)  # of rounding
+        centre = queries @ middle.T
+        reach = np.abs(queries) @ half.T if half.any() else 0.0  # cells of one value each have no width
+        slack = 0.0  # of rounding: none where all sums stay whole
+        if not np.abs(queries).max(initial=0) * max(np.abs(least).max(initial=0), np.abs(most).max(initial=0)) * queries.shape[1] < EXACT / 4:
+            size = np.abs(queries) @ np.maximum(np.abs(least), np.abs(most)).T
+            slack = np.where(size < EXACT / 4, 0.0, size * (queries.shape[1] + 4) * 2.0**-51)
         lower, upper = centre - reach - slack, centre + reach + slack
     return np.nan_to_num(lower, nan=-np.inf, neginf=-np.inf, posinf=np.inf), np.nan_to_num(upper, nan=np.inf, neginf=-np.inf, posinf=np.inf)
 
