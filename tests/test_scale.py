@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veltrial.operators import clusters, compare, forest, looks, sequential, simulate, splits
 from veltrial.operators.assignment import assign_salts, orthogonality, salt_pairs
-from veltrial.operators.ranks import exact_quantiles, hashed_ranks
+from veltrial.operators.ranks import exact_quantiles, hashed_ranks, quantiles_by_key
 
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])
@@ -22,6 +22,18 @@ def test_exact_quantiles(spark, q, accuracy):
     assert {k: v for k, (_, v) in got.items() if k != 9} == pytest.approx(want.to_dict()) and got[9] == (1, 2.5)
 
 
+@pytest.mark.parametrize("few_keys", [None, True, False])
+def test_a_keys_quantiles_need_no_task_of_its_own(spark, few_keys):
+    rng = np.random.default_rng(12)
+    frame = pd.DataFrame({"k": (rng.random(4000) < 0.02).astype(int), "v": np.where(rng.random(4000) < 0.2, 1.5, rng.normal(size=4000))})
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in frame.values], "k int, v double").repartition(5)
+    got = quantiles_by_key(df, ["k"], "v", [0.1, 0.5, 0.501, 0.9], 50, few_keys)
+    want = frame.groupby("k")["v"].quantile([0.1, 0.5, 0.501, 0.9])
+    assert {(r["k"], r["q"]): r["quantile"] for r in got.collect()} == pytest.approx(want.to_dict())
+    joins = [line for line in plan_of(got).splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == (few_keys is False) and all("_slice" in line for line in joins)
+
+
 def test_hashed_ranks_and_prefixes(spark):
     rows = spark.range(5000).select(F.lit("e").alias("experiment"), F.when(F.col("id") % 3 == 0, "control").otherwise("treatment").alias("variant"), F.col("id").cast("string").alias("user_id"), F.col("id").cast("double").alias("post_metric"), F.lit(1.0).alias("pre_metric"))
     order = F.shiftrightunsigned(F.xxhash64("user_id"), 32)

@@ -921,12 +921,10 @@ def nested_prefixes(spark, sf_dir):
 @query
 def line_quantiles(spark, sf_dir):
     """Exact tenth, median and ninth decile of the price of lines by ship mode and return flag."""
-    from veltrial.operators.ranks import exact_quantiles
+    from veltrial.operators.ranks import quantiles_by_key
 
     lines = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
-    keys = ["l_returnflag", "l_linestatus"]
-    parts = [exact_quantiles(lines, keys, "l_extendedprice", q).withColumn("q", F.lit(q)) for q in (0.1, 0.5, 0.9)]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return rounded(quantiles_by_key(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.1, 0.5, 0.9]))
 
 
 @query
