@@ -151,3 +151,12 @@ def test_groups_and_slope_over_splits(spark):
     groups = {r["group"]: r["estimate"] for r in splits.over_splits(splits.sorted_groups(judged, 4), ["group"], "effect", "std_error").collect()}
     assert sorted(groups) == [1, 2, 3, 4] and groups[1] < 0.6 and groups[4] > 2.4
     judged.unpersist()
+
+
+def test_splits_judge_rows_where_they_are(spark):
+    judged = splits.judged(trial(spark, 400), y="y", d="d", features=["x"], id_column="id", propensity=0.5, n_splits=3)
+    for rows in (splits.sorted_groups(judged),):
+        text = plan_of(rows)
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+    by_md5 = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("5"), F.lit(3), F.col("id"))), 1, 8), 16, 10).cast("long") % 2
+    assert spark.range(500).where(splits.half(F.lit(3), F.col("id"), 5) != by_md5).count() == 0

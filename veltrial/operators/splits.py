@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veltrial.functions.special import normal_ppf
-from veltrial.operators.ranks import exact_quantiles
+from veltrial.operators.ranks import quantiles_by_key
 
 
 def half(split: Column, key: Column, seed: int = 0) -> Column:
     """0: fits, 1: is judged."""
     text = F.concat_ws(":", F.lit(str(seed)), split.cast("string"), key.cast("string"))
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 2).cast("int")
+    # the number of the first eight hex digits modulo 2: the eighth digit tells
+    return (F.instr(F.lit("13579bdf"), F.substring(F.md5(text), 8, 1)) > 0).cast("int")
 
 
 def _arm_models(rows: DataFrame, y: str, d: str, features: list[str], ridge: float) -> DataFrame:
@@ -52,7 +53,8 @@ def judged(rows: DataFrame, *, y: str, d: str, features: list[str], id_column: s
     models = _arm_models(each.where("_half = 0"), "_y", "_d", features, ridge)
     k = len(features) + 1
     fitted = lambda first: F.col("b")[first] + sum((F.col("b")[first + 1 + i] * F.col(f).cast("double") for i, f in enumerate(features)), F.lit(0.0))
-    both = each.where("_half = 1").join(models, "split").withColumn("_m1", fitted(0)).withColumn("_m0", fitted(k))
+    # a row a split: the rows stay where they are
+    both = each.where("_half = 1").join(F.broadcast(models), "split").withColumn("_m1", fitted(0)).withColumn("_m0", fitted(k))
     score = F.col("_m1") - F.col("_m0") + F.col("_d") * (F.col("_y") - F.col("_m1")) / F.col("_p") - (1 - F.col("_d")) * (F.col("_y") - F.col("_m0")) / (1 - F.col("_p"))
     return both.select("split", (F.col("_m1") - F.col("_m0")).alias("proxy"), score.alias("score"))
 
@@ -73,12 +75,9 @@ def best_linear_predictor(scored: DataFrame) -> DataFrame:
 def sorted_groups(scored: DataFrame, n_groups: int = 4) -> DataFrame:
     """split, group (1 has the lowest proxies), n, effect, std_error of the score;
     groups are cut at the proxy's exact quantiles, equal proxies stay together."""
-    cuts = None
-    for k in range(1, n_groups):
-        one = exact_quantiles(scored, ["split"], "proxy", k / n_groups).select("split", F.col("quantile").alias(f"_q{k}"))
-        cuts = one if cuts is None else cuts.join(one, "split")
-    above = sum(((F.col("proxy") > F.col(f"_q{k}")).cast("int") for k in range(1, n_groups)), F.lit(1))
-    placed = scored.join(cuts, "split").withColumn("group", above)
+    cuts = quantiles_by_key(scored, ["split"], "proxy", [k / n_groups for k in range(1, n_groups)], few_keys=True).groupBy("split").agg(F.array_sort(F.collect_list("quantile")).alias("_cuts"))
+    above = sum(((F.col("proxy") > F.col("_cuts")[k]).cast("int") for k in range(n_groups - 1)), F.lit(1))
+    placed = scored.join(F.broadcast(cuts), "split").withColumn("group", above)  # a row a split
     return placed.groupBy("split", "group").agg(F.count("*").alias("n"), F.avg("score").alias("effect"), (F.stddev_samp("score") / F.sqrt(F.count("*"))).alias("std_error"))
 
 
