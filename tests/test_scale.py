@@ -155,7 +155,7 @@ def test_groups_and_slope_over_splits(spark):
 
 def test_splits_judge_rows_where_they_are(spark):
     judged = splits.judged(trial(spark, 400), y="y", d="d", features=["x"], id_column="id", propensity=0.5, n_splits=3)
-    for rows in (splits.sorted_groups(judged),):
+    for rows in (splits.best_linear_predictor(judged), splits.sorted_groups(judged)):
         text = plan_of(rows)
         assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
     by_md5 = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("5"), F.lit(3), F.col("id"))), 1, 8), 16, 10).cast("long") % 2

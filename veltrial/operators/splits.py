@@ -66,10 +66,10 @@ def best_linear_predictor(scored: DataFrame) -> DataFrame:
     s = s.withColumn("slope", F.try_divide("_c", "_v"))
     t = F.col("proxy") - F.col("_mt")
     e = F.col("score") - F.col("effect") - F.col("slope") * t
-    meat = scored.join(s, "split").groupBy("split").agg(F.sum(t * t * e * e).alias("_tt"), F.sum(e * e).alias("_ee"))
+    meat = scored.join(F.broadcast(s), "split").groupBy("split").agg(F.sum(t * t * e * e).alias("_tt"), F.sum(e * e).alias("_ee"))
     n = F.col("n")
     wide = F.sqrt(n / (n - 2))
-    return s.join(meat, "split").select("split", "n", "effect", (F.sqrt("_ee") / n * wide).alias("effect_se"), "slope", F.when(F.col("_v") > 0, F.sqrt("_tt") / ((n - 1) * F.col("_v")) * wide).alias("slope_se"))
+    return s.join(F.broadcast(meat), "split").select("split", "n", "effect", (F.sqrt("_ee") / n * wide).alias("effect_se"), "slope", F.when(F.col("_v") > 0, F.sqrt("_tt") / ((n - 1) * F.col("_v")) * wide).alias("slope_se"))
 
 
 def sorted_groups(scored: DataFrame, n_groups: int = 4) -> DataFrame:

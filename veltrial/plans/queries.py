@@ -973,8 +973,8 @@ def linear_predictor(spark, sf_dir):
     from veltrial.operators import splits
 
     rows = splits.best_linear_predictor(_judged(spark, sf_dir))
-    mean = splits.over_splits(rows, [], "effect", "effect_se").withColumn("term", F.lit("effect"))
-    return rounded(mean.unionByName(splits.over_splits(rows, [], "slope", "slope_se").withColumn("term", F.lit("slope"))), estimate=3, low=3, high=3)
+    terms = rows.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("value"), F.col(f"{t}_se").alias("error")) for t in ("effect", "slope")])).alias("t")).select("t.*")
+    return rounded(splits.over_splits(terms, ["term"], "value", "error").select("splits", "estimate", "low", "high", "term"), estimate=3, low=3, high=3)
 
 
 @query
