@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from veltrial.functions.special import normal_ppf
 
+#: Tasks for the sums by salt, arm and day or look: a few rows a salt, which no
+#: more users make more.  Every task of the tests has Python workers of its own.
+FEW_TASKS = 4
+
 
 def wilson(rows: DataFrame, hit: str, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Rate of a boolean with its Wilson interval."""
@@ -140,11 +144,11 @@ def replicate_looks(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, lif
     split = resplit(users.select("user_id", "expose_ds", "pre_metric", "post_metric", "post_cnt"), salts)
     daily = split.groupBy("experiment", "variant", F.col("expose_ds").alias("ds")).agg(F.count("*").alias("n"), *_sums(y, x), *_sums(y, k, "ratio_"), F.sum(y0).alias("untreated"))
     names = [c for c in daily.columns if c not in ("experiment", "variant", "ds")]
-    run = cumulative(daily, sums={c: c for c in names}).persist()  # salts x arms x days: read by the picks and by every test
+    run = cumulative(daily, sums={c: c for c in names}).repartition(FEW_TASKS, "experiment").persist()  # salts x arms x days: read by the picks and by every test
     arms = run.join(pick_looks(information(run), n_looks), ["experiment", "ds"])
     here = Window.partitionBy("experiment", "look")
     total = lambda c: F.sum(c).over(here)
-    return arms.withColumn("true_mean", lift * total("untreated") / total("n")).withColumn("true_ratio", lift * F.try_divide(total("untreated"), total("ratio_sum_x"))).drop("ds", "untreated").persist()  # salts x arms x looks, read by both sides of every test
+    return arms.withColumn("true_mean", lift * total("untreated") / total("n")).withColumn("true_ratio", lift * F.try_divide(total("untreated"), total("ratio_sum_x"))).drop("ds", "untreated").repartition(FEW_TASKS, "experiment").persist()  # salts x arms x looks, read by both sides of every test
 
 
 def look_calibration(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, lift: float = 0.0, alpha: float = 0.05) -> DataFrame:
