@@ -160,3 +160,15 @@ def test_splits_judge_rows_where_they_are(spark):
         assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
     by_md5 = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("5"), F.lit(3), F.col("id"))), 1, 8), 16, 10).cast("long") % 2
     assert spark.range(500).where(splits.half(F.lit(3), F.col("id"), 5) != by_md5).count() == 0
+
+
+def test_look_sums_stay_in_few_tasks(spark):
+    users = spark.range(400).select(F.col("id").cast("string").alias("user_id"), F.lit("e").alias("experiment"), F.lit("x").alias("variant"), F.expr("date_add(date'2024-01-01', CAST(id % 9 AS INT))").alias("expose_ds"), F.rand(1).alias("pre_metric"), F.rand(2).alias("post_metric"), F.lit(1).alias("post_cnt"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        arms = simulate.replicate_looks(users.repartition(9), spark.createDataFrame([(f"s{i}",) for i in range(6)], "salt string"))
+        assert arms.rdd.getNumPartitions() <= simulate.FEW_TASKS
+        assert arms.count() == 6 * 2 * 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
