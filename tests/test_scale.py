@@ -172,3 +172,14 @@ def test_look_sums_stay_in_few_tasks(spark):
         assert arms.count() == 6 * 2 * 5
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_forest_draws_without_numbers(spark):
+    plan = forest.Plan(("x",), ((0.5,),), bags=2, bag_trees=2)
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("0"), *parts)), 1, 8), 16, 10).cast("long") % 2
+    rows = spark.range(300).select("id", F.lit(1.0).alias("y"), F.lit(1.0).alias("d"), F.lit(0.1).alias("x"))
+    want = [F.when(number(F.lit("bag"), F.lit(t // 2), F.col("id")) == 1, 2).otherwise(number(F.lit("tree"), F.lit(t), F.col("id")).cast("int")) for t in range(4)]
+    got = forest.prepared(rows.withColumn("y", F.col("id").cast("double")), plan, y="y", d="d", id_column="id")
+    assert "conv(" not in plan_of(got)  # a draw's parity is that of one digit
+    both = got.join(rows.select(F.col("id").cast("double").alias("_y"), F.array(*want).alias("want")), "_y")
+    assert both.count() == 300 and both.where("_role != want").count() == 0

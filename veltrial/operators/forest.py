@@ -77,16 +77,17 @@ def quantile_edges(rows: DataFrame, features: list[str], bins: int = 32, accurac
     return tuple(tuple(sorted(set(got[f] or []))) for f in features)
 
 
-def _draw(*parts: Column | str, seed: int) -> Column:
-    """A hash of the parts as a number below 2^32."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+def _odd(*parts: Column | str, seed: int) -> Column:
+    """Is the number of the first eight hex digits of the parts' hash odd?  The eighth digit tells."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.instr(F.lit("13579bdf"), F.substring(F.md5(text), 8, 1)) > 0
 
 
 def prepared(rows: DataFrame, plan: Plan, *, y: str, d: str, id_column: str) -> DataFrame:
     """_y, _d, _bins (of the features) and _role of each tree: 0 splits, 1 estimates, 2 is out."""
     bins = [F.when(F.col(f).isNull(), 0).otherwise(sum((F.col(f).cast("double") > F.lit(float(e))).cast("int") for e in edges) if edges else F.lit(0)) for f, edges in zip(plan.features, plan.edges, strict=True)]
     key = F.col(id_column)
-    role = [F.when(_draw("bag", F.lit(t // plan.bag_trees), key, seed=plan.seed) % 2 == 1, 2).otherwise((_draw("tree", F.lit(t), key, seed=plan.seed) % 2).cast("int")) for t in range(plan.trees)]
+    role = [F.when(_odd("bag", F.lit(t // plan.bag_trees), key, seed=plan.seed), 2).otherwise(_odd("tree", F.lit(t), key, seed=plan.seed).cast("int")) for t in range(plan.trees)]
     fine = F.col(y).isNotNull() & F.col(d).isNotNull() & ~F.isnan(F.col(y).cast("double"))
     return rows.where(fine).select(F.col(y).cast("double").alias("_y"), F.col(d).cast("double").alias("_d"), F.array(*[b.cast("int") for b in bins]).alias("_bins"), F.array(*role).alias("_role"))
 
