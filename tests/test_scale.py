@@ -1,11 +1,13 @@
 """Operators that must not gather a key, an arm or a table in one place."""
 
+from datetime import date
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veltrial.operators import clusters, compare, forest, looks, sequential, simulate, splits
+from veltrial.operators import clusters, compare, forest, inference, looks, sequential, simulate, splits
 from veltrial.operators.assignment import assign_salts, orthogonality, salt_pairs
 from veltrial.operators.ranks import exact_quantiles, hashed_ranks, quantiles_by_key
 
@@ -183,3 +185,30 @@ def test_forest_draws_without_numbers(spark):
     assert "conv(" not in plan_of(got)  # a draw's parity is that of one digit
     both = got.join(rows.select(F.col("id").cast("double").alias("_y"), F.array(*want).alias("want")), "_y")
     assert both.count() == 300 and both.where("_role != want").count() == 0
+
+
+def test_looks_read_their_users_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        read.add(1)
+        return str(i), "e", "x", date(2024, 1, 1 + i % 9), float(i % 7), float(i % 5), 1
+
+    kinds = "user_id string, experiment string, variant string, expose_ds date, pre_metric double, post_metric double, post_cnt int"
+    users = spark.createDataFrame(spark.sparkContext.parallelize(range(300), 3).map(seen), kinds)
+    assert simulate.replicate_looks(users, spark.createDataFrame([(f"s{i}",) for i in range(4)], "salt string")).count() == 4 * 2 * 5
+    assert read.value == 300
+
+
+def test_all_tests_share_one_python_step(spark):
+    sums = [(f"s{i}", v, 50 + i, 90.0 + i, 100.0 + 3 * i * (v == "treatment"), 260.0, 300.0, 200.0) for i in range(6) for v in ("control", "treatment")]
+    names = ("sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy")
+    arms = spark.createDataFrame(sums, ["experiment", "variant", "n", *names]).withColumns({f"ratio_{c}": F.col(c) for c in names})
+    rows = simulate._estimates(arms, 0.05).where("p_value IS NOT NULL")
+    assert plan_of(rows).count("ArrowEvalPython") == 1 and rows.rdd.getNumPartitions() <= simulate.FEW_TASKS
+    got = {(r["test"], r["experiment"]): r for r in rows.collect()}
+    pairs, columns = inference.contrasts(arms.select("experiment", "variant", "n", *names)), ("effect", "std_error", "t_statistic", "p_value", "ci_low", "ci_high")
+    assert len(got) == 18
+    for name, one in (("plain", inference.welch(pairs)), ("adjusted", inference.cuped(pairs)), ("ratio", inference.ratio_delta(pairs))):
+        for r in inference.with_test(one.select("experiment", "effect", "std_error", "df")).collect():
+            assert [got[name, r["experiment"]][c] for c in columns] == pytest.approx([r[c] for c in columns])

@@ -91,7 +91,8 @@ def _sums(y: Column, x: Column, prefix: str = "") -> list[Column]:
 
 def _estimates(arms: DataFrame, alpha: float) -> DataFrame:
     """experiment, test, effect, std_error, t_statistic, p_value of the plain, the
-    adjusted and the ratio test of arms with n, sum_* and ratio_sum_*."""
+    adjusted and the ratio test of arms with n, sum_* and ratio_sum_*.  All rows are
+    tested in one place: a task has one Python worker, whatever the tests."""
     from veltrial.operators.inference import MOMENTS, contrasts, cuped, ratio_delta, welch, with_test
 
     rest = MOMENTS[1:]
@@ -99,16 +100,17 @@ def _estimates(arms: DataFrame, alpha: float) -> DataFrame:
     ratios = contrasts(arms.select("experiment", "variant", "n", *[F.col(f"ratio_{m}").alias(m) for m in rest]))
     rows = None
     for name, frame in (("plain", welch(pairs)), ("adjusted", cuped(pairs)), ("ratio", ratio_delta(ratios))):
-        one = with_test(frame.select("experiment", "variant", "effect", "std_error", "df"), alpha).select("experiment", F.lit(name).alias("test"), "effect", "std_error", "t_statistic", "p_value", "ci_low", "ci_high")
+        one = frame.select("experiment", F.lit(name).alias("test"), "effect", "std_error", F.col("df").cast("double").alias("df"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    tested = with_test(rows.repartition(FEW_TASKS, "experiment"), alpha).select("experiment", "test", "effect", "std_error", "t_statistic", "p_value", "ci_low", "ci_high")
+    return tested.persist()  # a row a salt, look and test: conditions on the p-value read it, they don't work it out again
 
 
 def split_calibration(users: DataFrame, salts: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Rejections of the plain, the adjusted and the ratio test over all salts,
     with the moments of z: its mean and spread tell an honest error from a wrong one."""
     y, x, k = F.col("post_metric"), F.col("pre_metric"), F.col("post_cnt")
-    arms = resplit(users, salts).groupBy("experiment", "variant").agg(F.count("*").alias("n"), *_sums(y, x), *_sums(y, k, "ratio_"))
+    arms = resplit(users, salts).groupBy("experiment", "variant").agg(F.count("*").alias("n"), *_sums(y, x), *_sums(y, k, "ratio_")).persist()  # salts x arms, read by both sides of every test
     rows = _estimates(arms, alpha).withColumn("hit", F.col("p_value") < alpha).where(F.col("hit").isNotNull())
     z = rows.groupBy("test").agg(F.avg("t_statistic").alias("mean_z"), F.stddev_samp("t_statistic").alias("sd_z"))
     return wilson(rows, "hit", by=("test",)).join(z, "test")
@@ -143,6 +145,7 @@ def replicate_looks(users: DataFrame, salts: DataFrame, *, n_looks: int = 5, lif
     y = F.when(treated, y0 * (1 + lift)).otherwise(y0)
     split = resplit(users.select("user_id", "expose_ds", "pre_metric", "post_metric", "post_cnt"), salts)
     daily = split.groupBy("experiment", "variant", F.col("expose_ds").alias("ds")).agg(F.count("*").alias("n"), *_sums(y, x), *_sums(y, k, "ratio_"), F.sum(y0).alias("untreated"))
+    daily = daily.repartition(FEW_TASKS, "experiment").persist()  # salts x arms x days: the spine reads them three times, the users are hashed once
     names = [c for c in daily.columns if c not in ("experiment", "variant", "ds")]
     run = cumulative(daily, sums={c: c for c in names}).repartition(FEW_TASKS, "experiment").persist()  # salts x arms x days: read by the picks and by every test
     arms = run.join(pick_looks(information(run), n_looks), ["experiment", "ds"])
